@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, sharding, simhash
+from . import packing, quality, secrets, sharding, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": sharding.query,
         "op3_packing": packing.query,
         "op4_quality": quality.query,
+        "op5_topk": topk.query,
+        "op8_secrets": secrets.query,
         "op10_simhash": simhash.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_topk": topk.SQL}
