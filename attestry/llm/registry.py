@@ -6,19 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, secrets, sharding, simhash, topk
+from . import decontaminate, packing, preferences, pseudonyms, quality, secrets, sharding, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_preferences": preferences.query,
         "op2_sharding": sharding.query,
         "op3_packing": packing.query,
         "op4_quality": quality.query,
         "op5_topk": topk.query,
+        "op6_pseudonyms": pseudonyms.query,
+        "op7_decontaminate": decontaminate.query,
         "op8_secrets": secrets.query,
         "op10_simhash": simhash.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": topk.SQL}
+    return {"op1_preferences": preferences.SQL, "op5_topk": topk.SQL}
