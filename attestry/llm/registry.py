@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, preferences, pseudonyms, quality, secrets, sharding, simhash, topk
+from . import decontaminate, lines, packing, preferences, pseudonyms, quality, secrets, sharding, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pseudonyms": pseudonyms.query,
         "op7_decontaminate": decontaminate.query,
         "op8_secrets": secrets.query,
+        "op9_lines": lines.query,
         "op10_simhash": simhash.query,
     }
 
