@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +21,16 @@ def js_round(x: Column, places: int = 2) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` uses it inside its own lambdas."""
+    return F.transform(F.array(value), f)[0]
+
+
+def first_of_each(items: Column, key: Callable[[Column], Column]) -> Column:
+    """The items whose key no earlier item has."""
+    return bound(items, lambda xs: bound(F.transform(xs, key), lambda keys: F.filter(xs, lambda x, i: F.array_position(keys, key(x)) == i + 1)))
+
+
 def ascii_digits(text: Column) -> Column:
     return F.translate(text, fixed.DIGITS_FROM, fixed.DIGITS_TO)
 
@@ -70,7 +80,7 @@ def weighted_tokens(text: Column, background: Column | None = None) -> Column:
 
 def has_number(text: Column, number: Column) -> Column:
     """Whether ``number`` stands in ``text`` with no digit on either side."""
-    return text.rlike(F.concat(F.lit(r"(?<![0-9])\Q"), number, F.lit(r"\E(?![0-9])")))
+    return F.regexp_like(text, F.concat(F.lit(r"(?<![0-9])\Q"), number, F.lit(r"\E(?![0-9])")))
 
 
 def raw_numbers(text: Column) -> Column:
@@ -284,8 +294,7 @@ def wikilinks(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]"), F.lit(1))
     names = F.transform(found, lambda t: F.trim(F.regexp_replace(F.replace(t, F.lit("_"), F.lit(" ")), r"^\s*:", "")))
     kept = F.filter(names, lambda t: (t != "") & ~t.rlike(r"(?i)^(?:File|Image|Media|Category)\s*:"))
-    lowered = F.transform(kept, F.lower)
-    return F.filter(kept, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1)
+    return first_of_each(kept, F.lower)
 
 
 def section_before(starts: Column, names: Column, position: Column) -> Column:

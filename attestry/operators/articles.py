@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import markup, words
 
-CLAIM = "claim_seq int, claim string, context string, section string, offset int, tag string, own_start int, own_end int, para_start int, para_end int, links array<string>"
+CLAIM = "claim_seq int, claim string, context string, section string, offset int, tag string, own_start int, own_end int, para_start int, para_end int, paragraph string"
 REF = (
     "ref_seq int, name string, ref_group string, offset int, ref_end int, url string, title string, work string, author string, date string, quote string,"
     " template string, short_footnote boolean, raw string, source_text string, sentence string, paragraph string, section string, paste_here string, paste_elsewhere string"
@@ -33,16 +33,27 @@ def _rows(df: DataFrame, keys: list[str], text: str, schema: str, make: Callable
 
 
 def claims(articles: DataFrame, keys: list[str], text: str = "wikitext") -> DataFrame:
-    """A row for every tagged statement, with the spans of its own sentence and paragraph and the links of the latter."""
+    """A row for every tagged statement, with the spans of its own sentence and paragraph, the latter's text and its links."""
 
     def make(t: str) -> Iterator[tuple]:
         for k, c in enumerate(markup.claims(t)):
             own, para = markup.tagged_sentence(t, c.offset, c.offset + len(c.tag)), markup.paragraph_at(t, c.offset)
-            yield k, c.claim, c.context, c.section, c.offset, c.tag, *own, *para, []
+            yield k, c.claim, c.context, c.section, c.offset, c.tag, *own, *para, t[para[0] : para[1]]
 
-    out = _rows(articles, keys, text, CLAIM, make)
-    around = articles.select(*keys, text)
-    return out.join(around, keys).withColumn("links", C.wikilinks(F.substring(F.col(text), F.col("para_start") + 1, F.col("para_end") - F.col("para_start")))).drop(text)
+    return _rows(articles, keys, text, CLAIM, make).withColumn("links", C.wikilinks(F.col("paragraph")))
+
+
+def claims_with_anchors(articles: DataFrame, keys: list[str], text: str = "wikitext") -> DataFrame:
+    """``claims`` with numbers and names of the claim, and the numbers of its context, in the same pass over the article."""
+
+    def make(t: str) -> Iterator[tuple]:
+        for k, c in enumerate(markup.claims(t)):
+            own, para = markup.tagged_sentence(t, c.offset, c.offset + len(c.tag)), markup.paragraph_at(t, c.offset)
+            numbers, names = words.anchors(c.claim)
+            yield k, c.claim, c.context, c.section, c.offset, c.tag, *own, *para, t[para[0] : para[1]], numbers, names, words.anchors(c.context)[0]
+
+    schema = f"{CLAIM}, numbers array<string>, names array<string>, context_numbers array<string>"
+    return _rows(articles, keys, text, schema, make).withColumn("links", C.wikilinks(F.col("paragraph")))
 
 
 def indexed_refs(articles: DataFrame, keys: list[str], text: str = "wikitext") -> DataFrame:

@@ -79,7 +79,7 @@ def by_method(claims: DataFrame, leads: DataFrame, labels: DataFrame) -> DataFra
 
 def confusion(pairs: DataFrame, said: str, label: str, values: list[str]) -> DataFrame:
     """How often each verdict met each label."""
-    return pairs.groupBy(said).pivot(label, values).agg(F.count("*")).na.fill(0)
+    return pairs.groupBy(said).pivot(label, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def changes(before: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:

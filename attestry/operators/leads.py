@@ -20,19 +20,19 @@ def same_article(claims: DataFrame, refs: DataFrame, articles: DataFrame, key: s
     titles = articles.select(key, F.col("title").alias("article_title"))
     c = claims.select(key, "claim_seq", "claim", F.col("section").alias("claim_section"), F.col("offset").alias("claim_offset"), "own_start", "own_end", "para_start", "para_end").join(titles, key)
     background = C.tokens(F.concat_ws(" ", "article_title", F.coalesce("claim_section", F.lit(""))))
-    bag = C.weighted_tokens(F.col("claim"), background)
+    c = c.withColumn("bag", C.weighted_tokens(F.col("claim"), background))
+    heaviest = lambda bag, k: F.array_max(F.transform(F.filter(bag, lambda t: t["token"] == k), lambda t: t["weight"]))
+    each = F.transform(F.array_distinct(F.transform("bag", lambda t: t["token"])), lambda k: F.struct(k.alias("token"), heaviest(F.col("bag"), k).alias("weight")))
+    c = c.withColumn("bag", each).withColumn("total", F.aggregate("bag", F.lit(0.0), lambda a, t: a + t["weight"]))
     r = refs.where(F.col("ref_group").isNull() & ~F.coalesce(C.is_unreliable(F.col("url")), F.lit(False)))
-    pair = c.withColumn("bag", bag).join(r, key)
+    r = r.withColumn("have", C.tokens(F.concat_ws(" ", "source_text", "sentence")))
+    pair = c.join(r, key)
     paragraph = (F.col("offset") >= F.col("para_start")) & (F.col("offset") < F.col("para_end"))
     own = (F.col("offset") >= F.col("own_start")) & (F.col("offset") < F.col("own_end"))
     near = F.coalesce(F.col("section") == F.col("claim_section"), F.lit(False))
     pair = pair.withColumn("in_paragraph", paragraph).where(~own & (paragraph | near))
-    have = C.tokens(F.concat_ws(" ", "source_text", "sentence"))
-    best = F.map_from_entries(F.transform(F.array_distinct(F.transform("bag", lambda t: t["token"])), lambda k: F.struct(k, F.array_max(F.transform(F.filter("bag", lambda t: t["token"] == k), lambda t: t["weight"])))))
-    pair = pair.withColumn("have", have).withColumn("best", best)
-    total = F.aggregate(F.map_values("best"), F.lit(0.0), lambda a, w: a + w)
-    hit = F.aggregate(F.map_entries("best"), F.lit(0.0), lambda a, e: a + F.when(F.array_contains("have", e["key"]), e["value"]).otherwise(0.0))
-    pair = pair.withColumn("lexical", F.when(total > 0, hit / total).otherwise(0.0))
+    hit = F.aggregate("bag", F.lit(0.0), lambda a, t: a + F.when(F.array_contains("have", t["token"]), t["weight"]).otherwise(0.0))
+    pair = pair.withColumn("lexical", F.when(F.col("total") > 0, hit / F.col("total")).otherwise(0.0))
     nearness = F.when(F.col("in_paragraph"), F.when(F.abs(F.col("offset") - F.col("claim_offset")) < 200, 1.0).otherwise(0.5)).otherwise(0.25)
     floor = F.when(F.col("in_paragraph"), 0.2).otherwise(0.35)
     pair = pair.withColumn("score", 0.75 * F.col("lexical") + 0.25 * nearness)

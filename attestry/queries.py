@@ -1,15 +1,660 @@
-"""Queries over the engine's own operators, with their SQL equivalents."""
+"""Queries over the engine's own operators, each with the SQL that DuckDB runs over the same tables where SQL can say it.
+
+The tables hold prose, pages, events and conversations.  They stand in for what the operators are for: ``benchmark`` items for claims,
+``documents`` for references and passages, ``pages`` for cited addresses, ``labels`` for hand labels, ``events`` for calls.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import columns as C
+from .functions import fixed
+from .operators import articles, catalogue, coverage, evaluation, joins, library, replies, verdicts
+from .plans import flows
+from .plans import sql as S
+from .sources.readers import table
+from .streaming import limits
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _long(c: Column) -> Column:
+    return c.cast("long")
+
+
+# --- words, tokens, numbers -------------------------------------------------------------------------------------------------
+
+
+@_query(f"SELECT doc_id, CAST(len({S.words('text')}) AS BIGINT) AS n_words, CAST(len({S.tokens('text')}) AS BIGINT) AS n_tokens FROM documents")
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", _long(F.size(C.words(F.col("text")))).alias("n_words"), _long(F.size(C.tokens(F.col("text")))).alias("n_tokens"))
+
+
+@_query(f"""
+WITH w AS (SELECT item_id, unnest({S.words('text')}) AS raw FROM benchmark), t AS (SELECT item_id, raw, {S.fold('raw')} AS token FROM w)
+SELECT item_id, token, CAST(max({S.weight('raw', 'token')}) AS BIGINT) AS weight FROM t WHERE {S.is_content('token')} GROUP BY item_id, token""")
+def token_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.claim_tokens(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@_query(f"""
+WITH t AS (SELECT lang, unnest({S.tokens('text')}) AS token FROM documents), n AS (SELECT lang, token, count(*) AS n_docs FROM t GROUP BY lang, token),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_docs DESC, token) AS rank FROM n)
+SELECT lang, token, n_docs, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
+def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "documents").select("lang", F.explode(C.tokens(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n_docs"))
+    return joins.top_k(t, ["lang"], [F.desc("n_docs"), F.col("token")], 20)
+
+
+_CLAIM_BAG = f"""
+cw AS (SELECT item_id, unnest({S.words('text')}) AS raw FROM benchmark), ct AS (SELECT item_id, raw, {S.fold('raw')} AS token FROM cw),
+bag AS (SELECT item_id, token, CAST(max({S.weight('raw', 'token')}) AS BIGINT) AS weight FROM ct WHERE {S.is_content('token')} GROUP BY item_id, token),
+dt AS (SELECT doc_id, unnest({S.tokens('text')}) AS token FROM documents)"""
+
+
+def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bag = coverage.claim_tokens(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return coverage.coverage(bag, table(spark, sf_dir, "documents"), "item_id", "doc_id", "text")
+
+
+@_query(f"""
+WITH {_CLAIM_BAG}, m AS (SELECT item_id, doc_id, sum(weight) AS matched FROM dt JOIN bag USING (token) GROUP BY item_id, doc_id),
+tot AS (SELECT item_id, sum(weight) AS total FROM bag GROUP BY item_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY matched DESC, doc_id) AS rank FROM m JOIN tot USING (item_id) WHERE matched * 10 >= total * 3)
+SELECT item_id, doc_id, CAST(matched AS BIGINT) AS matched, CAST(total AS BIGINT) AS total, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def coverage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each claim's five best covered texts."""
+    pairs = _coverage(spark, sf_dir).where(F.col("matched") * 10 >= F.col("total") * 3)
+    return joins.top_k(pairs, ["item_id"], [F.desc("matched"), F.col("doc_id")], 5).select("item_id", "doc_id", "matched", "total", "rank")
+
+
+@_query(f"""
+WITH t AS (SELECT item_id, unnest({S.tokens('text')}) AS token FROM benchmark), bg AS (SELECT token FROM t GROUP BY token HAVING count(*) > 0.2 * (SELECT count(*) FROM benchmark)),
+cw AS (SELECT item_id, unnest({S.words('text')}) AS raw FROM benchmark), ct AS (SELECT item_id, raw, {S.fold('raw')} AS token FROM cw),
+bag AS (SELECT item_id, token, max({S.weight('raw', 'token')}) AS weight FROM ct WHERE {S.is_content('token')} GROUP BY item_id, token)
+SELECT item_id, CAST(sum(CASE WHEN token IN (SELECT token FROM bg) THEN weight * 3 // 10 ELSE weight END) AS BIGINT) AS weight, count(*) AS n FROM bag GROUP BY item_id""")
+def background_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claim weights in which words that a fifth of all claims share count little."""
+    b = table(spark, sf_dir, "benchmark")
+    common = coverage.common_tokens(b, "text", 0.2).agg(F.collect_list("token").alias("background"))  # fewer than five words a claim's length
+    rows = coverage.claim_tokens(b.crossJoin(F.broadcast(common)), "item_id", "text", F.col("background"))
+    return rows.groupBy("item_id").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+
+
+@_query(f"SELECT doc_id, array_to_string(list_filter(list_distinct(regexp_extract_all({S.joined('text')}, '[0-9]+')), lambda n: length(n) >= 9), ',') AS numbers FROM documents WHERE len(list_filter(regexp_extract_all({S.joined('text')}, '[0-9]+'), lambda n: length(n) >= 9)) = 1")
+def digit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with one long number, once its groups are joined."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(C.join_digit_groups(F.col("text")), F.lit("[0-9]+"), F.lit(0)).alias("n"))
+    long = d.select("doc_id", F.filter("n", lambda x: F.length(x) >= 9).alias("n")).where(F.size("n") == 1)
+    return long.select("doc_id", F.array_join("n", ",").alias("numbers"))
+
+
+@_query("""
+WITH n AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[0-9](?:[0-9,.]*[0-9])?'), lambda x: length(replace(replace(x, ',', ''), '.', '')) >= 2) AS n FROM documents)
+SELECT doc_id, CAST(len(list_distinct(n)) AS BIGINT) AS n_numbers, CAST(len(list_filter(list_distinct(n), lambda x: regexp_full_match(x, '(1[0-9]|20)[0-9]{2}'))) AS BIGINT) AS n_years,
+  coalesce(list_contains(n, '555'), false) AS has_555 FROM n""")
+def raw_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = C.raw_numbers(F.col("text"))
+    years = F.size(F.filter(n, lambda x: x.rlike("^(1[0-9]|20)[0-9]{2}$")))
+    return table(spark, sf_dir, "documents").select("doc_id", _long(F.size(n)).alias("n_numbers"), _long(years).alias("n_years"), F.array_contains(n, "555").alias("has_555"))
+
+
+@_query("SELECT n.number, count(*) AS n_docs FROM documents, (SELECT unnest(['22', '555', '176', '17']) AS number) n WHERE regexp_matches(text, '(^|[^0-9])' || n.number || '($|[^0-9])') GROUP BY n.number")
+def whole_number_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("text", F.explode(F.array(*map(F.lit, ("22", "555", "176", "17")))).alias("number"))
+    return d.where(C.has_number(F.col("text"), F.col("number"))).groupBy("number").agg(F.count("*").alias("n_docs"))
+
+
+@_query("""
+WITH c AS (SELECT doc_id, len(regexp_extract_all(substr(text, 1, 4000), '\\p{L}')) AS letters, len(regexp_extract_all(substr(text, 1, 4000), '\\p{Latin}')) AS latin FROM documents)
+SELECT doc_id, letters < 20 OR latin > 0.6 * letters AS is_latin FROM c""")
+def latin_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", C.is_latin(F.col("text")).alias("is_latin"))
+
+
+@_query(f"SELECT doc_id, md5({S.key('text')}) AS copy_md5, md5(trim(regexp_replace({S.fold('substr(text, 1, 60)')}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS head_md5 FROM documents")
+def folded_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = lambda c: F.md5(C.copy_key(c).cast("binary"))
+    return table(spark, sf_dir, "documents").select("doc_id", k(F.col("text")).alias("copy_md5"), k(F.substring("text", 1, 60)).alias("head_md5"))
+
+
+# --- addresses and citations ------------------------------------------------------------------------------------------------
+
+
+@_query(f"SELECT {S.url_key('url')} AS url_key, min(page_id) AS first_page, count(*) AS n FROM pages GROUP BY 1")
+def url_key_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").groupBy(C.url_key(F.col("url")).alias("url_key")).agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
+
+
+@_query("SELECT page_id, lower(regexp_replace(regexp_replace(url, '^https?://(www\\.)?', ''), '/+$', '')) AS result_key FROM pages")
+def result_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", C.result_key(F.col("url")).alias("result_key"))
+
+
+_SOME_URL = f"""CASE page_id % 7 WHEN 0 THEN 'https://news.' || {S.BLOCKED}[CAST(page_id % {len(fixed.UNRELIABLE_DOMAINS)} AS INTEGER) + 1] || '/a'
+ WHEN 1 THEN 'https://www.' || {S.JOURNALS}[CAST(page_id % {len(fixed.JOURNAL_DOMAINS)} AS INTEGER) + 1] || '/x/' || page_id
+ WHEN 2 THEN 'http://edition.' || {S.NEWS}[CAST(page_id % {len(fixed.NEWS_DOMAINS)} AS INTEGER) + 1] || '/s' WHEN 3 THEN 'https://books.google.com/books?id=' || page_id ELSE url END"""
+
+
+def _some_url() -> Column:
+    """Addresses of all kinds: some pages' own, some on listed domains."""
+    at = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("page_id") % len(xs) + 1).cast("int"))
+    kind = F.col("page_id") % 7
+    number = F.col("page_id").cast("string")
+    return (
+        F.when(kind == 0, F.concat(F.lit("https://news."), at(fixed.UNRELIABLE_DOMAINS), F.lit("/a")))
+        .when(kind == 1, F.concat(F.lit("https://www."), at(fixed.JOURNAL_DOMAINS), F.lit("/x/"), number))
+        .when(kind == 2, F.concat(F.lit("http://edition."), at(fixed.NEWS_DOMAINS), F.lit("/s")))
+        .when(kind == 3, F.concat(F.lit("https://books.google.com/books?id="), number))
+        .otherwise(F.col("url"))
+    )
+
+
+@_query(f"WITH u AS (SELECT page_id, {_SOME_URL} AS u FROM pages) SELECT page_id, {S.host('u')} AS host FROM u WHERE NOT {S.under(S.host('u'), S.BLOCKED)}")
+def host_blocklist_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", _some_url().alias("u"))
+    return p.where(~C.is_unreliable(F.col("u"))).select("page_id", C.host(F.col("u")).alias("host"))
+
+
+@_query(f"""
+WITH u AS (SELECT page_id, {_SOME_URL} AS u FROM pages), h AS (SELECT *, {S.host('u')} AS h FROM u),
+k AS (SELECT *, CASE WHEN {S.under('h', S.JOURNALS)} THEN 'cite journal' WHEN contains(lower(u), 'books.google.com') OR contains(lower(u), 'archive.org/details') THEN 'cite book'
+  WHEN {S.under('h', S.NEWS)} THEN 'cite news' ELSE 'cite web' END AS kind FROM h)
+SELECT page_id, kind, '{{{{' || kind || ' |url=' || u || ' |title=' || 'A {{{{!}}}} ' || page_id || CASE kind WHEN 'cite news' THEN ' |work=' || h WHEN 'cite web' THEN ' |website=' || h ELSE '' END
+  || ' |access-date=2026-01-01}}}}' AS template FROM k""")
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", _some_url().alias("u"))
+    made = C.citation(F.col("u"), F.concat(F.lit("A | "), F.col("page_id").cast("string")), F.lit("2026-01-01"))
+    return p.withColumn("c", made).select("page_id", "c.kind", "c.template")
+
+
+@_query("""
+SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS BIGINT) AS n_links,
+ CAST(len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS BIGINT) AS n_targets,
+ CAST(length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS BIGINT) AS n_chars FROM pages""")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, links and visible text of pages."""
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", " "), "<[^>]+>", " ")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), _long(F.size(links)).alias("n_links"),
+        _long(F.size(F.array_distinct(links))).alias("n_targets"), _long(F.length(F.trim(F.regexp_replace(bare, r"\s+", " ")))).alias("n_chars"),
+    )
+
+
+@_query("SELECT doc_id, md5(trim(regexp_replace(replace(text, '&', '+'), '\\s+', ' ', 'g'))) AS text_md5 FROM documents WHERE NOT regexp_matches(text, '-\\s*\\n')")
+def stream_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned pages' text, read back from their markup."""
+    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"-\s*\n"))
+    page = F.concat(F.lit('<html><pre class="x">'), F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("+")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</pre></html>"))
+    return d.select("doc_id", F.md5(C.stream_text(page).cast("binary")).alias("text_md5"))
+
+
+@_query("""
+WITH s AS (SELECT page_id, upper('get') || ' ' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS head,
+  list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND string_split(p, '=')[1] NOT IN ('origin', 'format', 'formatversion'))) AS q FROM pages),
+k AS (SELECT page_id, head || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END || '#' || substr(sha1(CAST(page_id AS VARCHAR)), 1, 16) AS key FROM s)
+SELECT page_id, key, string_split(string_split(key, ' ')[2], '/')[1] || '/' || substr(sha1(key), 1, 20) || '.json.gz' AS path FROM k""")
+def request_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", evaluation.request_key(F.col("url"), F.lit("get"), F.col("page_id").cast("string")).alias("key"))
+    return p.withColumn("path", evaluation.cassette_path(F.col("key")))
+
+
+# --- paragraphs, sections, tags ---------------------------------------------------------------------------------------------
+
+
+@_query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+o AS (SELECT *, coalesce(sum(length(line) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l)
+SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(start + length(line) AS BIGINT) AS "end" FROM o WHERE line <> ''""")
+def paragraph_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return articles.paragraphs(d, ["doc_id"]).select("doc_id", _long(F.col("start")).alias("start"), _long(F.col("end")).alias("end"))
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles made of texts: a heading, the text, a tag, another section."""
+    d = table(spark, sf_dir, "documents")
+    text = F.concat(F.lit("== First ==\n"), F.trim(F.regexp_replace("text", r"[=\[\]{}<>|']", " ")), F.lit("{{cn|date=May 2020}}\n\n== Second ==\nAn end.{{Citation needed}}"))
+    return d.select(F.col("doc_id").alias("article_id"), text.alias("wikitext"))
+
+
+_TAGGED_SQL = "SELECT doc_id, trim(regexp_replace(text, '[=\\[\\]{}<>|'']', ' ', 'g'), ' ') AS t FROM documents"
+
+
+@_query(f"""
+WITH d AS ({_TAGGED_SQL})
+SELECT doc_id AS article_id, 0 AS claim_seq, 'First' AS section, CAST(12 + length(t) AS INTEGER) AS "offset", '{{{{cn|date=May 2020}}}}' AS tag,
+  CAST(length(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS INTEGER) AS n_context FROM d
+UNION ALL SELECT doc_id, 1, 'Second', CAST(12 + length(t) + 20 + 2 + 13 + 7 AS INTEGER), '{{{{Citation needed}}}}', 7 FROM d""")
+def tagged_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = articles.claims(_tagged(spark, sf_dir), ["article_id"])
+    return c.select("article_id", "claim_seq", "section", "offset", "tag", F.length("context").alias("n_context"))
+
+
+@_query(f"""
+WITH d AS ({_TAGGED_SQL}) SELECT doc_id AS article_id, 'First' AS heading, 2 AS level, 12 AS start, CAST(12 + length(t) + 20 + 1 AS INTEGER) AS section_end FROM d
+UNION ALL SELECT doc_id, 'Second', 2, CAST(12 + length(t) + 22 + 13 AS INTEGER), CAST(12 + length(t) + 22 + 13 + 7 + 19 AS INTEGER) FROM d""")
+def section_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles.sections(_tagged(spark, sf_dir), ["article_id"])
+
+
+@_query(f"WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z]\\p{{L}}+')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Z]\\p{{L}}+'), 1) AS i FROM documents), k AS (SELECT doc_id, lower(w) AS k, arg_min(w, i) AS w, min(i) AS i FROM l WHERE lower(w) NOT IN ('file') GROUP BY 1, 2) SELECT doc_id, string_agg(w, ',' ORDER BY i) AS links FROM k GROUP BY doc_id")
+def wikilinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links made of capitalised words, read back: distinct whatever their case."""
+    found = F.regexp_extract_all("text", F.lit(r"[A-Z]\p{L}+"), F.lit(0))
+    text = F.array_join(F.transform(found, lambda w: F.concat(F.lit("[["), w, F.lit("#part|shown]]"))), " ")
+    d = table(spark, sf_dir, "documents").select("doc_id", C.wikilinks(text).alias("l")).where(F.size("l") > 0)
+    return d.select("doc_id", F.array_join(F.filter("l", lambda w: F.lower(w) != "file"), ",").alias("links"))
+
+
+# --- gates, units, quotes, copies -------------------------------------------------------------------------------------------
+
+
+@_query(f"""
+WITH p AS (SELECT doc_id, text, item_id, b.text AS claim, array_to_string(list_slice(regexp_extract_all(b.text, '\\p{{L}}+'), 1, 2), ' ') AS subject
+  FROM (SELECT *, doc_id % 40 AS item FROM documents) d JOIN benchmark b ON d.item = b.item_id)
+SELECT CASE WHEN length(text) < 40 THEN 'too short' WHEN len({S.tokens('subject')}) > 0 AND NOT list_has_any({S.tokens('subject')}, {S.tokens('text')}) THEN 'no subject' ELSE 'kept' END AS reason,
+  count(*) AS n FROM p GROUP BY 1""".replace("d JOIN benchmark", "d JOIN (SELECT item_id, text FROM benchmark) b0 ON d.item = b0.item_id JOIN benchmark").replace("b ON d.item = b.item_id", "b ON b.item_id = b0.item_id").replace("SELECT doc_id, text, item_id, b.text", "SELECT d.doc_id, d.text, b.item_id, b.text"))
+def passage_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many passages the gates before scoring drop."""
+    d = table(spark, sf_dir, "documents").select("text", (F.col("doc_id") % 40).alias("item_id"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), 1, 2), " ").alias("subject"))
+    p = d.join(joins.small(b), "item_id")
+    reason = F.when(F.length("text") < 40, "too short").when(~library.mentions_subject(F.col("text"), F.col("subject")), "no subject").otherwise("kept")
+    return p.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@_query("""
+WITH h AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'image' ELSE 'texts' END AS mt, CASE doc_id % 4 WHEN 0 THEN ['inlibrary', 'printdisabled'] WHEN 1 THEN ['printdisabled'] ELSE [source] END AS c FROM documents)
+SELECT CASE WHEN mt <> 'texts' THEN 'not a text' WHEN list_contains(c, 'printdisabled') AND NOT list_contains(c, 'inlibrary') THEN 'print-disabled readers only' END AS reason,
+  CASE WHEN mt <> 'texts' OR (list_contains(c, 'printdisabled') AND NOT list_contains(c, 'inlibrary')) THEN NULL WHEN list_contains(c, 'inlibrary') THEN 'borrow' ELSE 'open' END AS access, count(*) AS n FROM h GROUP BY 1, 2""")
+def access_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    lists = F.when(k == 0, F.array(F.lit("inlibrary"), F.lit("printdisabled"))).when(k == 1, F.array(F.lit("printdisabled"))).otherwise(F.array("source"))
+    d = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 5 == 0, "image").otherwise("texts").alias("mediatype"), lists.alias("collections"))
+    return library.gated(d).groupBy(F.col("gate.reason").alias("reason"), F.col("gate.access").alias("access")).agg(F.count("*").alias("n"))
+
+
+@_query("""
+WITH h AS (SELECT doc_id, to_json({response: {body: {hits: {hits: [{fields: {identifier: 'id' || doc_id, title: ['T ' || doc_id], year: CAST(1900 + doc_id % 100 AS VARCHAR)}, highlight: {text: [substr(text, 1, 50)]}}]}}}}) AS body, text FROM documents)
+SELECT doc_id, 0 AS rank, 'id' || doc_id AS identifier, 'T ' || doc_id AS title, CAST(1900 + doc_id % 100 AS INTEGER) AS year, trim(regexp_replace(substr(text, 1, 50), '\\s+', ' ', 'g')) AS passage FROM h""")
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search replies made of texts, parsed again."""
+    n = F.col("doc_id").cast("string")
+    fields = F.struct(F.concat(F.lit("id"), n).alias("identifier"), F.array(F.concat(F.lit("T "), n)).alias("title"), (1900 + F.col("doc_id") % 100).cast("string").alias("year"))
+    hit = F.struct(fields.alias("fields"), F.struct(F.array(F.substring("text", 1, 50)).alias("text")).alias("highlight"))
+    body = F.to_json(F.struct(F.struct(F.struct(F.struct(F.array(hit).alias("hits")).alias("hits")).alias("body")).alias("response")))
+    h = library.search_hits(table(spark, sf_dir, "documents").select("doc_id", body.alias("body")), ["doc_id"])
+    return h.select("doc_id", "rank", "identifier", "title", "year", F.get("highlights", 0).alias("passage"))
+
+
+@_query(f"""
+WITH k AS (SELECT doc_id, {S.key('text')} AS k FROM documents)
+SELECT min(doc_id) AS doc_id, count(*) AS n FROM k WHERE length(k) >= 80 GROUP BY k""")
+def copy_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text of each set of copies, punctuation, case and accents aside."""
+    k = table(spark, sf_dir, "documents").select("doc_id", C.copy_key(F.col("text")).alias("k")).where(F.length("k") >= 80)
+    return k.groupBy(F.sha2("k", 256).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("k")
+
+
+_COMPARED = "trim(regexp_replace(translate(lower({}), '‘’“”\"''`', ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+@_query(f"""
+WITH c AS (SELECT item_id, {_COMPARED.format('text')} AS c FROM benchmark), d AS (SELECT doc_id, {_COMPARED.format('text')} AS d FROM documents)
+SELECT doc_id, item_id FROM d JOIN c ON length(c) >= 40 AND contains(d, c)""")
+def circular_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that repeat a claim word for word.
+
+    The claims' first five words are looked up among each text's runs of five words; only those pairs are compared as a whole.
+    """
+    c = table(spark, sf_dir, "benchmark").select("item_id", verdicts.compared(F.col("text")).alias("c")).where(F.length("c") >= 40)
+    d = table(spark, sf_dir, "documents").select("doc_id", verdicts.compared(F.col("text")).alias("d"))
+    c = c.withColumn("w", F.split("c", " ")).where(F.size("w") >= 5).withColumn("run", F.array_join(F.slice("w", 1, 5), " "))
+    w = F.split("d", " ")
+    parts = d.withColumn("w", w).withColumn("run", F.explode(F.array_distinct(F.transform(F.col("w"), lambda _, i: F.array_join(F.slice(F.col("w"), i + 1, F.lit(5)), " ")))))
+    pairs = parts.join(joins.small(c.select("item_id", "c", "run")), "run")
+    return pairs.where(F.contains("d", "c")).select("doc_id", "item_id").distinct()
+
+
+@_query(f"""
+WITH q AS (SELECT d.doc_id, d.text, {S.key("array_to_string(list_slice(string_split(b.text, ' '), 3, 9), ' ')")} AS q FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)
+SELECT doc_id, contains(replace({S.key('text')}, ' ', ''), replace(q, ' ', '')) AND len(string_split(q, ' ')) >= 3 AS quoted FROM q WHERE NOT regexp_matches(text, '\\p{{L}}-\\s') AND q <> ''""")
+def quotes_in_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 3, 7), " ").alias("q"))
+    p = d.join(joins.small(b), "item_id").where(~F.col("text").rlike(r"\p{L}-\s") & (C.copy_key(F.col("q")) != ""))
+    return p.select("doc_id", C.quote_in_passages(F.col("q"), F.array("text")).alias("quoted"))
+
+
+@_query(f"""
+WITH p AS (SELECT d.doc_id, ' ' || {S.key('d.text')} || ' ' AS t, list_slice(list_distinct(list_transform(regexp_extract_all(b.text, '\\p{{L}}{{6,}}'), lambda w: {S.fold('w')})), 1, 100) AS ws FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE NOT regexp_matches(d.text, '\\p{{L}}-\\s'))
+SELECT doc_id, CAST(len(list_filter(ws, lambda w: contains(t, ' ' || w || ' ') OR contains(t, ' ' || w || 's ') OR contains(t, ' ' || w || 'es '))) AS INTEGER) AS cover FROM p""")
+def plan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of a claim's long words a text mentions as whole words, plurals allowed."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id")).where(~F.col("text").rlike(r"\p{L}-\s"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}{6,}"), F.lit(0)), C.fold))
+    b = table(spark, sf_dir, "benchmark").select("item_id", words.alias("words"))
+    p = d.join(joins.small(b), "item_id").withColumn("padded", F.concat(F.lit(" "), C.copy_key(F.col("text")), F.lit(" ")))
+    hit = lambda w: F.contains("padded", F.concat(F.lit(" "), w, F.lit(" "))) | F.contains("padded", F.concat(F.lit(" "), w, F.lit("s "))) | F.contains("padded", F.concat(F.lit(" "), w, F.lit("es ")))
+    return p.select("doc_id", F.size(F.filter("words", hit)).alias("cover"))
+
+
+@_query("""
+WITH b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS so_far FROM conversations),
+p AS (SELECT *, max(CASE WHEN so_far > 1600 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS past FROM b)
+SELECT conv_id, turn, CAST(so_far AS BIGINT) AS so_far FROM p WHERE past = 0 OR nth = 1""")
+def char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's turns as far as 1,600 characters hold them, the first one in any case."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
+    return joins.within_budget(c, ["conv_id"], "turn", F.col("size"), 1600).select("conv_id", "turn", _long(F.col("so_far")).alias("so_far"))
+
+
+# --- replies ----------------------------------------------------------------------------------------------------------------
+
+
+@_query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, upper(event_type) AS query FROM events""")
+def json_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The object in a reply with talk around it."""
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Sure: ```json\n"), F.col("props"), F.lit("``` done")).alias("text"), F.upper("event_type").alias("query"))
+    return e.select("event_id", F.get_json_object(replies.json_object(F.col("text")), "$.k").cast("long").alias("k"), "query")
+
+
+@_query("""
+SELECT doc_id, 2 AS n_queries, lang || ' ' || source AS first_query, 'Fact ' || doc_id AS fact, 2 AS n_terms, source AS concept FROM documents""")
+def plans_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans in replies of uneven shape."""
+    n = F.col("doc_id").cast("string")
+    text = F.concat(
+        F.lit('Here: {"fact": " Fact   '), n, F.lit('", "queries": [["'), F.col("lang"), F.lit('", "'), F.col("source"), F.lit('"], "~x/ y", "x y", "q"], "terms": [["'), F.col("source"), F.lit('", "a"], [["b b"]], ["c"]]} ok')
+    )
+    p = replies.plans(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+    return p.select("doc_id", F.size("plan.queries").alias("n_queries"), F.col("plan.queries")[0].alias("first_query"), "plan.fact", F.size("plan.terms").alias("n_terms"), F.col("plan.terms")[0][0].alias("concept"))
+
+
+@_query("SELECT doc_id, doc_id AS nth, CASE doc_id % 3 WHEN 0 THEN 'supports' WHEN 1 THEN 'unsupported' END AS verdict FROM documents WHERE length(text) >= 40 AND regexp_matches(substr(text, 1, 30), '\\p{L}+\\P{L}+\\p{L}+\\P{L}+\\p{L}+') AND NOT regexp_matches(substr(text, 1, 60), '[\"\\\\\\n…]|\\.\\.\\.|\\p{L}-\\s')")
+def book_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on passages: support counts only with words that are there."""
+    d = table(spark, sf_dir, "documents").where((F.length("text") >= 40) & F.substring("text", 1, 30).rlike(r"\p{L}+\P{L}+\p{L}+\P{L}+\p{L}+") & ~F.substring("text", 1, 60).rlike(r'["\\\n…]|\.\.\.|\p{L}-\s'))
+    n = F.col("doc_id").cast("string")
+    said = F.element_at(F.array(F.lit("supports"), F.lit("partial"), F.lit("perhaps")), (F.col("doc_id") % 3 + 1).cast("int"))
+    quote = F.when(F.col("doc_id") % 3 == 1, "not a word of it at all zzz").otherwise(F.substring("text", 1, 30))
+    text = F.concat(F.lit('{"books": [{"id": "b'), n, F.lit('", "verdict": "'), said, F.lit('", "quote": "'), quote, F.lit('", "why": "x"}]}'))
+    shown = d.select("doc_id", F.col("doc_id").alias("nth"), F.array("text").alias("passages"))
+    return replies.judged_books(d.select("doc_id", text.alias("text")), shown, ["doc_id"]).select("doc_id", "nth", "verdict")
+
+
+# --- rankings ---------------------------------------------------------------------------------------------------------------
+
+_VERDICT_SQL = "CASE WHEN quality = 1 AND toxic = 0 THEN 'SUPPORTED' WHEN quality = 1 THEN 'PARTIALLY SUPPORTED' ELSE 'NOT SUPPORTED' END"
+
+
+def _suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "SUPPORTED").when(F.col("quality") == 1, "PARTIALLY SUPPORTED").otherwise("NOT SUPPORTED")
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return d.select(
+        "doc_id", "source", "lang", said.alias("verdict"), F.when(F.col("doc_id") % 4 == 0, "low").otherwise("high").alias("reliability"),
+        (F.col("n_chars") % 101).cast("double").alias("confidence"), F.when(F.col("doc_id") % 2 == 0, "web").otherwise("sister-wiki").alias("origin"), F.col("doc_id").alias("seq"),
+    )
+
+
+@_query(f"""
+WITH s AS (SELECT doc_id, source, {_VERDICT_SQL} AS verdict, CASE WHEN doc_id % 4 = 0 THEN 'low' ELSE 'high' END AS rel, n_chars % 101 AS conf, doc_id % 2 AS wiki FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN verdict = 'SUPPORTED' AND rel <> 'low' THEN 0 WHEN verdict = 'SUPPORTED' THEN 1 WHEN verdict = 'PARTIALLY SUPPORTED' THEN 2 ELSE 3 END, conf DESC, 1 - wiki, doc_id) AS place FROM s)
+SELECT source, doc_id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 5""")
+def bucket_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.ranked(_suggestions(spark, sf_dir), ["source"]).where("place <= 5").select("source", "doc_id", "place")
+
+
+@_query(f"""
+WITH s AS (SELECT source, bool_or({_VERDICT_SQL} = 'SUPPORTED' AND doc_id % 4 <> 0 AND lang = 'es') AS ok FROM documents JOIN labels USING (doc_id) GROUP BY source)
+SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT source FROM s WHERE ok)""")
+def unresolved_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _suggestions(spark, sf_dir).where("lang = 'es'")
+    return verdicts.unresolved(table(spark, sf_dir, "documents").select("source").distinct(), s, "source")
+
+
+@_query(f"""
+WITH i AS (SELECT source, lang, doc_id, CASE {_VERDICT_SQL} WHEN 'SUPPORTED' THEN 'supports' WHEN 'PARTIALLY SUPPORTED' THEN 'partial' END AS tier FROM documents JOIN labels USING (doc_id))
+SELECT source, lang AS stage, count(*) AS total, count(*) FILTER (WHERE tier = 'supports') AS supports, count(*) FILTER (WHERE tier = 'partial') AS partial, 0 AS lead, 0 AS flag, count(*) FILTER (WHERE tier IS NULL) AS rejected FROM i GROUP BY 1, 2""")
+def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = _suggestions(spark, sf_dir).withColumn("tier", verdicts.web_tier(F.col("verdict"), F.lit(""), F.lit(""))).withColumnRenamed("lang", "stage")
+    c = verdicts.counts(i, "source")
+    return c.select("source", "stage", "total", "supports", "partial", F.col("lead").cast("int").alias("lead"), F.col("flag").cast("int").alias("flag"), "rejected")
+
+
+@_query(f"""
+WITH i AS (SELECT source, lang, doc_id, CASE {_VERDICT_SQL} WHEN 'SUPPORTED' THEN 1 WHEN 'PARTIALLY SUPPORTED' THEN 2 END AS t, 'h' || (n_chars % 50) || '.example.com/p' AS k FROM documents JOIN labels USING (doc_id)),
+f AS (SELECT *, row_number() OVER (PARTITION BY source, k ORDER BY t, lang, doc_id) AS n FROM i WHERE t IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY t, lang, doc_id) AS place FROM f WHERE n = 1)
+SELECT source, k AS item_key, doc_id, CAST(place AS INTEGER) AS place FROM o""")
+def collected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items to show, an address once."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("https://www.h"), (F.col("n_chars") % 50).cast("string"), F.lit(".example.com/p/#x")).alias("url"))
+    i = _suggestions(spark, sf_dir).join(d, "doc_id").withColumn("tier", verdicts.web_tier(F.col("verdict"), F.lit(""), F.lit(""))).withColumnRenamed("lang", "stage")
+    return verdicts.collected(i, "source").select("source", "item_key", "doc_id", "place")
+
+
+@_query("""
+WITH a AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place, 0 AS which FROM documents), b AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place, 1 AS which FROM documents),
+u AS (SELECT * FROM a WHERE place <= 50 UNION ALL SELECT * FROM b WHERE place <= 50), f AS (SELECT *, row_number() OVER (PARTITION BY lang, doc_id ORDER BY place, which) AS n FROM u)
+SELECT lang, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY place, which) AS INTEGER) AS turn FROM f WHERE n = 1""")
+def interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rankings taken in turn, each text once."""
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars")
+    a = joins.top_k(d, ["lang"], [F.desc("n_chars"), F.col("doc_id")], 50, "place").withColumn("which", F.lit(0))
+    b = joins.top_k(d, ["lang"], [F.col("doc_id")], 50, "place").withColumn("which", F.lit(1))
+    return joins.interleave(a.unionByName(b).drop("n_chars"), ["lang"], "which", "place", "doc_id").select("lang", "doc_id", "turn")
+
+
+@_query("""
+WITH f AS (SELECT lang, source, min(doc_id % 8) AS tier FROM documents GROUP BY 1, 2), n AS (SELECT lang, tier, count(*) AS fresh FROM f GROUP BY 1, 2),
+t AS (SELECT DISTINCT lang, doc_id % 8 AS tier FROM documents), c AS (SELECT t.*, coalesce(sum(coalesce(fresh, 0)) OVER (PARTITION BY lang ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t LEFT JOIN n USING (lang, tier))
+SELECT d.lang, d.doc_id % 8 AS tier, count(*) AS n FROM documents d JOIN c ON d.lang = c.lang AND d.doc_id % 8 = c.tier WHERE before < 10 GROUP BY 1, 2""")
+def enough_hits_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the query tiers up to ten distinct finds."""
+    d = table(spark, sf_dir, "documents").select("lang", "source", (F.col("doc_id") % 8).alias("tier"))
+    return joins.until_enough(d, ["lang"], "tier", "source", 10).groupBy("lang", "tier").agg(F.count("*").alias("n"))
+
+
+@_query(f"""
+WITH k AS (SELECT doc_id, array_to_string(list_slice(list_filter(string_split(trim(regexp_replace(regexp_replace({S.fold("regexp_extract(text, '^([^:;.]*)', 1)")}, '[^\\p{{L}}\\p{{N}} ]+', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ('the', 'a', 'an')), 1, 8), ' ') AS edition FROM documents)
+SELECT edition, count(*) AS n, min(doc_id) AS first_doc FROM k GROUP BY edition""")
+def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose first sentence is one title."""
+    t = table(spark, sf_dir, "documents").select("doc_id", C.edition_key(F.regexp_extract("text", "^([^:;.]*)", 1)).alias("edition"))
+    return t.groupBy("edition").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@_query("""
+WITH RECURSIVE hop AS (SELECT n_nationkey AS k, n_nationkey AS x, 0 AS n FROM nation UNION ALL SELECT k, x // 2, n + 1 FROM hop WHERE n < 4 AND x > 3)
+SELECT k AS n_nationkey, 'NATION_' || min(x) AS resolved FROM hop GROUP BY k""")
+def alias_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that redirect, followed up to four times."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("NATION_"), F.col("n_nationkey").cast("string")).alias("name"))
+    a = n.where("n_nationkey > 3").select(F.col("name").alias("source"), F.concat(F.lit("NATION_"), F.floor(F.col("n_nationkey") / 2).cast("string")).alias("target"))
+    return joins.alias_chain(n, a, "name").select("n_nationkey", "resolved")
+
+
+@_query("""
+WITH p AS (SELECT unnest(['en', 'de', 'fr', 'es']) AS lang, unnest([1, 2, 3, 4]) AS p), l AS (SELECT DISTINCT source, lang FROM documents),
+r AS (SELECT l.source, l.lang, row_number() OVER (PARTITION BY source ORDER BY p) AS rank FROM l JOIN p USING (lang) WHERE l.lang <> 'de') SELECT source, lang, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 2""")
+def preferred_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.leads import choose_sisters
+
+    d = table(spark, sf_dir, "documents").select("source", "lang", F.lit("de").alias("own_lang"), F.lit("t").alias("title")).distinct()
+    return choose_sisters(d, "source", 2).select("source", "lang", "rank")
+
+
+# --- evaluation -------------------------------------------------------------------------------------------------------------
+
+
+@_query("""
+WITH w AS (SELECT 'a' AS s, doc_id AS id, unnest(regexp_extract_all(lower(substr(text, 1, 400)), '[\\p{L}\\p{N}]+')) AS w FROM documents UNION ALL
+ SELECT 'b', d.doc_id, unnest(regexp_extract_all(lower(b.text), '[\\p{L}\\p{N}]+')) FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
+c AS (SELECT id, w, count(*) FILTER (WHERE s = 'a') AS x, count(*) FILTER (WHERE s = 'b') AS y FROM w GROUP BY 1, 2)
+SELECT id AS doc_id, CAST(sum(least(x, y)) AS BIGINT) AS overlap, CAST(sum(x) AS BIGINT) AS n_a, CAST(sum(y) AS BIGINT) AS n_b, 2 * CAST(sum(least(x, y)) AS DOUBLE) / (sum(x) + sum(y)) AS f1 FROM c GROUP BY id""")
+def multiset_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("text"), (F.col("doc_id") % 40).alias("item_id"))
+    gold = d.select("doc_id", "item_id").join(joins.small(table(spark, sf_dir, "benchmark")), "item_id")
+    return coverage.multiset_overlap(d, gold, "doc_id", evaluation.f1_words(F.col("text")), evaluation.f1_words(F.col("text")))
+
+
+@_query("""
+WITH l AS (SELECT doc_id % 100 AS c, lang AS m, doc_id AS k, n_chars AS s FROM documents), j AS (SELECT l.*, CASE WHEN quality = 1 AND toxic = 0 THEN 'supports' WHEN quality = 1 THEN 'partial' WHEN quality = 0 THEN 'no' END AS v FROM l LEFT JOIN labels ON k = doc_id),
+e AS (SELECT * FROM j UNION ALL SELECT c, 'any', k, s, v FROM j), p AS (SELECT m, c, coalesce(bool_or(v = 'supports'), false) AS found, coalesce(bool_or(v IN ('supports', 'partial')), false) AS partly, count(*) AS leads,
+ count(v) AS judged, count(*) FILTER (WHERE v IN ('supports', 'partial')) AS good, arg_max(coalesce(v IN ('supports', 'partial'), false), (s, k)) AS top FROM e GROUP BY 1, 2),
+c AS (SELECT DISTINCT c, c % 2 = 0 AS b FROM l), g AS (SELECT m, b, count(*) FILTER (WHERE found) AS f, count(*) FILTER (WHERE partly) AS pa, count(*) AS an, count(*) FILTER (WHERE top) AS t, sum(leads) AS leads, sum(judged) AS judged, sum(good) AS good FROM p JOIN c USING (c) GROUP BY GROUPING SETS ((m, b), (m))),
+z AS (SELECT b, count(*) AS n FROM c GROUP BY GROUPING SETS ((b), ()))
+SELECT m AS method, g.b AS book_leaning, n AS claims, CAST(floor(100 * f / n + 0.5) AS BIGINT) AS found, CAST(floor(100 * pa / n + 0.5) AS BIGINT) AS partly, CAST(floor(100 * an / n + 0.5) AS BIGINT) AS any_lead,
+ CAST(floor(100 * t / an + 0.5) AS BIGINT) AS top_good, CAST(leads AS BIGINT) AS leads, CAST(judged AS BIGINT) AS judged, CASE WHEN judged > 0 THEN CAST(floor(100 * good / judged + 0.5) AS BIGINT) END AS precision FROM g JOIN z ON g.b IS NOT DISTINCT FROM z.b""")
+def precision_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 100).alias("claim_id"), F.col("lang").alias("method"), F.col("doc_id").alias("lead_key"), F.col("n_chars").alias("score"))
+    verdict = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "supports").when(F.col("quality") == 1, "partial").otherwise("no")
+    marks = table(spark, sf_dir, "labels").select((F.col("doc_id") % 100).alias("claim_id"), F.col("doc_id").alias("lead_key"), verdict.alias("verdict"))
+    c = d.select("claim_id").distinct().withColumn("book_leaning", F.col("claim_id") % 2 == 0)
+    return evaluation.by_method(c, d, marks)
+
+
+@_query("""
+WITH p AS (SELECT CASE WHEN n_chars % 3 = 0 THEN 'supports' WHEN n_chars % 3 = 1 THEN 'partial' ELSE 'no' END AS said, quality FROM documents JOIN labels USING (doc_id))
+SELECT said, count(*) FILTER (WHERE quality = 0) AS "0", count(*) FILTER (WHERE quality = 1) AS "1" FROM p GROUP BY said""")
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    said = F.when(F.col("n_chars") % 3 == 0, "supports").when(F.col("n_chars") % 3 == 1, "partial").otherwise("no")
+    return evaluation.confusion(d.select(said.alias("said"), F.col("quality").cast("string").alias("quality")), "said", "quality", ["0", "1"])
+
+
+@_query("""
+SELECT doc_id, 'gained' AS change FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0 UNION ALL SELECT doc_id, 'lost' FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0""")
+def gained_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    return evaluation.changes(d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0"), ["doc_id"])
+
+
+@_query("""
+WITH c AS (SELECT doc_id, lang, source, regexp_extract(text, '^([^\\n]*)', 1) AS claim FROM documents)
+SELECT doc_id, CASE WHEN length(claim) < 30 THEN 'too short' WHEN length(claim) > 700 THEN 'too long' WHEN regexp_matches(claim, '^[|!{]') OR contains(claim, '||') THEN 'table or template'
+ WHEN len(string_split_regex(claim, '\\s+')) < 5 THEN 'too few words' END AS reason FROM c""")
+def usable_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", evaluation.usable(F.regexp_extract("text", r"^([^\n]*)", 1)).alias("reason"))
+
+
+@_query()
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims by language, one a source article, up to three a stratum."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat_ws("-", "lang", "source").alias("article"), F.regexp_extract("text", r"^([^\n]*)", 1).alias("claim"))
+    quota = d.select("lang").distinct().withColumn("quota", F.lit(3))
+    return evaluation.stratified(d, quota, "lang", "article", "doc_id").select("lang", "article", "doc_id", "place")
+
+
+@_query("SELECT event_type, count(*) AS calls, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens, median(value) AS median_ms, max(value) AS slowest_ms FROM events GROUP BY 1")
+def call_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return evaluation.usage(e, ["event_type"], "value", "k")
+
+
+# --- calls and time ---------------------------------------------------------------------------------------------------------
+
+
+@_query("""
+SELECT event_id, recent, recent <= 2 AS allowed FROM (SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW) AS recent FROM events)""")
+def call_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return limits.recent_calls(e, ["event_type"], "ts", 600, 2).select("event_id", "recent", "allowed")
+
+
+@_query("SELECT user_id, max(ts) AS flagged FROM events WHERE event_type = 'error' GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-30 18:00:00'")
+def unexpired_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    return limits.unexpired(e, ["user_id"], "ts", "2024-01-31 00:00:00", 6)
+
+
+# --- flows over articles and books (rows that SQL cannot say) ---------------------------------------------------------------
+
+
+@_query()
+def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles.sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+@_query()
+def anchor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles.anchors(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+@_query()
+def key_phrase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles.key_phrases(table(spark, sf_dir, "benchmark"), ["item_id"], "text")
+
+
+def _cited_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles whose lines each end with a reference, the last one with a tag."""
+    lines = F.filter(F.split(F.regexp_replace("text", r"[=\[\]{}<>|']", " "), "\n"), lambda x: F.trim(x) != "")
+    ref = lambda x, i: F.concat(F.trim(x), F.lit("<ref>{{cite web |url=https://h"), i.cast("string"), F.lit(".example.com/a |title="), F.left(F.trim(x), F.lit(60)), F.lit("}}</ref>"))
+    text = F.concat(F.lit("== One ==\n"), F.array_join(F.transform(F.slice(lines, 1, 40), ref), " "), F.lit(" "), F.trim(F.get(lines, 0)), F.lit("{{cn}}"))
+    d = table(spark, sf_dir, "documents").where(F.size(lines) >= 2)
+    return d.select(F.col("doc_id").alias("article_id"), "lang", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), text.alias("wikitext"))
+
+
+@_query()
+def article_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads for tagged claims from the article's own references and one other edition's."""
+    a = _cited_articles(spark, sf_dir)
+    sisters = a.where("article_id % 2 = 0").select((F.col("article_id") + 1).alias("article_id"), F.col("article_id").alias("sister_id"), "lang", "title", "wikitext")
+    none = spark.createDataFrame([], "title string, lang string, foreign string")
+    return flows.article_leads(a, sisters, none).select("article_id", "claim_seq", "origin", "url", "score", "rank")
+
+
+@_query()
+def book_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books for claims: texts of a claim's number stand in for search hits, their lines for passages."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"), F.array_join(F.slice(F.split("text", " "), 2, 2), " ").alias("article_title"))
+    h = table(spark, sf_dir, "documents").select(
+        (F.col("doc_id") % 40).alias("claim_id"), F.floor(F.col("doc_id") / 40).cast("int").alias("rank"), F.concat(F.lit("id"), F.col("doc_id").cast("string")).alias("identifier"),
+        F.substring("text", 1, 40).alias("title"), F.lit(None).cast("string").alias("creator"), F.lit(1900).alias("year"), F.lit("texts").alias("mediatype"), F.array("source").alias("collections"),
+        F.split("text", "\n").alias("highlights"), (F.col("doc_id") % 3).alias("tier"),
+    )
+    return flows.books(h, b).select("claim_id", "turn", "identifier", "score")
+
+
+@_query()
+def best_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretch of each text that holds most of its claim."""
+    c = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"), F.lit("Some title").alias("article_title"))
+    t = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("claim_id"), "doc_id", "text")
+    return library.best_windows(t, c, "doc_id").where("window is not null")
+
+
+@_query()
+def completed_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations completed from recorded catalogue items."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("{{cite web |url="), F.col("url"), F.lit(" |title=x |access-date=2026-01-01}}")).alias("template"), "url")
+    item = F.struct(F.lit("newspaperArticle").alias("itemType"), F.concat(F.lit("Found "), F.col("page_id").cast("string")).alias("title"), F.lit("2020-01-02").alias("date"), F.array(F.array(F.lit("Ann"), F.lit("Lee"))).alias("author"))
+    items = p.where("page_id % 2 = 0").select(F.col("url").alias("query"), F.to_json(F.array(item)).alias("body")).dropDuplicates(["query"])
+    return catalogue.completed(p.select("page_id", "template"), items).select("page_id", "template")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def recent_calls(calls: DataFrame, by: list[str], ts: str, seconds: int = 60, most: int = 18) -> DataFrame:
     """Calls with recent (calls of the group in the last ``seconds``, this one included) and allowed (at most ``most``)."""
-    w = Window.partitionBy(*by).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(*by).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return calls.withColumn("recent", F.count("*").over(w)).withColumn("allowed", F.col("recent") <= most)
 
 
