@@ -1,0 +1,93 @@
+"""Sharding and packing against plain versions of themselves."""
+
+import random
+import zlib
+from itertools import accumulate
+
+import numpy as np
+import pytest
+
+from attestry.llm import packing, sharding
+
+SCHEMA = "doc_id long, text string, shard int, extra string"
+
+
+def _docs(spark, rows):
+    return spark.createDataFrame([(i, t, 9, "x") for i, t in rows], SCHEMA)
+
+
+def test_shards(spark):
+    rng = random.Random(1)
+    rows = [(k, "é" * rng.randrange(400)) for k in range(500)] + [(7, "again"), (7, "again"), (None, None), (1000, ""), (1001, "z" * 20000)]
+    got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"], r["shard"], r["slot"]) for r in sharding.byte_shards(_docs(spark, rows)).collect()))
+    want = sorted(((i is not None, i or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 16) for i, t in rows))
+    assert [g[:4] for g in got] == want
+    total, start = sum(w[3] for w in want), 0
+    by_shard: dict[int, list[int]] = {}
+    for g in got:
+        assert g[4] == min((2 * start + g[3]) * 40 // (2 * total), 39)
+        by_shard.setdefault(g[4], []).append(g[5])
+        start += g[3]
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+    assert [g[4] for g in got] == sorted(g[4] for g in got)
+
+
+def test_no_shards(spark):
+    assert sharding.byte_shards(_docs(spark, [])).collect() == []
+    assert {(r["shard"], r["slot"]) for r in sharding.byte_shards(_docs(spark, [(1, None)] * 3)).collect()} <= {(s, k) for s in range(40) for k in range(3)}
+
+
+TEXTS = ["", None, "a", " a", "a ", "a\n\nb", "don't, stop... 12,345 x.,", "tab\there", "<|endoftext|> x", "é漢😀 z", "foo.\nBar", "\nx", "word " * 5000, "x" * 9000]
+
+
+def test_ids_are_the_tokenizers(spark):
+    tokenizer, words = packing._WordIds(packing.tokenizer_path()).whole, packing._WordIds(packing.tokenizer_path())
+    for t in filter(None, TEXTS):
+        assert words.text(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:30]
+
+
+def test_pieces_and_places(spark):
+    rows = list(enumerate(TEXTS)) + [(3, " a"), (3, " a")] + [(100 + k, "some words here " * (k % 90)) for k in range(300)]
+    tokenizer = packing._WordIds(packing.tokenizer_path()).whole
+    got = packing.packed(_docs(spark, rows), packing.tokenizer_path(), 256).collect()
+    want = []
+    for i, t in rows:
+        ids = [*(tokenizer.encode(t, add_special_tokens=False).ids if t else []), 0]
+        first = len(ids) % 256 or min(256, len(ids))
+        for n, at in enumerate([0, *range(first, len(ids), 256)]):
+            part = ids[at : first if not at else at + 256]
+            want.append((i, n, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+    bins: dict[int, list[tuple[int, int]]] = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [0, *accumulate(n for _, n in b)][:-1] and sum(n for _, n in b) <= 256
+    assert len(bins) <= -(-sum(w[3] for w in want) // 256) + 1
+
+
+def test_empty(spark):
+    assert packing.packed(_docs(spark, []), packing.tokenizer_path()).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fill_is_tight(seed):
+    rng = random.Random(seed)
+    counts = {rng.randrange(1, 65): rng.randrange(1, 200) for _ in range(30)}
+    bins = packing.fill(counts, 64)
+    used: dict[int, int] = {}
+    for combination, n in bins:
+        assert sum(k * c for k, c in combination) <= 64
+        for k, c in combination:
+            used[k] = used.get(k, 0) + c * n
+    assert used == counts
+    # No worse than best fit decreasing.
+    rooms: list[int] = []
+    for k in sorted((k for k, n in counts.items() for _ in range(n)), reverse=True):
+        fit = min((r for r in rooms if r >= k), default=None)
+        if fit is None:
+            rooms.append(64 - k)
+        else:
+            rooms[rooms.index(fit)] -= k
+    assert sum(n for _, n in bins) <= len(rooms)
