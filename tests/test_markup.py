@@ -1,0 +1,85 @@
+"""Markup readers on articles of our own."""
+
+from attestry.functions import markup as M
+
+MILL = """The '''Stonebrook Mill''' is a mill near [[Eastham]].
+
+== Building ==
+
+The mill was drawn by [[Ida Falk]] and opened on 3 May 1861.<ref name="falk">{{cite book |last=Falk |first=Ida |title=Mills of the East |year=1930}}</ref> It burnt in 1899.<ref>{{cite news |url=https://times.example.com/fire |title=Fire at the mill |work=Times}}</ref>
+
+The wheel is 12 metres wide and turned 35 stones.{{citation needed|date=May 2021}} The county register lists a wheel of 12 metres with 35 stones.<ref name="reg">{{cite web |url=https://register.example.org/mill |title=Register: wheel 12 m, 35 stones |website=County}}</ref>
+
+=== Owners ===
+
+Olaf Brun owned it until 1920.{{cn}} A note.<ref name="reg" />
+
+== Notes ==
+<references>
+<ref name="only">{{cite web |url=https://x.example.org}}</ref>
+</references>
+"""
+
+
+def test_claims():
+    found = M.claims(MILL)
+    assert [c.section for c in found] == ["Building", "Owners"]
+    assert [c.claim for c in found] == ["The wheel is 12 metres wide and turned 35 stones.", "Olaf Brun owned it until 1920."]
+    assert all(MILL[c.offset : c.offset + len(c.tag)] == c.tag for c in found)
+    assert M.claims("A wall of 297.8 metres.{{cn}}")[0].claim == "A wall of 297.8 metres."
+    assert M.claims("{{fact}} x")[0].claim == "x"
+    assert M.claims("") == []
+
+
+def test_refs_and_sources():
+    refs = M.refs(MILL)
+    assert [r.name for r in refs] == ["falk", None, "reg", "reg", "only"]
+    assert refs[3].reuse and refs[3].resolved == refs[2].content and refs[4].definition_only
+    s = M.source(refs[0].content)
+    assert (s.author, s.title, s.date, s.template) == ("Falk, Ida", "Mills of the East", "1930", "cite book")
+    assert M.source("{{cite web|url=http://a|archive-url=http://b|url-status=dead}}").url == "http://b"
+    assert M.source("{{cite journal|doi=10.1/x y|title=T}}").url == "https://doi.org/10.1/x%20y"
+    assert M.source("{{sfn|Falk|1930|p=2}}").short_footnote and M.source("{{sfn|Falk|1930}}").date == "1930"
+    assert M.source("[http://a.b Some title]").title == "Some title" and M.source("see http://a.b/c|x").url == "http://a.b/c"
+    assert M.source("  ") is None and len(M.source("word " * 100).title) == 200
+    assert M.attributes("name=\"a b\" group='n' x=y/") == {"name": "a b", "group": "n", "x": "y"}
+
+
+def test_index():
+    found = M.index_article(MILL)
+    assert [x.ref.name for x in found] == ["falk", None, "reg", "reg"]
+    assert found[2].sentence == "The county register lists a wheel of 12 metres with 35 stones."
+    assert found[0].section == "Building" and found[3].section == "Owners"
+    assert found[3].sentence == "Olaf Brun owned it until 1920. A note."
+    assert M.reuse(found[2], True) == '<ref name="reg" />' and M.reuse(found[1], True).startswith("<ref>{{cite news")
+    foreign = M.Indexed(found[0].ref, M.source("{{Internetquelle|url=http://a|titel=T|hrsg=H|autor=A}}"), "", "", None)
+    assert M.reuse(foreign, False) == "<ref>{{cite web |url=http://a |title=T |work=H |author=A}}</ref>"
+
+
+def test_sentences():
+    assert M.sentences("Dr. Smith met J. Doe of the U.S. Army. He left! Why?! (So) x. 3 cats") == ["Dr. Smith met J. Doe of the U.S. Army.", "He left!", "Why?!", "(So) x.", "3 cats"]
+    assert M.sentences("一つ。二つ！x") == ["一つ。", "二つ！", "x"] and M.sentences("a\nb") == ["a", "b"] and M.sentences(" ") == []
+    assert M.sentence_at("One. Two is here.", 6) == "Two is here."
+
+
+def test_templates_and_prose():
+    assert M.template_args("a|b [[c|d]]|{{e|f}}|k=v") == ["a", "b [[c|d]]", "{{e|f}}", "k=v"]
+    t = M.parse_template("Cite  web|x|Access_Date=1|a [[b=c]]|k=1|k=2")
+    assert (t.name, t.positional, t.named) == ("cite web", ["x", "a [[b=c]]"], {"access-date": "1", "k": "2"})
+    assert M.strip_markup("'''A''' {{convert|5|km|mi}} [[B|c]] [[d]] {{box|x}}<!-- n --> <ref>r</ref>\n== H ==\n* [http://x y]") == "A 5 km c d\nH.\ny"
+    assert M.first_template("x {{a {{b}} c}} d") == "a {{b}} c" and M.first_template("{{a") is None
+    assert len(M.mask(MILL)) == len(MILL)
+
+
+def test_spans():
+    claim = M.claims(MILL)[0]
+    a, b = M.tagged_sentence(MILL, claim.offset, claim.offset + len(claim.tag))
+    assert MILL[a:b].startswith("The wheel is") and MILL[a:b].rstrip().endswith("}}") and "county" not in MILL[a:b]
+    text = "First one. In the middle{{cn}} it goes on.<ref>a</ref> Next."
+    c = M.claims(text)[0]
+    a, b = M.tagged_sentence(text, c.offset, c.offset + len(c.tag))
+    assert text[a:b] == "In the middle{{cn}} it goes on.<ref>a</ref> "
+    s = M.sections(MILL)
+    assert [(x.heading, x.level) for x in s] == [("Building", 2), ("Owners", 3), ("Notes", 2)]
+    assert MILL[s[0].end + 1 :].startswith("== Notes") and M.section_at(s, MILL.index("Olaf")) == "Owners"
+    assert [MILL[a:b].split()[0] for a, b in M.paragraphs(MILL)][:2] == ["The", "=="]
