@@ -112,8 +112,8 @@ def _line_set(line):
     w = [x for x in line.lower().split(" ") if x]
     if len(line) > lines.WORDLESS * max(len(w), 1):
         s = "".join(w)
-        return {s[k : k + 10] for k in range(len(s))}
-    return {(x + (w[k + 1] if k + 1 < len(w) else ""))[:10] for k, x in enumerate(w)} if len(w) >= lines.MIN_WORDS else None
+        return {s[k : k + 12] for k in range(len(s))}
+    return {(x, *w[k + 1 : k + 2], *(y[:3] for y in w[k + 2 : k + 3])) for k, x in enumerate(w)} if len(w) >= lines.MIN_WORDS else None
 
 
 def test_lines(spark):
