@@ -37,7 +37,7 @@ def ascii_digits(text: Column) -> Column:
 
 def join_digit_groups(text: Column) -> Column:
     """1,250 and 1.250.000 as one number; lists of numbers stay apart."""
-    return F.regexp_replace(text, _GROUPED, "$1$2")
+    return F.when(text.rlike(f"[0-9]{_MARKS}[0-9]"), F.regexp_replace(text, _GROUPED, "$1$2")).otherwise(text)
 
 
 def fold(text: Column) -> Column:
@@ -48,8 +48,12 @@ def fold(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Raw words in order; grouped digits are one word."""
     plain = F.translate(join_digit_groups(ascii_digits(text)), "‘’“”", "''''")
+    return _split_words(plain)
+
+
+def _split_words(plain: Column) -> Column:
     parts = F.split(plain, r"[^\p{L}\p{N}'’-]+")
-    return F.filter(F.transform(parts, lambda w: F.regexp_replace(w, "^[-']+|[-']+$", "")), lambda w: w != "")
+    return F.filter(F.transform(parts, lambda w: F.trim(w, F.lit("-'"))), lambda w: w != "")
 
 
 def is_content(folded: Column) -> Column:
@@ -61,8 +65,13 @@ def token_weight(raw: Column, folded: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Distinct folded content words, in first-use order."""
-    return F.array_distinct(F.filter(F.transform(words(text), fold), is_content))
+    """Distinct folded content words, in first-use order.
+
+    The text is folded as a whole before it is split; combining marks stay until then, since words end at them.
+    """
+    plain = F.translate(join_digit_groups(ascii_digits(text)), "‘’“”" + fixed.ACCENTED, "''''" + fixed.UNACCENTED)
+    telling = F.array_except(_split_words(F.lower(plain)), F.array(*map(F.lit, sorted(fixed.STOPWORDS))))
+    return F.filter(telling, lambda t: (F.length(t) >= 3) | t.rlike("[0-9]"))
 
 
 def weighted_tokens(text: Column, background: Column | None = None) -> Column:
