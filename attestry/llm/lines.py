@@ -1,7 +1,7 @@
 """Fuzzy line deduplication: MinHash signatures, banding, exact Jaccard verification, distributed union-find.
 
-A line is the set of its character shingles, cut where words begin: from the first character of a word to the ``TAIL``-th of the word
-after the next, in lower case and without the spaces.  Lines are alike from a Jaccard index of ``threshold`` (0.8) on; equal lines
+A line is the set of its character shingles: every run of ``SHINGLE`` characters, at every offset, in lower case and with one space
+for each run of white space.  Lines are alike from a Jaccard index of ``threshold`` (0.8) on; equal lines
 are alike too.  The signature has the smallest and the largest shingle hash under four orders, eight values in a ring, and each
 two neighbours of the ring make a band: a pair at the threshold, whose values agree with probability 0.8 each, misses all
 eight bands with probability 0.005, one at 0.85 with 0.0015.  Lines in a band are compared exactly, the links found go to connected
@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from ._shared import durable, table, written
 from .components import components
 
-TAIL, ORDERS, THRESHOLD = 3, 4, 0.8
+SHINGLE, ORDERS, THRESHOLD = 5, 4, 0.8
 #: Lines with fewer words are headings and list items; they are kept as they are.
 MIN_WORDS = 5
-#: A line whose words are longer than this on average has no words to speak of: its shingles are all runs of ``RUN`` characters.
-WORDLESS, RUN = 24, 12
+#: A line whose words are longer than this on average has no words to speak of, and takes part with any number of them.
+WORDLESS = 24
 #: The lines of a band are put in the order of two further bands.  Each is compared with so many that follow, with the first of those
 #: that share one of them, of those that share both, and with two of the whole band.
 REACH = 8
@@ -35,13 +35,10 @@ BUCKET = 512
 SENT_ROWS, SENT_BYTES = 500_000, 64 << 20
 
 
-def shingles(words: Column) -> Column:
-    """The hashes of a line's shingles, given its words; repeated ones repeat."""
-    return F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.left(F.get(words, i + 2), F.lit(TAIL))))
-
-
-def _char_shingles(chars: Column) -> Column:
-    return F.transform(chars, lambda _, i: F.xxhash64(F.array_join(F.slice(chars, i + 1, F.lit(RUN)), "")))
+def shingles(line: Column) -> Column:
+    """The hashes of a line's shingles; repeated ones repeat.  A line shorter than a shingle is its only one."""
+    runs = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
+    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(F.transform(runs, lambda x: F.xxhash64(x)))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -50,22 +47,21 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return doc.select("doc_id", "key", F.posexplode("lines").alias("pos", "line"))
 
 
-def _words(lines: DataFrame) -> DataFrame:
-    """``lines`` that take part, with words and wordless in place of line."""
-    parts = lines.withColumn("words", F.array_remove(F.split(F.lower("line"), " "), ""))
-    wordless = F.length("line") > WORDLESS * F.greatest(F.size("words"), F.lit(1))
-    return parts.withColumn("wordless", wordless).where((F.size("words") >= MIN_WORDS) | F.col("wordless")).drop("line")
+def _taking_part(lines: DataFrame) -> DataFrame:
+    """``lines`` that take part, in lower case and with single spaces."""
+    plain = lines.withColumn("line", F.trim(F.regexp_replace(F.lower("line"), r"\s+", " ")))
+    words = F.size(F.split("line", " "))
+    return plain.where((words >= MIN_WORDS) | (F.length("line") > WORDLESS * words))
 
 
 def _hashed(parts: DataFrame) -> DataFrame:
-    """``parts`` with uid, the 64-bit hash of the line's words."""
-    return parts.withColumn("uid", F.xxhash64("words"))
+    """``parts`` with uid, the 64-bit hash of the line."""
+    return parts.withColumn("uid", F.xxhash64("line"))
 
 
 def _shingled(parts: DataFrame) -> DataFrame:
-    """``parts`` with shingles: the hashes of the line's shingles."""
-    chars = F.split(F.array_join("words", ""), "")
-    return parts.withColumn("shingles", F.when(F.col("wordless"), _char_shingles(chars)).otherwise(shingles(F.col("words"))))
+    """``parts`` with shingles, the hashes of the line's shingles, in place of line."""
+    return parts.withColumn("shingles", shingles(F.col("line"))).drop("line")
 
 
 def _once(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -120,8 +116,8 @@ def links(docs: DataFrame, lines: DataFrame, threshold: float, id_col: str, text
     # The lines to compare come from the texts again, by one place each: carrying them all this way would cost more.
     places = _joined(lines.select("uid", "doc_id", "key", "pos"), wanted, "uid", "inner", 2 * SENT_ROWS)
     one = durable(places.groupBy("uid").agg(F.min(F.struct("doc_id", "key", "pos")).alias("at")).select("uid", F.col("at.key").alias("key"), F.col("at.pos").alias("pos")))
-    found = _words(_joined(_lines(docs, id_col, text_col), one, ["key", "pos"], "inner", 2 * SENT_ROWS))
-    # 31 bits of each hash do: a line has tens of shingles.  A place comes twice if its document was written twice.
+    found = _taking_part(_joined(_lines(docs, id_col, text_col), one, ["key", "pos"], "inner", 2 * SENT_ROWS))
+    # 31 bits of each hash do: a line has hundreds of shingles.  A place comes twice if its document was written twice.
     short = F.array_distinct(F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
     sets = durable(_shingled(found).select("uid", short.alias("set")).groupBy("uid").agg(F.first("set").alias("set")))
     left, right = sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), sets.select(F.col("uid").alias("b"), F.col("set").alias("y"))
@@ -131,7 +127,7 @@ def links(docs: DataFrame, lines: DataFrame, threshold: float, id_col: str, text
 
 def line_components(docs: DataFrame, threshold: float = THRESHOLD, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key, pos, root: the component of every line of ``docs`` that takes part."""
-    lines = written(_shingled(_hashed(_words(_lines(docs, id_col, text_col)))).select("doc_id", "key", "pos", "uid", _bands(F.col("shingles"), orders).alias("bands")))
+    lines = written(_shingled(_hashed(_taking_part(_lines(docs, id_col, text_col)))).select("doc_id", "key", "pos", "uid", _bands(F.col("shingles"), orders).alias("bands")))
     roots = durable(components(links(docs, lines, threshold, id_col, text_col), "a", "b")).withColumnRenamed("node", "uid")
     return _joined(lines.select("doc_id", "key", "pos", "uid"), roots, "uid", "left", 2 * SENT_ROWS).select(
         "doc_id", "key", "pos", F.coalesce("root", "uid").alias("root")
