@@ -4,8 +4,8 @@ A line is the set of its character shingles: every run of ``SHINGLE`` characters
 for each run of white space.  Lines are alike from a Jaccard index of ``threshold`` (0.8) on; equal lines
 are alike too.  The signature has the smallest and the largest shingle hash under four orders, eight values in a ring, and each
 two neighbours of the ring make a band: a pair at the threshold, whose values agree with probability 0.8 each, misses all
-eight bands with probability 0.005, one at 0.85 with 0.0015.  Lines in a band are compared exactly, the links found go to connected
-components, and of each component the line of the smallest document id and position stays.
+eight bands with probability 0.005, one at 0.85 with 0.0015.  Lines in a band are compared exactly, first with a few in an order that
+brings near copies together, then across the components that leaves; links go to connected components, and of each component the line of the smallest document id and position stays.
 
 Main path: DataFrame functions only.  A line's occurrences never meet: every step carries a 64-bit hash of the line, which partial
 aggregation reduces before anything is exchanged, so a line that a third of all documents share costs no more than another.
@@ -27,10 +27,14 @@ MIN_WORDS = 5
 #: A line whose words are longer than this on average has no words to speak of, and takes part with any number of them.
 WORDLESS = 24
 #: The lines of a band are put in the order of two further bands.  Each is compared with so many that follow, with the first of those
-#: that share one of them, of those that share both, and with two of the whole band.
+#: that share one of them, of those that share both, and with two of the whole band; ``_rest`` then compares what that leaves apart.
 REACH = 8
 #: Members of a band that one task sorts together.
 BUCKET = 512
+#: Members of a band on either side of a block, where what the order leaves apart is compared with all.
+BLOCK = 1024
+#: 64-bit words of the bitmap that rules pairs out before they are compared.
+BITMAP = 8
 #: Rows, and bytes, up to which a side may be sent to every task; beyond, the join exchanges both sides.
 SENT_ROWS, SENT_BYTES = 500_000, 64 << 20
 
@@ -92,7 +96,7 @@ def _joined(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "i
 
 
 def links(docs: DataFrame, lines: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """a, b: uids of different lines of ``lines`` (uid, bands) whose shingle sets reach ``threshold``."""
+    """a, b: uids of different lines that connect all lines of ``lines`` (uid, bands) in a common band whose shingle sets reach ``threshold``."""
     shared = lines.select("uid", F.explode("bands").alias("band")).groupBy("band").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low < high")
     shared = durable(shared)
     # Two further bands of a line go along, to bring lines that share these too next to each other.
@@ -121,8 +125,56 @@ def links(docs: DataFrame, lines: DataFrame, threshold: float, id_col: str, text
     short = F.array_distinct(F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
     sets = durable(_shingled(found).select("uid", short.alias("set")).groupBy("uid").agg(F.first("set").alias("set")))
     left, right = sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), sets.select(F.col("uid").alias("b"), F.col("set").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
+    found = durable(pairs.join(left, "a").join(right, "b").where(_alike("x", "y", threshold)).select("a", "b"))
+    return found.unionByName(_rest(members, found, sets, threshold))
+
+
+def _alike(x: str, y: str, threshold: float) -> Column:
+    both = F.size(F.array_intersect(x, y))
+    return both >= threshold * (F.size(x) + F.size(y) - both)
+
+
+def _bitmap(s: Column) -> list[Column]:
+    """Bits that say for each residue of the hashes if an odd number of them has it: two sets differ in as many members as bits, at least."""
+    word = lambda k: F.filter(s, lambda x: F.pmod(x, F.lit(BITMAP)) == k)
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.floor(x / BITMAP), F.lit(64)).cast("int"))
+    return [F.aggregate(word(k), F.lit(0).cast("long"), lambda w, x: w.bitwiseXOR(bit(x))) for k in range(BITMAP)]
+
+
+def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links between the components that ``found`` leaves in a band, so that with them no two alike lines of a band are apart.
+
+    Of every band in which not all pairs were compared, the lines outside its most frequent component are compared with all lines of
+    other components, block by block.  A pair is first ruled out by its sizes and bitmaps, which never rules out an alike one, and only
+    the components of alike pairs are handed on.
+    """
+    roots = durable(components(found, "a", "b")).withColumnRenamed("node", "uid")
+    placed = members.select("uid", "band").join(roots, "uid", "left").select("uid", "band", F.coalesce("root", "uid").alias("root"))
+    counts = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    told = counts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    mixed = durable(told.where((F.col("n") > REACH + 1) & (F.col("most") < F.col("n"))))
+    if mixed.isEmpty():
+        return found.limit(0)
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    here = _joined(placed, mixed, "band").withColumn("across", blocks(F.col("n"))).withColumn("down", blocks(F.col("n") - F.col("most")))
+    here = durable(here.select("band", "uid", "root", "main", "across", "down"))
+    used = sets.join(here.select("uid").distinct(), "uid", "left_semi")
+    marked = durable(used.select("uid", "set", F.size("set").alias("size"), *[w.alias(f"w{k}") for k, w in enumerate(_bitmap(F.col("set")))]))
+    full = here.join(marked, "uid")
+    part = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    carried = ["uid", "root", "set", "size", *[f"w{k}" for k in range(BITMAP)]]
+    few = full.where("root <> main").select("band", part(F.col("down")).alias("i"), every(F.col("across")).alias("j"), *carried)
+    all_ = full.select("band", every(F.col("down")).alias("i"), part(F.col("across")).alias("j"), (F.col("root") == F.col("main")).alias("in_main"), *carried)
+    few, all_ = few.alias("l"), all_.alias("r")
+    apart = sum((F.bit_count(F.col(f"l.w{k}").bitwiseXOR(F.col(f"r.w{k}"))) for k in range(BITMAP)), F.lit(0))
+    # At a Jaccard index of t, sets of x and y members differ in (1 - t) / (1 + t) * (x + y) of them.
+    room = (1 - threshold) * (F.col("l.size") + F.col("r.size")) + 1e-6
+    cheap = (F.abs(F.col("l.size") - F.col("r.size")) * (1 + threshold) <= room) & (apart * (1 + threshold) <= room)
+    other = (F.col("l.root") != F.col("r.root")) & (F.col("r.in_main") | (F.col("l.uid") < F.col("r.uid")))
+    same = (F.col("l.band") == F.col("r.band")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
+    linked = few.join(all_, same & other & cheap & _alike("l.set", "r.set", threshold))
+    return linked.select(F.least("l.root", "r.root").alias("a"), F.greatest("l.root", "r.root").alias("b")).distinct()
 
 
 def line_components(docs: DataFrame, threshold: float = THRESHOLD, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from attestry.llm import lines
+from attestry.llm import components, lines
 
 
 def _groups(n, near):
@@ -50,3 +50,27 @@ def test_lines_are_alike_by_their_characters(spark):
     got = _left(spark, docs)
     assert got == _kept_lines(docs)
     assert [got[100 + k] for k in range(40)] == [""] * 40
+
+
+def test_no_link_of_a_large_band_is_lost(spark, monkeypatch):
+    """Lines of one band that make many chains: what the order puts far apart is found by the blocks."""
+    monkeypatch.setattr(lines, "BLOCK", 16)
+    rng = random.Random(26)
+    rows = set()
+    while len(rows) < 400:
+        x = set(rng.sample(range(3000), 1)) | set(range(5000, 5018))
+        rows.add((rng.randrange(40), *sorted(x | set(rng.sample(range(12), 3)))))
+    sets = [sorted({v + 10 for v in r}) for r in rows]
+    members = spark.createDataFrame([(k, b, 0, 0) for k in range(len(sets)) for b in (1, 2)], "uid long, band long, next long, after long")
+    table = spark.createDataFrame(list(enumerate(sets)), "uid long, set array<int>")
+    none = spark.createDataFrame([], "a long, b long")
+    got = {r["node"]: r["root"] for r in components.components(lines._rest(members, none, table, 0.8), "a", "b").collect()}
+    full = [set(s) for s in sets]
+    want = _groups(len(sets), lambda a, b: len(full[a] & full[b]) >= 0.8 * len(full[a] | full[b]))
+    assert len(set(want)) > 1 and [got.get(k, k) for k in range(len(sets))] == want
+    # Part of the links known beforehand changes nothing.
+    some = [(want[k], k) for k in range(0, len(sets), 3) if want[k] != k]
+    known = spark.createDataFrame(some, "a long, b long")
+    both = known.unionByName(lines._rest(members, known, table, 0.8))
+    got = {r["node"]: r["root"] for r in components.components(both, "a", "b").collect()}
+    assert [got.get(k, k) for k in range(len(sets))] == want
