@@ -2,9 +2,10 @@
 
 A line is the set of its character shingles: every run of ``SHINGLE`` characters, at every offset, in lower case and with one space
 for each run of white space.  Lines are alike from a Jaccard index of ``threshold`` (0.8) on; equal lines
-are alike too.  The signature has the smallest and the largest shingle hash under four orders, eight values in a ring, and each
-two neighbours of the ring make a band: a pair at the threshold, whose values agree with probability 0.8 each, misses all
-eight bands with probability 0.005, one at 0.85 with 0.0015.  Lines in a band are compared exactly, first with a few in an order that
+are alike too.  The signature has the smallest and the largest shingle hash under eight orders, sixteen values in a ring,
+and each three neighbours of the ring make a band: a pair at the threshold, whose values agree with probability 0.8 each, misses
+all sixteen bands with probability 0.003.  Bands of two values would bring together too many lines that merely share common shingles.
+Lines in a band are compared exactly, first with a few in an order that
 brings near copies together, then across the components that leaves; links go to connected components, and of each component the line of the smallest document id and position stays.
 
 Main path: DataFrame functions only.  A line's occurrences never meet: every step carries a 64-bit hash of the line, which partial
@@ -21,11 +22,7 @@ from pyspark.sql import functions as F
 from ._shared import durable, table, written
 from .components import components
 
-SHINGLE, ORDERS, THRESHOLD = 5, 4, 0.8
-#: Lines with fewer words are headings and list items; they are kept as they are.
-MIN_WORDS = 5
-#: A line whose words are longer than this on average has no words to speak of, and takes part with any number of them.
-WORDLESS = 24
+SHINGLE, ORDERS, THRESHOLD = 5, 8, 0.8
 #: The lines of a band are put in the order of two further bands.  Each is compared with so many that follow, with the first of those
 #: that share one of them, of those that share both, and with two of the whole band; ``_rest`` then compares what that leaves apart.
 REACH = 8
@@ -52,10 +49,9 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _taking_part(lines: DataFrame) -> DataFrame:
-    """``lines`` that take part, in lower case and with single spaces."""
+    """``lines`` that take part, all that are not blank, in lower case and with single spaces."""
     plain = lines.withColumn("line", F.trim(F.regexp_replace(F.lower("line"), r"\s+", " ")))
-    words = F.size(F.split("line", " "))
-    return plain.where((words >= MIN_WORDS) | (F.length("line") > WORDLESS * words))
+    return plain.where(F.col("line") != "")
 
 
 def _hashed(parts: DataFrame) -> DataFrame:
@@ -87,7 +83,7 @@ def _bands(s: Column, orders: int) -> Column:
         order = F.transform(s, lambda x: x.bitwiseXOR(F.lit(flip))) if b else s  # noqa: B023  used at once
         ends.append(_once(order, lambda o: F.array(F.array_min(o), F.array_max(o))))
     n = 2 * orders
-    return _once(F.flatten(F.array(*ends)), lambda v: F.array(*[F.xxhash64(F.lit(k), v[k], v[(k + 1) % n]) for k in range(n)]))
+    return _once(F.flatten(F.array(*ends)), lambda v: F.array(*[F.xxhash64(F.lit(k), v[k], v[(k + 1) % n], v[(k + 2) % n]) for k in range(n)]))
 
 
 def _joined(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", most: int = SENT_ROWS) -> DataFrame:
@@ -102,7 +98,7 @@ def links(docs: DataFrame, lines: DataFrame, threshold: float, id_col: str, text
     # Two further bands of a line go along, to bring lines that share these too next to each other.
     n = F.size("bands")
     keyed = lines.select("uid", "bands", F.posexplode("bands").alias("i", "band"))
-    keyed = keyed.select("uid", "band", F.get("bands", (F.col("i") + 2) % n).alias("next"), F.get("bands", (F.col("i") + 4) % n).alias("after"))
+    keyed = keyed.select("uid", "band", F.get("bands", (F.col("i") + 3) % n).alias("next"), F.get("bands", (F.col("i") + 6) % n).alias("after"))
     members = durable(_joined(keyed, shared, "band").distinct())
     sizes = durable(members.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET))
     salted = members.withColumn("salt", F.lit(0))

@@ -74,3 +74,12 @@ def test_no_link_of_a_large_band_is_lost(spark, monkeypatch):
     both = known.unionByName(lines._rest(members, known, table, 0.8))
     got = {r["node"]: r["root"] for r in components.components(both, "a", "b").collect()}
     assert [got.get(k, k) for k in range(len(sets))] == want
+
+
+def test_short_lines_take_part(spark):
+    """Copies go at any length, also in scripts without spaces and between tabs; blank lines stay."""
+    texts = ["All rights reserved.\n\n}\n第一章 概要\na\tb\tc\td", "all rights  reserved.\n \n}\n第一章 概要\nA b c d\nab", "All rights reserved\n\nAb\nabc"]
+    docs = list(enumerate(texts))
+    got = _left(spark, docs)
+    assert got == _kept_lines(docs)
+    assert got == {0: texts[0], 1: " \nab", 2: "\nabc"}
