@@ -70,13 +70,11 @@ class _WordIds(dict):
         """The ids of a whole text."""
         import numpy as np
 
-        words = text.replace("\n", " \n").split(" ")
-        if len(words) != len(text.split()):
-            # Runs of white space are split by what follows them: leave those texts to the library.
+        if " ".join(text.split()) != text.replace("\n", " "):
+            # Runs of white space, or other than spaces and line breaks, are split by what follows them: leave those texts to the library.
             return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        first = words[0]
-        head = self.exact(first) if first[0] != "\n" else self[first]
-        return head + b"".join(map(self.__getitem__, words[1:]))
+        words = text.replace("\n", " \n").split(" ")
+        return self.exact(words[0]) + b"".join(map(self.__getitem__, words[1:]))
 
 
 @lru_cache(maxsize=2)

@@ -91,3 +91,15 @@ def test_fill_is_tight(seed):
         else:
             rooms[rooms.index(fit)] -= k
     assert sum(n for _, n in bins) <= len(rooms)
+
+
+def test_white_space_that_cancels_out(spark):
+    """As many white spaces too many as there are words with one inside: the counts agree, the ids must too."""
+    tokenizer, words = packing._WordIds(packing.tokenizer_path()).whole, packing._WordIds(packing.tokenizer_path())
+    texts = [" a\tb", "a b\tc  d", "a  b\tc", "a\n\n\nb\tc\td", "a b\tc\td\n\n", "\n a\tb", "x \u00a0y\u00a0z", "a\nb c\nd", "a\r\nb", "\t", " ", "\n", "if x:\n    return\t1"]
+    for t in texts:
+        assert words.text(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    rng = random.Random(5)
+    for _ in range(3000):
+        t = "".join(rng.choice(["a", "bc", ".", " ", "\n", "\t", "\u00a0", " d", " e"]) for _ in range(rng.randrange(1, 12)))
+        assert words.text(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
