@@ -18,9 +18,18 @@ from ._shared import table
 #: What is looked for.  A digit next to a match means that it is part of some longer number, so there is none.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])"
-PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|(?<=[ .+0-9-])[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+DATE = r"(?<![0-9])(?<!(?<![0-9])[0-9]{5,11}-)(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])"
+PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+#: Numbers with single spaces or hyphens between: cards are looked for among them first and put between two of Unicode's noncharacters.
+#: Numbers of mail and internet addresses, dates and telephones with a country or area code before them are left out.
+NUMBER = r"[0-9]++(?![A-Za-z0-9._%+-]*+@)(?!\.[0-9]{1,3}\.[0-9])"
+NUMBERS = (
+    r"(?<![0-9])(?<!\.[0-9]{1,3}\.)(?<!\([0-9]{3}\) ?)(?!(?<=\+)[0-9]{1,3}[ .-]?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9]))"
+    rf"{NUMBER}(?:[ -]{NUMBER})*+"
+)
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
+CARD = f"{OPEN}[0-9][0-9 -]*+{CLOSE}"
+CARD_DIGITS = (13, 19)
 ANY = "|".join((EMAIL, ADDRESS, DATE, PHONE, CARD))
 KINDS = ("email", "address", "date", "phone", "card")
 ROUNDS = 8
@@ -96,7 +105,7 @@ def _day(m: Column) -> Column:
 
 def _matches(m: Column, pattern: str) -> Column:
     """The whole match is of this pattern; what stood before it was looked at when it was found."""
-    return m.rlike(f"^(?:{pattern.replace('(?<=[ .+0-9-])', '')})$")
+    return m.rlike(f"^(?:{pattern})$")
 
 
 def kind_of(m: Column) -> Column:
@@ -142,6 +151,37 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     )
 
 
+def _cards_marked(numbers: Column) -> Column:
+    """``numbers``, a match of ``NUMBERS``, with its cards marked: whole numbers in a row that have a card's length and check digit.
+
+    From left to right, the longest first; three numbers that make a date or a telephone are passed over.  A card's numbers have four
+    digits at least, but for the last; others count only where ``numbers`` begin or go on after a find, as many as a card can hold.
+    """
+    low, high = CARD_DIGITS
+
+    def step(g: Column, s: Column, i: Column) -> Column:
+        joined = lambda n: F.array_join(F.slice(g, i, n), "")
+        other = joined(F.lit(3)).rlike(f"^(?:{DATE}|{PHONE})")
+        digits = lambda n: _digits(joined(n))
+        shaped = lambda n: joined(n).rlike("^(?:[0-9]{4,}[ -])*[0-9]+[ -]?$")
+        long = F.filter(F.sequence(F.lit(1), F.least(F.lit(high), F.size(g) - i + 1)), lambda n: F.length(digits(n)).between(low, high))
+        fits = F.transform(F.array(long), lambda v: F.array_max(F.filter(v, lambda n: (shaped(n) | (s["fresh"] & (n == F.array_max(v)))) & (luhn_sum(digits(n)) % 10 == 0))))[0]
+        n = F.when(other, F.least(F.lit(3), F.size(g) - i + 1)).otherwise(fits)
+        out = F.when(other | n.isNull(), joined(F.coalesce(n, F.lit(1)))).otherwise(F.regexp_replace(joined(n), "^(.*[0-9])", f"{OPEN}$1{CLOSE}"))
+        return F.when(s["skip"] > 0, F.struct(s["out"].alias("out"), (s["skip"] - 1).alias("skip"), s["fresh"].alias("fresh"))).otherwise(
+            F.struct(F.concat(s["out"], out).alias("out"), (F.coalesce(n, F.lit(1)) - 1).alias("skip"), n.isNotNull().alias("fresh"))
+        )
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("skip"), F.lit(True).alias("fresh"))
+    groups = F.array(F.regexp_extract_all(numbers, F.lit("[0-9]+[ -]?"), F.lit(0)))
+    marked = F.transform(groups, lambda g: F.aggregate(F.sequence(F.lit(1), F.size(g)), start, lambda s, i: step(g, s, i), lambda s: s["out"]))[0]
+    return F.when(F.length(_digits(numbers)) >= low, marked).otherwise(numbers)
+
+
+def _rejoined(between: Column, parts: Column) -> Column:
+    return F.array_join(F.flatten(F.zip_with(between, F.concat(parts, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+
+
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with personal values in ``text_col`` replaced, and pii_kinds: the kind of every value replaced, in order.
 
@@ -149,11 +189,13 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
     treated alike.  A column of ``docs`` named pii_kinds gives way to the new one, any other stays as it is.
     """
     text = F.col(text_col)
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    marked = docs.withColumn("__found", F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))))
+    carded = _rejoined(F.split(text, NUMBERS, -1), F.transform(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)), _cards_marked))
+    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all("__text", F.lit(ANY), F.lit(0)))
+    plain = lambda m: F.translate(m, OPEN + CLOSE, "")
+    marked = docs.withColumn("__text", F.when(text.rlike("[0-9](?:[ -]?[0-9]){12}"), carded).otherwise(text))
+    marked = marked.withColumn("__found", F.transform(F.transform(found, plain), lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))))
     swapped = F.transform("__found", lambda x: pseudonym(x["m"], x["k"], key))
-    between = F.split(text, ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(between, F.concat(swapped, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+    joined = _rejoined(F.split("__text", ANY, -1), swapped)
     kinds = F.coalesce(F.filter(F.transform("__found", lambda x: x["k"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
     return (
         marked.withColumn("pii_kinds", kinds)

@@ -160,3 +160,21 @@ def test_pair_terms_are_used():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     model = quality.fit(x, y)
     assert ((model.score(x) >= 0.5) == y).mean() > 0.9 and any({i, j} == {0, 1} for i, j, _ in model.pairs)
+
+
+def test_telephones_and_cards_wherever_they_stand(spark):
+    """A telephone needs no space before it; a number beside a card does not hide the card, nor a card what is beside it."""
+    phone, card = "555-123-4567", "4111111111111111"
+    cases = [
+        (phone, ["phone"]), (f"x\n{phone}", ["phone"]), (f"Tel:{phone}", ["phone"]), (f"\t{phone}\t", ["phone"]), (f"[{phone}]", ["phone"]), (f'"{phone}"', ["phone"]), (f"12 {phone} 89", ["phone"]),
+        (f"item 12 {card}", ["card"]), (f"{card} 12", ["card"]), (f"12 34 56 78 {card} 9", ["card"]), ("1234 5678 9012 4111 1111 1111 1111 77", ["card"]), (f"{card} {card}", ["card", "card"]), (f"{card} {phone}", ["card", "phone"]),
+        (f"{phone} {card}", ["phone", "card"]), (f"2024-01-02 {card} 2024-01-03", ["date", "card", "date"]), (f"10.0.0.1 {card} 10.0.0.2", ["address", "card", "address"]), (f"{card} 99@x.org", ["card", "email"]), (f"a-{card}@x.org", ["email"]),
+        (f"+1 {phone} {card}", ["phone", "card"]), (f"{card}.5", ["card"]), (f"9{card}", []), ("12 35 " * 2000, []), ("4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", ["card"]), ("7" * 30000, []),
+    ]
+    d = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in pseudonyms.pseudonymised(d, "k").collect():
+        text, kinds = cases[r["doc_id"]]
+        assert (r["pii_kinds"], text[:60]) == (kinds, text[:60])
+        assert ("phone" not in kinds or phone not in r["text"]) and ("card" not in kinds or card not in r["text"].replace(" ", ""))
+        assert re.sub("[0-9]", "9", r["text"]) == re.sub("[0-9]", "9", text) or {"email", "address"} & set(kinds)
+        assert kinds or r["text"] == text
