@@ -42,6 +42,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> Column:
+    """How many items there are to deal documents to; their ids count from 0."""
+    return F.lit(max(1, table(spark, sf_dir, "benchmark").count()))
+
+
 def _long(c: Column) -> Column:
     return c.cast("long")
 
@@ -635,8 +640,9 @@ def article_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def book_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books for claims: texts of a claim's number stand in for search hits, their lines for passages."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"), F.array_join(F.slice(F.split("text", " "), 2, 2), " ").alias("article_title"))
+    n = _dealt(spark, sf_dir)
     h = table(spark, sf_dir, "documents").select(
-        (F.col("doc_id") % 40).alias("claim_id"), F.floor(F.col("doc_id") / 40).cast("int").alias("rank"), F.concat(F.lit("id"), F.col("doc_id").cast("string")).alias("identifier"),
+        (F.col("doc_id") % n).alias("claim_id"), F.floor(F.col("doc_id") / n).cast("int").alias("rank"), F.concat(F.lit("id"), F.col("doc_id").cast("string")).alias("identifier"),
         F.substring("text", 1, 40).alias("title"), F.lit(None).cast("string").alias("creator"), F.lit(1900).alias("year"), F.lit("texts").alias("mediatype"), F.array("source").alias("collections"),
         F.split("text", "\n").alias("highlights"), (F.col("doc_id") % 3).alias("tier"),
     )
@@ -647,7 +653,7 @@ def book_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stretch of each text that holds most of its claim."""
     c = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"), F.lit("Some title").alias("article_title"))
-    t = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("claim_id"), "doc_id", "text")
+    t = table(spark, sf_dir, "documents").select((F.col("doc_id") % _dealt(spark, sf_dir)).alias("claim_id"), "doc_id", "text")
     return library.best_windows(t, c, "doc_id").where("window is not null")
 
 
