@@ -37,8 +37,19 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Like ``durable`` but as columns, for wide rows; Spark deletes nothing here, the folder's owner does."""
+    """Like ``durable`` but as columns, for wide rows; whoever wrote the table hands it to ``released`` once nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/attestry-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` wrote, through the file system that holds them."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if not folder.rsplit("/", 1)[1].startswith("attestry-"):
+                raise ValueError(f"not a table of written(): {folder}")
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

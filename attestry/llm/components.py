@@ -20,6 +20,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = durable(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
     before = _mark(e)
     while before[0]:
+        last = e
         # Large star: a node's larger neighbours move to its smallest neighbour.
         ends = e.select(F.col("lo").alias("node"), F.col("hi").alias("other")).unionByName(e.select(F.col("hi").alias("node"), F.col("lo").alias("other")))
         least = durable(ends.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least")))
@@ -29,7 +30,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         moved = large.join(least, large["hi"] == least["node"]).where(F.col("lo") != F.col("least")).select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
         e = durable(moved.unionByName(least.select(F.col("node").alias("hi"), F.col("least").alias("lo"))).distinct())
         after = _mark(e)
-        if after == before:
+        if after == before and e.exceptAll(last).isEmpty():
             break
         before = after
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(
@@ -38,6 +39,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _mark(e: DataFrame) -> tuple[int, int]:
-    """How many edges, and a sum that tells edge sets apart."""
+    """How many edges, and a sum that tells most edge sets apart: where it repeats, the sets themselves are compared."""
     r = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("hi", "lo") % 1_000_003), F.lit(0)).alias("x")).first()
     return r["n"], r["x"]

@@ -2,127 +2,170 @@
 
 A line is the set of its character shingles: every run of ``SHINGLE`` characters, at every offset, in lower case and with one space
 for each run of white space.  Lines are alike from a Jaccard index of ``threshold`` (0.8) on; equal lines
-are alike too.  The signature has the smallest and the largest shingle hash under eight orders, sixteen values in a ring,
-and each three neighbours of the ring make a band: a pair at the threshold, whose values agree with probability 0.8 each, misses
-all sixteen bands with probability 0.003.  Bands of two values would bring together too many lines that merely share common shingles.
-Lines in a band are compared exactly, first with a few in an order that
-brings near copies together, then across the components that leaves; links go to connected components, and of each component the line of the smallest document id and position stays.
-
-Main path: DataFrame functions only.  A line's occurrences never meet: every step carries a 64-bit hash of the line, which partial
-aggregation reduces before anything is exchanged, so a line that a third of all documents share costs no more than another.
+are alike too.  A signature holds the smallest shingle hash under each of ``ORDERS`` orders.  Every band takes four of them, in a cyclic
+pattern in which two bands have at most two in common: a pair at the threshold misses all thirteen bands with probability 0.0046, one at 0.85
+with 0.0006.  Lines that share a band are candidates if their signatures agree in 18 of 32 places at least (judged by four bits of each), which a
+pair at the threshold fails with probability 0.0002; every candidate is then compared exactly before it makes a link.  In each band all
+lines are first compared with one of them; what components that leaves apart is then compared across all lines of the band.  Links go to
+connected components, and of each component the line of the smallest document id and position stays.
+
+Main path: DataFrame functions only.  A line's occurrences never meet: partial aggregation makes one row of equal lines before anything is
+exchanged, so a line that a third of all documents share costs no more than another.  Shingles are rows of generated code, not elements
+of arrays: partial aggregation turns them into signatures in the task that made them, and they are never exchanged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import durable, table, written
+from ._shared import durable, released, table, written
 from .components import components
 
-SHINGLE, ORDERS, THRESHOLD = 5, 8, 0.8
-#: The lines of a band are put in the order of two further bands.  Each is compared with so many that follow, with the first of those
-#: that share one of them, of those that share both, and with two of the whole band; ``_rest`` then compares what that leaves apart.
-REACH = 8
-#: Members of a band that one task sorts together.
-BUCKET = 512
-#: Members of a band on either side of a block, where what the order leaves apart is compared with all.
+SHINGLE, THRESHOLD = 5, 0.8
+#: Orders of the shingle hashes, and the bands' places in the signature: band k has the places 2k + each of these, counted round.
+ORDERS, BANDS, PLACES = 32, 13, (0, 1, 6, 9)
+#: How many of the 32 places may differ in their last four bits.
+APART = 14
+#: Characters whose shingles one regular expression match cuts out together.
+CHUNK = 24
+#: Members of a band up to which candidates are handed on as pairs; beyond, they are compared where they meet, block by block.
+LARGE = 128
+#: Members of a band on either side of such a block.
 BLOCK = 1024
 #: 64-bit words of the bitmap that rules pairs out before they are compared.
-BITMAP = 8
-#: Rows, and bytes, up to which a side may be sent to every task; beyond, the join exchanges both sides.
-SENT_ROWS, SENT_BYTES = 500_000, 64 << 20
+BITMAP = 32
+#: Bytes up to which a side may be sent to every task; beyond, the join exchanges both sides.
+SENT_BYTES = 64 << 20
+#: White space other than single spaces.
+SPACES = ("  ", "\t", "\r", "\x0b", "\x0c")
 
 
-def shingles(line: Column) -> Column:
-    """The hashes of a line's shingles; repeated ones repeat.  A line shorter than a shingle is its only one."""
-    runs = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
-    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(F.transform(runs, lambda x: F.xxhash64(x)))
+def _signed(x: int) -> int:
+    x %= 1 << 64
+    return x - ((x >> 63) << 64)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key, pos, line of every line.  key stands for a row of ``docs``; it is made before lines are."""
-    doc = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.split(text_col, "\n").alias("lines"))
-    return doc.select("doc_id", "key", F.posexplode("lines").alias("pos", "line"))
+    """doc_id, key, tag, pos, line of every line.  key and tag, 96 bits of hash, stand for a row of ``docs``; they are made before lines are."""
+    id_, text = F.col(id_col), F.col(text_col)
+    doc = docs.select(id_.alias("doc_id"), F.xxhash64(id_, text).alias("key"), F.hash(text, id_).alias("tag"), F.split(text, "\n").alias("lines"))
+    return doc.select("doc_id", "key", "tag", F.posexplode("lines").alias("pos", "line"))
 
 
 def _taking_part(lines: DataFrame) -> DataFrame:
-    """``lines`` that take part, all that are not blank, in lower case and with single spaces."""
-    plain = lines.withColumn("line", F.trim(F.regexp_replace(F.lower("line"), r"\s+", " ")))
-    return plain.where(F.col("line") != "")
+    """``lines`` that take part, all that are not blank, in lower case and with single spaces; uid is the 64-bit hash of the line."""
+    odd = reduce(lambda a, b: a | b, (F.col("line").contains(x) for x in SPACES))
+    plain = F.when(odd, F.regexp_replace(F.lower("line"), r"\s+", " ")).otherwise(F.lower("line"))
+    return lines.withColumn("line", F.trim(plain)).where(F.col("line") != "").withColumn("uid", F.xxhash64("line"))
 
 
-def _hashed(parts: DataFrame) -> DataFrame:
-    """``parts`` with uid, the 64-bit hash of the line."""
-    return parts.withColumn("uid", F.xxhash64("line"))
+def shingles(line: Column) -> Column:
+    """A line's shingles; repeated ones repeat.  A line shorter than a shingle is its only one."""
+    runs = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(runs)
 
 
-def _shingled(parts: DataFrame) -> DataFrame:
-    """``parts`` with shingles, the hashes of the line's shingles, in place of line."""
-    return parts.withColumn("shingles", shingles(F.col("line"))).drop("line")
+def _signatures(lines: DataFrame) -> DataFrame:
+    """uid, n and the columns v0, v1, ... of ``lines`` (uid, n, line), which have different uids.
 
+    An order compares hashes after flipping the bits of a constant; the constants, multiples of the golden ratio's
+    fraction, part in their first bits, so that different orders choose in different regions of the hashes.
+    """
+    chunk = F.regexp_extract_all("line", F.lit(rf"(?s)(?=(.{{{SHINGLE},{CHUNK + SHINGLE - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
+    parts = lines.select("uid", "n", F.explode(F.when(F.length("line") < SHINGLE, F.array("line")).otherwise(chunk)).alias("part"))
+    starts = parts.select("uid", "n", "part", F.explode(F.sequence(F.lit(1), F.greatest(F.length("part") - (SHINGLE - 1), F.lit(1)))).alias("at"))
+    hashed = starts.select("uid", "n", F.xxhash64(F.substring("part", F.col("at"), F.lit(SHINGLE))).alias("h"))
+    flips = [F.lit(_signed((2 * j + 1) * 0x9E3779B97F4A7C15)) for j in range(ORDERS)]
+    return hashed.groupBy("uid").agg(F.first("n").alias("n"), *[F.min(F.col("h").bitwiseXOR(flip)).alias(f"v{j}") for j, flip in enumerate(flips)])
 
-def _once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(value)``, with ``value`` computed once."""
-    return F.transform(F.array(value), f)[0]
 
+def _marks() -> list[Column]:
+    """near0, near1: four bits of each of the signature's places; bands: the bands' hashes."""
+    places = range(ORDERS)
+    four = [F.call_function("shiftleft", F.col(f"v{j}").bitwiseAND(F.lit(15)), F.lit(4 * (j % 16))) for j in places]
+    near = [reduce(lambda a, b: a.bitwiseOR(b), four[k : k + 16]).alias(f"near{k // 16}") for k in (0, 16)]
+    bands = [F.xxhash64(F.lit(k), *[F.col(f"v{(2 * k + p) % ORDERS}") for p in PLACES]) for k in range(BANDS)]
+    return [*near, F.array(*bands).alias("bands")]
 
-def _bands(s: Column, orders: int) -> Column:
-    """The bands' hashes, twice ``orders`` of them.
 
-    An order compares hashes after flipping the bits of a constant: its smallest is the hash that agrees with the constant
-    for longest, its largest the one that agrees with the constant's complement.  The constants, multiples of the golden ratio's
-    fraction, part in their first bits, so that different orders choose in different regions of the hashes.
+def _near(l: str, r: str) -> Column:
+    """If two signatures differ in few enough places."""
+    apart = []
+    for k in range(2):
+        x = F.col(f"{l}.near{k}").bitwiseXOR(F.col(f"{r}.near{k}"))
+        x = x.bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(1)))
+        x = x.bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(2)))
+        apart.append(F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))))
+    return apart[0] + apart[1] <= APART
+
+
+def _joined(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", row: int = 32) -> DataFrame:
+    """A join that sends ``small``, of ``row`` bytes a row, to every task if it has few enough bytes; its rows are counted."""
+    return big.join(F.broadcast(small) if small.count() * row <= SENT_BYTES else small, on, how)
+
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """uid, n, near0, near1, bands: every different line of ``lines`` (line, uid), and how often it is there.
+
+    Different lines of one 64-bit hash, told apart by 32 bits more, are left out: they stay wherever they are.
+    """
+    every = lines.select("uid", "line", F.hash("line").alias("other"))
+    one = every.groupBy("uid").agg(F.min("line").alias("line"), F.count("*").alias("n"), F.min("other").alias("other"), F.max("other").alias("another"))
+    return _signatures(one.where("other = another")).select("uid", "n", *_marks())
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """a, b: candidates among the ``members`` (uid, near0, near1, band, size) of common bands, in the larger bands with the smallest uid only."""
+    few, many = members.where(F.col("size") <= LARGE), members.where(F.col("size") > LARGE)
+    l, r = few.alias("l"), few.alias("r")
+    small = l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.uid") < F.col("r.uid")) & _near("l", "r"))
+    least = many.groupBy("band").agg(F.min("uid").alias("uid"), *[F.min_by(c, "uid").alias(c) for c in ("near0", "near1")])
+    star = least.alias("l").join(many.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.uid") < F.col("r.uid")) & _near("l", "r"))
+    of = [F.col("l.uid").alias("a"), F.col("r.uid").alias("b")]
+    return small.select(*of).unionByName(star.select(*of)).distinct()
+
+
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """uid, size, map: 64-bit words of bits that say for each residue of the set members (uid, x; distinct) if an odd number of them has it.
+
+    Two sets differ in as many members as bits, at least.
     """
-    ends = []
-    for b in range(orders):
-        flip = (b * 0x9E3779B97F4A7C15) % (1 << 64)
-        flip -= (flip >> 63) << 64
-        order = F.transform(s, lambda x: x.bitwiseXOR(F.lit(flip))) if b else s  # noqa: B023  used at once
-        ends.append(_once(order, lambda o: F.array(F.array_min(o), F.array_max(o))))
-    n = 2 * orders
-    return _once(F.flatten(F.array(*ends)), lambda v: F.array(*[F.xxhash64(F.lit(k), v[k], v[(k + 1) % n], v[(k + 2) % n]) for k in range(n)]))
-
-
-def _joined(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", most: int = SENT_ROWS) -> DataFrame:
-    """A join that sends ``small`` to every task if it has few enough rows, counted."""
-    return big.join(F.broadcast(small) if small.count() <= most else small, on, how)
-
-
-def links(docs: DataFrame, lines: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """a, b: uids of different lines that connect all lines of ``lines`` (uid, bands) in a common band whose shingle sets reach ``threshold``."""
-    shared = lines.select("uid", F.explode("bands").alias("band")).groupBy("band").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low < high")
-    shared = durable(shared)
-    # Two further bands of a line go along, to bring lines that share these too next to each other.
-    n = F.size("bands")
-    keyed = lines.select("uid", "bands", F.posexplode("bands").alias("i", "band"))
-    keyed = keyed.select("uid", "band", F.get("bands", (F.col("i") + 3) % n).alias("next"), F.get("bands", (F.col("i") + 6) % n).alias("after"))
-    members = durable(_joined(keyed, shared, "band").distinct())
-    sizes = durable(members.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET))
-    salted = members.withColumn("salt", F.lit(0))
-    if not sizes.isEmpty():
-        salted = _joined(members, sizes, "band", "left").withColumn(
-            "salt", F.pmod(F.xxhash64("next"), F.coalesce(F.ceil(F.col("n") * 2 / BUCKET), F.lit(1))).cast("int")
-        )
-    near = Window.partitionBy("band", "salt").orderBy("next", "after", "uid")
-    alike = Window.partitionBy("band", "salt", "next")
-    closer = Window.partitionBy("band", "salt", "next", "after")
-    others = F.array("low", "high", F.min("uid").over(alike), F.min("uid").over(closer), *(F.lead("uid", k).over(near) for k in range(1, REACH + 1)))
-    pairs = salted.withColumn("others", F.array_distinct(others)).select("uid", F.explode("others").alias("other")).where(F.col("other") != F.col("uid"))
-    pairs = durable(pairs.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b")).distinct())
-    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
-    # The lines to compare come from the texts again, by one place each: carrying them all this way would cost more.
-    places = _joined(lines.select("uid", "doc_id", "key", "pos"), wanted, "uid", "inner", 2 * SENT_ROWS)
-    one = durable(places.groupBy("uid").agg(F.min(F.struct("doc_id", "key", "pos")).alias("at")).select("uid", F.col("at.key").alias("key"), F.col("at.pos").alias("pos")))
-    found = _taking_part(_joined(_lines(docs, id_col, text_col), one, ["key", "pos"], "inner", 2 * SENT_ROWS))
-    # 31 bits of each hash do: a line has hundreds of shingles.  A place comes twice if its document was written twice.
-    short = F.array_distinct(F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
-    sets = durable(_shingled(found).select("uid", short.alias("set")).groupBy("uid").agg(F.first("set").alias("set")))
-    left, right = sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), sets.select(F.col("uid").alias("b"), F.col("set").alias("y"))
-    found = durable(pairs.join(left, "a").join(right, "b").where(_alike("x", "y", threshold)).select("a", "b"))
-    return found.unionByName(_rest(members, found, sets, threshold))
+    word, bit = F.col("x").bitwiseAND(F.lit(BITMAP - 1)), F.shiftright("x", BITMAP.bit_length() - 1).bitwiseAND(F.lit(63)).cast("int")
+    cut = sets.select("uid", word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
+    words = [F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(BITMAP)]
+    return cut.groupBy("uid").agg(F.count("*").cast("int").alias("size"), *words).select("uid", "size", F.array(*[f"w{k}" for k in range(BITMAP)]).alias("map"))
+
+
+def _possible(l: str, r: str, threshold: float) -> Column:
+    """If sizes and bitmaps allow two sets to be alike; they never rule out an alike one."""
+    differ = F.zip_with(F.col(f"{l}.map"), F.col(f"{r}.map"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(differ, F.lit(0), lambda a, x: a + x)
+    # At a Jaccard index of t, sets of x and y members differ in (1 - t) / (1 + t) * (x + y) of them.
+    room = (1 - threshold) * (F.col(f"{l}.size") + F.col(f"{r}.size")) + 1e-6
+    return (F.abs(F.col(f"{l}.size") - F.col(f"{r}.size")) * (1 + threshold) <= room) & (apart * (1 + threshold) <= room)
+
+
+def _ruled(pairs: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
+    """The ``pairs`` (a, b) that sizes and bitmaps do not rule out."""
+    l, r = pairs.join(maps.withColumnRenamed("uid", "a"), "a").alias("l"), maps.withColumnRenamed("uid", "b").alias("r")
+    return durable(l.join(r, F.col("l.b") == F.col("r.b")).where(_possible("l", "r", threshold)).select("l.a", "l.b"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose lines in ``texts`` (uid, line, size) are alike, by their shingles themselves."""
+    side = lambda end, line: texts.select(F.col("uid").alias(end), F.col("line").alias(line), F.col("size").alias(f"size_{end}"))
+    common = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))
+    counted = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", common.alias("common"), (F.col("size_a") + F.col("size_b")).alias("both"))
+    return durable(counted).where(F.col("common") >= threshold * (F.col("both") - F.col("common"))).select("a", "b")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """uid, root of every line that has a link."""
+    return durable(components(links, "a", "b")).withColumnRenamed("node", "uid")
+
 
 
 def _alike(x: str, y: str, threshold: float) -> Column:
@@ -130,13 +173,6 @@ def _alike(x: str, y: str, threshold: float) -> Column:
     return both >= threshold * (F.size(x) + F.size(y) - both)
 
 
-def _bitmap(s: Column) -> list[Column]:
-    """Bits that say for each residue of the hashes if an odd number of them has it: two sets differ in as many members as bits, at least."""
-    word = lambda k: F.filter(s, lambda x: F.pmod(x, F.lit(BITMAP)) == k)
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.floor(x / BITMAP), F.lit(64)).cast("int"))
-    return [F.aggregate(word(k), F.lit(0).cast("long"), lambda w, x: w.bitwiseXOR(bit(x))) for k in range(BITMAP)]
-
-
 def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """a, b: links between the components that ``found`` leaves in a band, so that with them no two alike lines of a band are apart.
 
@@ -148,58 +184,90 @@ def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, threshold: floa
     placed = members.select("uid", "band").join(roots, "uid", "left").select("uid", "band", F.coalesce("root", "uid").alias("root"))
     counts = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     told = counts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    mixed = durable(told.where((F.col("n") > REACH + 1) & (F.col("most") < F.col("n"))))
+    mixed = durable(told.where("most < n"))
     if mixed.isEmpty():
         return found.limit(0)
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     here = _joined(placed, mixed, "band").withColumn("across", blocks(F.col("n"))).withColumn("down", blocks(F.col("n") - F.col("most")))
     here = durable(here.select("band", "uid", "root", "main", "across", "down"))
     used = sets.join(here.select("uid").distinct(), "uid", "left_semi")
-    marked = durable(used.select("uid", "set", F.size("set").alias("size"), *[w.alias(f"w{k}") for k, w in enumerate(_bitmap(F.col("set")))]))
-    full = here.join(marked, "uid")
+    maps = _bitmaps(used.select("uid", F.explode("set").alias("x")).withColumn("x", F.col("x").cast("long")))
+    mapped = written(used.join(maps, "uid"))
+    full = here.join(mapped, "uid")
     part = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    carried = ["uid", "root", "set", "size", *[f"w{k}" for k in range(BITMAP)]]
+    carried = ["uid", "root", "set", "size", "map"]
     few = full.where("root <> main").select("band", part(F.col("down")).alias("i"), every(F.col("across")).alias("j"), *carried)
     all_ = full.select("band", every(F.col("down")).alias("i"), part(F.col("across")).alias("j"), (F.col("root") == F.col("main")).alias("in_main"), *carried)
     few, all_ = few.alias("l"), all_.alias("r")
-    apart = sum((F.bit_count(F.col(f"l.w{k}").bitwiseXOR(F.col(f"r.w{k}"))) for k in range(BITMAP)), F.lit(0))
-    # At a Jaccard index of t, sets of x and y members differ in (1 - t) / (1 + t) * (x + y) of them.
-    room = (1 - threshold) * (F.col("l.size") + F.col("r.size")) + 1e-6
-    cheap = (F.abs(F.col("l.size") - F.col("r.size")) * (1 + threshold) <= room) & (apart * (1 + threshold) <= room)
     other = (F.col("l.root") != F.col("r.root")) & (F.col("r.in_main") | (F.col("l.uid") < F.col("r.uid")))
     same = (F.col("l.band") == F.col("r.band")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
-    linked = few.join(all_, same & other & cheap & _alike("l.set", "r.set", threshold))
-    return linked.select(F.least("l.root", "r.root").alias("a"), F.greatest("l.root", "r.root").alias("b")).distinct()
-
+    linked = few.join(all_, same & other & _possible("l", "r", threshold) & _alike("l.set", "r.set", threshold))
+    out = durable(linked.select(F.least("l.root", "r.root").alias("a"), F.greatest("l.root", "r.root").alias("b")).distinct())
+    released(mapped)
+    return out
 
-def line_components(docs: DataFrame, threshold: float = THRESHOLD, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, pos, root: the component of every line of ``docs`` that takes part."""
-    lines = written(_shingled(_hashed(_taking_part(_lines(docs, id_col, text_col)))).select("doc_id", "key", "pos", "uid", _bands(F.col("shingles"), orders).alias("bands")))
-    roots = durable(components(links(docs, lines, threshold, id_col, text_col), "a", "b")).withColumnRenamed("node", "uid")
-    return _joined(lines.select("doc_id", "key", "pos", "uid"), roots, "uid", "left", 2 * SENT_ROWS).select(
-        "doc_id", "key", "pos", F.coalesce("root", "uid").alias("root")
-    )
 
+def line_components(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key, tag, pos, root: the component of every line of ``docs`` that is there more than once or may be like another one.
 
-def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    The table is written; whoever has read it hands it to ``released``.
+    """
+    lines = _taking_part(_lines(docs, id_col, text_col))
+    marked = written(distinct_lines(lines))
+    held = marked.select("uid", "near0", "near1", F.explode("bands").alias("band"))
+    shared = durable(held.groupBy("band").agg(F.count("*").cast("int").alias("size")).where("size > 1"))
+    members = written(_joined(held, shared, "band"))
+    pairs = durable(_pairs(members))
+    large = members.where(F.col("size") > LARGE).select("uid", "band")
+    tied = pairs.select(F.explode(F.array("a", "b")).alias("uid")).unionByName(large.select("uid")).distinct().withColumn("tied", F.lit(True))
+    wanted = durable(marked.where("n > 1").select("uid").join(tied, "uid", "full"))
+    # Lines come from the texts again, those that are compared with their words: to carry them all this way would cost more.
+    placed = written(_joined(lines, wanted, "uid").select("doc_id", "key", "tag", "pos", "uid", F.when(F.col("tied"), F.col("line")).alias("line")))
+    texts = placed.where("line IS NOT NULL").groupBy("uid").agg(F.min("line").alias("line"))
+    maps = _bitmaps(texts.select("uid", F.explode(F.array_distinct(shingles(F.col("line")))).alias("s")).select("uid", F.xxhash64("s").alias("x")))
+    maps = written(maps)
+    texts = written(texts.join(maps.select("uid", "size"), "uid"))
+    # Every line is first compared with its candidate of the smallest uid; then candidates that this leaves in different components are.
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _verified(first, texts, threshold)
+    roots = _roots(links)
+    root = lambda end: roots.select(F.col("uid").alias(end), F.col("root").alias(f"root_{end}"))
+    ends = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    apart = ends.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
+    links = durable(links.unionByName(_verified(_ruled(apart, maps, threshold), texts, threshold)))
+    if not large.isEmpty():
+        of = texts.join(large.select("uid").distinct(), "uid", "left_semi")
+        sets = written(of.select("uid", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("set")))
+        links = durable(links.unionByName(_rest(large, links, sets, threshold)))
+        released(sets)
+    out = written(_joined(placed.drop("line"), _roots(links), "uid", "left").select("doc_id", "key", "tag", "pos", F.coalesce("root", "uid").alias("root")))
+    released(marked, members, placed, maps, texts)
+    return out
+
+
+def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines that an earlier line is like, and two columns: n_lines and n_dropped.
 
     Documents all stay, in the worst case with an empty text; the lines that stay keep their order.  A null text stays null and has no lines; an
-    empty text has one, which takes no part.  Rows that agree in id and text are one document written twice and keep the same lines.
-    A null id comes before all others.  An empty table gives no rows; columns of ``docs`` named n_lines or n_dropped give way.
+    empty text has one, which takes no part.  Very long texts and lines are cut and compared whole.  Rows that agree in id and text are one
+    document written twice and keep the same lines.  Of equal lines, the one of the smallest id, then place, stays; a null id comes before all
+    others.  An empty table gives no rows; columns of ``docs`` named n_lines or n_dropped give way.
     """
-    placed = written(line_components(docs, threshold, orders, id_col, text_col))
-    place = F.struct("doc_id", "key", "pos")
+    placed = line_components(docs, threshold, id_col, text_col)
+    place = F.struct("doc_id", "key", "tag", "pos")
     again = durable(placed.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first"))
-    extra = _joined(placed, again, "root", "inner", SENT_ROWS).where(place != F.col("first"))
-    dropped = durable(extra.groupBy("key").agg(F.collect_set("pos").alias("gone")))
+    extra = _joined(placed, again, "root", row=64).where(place != F.col("first"))
+    dropped = durable(extra.groupBy("key", "tag").agg(F.collect_set("pos").alias("gone")))
+    released(placed)
     told = dropped.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
-    small = 80 * told["docs"] + 4 * told["lines"] <= SENT_BYTES
+    small = 96 * told["docs"] + 4 * told["lines"] <= SENT_BYTES
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    keyed = docs.select(F.struct(*kept).alias("row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
-    out = keyed.join(F.broadcast(dropped) if small else dropped, "key", "left").withColumn("lines", F.split(F.col("row")[text_col], "\n"))
-    text = F.array_join(F.filter("lines", lambda _, i: ~F.array_contains("gone", i)), "\n")
+    id_, text = F.col(id_col), F.col(text_col)
+    keyed = docs.select(F.struct(*kept).alias("row"), F.xxhash64(id_, text).alias("key"), F.hash(text, id_).alias("tag"))
+    out = keyed.join(F.broadcast(dropped) if small else dropped, ["key", "tag"], "left").withColumn("lines", F.split(F.col("row")[text_col], "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
     return out.select(
         *[F.when(F.col("gone").isNull(), F.col("row")[c]).otherwise(text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept],
         F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).alias("n_lines"),
