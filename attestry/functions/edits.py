@@ -9,24 +9,34 @@ from .words import token_set
 
 #: Names of templates that ask for a source, those of them that wrap the claim, and footnote templates.
 TAG_NAMES = frozenset(
-    """citation needed|facts|citeneeded|citationneeded|cite needed|citation required|uncited|cn|needs citation|reference needed|me fact|cb|sourceme|refneeded|
-source needed|citation missing|fact|cite missing|proveit|talkfact|fact t|reference necessary|refnec|source?|refplease|reference required|needcite|needsref|ref?|
-citationeeded|are you sure?|citesource|cite source|ref needed|citation requested|needs citations|fake citation needed|fake fact|fcitation needed|request citation|
-prove it|ctn|fake cn|citation need|prov statement|ciation needed|fakecn|cit|unsourced inline|fact?|need citation|no source given|need ref|citaiton needed|
-needcitation|citationrequired|unreferenced inline|cita requerida|needs reference|citn|citazione necessaria|cn needed|needs cite|dummy citation needed|needs source|
-citeneed|need reference|need a reference|ai retrieved source|ai retrieved|citation nedded|sourceneeded|need source|citation needed span|fact span|cn span|
-citation span|cns|cnspan|ctn span|cit span|cspan|citations needed span|refsou|cite needed span|citation needed inline|additional citation needed|acn|
-additional citation|additional citations needed|another citation needed|single source inline|morecitationsneeded|additional citation(s) needed|
-additional source needed|further citation needed|additional|inlinemcn|more citations needed inline|more citations inline|medical citation needed|medcn|
-medref inline|medcite|citation needed (medicine)|citation needed (medical)|citation needed medical|medical source needed|med cn|medrs needed|
-better source needed|better cite|better citation|better reference|bettersource|refimprove inline|bsn|better|dubious source|need better citation|bcn|
-better ref needed|bettersourceneeded|better citation needed|betterfact|better reference needed|better source|brn|better cite needed|primary source inline|
-primary source claim|psc|primary inline|npsn|psi|non primary source needed|secondary source needed|primary src inline|primarysourceinline|ssn|
-third party inline""".replace("\n", "").split("|")
-)
+    (
+        "citation needed", "facts", "citeneeded", "citationneeded", "cite needed", "citation required", "uncited", "cn", "needs citation",
+        "reference needed", "me fact", "cb", "sourceme", "refneeded", "source needed", "citation missing", "fact", "cite missing", "proveit",
+        "talkfact", "fact t", "reference necessary", "refnec", "source?", "refplease", "reference required", "needcite", "needsref", "ref?",
+        "citationeeded", "are you sure?", "citesource", "cite source", "ref needed", "citation requested", "needs citations", "fake citation needed",
+        "fake fact", "fcitation needed", "request citation", "prove it", "ctn", "fake cn", "citation need", "prov statement", "ciation needed",
+        "fakecn", "cit", "unsourced inline", "fact?", "need citation", "no source given", "need ref", "citaiton needed", "needcitation",
+        "citationrequired", "unreferenced inline", "cita requerida", "needs reference", "citn", "citazione necessaria", "cn needed", "needs cite",
+        "dummy citation needed", "needs source", "citeneed", "need reference", "need a reference", "ai retrieved source", "ai retrieved",
+        "citation nedded", "sourceneeded", "need source", "citation needed span", "fact span", "cn span", "citation span", "cns", "cnspan",
+        "ctn span", "cit span", "cspan", "citations needed span", "refsou", "cite needed span", "citation needed inline",
+        "additional citation needed", "acn", "additional citation", "additional citations needed", "another citation needed", "single source inline",
+        "morecitationsneeded", "additional citation(s) needed", "additional source needed", "further citation needed", "additional", "inlinemcn",
+        "more citations needed inline", "more citations inline", "medical citation needed", "medcn", "medref inline", "medcite",
+        "citation needed (medicine)", "citation needed (medical)", "citation needed medical", "medical source needed", "med cn", "medrs needed",
+        "better source needed", "better cite", "better citation", "better reference", "bettersource", "refimprove inline", "bsn", "better",
+        "dubious source", "need better citation", "bcn", "better ref needed", "bettersourceneeded", "better citation needed", "betterfact",
+        "better reference needed", "better source", "brn", "better cite needed", "primary source inline", "primary source claim", "psc",
+        "primary inline", "npsn", "psi", "non primary source needed", "secondary source needed", "primary src inline", "primarysourceinline", "ssn",
+        "third party inline",
+    )
+)
 WRAPPING = frozenset(
-    "citation needed span|fact span|cn span|citation span|cns|cnspan|ctn span|cit span|cspan|citations needed span|refsou|cite needed span|citation needed inline".split("|")
-)
+    (
+        "citation needed span", "fact span", "cn span", "citation span", "cns", "cnspan", "ctn span", "cit span", "cspan", "citations needed span",
+        "refsou", "cite needed span", "citation needed inline",
+    )
+)
 FOOTNOTES = frozenset(("sfn", "sfnp", "sfnm", "efn", "rp", "r", "refn"))
 _UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<nowiki\b[^>]*/>|<nowiki\b[^>]*>.*?(?:</nowiki\s*>|\Z)", re.I | re.S)
 _WORD = re.compile(r"[\p{L}\p{N}]+")
@@ -82,27 +92,34 @@ def tagged_span(text: str, nth: int) -> tuple[int, int] | None:
 
 
 def remove_tagged(text: str, nth: int) -> tuple[str, list[str]] | None:
-    """The text without the ``nth`` tag's sentence, spacing put right, and the names of references that lose their definition."""
+    """The text without the ``nth`` tag's sentence, spacing put right, and the names of references that lose their definition.
+
+    Only the sentence's own line changes.  Of a line that it began, the rest keeps the indent; a line that it filled goes as a whole, and
+    with it the blank lines that would then follow blank ones.
+    """
     span = tagged_span(text, nth)
     if span is None:
         return None
-    before, gone, after = text[: span[0]], text[slice(*span)], text[span[1] :]
-    head = before[before.rfind("\n") + 1 :]
-    if not head.strip():  # it began its line
-        before, after = before[: len(before) - len(head)], after.lstrip(" \t")
-        if after.startswith("\n"):
-            after = after[1:]
-            if before.endswith("\n\n"):
-                after = after.lstrip("\n")
-        elif after:
-            after = head + after
-    elif not after or after.startswith("\n"):
-        before = before.rstrip(" \t")
+    begin = text.rfind("\n", 0, span[0]) + 1
+    finish = text.find("\n", span[1])
+    finish = len(text) if finish < 0 else finish
+    left, right = text[begin : span[0]], text[span[1] : finish]
+    rest = right.lstrip(" \t")
+    above, below = text[:begin], text[finish:]
+    names = [r["name"] for r in map(attributes, _defined(text[slice(*span)])) if r.get("name")]
+    if left.strip():
+        line = left.rstrip(" \t") if not right else left + " " * (not left[-1].isspace()) + rest
+    elif rest or not below:
+        line = (left if rest else "") + rest
     else:
-        after = after.lstrip(" \t")
-        before += "" if before[-1:].isspace() else " "
-    names = [n for m in re.finditer(r"<ref\b([^>]*[^/>])?>", gone, re.I) if (n := attributes(m[1] or "").get("name"))]
-    return before + after, names
+        return above + (below.lstrip("\n") if above.endswith("\n\n") else below[1:]), names
+    return above + line + below, names
+
+
+def _defined(text: str) -> list[str]:
+    """The attributes of the reference tags in ``text`` that are no mere uses, as they are written."""
+    opened = (m[1] for m in re.finditer(r"<ref(?![\w])([^>]*)>", text, re.I))
+    return [x for x in opened if x and not x.endswith("/")]
 
 
 _PAST = re.compile(r"""[.,;:!?)"”’']|\]\]|</[a-zA-Z]+\s*>|<!--.*?-->|<ref\b[^>]*/\s*>|<ref\b[^>]*>.*?</ref[^>]*>""", re.I | re.S)
@@ -131,18 +148,24 @@ def prose_words(text: str) -> list[tuple[str, int, int]]:
 
 def locate(text: str, claim: str, before: str = "", lead: int = 6, tail: int = 6) -> tuple[int | None, int] | None:
     """Where a claim stands in the markup: its one place; of several the one that ``before`` leads to; else the end of its last words."""
-    prose, wanted = prose_words(text), [w.lower() for w in _WORD.findall(claim)]
-    words = [w for w, _, _ in prose]
-    runs = lambda run: [k for k in range(len(words) - len(run) + 1) if words[k : k + len(run)] == run]
-    if not wanted:
-        return None
-    hits, led = runs(wanted), [w.lower() for w in _WORD.findall(before)][-lead:]
-    if len(hits) > 1:
-        hits = [k for k in hits if led and k and (n := min(len(led), k)) and words[k - n : k] == led[-n:]]
-    if len(hits) == 1:
-        return prose[hits[0]][1], prose[hits[0] + len(wanted) - 1][2]
-    ends = runs(wanted[-tail:])
-    return (None, prose[ends[0] + len(wanted[-tail:]) - 1][2]) if len(ends) == 1 else None
+    prose = prose_words(text)
+    line = "".join(f" {w}" for w, _, _ in prose) + " "
+    words_of = lambda s: [w.lower() for w in _WORD.findall(s)]
+    wanted, led = words_of(claim), words_of(before)[-lead:]
+
+    def places(run: list[str]) -> list[int]:
+        """The numbers of the words at which the prose goes on with ``run``."""
+        return [line.count(" ", 0, m.start()) for m in re.finditer(f"(?= {re.escape(' '.join(run))} )", line)] if run else []
+
+    whole = places(wanted)
+    if len(whole) > 1:
+        # What leads to the claim may be cut short by the beginning of the text.
+        whole = [k for k in whole if led and k and k - min(len(led), k) in places(led[-k:] + wanted)]
+    if len(whole) == 1:
+        return prose[whole[0]][1], prose[whole[0] + len(wanted) - 1][2]
+    last = wanted[-tail:]
+    ends = places(last)
+    return (None, prose[ends[0] + len(last) - 1][2]) if len(ends) == 1 else None
 
 
 def restates(sentence: str, claim: str) -> bool:
