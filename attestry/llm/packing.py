@@ -43,13 +43,14 @@ class _WordIds(dict):
         import tiktoken
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
+        #: What the library looks for before it splits a text into words.
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in visible)}
-        ranks = {bytes(letters[c] for c in k): v for k, v in vocab.items() if all(c in letters for c in k) and not k.startswith("<|")}
+        ranks = {bytes(letters[c] for c in k): v for k, v in vocab.items() if all(c in letters for c in k) and k not in self.added}
         self.core = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
 
     def __missing__(self, word: str) -> bytes:
         core = word.rstrip(".,")
@@ -70,8 +71,9 @@ class _WordIds(dict):
         """The ids of a whole text."""
         import numpy as np
 
-        if " ".join(text.split()) != text.replace("\n", " "):
-            # Runs of white space, or other than spaces and line breaks, are split by what follows them: leave those texts to the library.
+        if " ".join(text.split()) != text.replace("\n", " ") or any(t in text for t in self.added):
+            # Runs of white space, or other than spaces and line breaks, are split by what follows them, and added tokens are found
+            # before words are: leave those texts to the library.
             return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
         words = text.replace("\n", " \n").split(" ")
         return self.exact(words[0]) + b"".join(map(self.__getitem__, words[1:]))
@@ -86,7 +88,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text_col: str =
     """doc_id, piece, start, length, ids_crc32: each document's ids and ``END_ID``, cut into pieces of at most ``capacity``.
 
     Only longer documents are cut; all their pieces are full but the first, which may be shorter.  A null text is empty,
-    so it gives one piece holding ``END_ID`` alone.
+    so it gives one piece holding ``END_ID`` alone.  Ids are those of the library's default settings, so that an added token's own
+    text is that token.  Very long texts are tokenised whole, one at a time.
     """
     step = 4 * capacity
     end = END_ID.to_bytes(4, "little")

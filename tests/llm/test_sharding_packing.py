@@ -6,6 +6,7 @@ from itertools import accumulate
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from attestry.llm import packing, sharding
 
@@ -41,14 +42,14 @@ TEXTS = ["", None, "a", " a", "a ", "a\n\nb", "don't, stop... 12,345 x.,", "tab\
 
 
 def test_ids_are_the_tokenizers(spark):
-    tokenizer, words = packing._WordIds(packing.tokenizer_path()).whole, packing._WordIds(packing.tokenizer_path())
+    tokenizer, words = Tokenizer.from_file(packing.tokenizer_path()), packing._WordIds(packing.tokenizer_path())
     for t in filter(None, TEXTS):
         assert words.text(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:30]
 
 
 def test_pieces_and_places(spark):
     rows = list(enumerate(TEXTS)) + [(3, " a"), (3, " a")] + [(100 + k, "some words here " * (k % 90)) for k in range(300)]
-    tokenizer = packing._WordIds(packing.tokenizer_path()).whole
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
     got = packing.packed(_docs(spark, rows), packing.tokenizer_path(), 256).collect()
     want = []
     for i, t in rows:
@@ -95,7 +96,7 @@ def test_fill_is_tight(seed):
 
 def test_white_space_that_cancels_out(spark):
     """As many white spaces too many as there are words with one inside: the counts agree, the ids must too."""
-    tokenizer, words = packing._WordIds(packing.tokenizer_path()).whole, packing._WordIds(packing.tokenizer_path())
+    tokenizer, words = Tokenizer.from_file(packing.tokenizer_path()), packing._WordIds(packing.tokenizer_path())
     texts = [" a\tb", "a b\tc  d", "a  b\tc", "a\n\n\nb\tc\td", "a b\tc\td\n\n", "\n a\tb", "x \u00a0y\u00a0z", "a\nb c\nd", "a\r\nb", "\t", " ", "\n", "if x:\n    return\t1"]
     for t in texts:
         assert words.text(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
@@ -103,3 +104,16 @@ def test_white_space_that_cancels_out(spark):
     for _ in range(3000):
         t = "".join(rng.choice(["a", "bc", ".", " ", "\n", "\t", "\u00a0", " d", " e"]) for _ in range(rng.randrange(1, 12)))
         assert words.text(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def test_added_tokens_are_the_librarys(spark):
+    """The library by its default settings, loaded here: an added token's text is that token, wherever it stands."""
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    texts = ["<|endoftext|> x", "a<|endoftext|>b c", "word <|endoftext|>", "<|endoftext", "end <|endoftext|><|endoftext|> of\nit", "x <| endoftext |> y", "plain words"]
+    got = packing.pieces(_docs(spark, list(enumerate(texts))), packing.tokenizer_path()).collect()
+    want = []
+    for k, t in enumerate(texts):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        want.append((k, 0, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert sorted(tuple(r) for r in got) == want
+    assert 50256 in tokenizer.encode(texts[1], add_special_tokens=False).ids
