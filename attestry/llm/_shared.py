@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes up to which a side of a join may be sent to every task; beyond, both sides are exchanged.
+SENT_BYTES = 64 << 20
+
+
+def sent(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", row: int = 32) -> DataFrame:
+    """A join that sends ``small``, of ``row`` bytes a row, to every task if it has few enough bytes; its rows are counted."""
+    return big.join(F.broadcast(small) if small.count() * row <= SENT_BYTES else small, on, how)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share for cut lineage.
 
