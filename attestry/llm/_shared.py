@@ -14,6 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes up to which a side of a join may be sent to every task; beyond, both sides are exchanged.
 SENT_BYTES = 64 << 20
 
@@ -50,7 +51,12 @@ def written(df: DataFrame) -> DataFrame:
     """Like ``durable`` but as columns, for wide rows; whoever wrote the table hands it to ``released`` once nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/attestry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # the table stands for the plan from here on, so the plan's shuffle files can go with it
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

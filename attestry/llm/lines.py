@@ -17,7 +17,7 @@ to many tasks, where a band's lines are only compared with one of them, and what
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ ORDERS, BANDS = 32, 8
 #: How many places of two candidates' signatures may differ in their last two bits.
 APART = 12
 #: Lines of a band up to which all pairs are looked at together; beyond, each is compared with one, and ``_rest`` does what is left.
-LARGE = 128
+LARGE = 256
 #: Lines of a band, as counted among one in ``SAMPLE`` of them, from which on the band is dealt to many tasks.  That decides who does the work, not what is found.
 SAMPLE, HOT = 64, 64
 #: Lines of a block, where what is left apart is compared with all lines of a band, and lines outside the band's most frequent component in it.
@@ -115,9 +115,9 @@ def _keyed(id_col: str, text_col: str) -> list[Column]:
 
 
 def placed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, tag, pos, uid, other, near, bands of every line that is not blank.
+    """doc_id, key, tag, pos, uid, other, near, bands, line of every line that is not blank.
 
-    uid and other are 64 and 32 bits of the line's hash.  near and bands are null for lines that the task has seen before.
+    uid and other are 64 and 32 bits of the line's hash.  near, bands and line are null for lines that the task has seen before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,13 +166,14 @@ def placed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     [
                         *(b.column(c).take(who) for c in ("doc_id", "key", "tag")),
                         pa.array(places, pa.int32()), pa.array(parts["uid"].copy()), pa.array(parts["other"].copy()), pa.array(full_near, mask=~new_at), listed,
+                        pa.array(new, pa.string()).take(pa.array(np.cumsum(new_at) - 1, mask=~new_at)),
                     ],
-                    names=["doc_id", "key", "tag", "pos", "uid", "other", "near", "bands"],
+                    names=["doc_id", "key", "tag", "pos", "uid", "other", "near", "bands", "line"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("doc_id"), *_keyed(id_col, text_col), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, f"doc_id {kind}, key long, tag int, pos int, uid long, other int, near long, bands array<long>")
+    return src.mapInArrow(run, f"doc_id {kind}, key long, tag int, pos int, uid long, other int, near long, bands array<long>, line string")
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -294,26 +295,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """uid, line of the ``wanted`` (uid) lines, each read again at one of its places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            uids: list[int] = []
-            out: list[str] = []
-            for text, places in zip(b.column("text"), b.column("places").to_pylist(), strict=True):
-                plain = plain_lines(text.as_py())
-                for p in places:
-                    uids.append(p["uid"])
-                    out.append(plain[p["pos"]])
-            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(out, pa.string())], names=["uid", "line"])
-
-    at = sent(lines.where("near IS NOT NULL").select("uid", "key", "tag", "pos"), wanted, "uid", row=16)
-    one = at.groupBy("uid").agg(F.min(F.struct("key", "tag", "pos")).alias("at"))
-    of = durable(one.groupBy("at.key", "at.tag").agg(F.collect_list(F.struct("at.pos", "uid")).alias("places")))
-    src = docs.select(F.col(text_col).alias("text"), *_keyed(id_col, text_col))
-    found = sent(src, of, ["key", "tag"], row=96).select("text", "places").mapInArrow(run, "uid long, line string")
-    return found.groupBy("uid").agg(F.min("line").alias("line"))  # a document written twice gives its lines twice
+def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """uid, line of the ``wanted`` (uid) lines."""
+    found = sent(lines.where("line IS NOT NULL").select("uid", "line"), wanted, "uid", row=16)
+    return found.groupBy("uid").agg(F.min("line").alias("line"))
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -340,12 +325,13 @@ def _sided(block: pa.Table) -> tuple[pa.Table, pa.Table]:
     return block.filter(block.column("few")), block.filter(pa.compute.invert(block.column("few")))
 
 
-def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _rest(members: DataFrame, found: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """a, b: links between the components that ``found`` leaves in a band, so that with them no two alike lines of a band are apart.
 
     Of every band that has several components, the lines outside its most frequent one are compared with all lines, block by block; with a
     column near in ``members``, only candidates are.  Signatures alone tell first which lines of a block have any candidate: only their
-    ``sets`` are sent to it.  Pairs of lines are never handed on, but the components of alike ones.
+    sets (uid, set) are sent to it, of the table ``sets`` or as it gives them for a table of uids.  Pairs of lines are never handed on, but the
+    components of alike ones.
     """
     roots = durable(components(found, "a", "b")).withColumnRenamed("node", "uid")
     known = [c for c in ("near",) if c in members.columns]
@@ -393,8 +379,8 @@ def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, threshold: floa
         return pa.table({"a": ends[0], "b": ends[1]})
 
     if known:
-        both = both.groupBy("band", "i", "j").applyInArrow(close, schema)
-    full = both.join(sets, "uid")
+        both = durable(both.groupBy("band", "i", "j").applyInArrow(close, schema))
+    full = both.join(sets(both.select("uid").distinct()) if callable(sets) else sets, "uid")
     return durable(full.groupBy("band", "i", "j").applyInArrow(alike, "a long, b long").distinct())
 
 
@@ -403,7 +389,7 @@ def _roots(links: DataFrame) -> DataFrame:
     return durable(components(links, "a", "b")).withColumnRenamed("node", "uid")
 
 
-def links(docs: DataFrame, lines: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def links(lines: DataFrame, threshold: float) -> DataFrame:
     """a, b: uids of different lines that connect all alike lines of ``lines`` in a common band."""
     held = lines.where("near IS NOT NULL").select("uid", "near", F.explode("bands").alias("band"))
     counted = held.where(F.pmod("uid", F.lit(SAMPLE)) == 0).groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
@@ -414,17 +400,22 @@ def links(docs: DataFrame, lines: DataFrame, threshold: float, id_col: str = "do
         salt = F.when(F.col("salts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("uid"), F.col("salts")))
         dealt = sent(held, hot, "band", "left").withColumn("salt", salt.cast("long"))
     met = written(_grouped(dealt))
-    pairs = durable(met.where("b IS NOT NULL").select("a", "b").distinct())
-    large = durable(met.where("b IS NULL").select(F.col("a").alias("uid"), "band", "near").distinct())
-    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("uid")).unionByName(large.select("uid")).distinct())
-    texts = written(_texts(docs, lines, wanted, id_col, text_col))
-    found = durable(_verified(pairs, texts, threshold))
+    pairs = written(met.where("b IS NOT NULL").select("a", "b").distinct())
+    texts = written(_texts(lines, durable(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())))
+    # Every line is first compared with its candidate of the smallest uid; then candidates that this leaves in different components are.
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = written(_verified(first, texts, threshold))
+    roots = _roots(found)
+    root = lambda end: roots.select(F.col("uid").alias(end), F.col("root").alias(f"root_{end}"))
+    ends = sent(sent(pairs, root("a"), "a", "left"), root("b"), "b", "left").join(first.withColumn("done", F.lit(True)), ["a", "b"], "left")
+    apart = ends.where((F.coalesce("root_a", "a") != F.coalesce("root_b", "b")) & F.col("done").isNull()).select("a", "b")
+    more = written(_verified(apart, texts, threshold))
+    out = durable(found.unionByName(more))
+    large = met.where("b IS NULL").select(F.col("a").alias("uid"), "band", "near").distinct()
     if not large.isEmpty():
-        sets = written(_sets(texts.join(large.select("uid").distinct(), "uid", "left_semi")))
-        found = durable(found.unionByName(_rest(large, found, sets, threshold)))
-        released(sets)
-    released(met, texts)
-    return found
+        out = durable(out.unionByName(_rest(large, out, lambda uids: _sets(_texts(lines, uids)), threshold)))
+    released(met, pairs, texts, found, more)
+    return out
 
 
 def line_components(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -434,7 +425,7 @@ def line_components(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     has read it hands it to ``released``.
     """
     lines = written(placed_lines(docs, id_col, text_col))
-    roots = _roots(links(docs, lines, threshold, id_col, text_col))
+    roots = _roots(links(lines, threshold))
     told = lines.groupBy("uid").agg(F.count("*").alias("n"), F.min("other").alias("least"), F.max("other").alias("most")).where("n > 1")
     told = told.select("uid", F.expr("least = most").alias("one"))
     named = durable(told.join(roots, "uid", "full").where(F.coalesce("one", F.lit(True))).select("uid", F.coalesce("root", "uid").alias("root")))
