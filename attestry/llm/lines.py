@@ -5,7 +5,7 @@ for each run of white space.  Lines are alike from a Jaccard index of ``threshol
 are alike too.  A signature holds the smallest shingle hash under each of ``ORDERS`` orders.  Each of eight bands takes three of them of its own:
 a pair at the threshold misses all bands with probability 0.0032, one at 0.85 with 0.0005.  Lines that share a band are
 candidates if their signatures, by two bits of each place, differ in at most ``APART`` places, which a pair at the threshold fails with
-probability 0.0002; every candidate is then compared exactly, shingle by shingle (64-bit hashes of them), before it makes a link.  Links go to
+probability 0.0003; every candidate is then compared exactly, shingle by shingle (64-bit hashes of them), before it makes a link.  Links go to
 connected components, and of each component the line of the smallest document id and position stays.
 
 Signatures, groups of a band and exact comparisons run in Arrow batches: rows of shingles in Spark's own functions give the
@@ -30,9 +30,9 @@ from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Orders of the shingle hashes; band k has the orders k, k + BANDS and k + 2 * BANDS.
-ORDERS, BANDS = 32, 8
+ORDERS, BANDS = 64, 8
 #: How many places of two candidates' signatures may differ in their last two bits.
-APART = 12
+APART = 20
 #: Lines of a band up to which all pairs are looked at together; beyond, each is compared with one, and ``_rest`` does what is left.
 LARGE = 256
 #: Lines of a band, as counted among one in ``SAMPLE`` of them, from which on the band is dealt to many tasks.  That decides who does the work, not what is found.
@@ -90,9 +90,10 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 
 def _marks(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """near: two bits of each of a signature's places; and the bands' hashes."""
+    """near, two words: two bits of each of a signature's places; and the bands' hashes."""
     v = signatures(lines).astype(np.uint64)
-    near = ((v & np.uint64(3)) << (2 * np.arange(ORDERS, dtype=np.uint64))).sum(1, dtype=np.uint64)
+    two = ((v & np.uint64(3)) << (2 * (np.arange(ORDERS, dtype=np.uint64) % np.uint64(32)))).reshape(len(lines), 2, 32)
+    near = two.sum(2, dtype=np.uint64)
     bands = np.empty((len(lines), BANDS), np.uint64)
     for k in range(BANDS):
         x = np.full(len(lines), k + 1, np.uint64)
@@ -103,9 +104,13 @@ def _marks(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return near.view(np.int64), bands.view(np.int64)
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a ^ b).view(np.uint64)
-    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+def _apart(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+    """In how many places two signatures differ, by the words of both."""
+    out = np.zeros((), np.uint8)
+    for m, n in zip(a, b, strict=True):
+        x = (m ^ n).view(np.uint64)
+        out = out + np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    return out
 
 
 def _keyed(id_col: str, text_col: str) -> list[Column]:
@@ -115,9 +120,9 @@ def _keyed(id_col: str, text_col: str) -> list[Column]:
 
 
 def placed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, tag, pos, uid, other, near, bands, line of every line that is not blank.
+    """doc_id, key, tag, pos, uid, other, near0, near1, bands, line of every line that is not blank.
 
-    uid and other are 64 and 32 bits of the line's hash.  near, bands and line are null for lines that the task has seen before.
+    uid and other are 64 and 32 bits of the line's hash.  near0, near1, bands and line are null for lines that the task has seen before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,32 +159,32 @@ def placed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if not owner:
                     continue
                 parts = np.frombuffer(b"".join(digests), np.dtype([("uid", "<i8"), ("other", "<i4"), ("none", "<i4")]))
-                full_near, full_bands, new_at = np.zeros(len(owner), np.int64), np.full(len(owner) + 1, 0, np.int32), np.zeros(len(owner), bool)
+                full_near, full_bands, new_at = np.zeros((2, len(owner)), np.int64), np.full(len(owner) + 1, 0, np.int32), np.zeros(len(owner), bool)
                 flat = np.zeros(0, np.int64)
                 if new:
                     near, bands = _marks(new)
-                    full_near[fresh], new_at[fresh], flat = near, True, bands.ravel()
+                    full_near[:, fresh], new_at[fresh], flat = near.T, True, bands.ravel()
                 np.cumsum(new_at * BANDS, out=full_bands[1:])
                 listed = pa.ListArray.from_arrays(pa.array(full_bands, pa.int32()), pa.array(flat, pa.int64()))
                 who = pa.array(owner, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(b.column(c).take(who) for c in ("doc_id", "key", "tag")),
-                        pa.array(places, pa.int32()), pa.array(parts["uid"].copy()), pa.array(parts["other"].copy()), pa.array(full_near, mask=~new_at), listed,
+                        pa.array(places, pa.int32()), pa.array(parts["uid"].copy()), pa.array(parts["other"].copy()), *(pa.array(x, mask=~new_at) for x in full_near), listed,
                         pa.array(new, pa.string()).take(pa.array(np.cumsum(new_at) - 1, mask=~new_at)),
                     ],
-                    names=["doc_id", "key", "tag", "pos", "uid", "other", "near", "bands", "line"],
+                    names=["doc_id", "key", "tag", "pos", "uid", "other", "near0", "near1", "bands", "line"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("doc_id"), *_keyed(id_col, text_col), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, f"doc_id {kind}, key long, tag int, pos int, uid long, other int, near long, bands array<long>, line string")
+    return src.mapInArrow(run, f"doc_id {kind}, key long, tag int, pos int, uid long, other int, near0 long, near1 long, bands array<long>, line string")
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """a, b: candidates among ``rows`` (band, salt, uid, near); and a, band, near, with b null: the members of groups that are not compared in full."""
+    """a, b: candidates among ``rows`` (band, salt, uid, near0, near1); and a, band, near0, near1, with b null: the members of groups that are not compared in full."""
 
-    def pairs_of(gid: np.ndarray, uid: np.ndarray, near: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def pairs_of(gid: np.ndarray, uid: np.ndarray, near: list[np.ndarray], size: np.ndarray) -> np.ndarray:
         """Pairs within groups of at most ``LARGE``: each row with the one ``lag`` rows on, as long as that is in its group."""
         last = np.cumsum(size)[gid]
         left = np.arange(len(uid))
@@ -188,31 +193,31 @@ def _grouped(rows: DataFrame) -> DataFrame:
             left = left[left + lag < last[left]]
             if not len(left):
                 break
-            close = left[_apart(near[left], near[left + lag]) <= APART]
+            close = left[_apart([x[left] for x in near], [x[left + lag] for x in near]) <= APART]
             out.append(np.stack([uid[close], uid[close + lag]]))
         return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
 
-    def batch(pairs: np.ndarray, members: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    def batch(pairs: np.ndarray, members: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
         n, m = pairs.shape[1], len(members[0])
         a = np.concatenate([pairs[0], members[0]])
         b = np.concatenate([pairs[1], np.zeros(m, np.int64)])
         is_member = np.arange(n + m) >= n
         more = [pa.array(np.concatenate([np.zeros(n, np.int64), x]), mask=~is_member) for x in members[1:]]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=is_member), *more], names=["a", "b", "band", "near"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=is_member), *more], names=["a", "b", "band", "near0", "near1"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("band", "salt", "uid", "near")
-        held = [np.zeros(0, np.int64)] * 4
-        centre: tuple | None = None  # band, salt, uid, near of the group that is under way, if its rows so far are too many to hold
+        names = ("band", "salt", "uid", "near0", "near1")
+        held = [np.zeros(0, np.int64)] * 5
+        centre: tuple | None = None  # band, salt, uid and signature of the group that is under way, if its rows so far are too many to hold
 
         def work(cols: list[np.ndarray], ended: bool) -> pa.RecordBatch:
             """All groups of ``cols``; more of the last one may follow if it has not ``ended``."""
             nonlocal centre
-            band, salt, uid, near = cols
+            band, salt, uid, *near = cols
             again = np.zeros(len(uid), bool)
             again[1:] = (uid[1:] == uid[:-1]) & (band[1:] == band[:-1]) & (salt[1:] == salt[:-1])
-            band, salt, uid, near = (c[~again] for c in cols)
+            band, salt, uid, *near = (c[~again] for c in cols)
             first = np.ones(len(uid), bool)
             first[1:] = (band[1:] != band[:-1]) | (salt[1:] != salt[:-1])
             at = np.flatnonzero(first)
@@ -224,19 +229,20 @@ def _grouped(rows: DataFrame) -> DataFrame:
                 many[0] = True
             if not ended:
                 many[-1] = True
-            head_uid, head_near = uid[at], near[at]
+            head_uid, head_near = uid[at], [x[at] for x in near]
             if goes_on:
-                head_uid[0], head_near[0] = centre[2], centre[3]
+                for head, x in zip([head_uid, *head_near], centre[2:], strict=True):
+                    head[0] = x
             in_many = many[gid]
-            close = in_many & (_apart(near, head_near[gid]) <= APART)
+            close = in_many & (_apart(near, [x[gid] for x in head_near]) <= APART)
             star = np.stack([head_uid[gid[close]], uid[close]])
             star.sort(axis=0)
             few = ~in_many
             number = np.cumsum(~many) - 1
-            pairs = pairs_of(number[gid[few]], uid[few], near[few], size[~many])
+            pairs = pairs_of(number[gid[few]], uid[few], [x[few] for x in near], size[~many])
             if len(at):
-                centre = (band[-1], salt[-1], head_uid[-1], head_near[-1])
-            return batch(np.concatenate([star, pairs], axis=1), (uid[in_many], band[in_many], near[in_many]))
+                centre = (band[-1], salt[-1], head_uid[-1], *(x[-1] for x in head_near))
+            return batch(np.concatenate([star, pairs], axis=1), [x[in_many] for x in (uid, band, *near)])
 
         for b in batches:
             cols = [np.concatenate([h, b.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, names, strict=True)]
@@ -254,8 +260,8 @@ def _grouped(rows: DataFrame) -> DataFrame:
         if len(held[0]):
             yield work(held, True)
 
-    ready = rows.repartition("band", "salt").sortWithinPartitions("band", "salt", "uid").select("band", "salt", "uid", "near")
-    return ready.mapInArrow(run, "a long, b long, band long, near long")
+    ready = rows.repartition("band", "salt").sortWithinPartitions("band", "salt", "uid").select("band", "salt", "uid", "near0", "near1")
+    return ready.mapInArrow(run, "a long, b long, band long, near0 long, near1 long")
 
 
 def shingle_set(line: str) -> np.ndarray:
@@ -316,8 +322,9 @@ def _blocks(few: pa.Table, every: pa.Table) -> np.ndarray:
     """For each row of ``few`` and of ``every``: if they are of different components and, where signatures are given, candidates."""
     column = lambda t, c: t.column(c).to_numpy()
     out = column(few, "root")[:, None] != column(every, "root")
-    if "near" in few.column_names:
-        out &= _apart(column(few, "near")[:, None], column(every, "near")) <= APART
+    near = [c for c in few.column_names if c.startswith("near")]
+    if near:
+        out &= _apart([column(few, c)[:, None] for c in near], [column(every, c) for c in near]) <= APART
     return out
 
 
@@ -325,16 +332,16 @@ def _sided(block: pa.Table) -> tuple[pa.Table, pa.Table]:
     return block.filter(block.column("few")), block.filter(pa.compute.invert(block.column("few")))
 
 
-def _rest(members: DataFrame, found: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+def _rest(members: DataFrame, found: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame], threshold: float, roots: DataFrame | None = None) -> DataFrame:
     """a, b: links between the components that ``found`` leaves in a band, so that with them no two alike lines of a band are apart.
 
-    Of every band that has several components, the lines outside its most frequent one are compared with all lines, block by block; with a
-    column near in ``members``, only candidates are.  Signatures alone tell first which lines of a block have any candidate: only their
+    Of every band that has several components, the lines outside its most frequent one are compared with all lines, block by block; with
+    signatures in ``members``, only candidates are.  Signatures alone tell first which lines of a block have any candidate: only their
     sets (uid, set) are sent to it, of the table ``sets`` or as it gives them for a table of uids.  Pairs of lines are never handed on, but the
     components of alike ones.
     """
-    roots = durable(components(found, "a", "b")).withColumnRenamed("node", "uid")
-    known = [c for c in ("near",) if c in members.columns]
+    roots = _roots(found) if roots is None else roots
+    known = [c for c in members.columns if c.startswith("near")]
     placed = members.join(roots, "uid", "left").select("uid", "band", F.coalesce("root", "uid").alias("root"), *known)
     counts = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     told = counts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
@@ -389,9 +396,9 @@ def _roots(links: DataFrame) -> DataFrame:
     return durable(components(links, "a", "b")).withColumnRenamed("node", "uid")
 
 
-def links(lines: DataFrame, threshold: float) -> DataFrame:
-    """a, b: uids of different lines that connect all alike lines of ``lines`` in a common band."""
-    held = lines.where("near IS NOT NULL").select("uid", "near", F.explode("bands").alias("band"))
+def line_roots(lines: DataFrame, threshold: float) -> DataFrame:
+    """uid, root of every line of ``lines`` that is linked to another one, through bands that alike lines have in common."""
+    held = lines.where("line IS NOT NULL").select("uid", "near0", "near1", F.explode("bands").alias("band"))
     counted = held.where(F.pmod("uid", F.lit(SAMPLE)) == 0).groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
     hot = durable(counted.select("band", F.ceil(F.col("n") / HOT).cast("int").alias("salts")))
     if hot.isEmpty():
@@ -410,12 +417,16 @@ def links(lines: DataFrame, threshold: float) -> DataFrame:
     ends = sent(sent(pairs, root("a"), "a", "left"), root("b"), "b", "left").join(first.withColumn("done", F.lit(True)), ["a", "b"], "left")
     apart = ends.where((F.coalesce("root_a", "a") != F.coalesce("root_b", "b")) & F.col("done").isNull()).select("a", "b")
     more = written(_verified(apart, texts, threshold))
-    out = durable(found.unionByName(more))
-    large = met.where("b IS NULL").select(F.col("a").alias("uid"), "band", "near").distinct()
+    kept = lambda: roots.where("uid <> root").select(F.col("root").alias("a"), F.col("uid").alias("b"))
+    if not more.isEmpty():
+        roots = _roots(kept().unionByName(more))
+    large = met.where("b IS NULL").select(F.col("a").alias("uid"), "band", "near0", "near1").distinct()
     if not large.isEmpty():
-        out = durable(out.unionByName(_rest(large, out, lambda uids: _sets(_texts(lines, uids)), threshold)))
+        last = _rest(large, found, lambda uids: _sets(_texts(lines, uids)), threshold, roots)
+        if not last.isEmpty():
+            roots = _roots(kept().unionByName(last))
     released(met, pairs, texts, found, more)
-    return out
+    return roots
 
 
 def line_components(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -425,7 +436,7 @@ def line_components(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     has read it hands it to ``released``.
     """
     lines = written(placed_lines(docs, id_col, text_col))
-    roots = _roots(links(lines, threshold))
+    roots = line_roots(lines, threshold)
     told = lines.groupBy("uid").agg(F.count("*").alias("n"), F.min("other").alias("least"), F.max("other").alias("most")).where("n > 1")
     told = told.select("uid", F.expr("least = most").alias("one"))
     named = durable(told.join(roots, "uid", "full").where(F.coalesce("one", F.lit(True))).select("uid", F.coalesce("root", "uid").alias("root")))
