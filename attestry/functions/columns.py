@@ -40,9 +40,14 @@ def join_digit_groups(text: Column) -> Column:
     return F.when(text.rlike(f"[0-9]{_MARKS}[0-9]"), F.regexp_replace(text, _GROUPED, "$1$2")).otherwise(text)
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents: precomposed letters through a table, combining marks dropped."""
-    return F.lower(F.regexp_replace(F.translate(ascii_digits(text), fixed.ACCENTED, fixed.UNACCENTED), "[\u0300-\u036f]", ""))
+    marked = F.translate(text, fixed.DIGITS_FROM + fixed.ACCENTED, fixed.DIGITS_TO + fixed.UNACCENTED)
+    return F.lower(F.when(is_ascii(text), text).otherwise(F.regexp_replace(marked, "[\u0300-\u036f]", "")))
 
 
 def words(text: Column) -> Column:
@@ -67,10 +72,13 @@ def token_weight(raw: Column, folded: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Distinct folded content words, in first-use order.
 
-    The text is folded as a whole before it is split; combining marks stay until then, since words end at them.
+    Only the words are looked at one by one, each as often as it is written in different ways; marks that combine end a word.
     """
-    plain = F.translate(join_digit_groups(ascii_digits(text)), "‘’“”" + fixed.ACCENTED, "''''" + fixed.UNACCENTED)
-    telling = F.array_except(_split_words(F.lower(plain)), F.array(*map(F.lit, sorted(fixed.STOPWORDS))))
+    digits = F.when(text.rlike(r"[\p{Nd}&&[^0-9]]"), ascii_digits(text)).otherwise(text)
+    raw = F.array_distinct(F.split(join_digit_groups(digits), r"[^\p{L}\p{N}'‘’“”-]+"))
+    letters = "‘’“”" + fixed.DIGITS_FROM + fixed.ACCENTED, "''''" + fixed.DIGITS_TO + fixed.UNACCENTED
+    plain = F.transform(raw, lambda w: F.lower(F.trim(F.when(is_ascii(w), w).otherwise(F.translate(w, *letters)), F.lit("-'"))))
+    telling = F.array_except(plain, F.array(*map(F.lit, sorted(fixed.STOPWORDS))))
     return F.filter(telling, lambda t: (F.length(t) >= 3) | t.rlike("[0-9]"))
 
 
@@ -245,24 +253,36 @@ def quote_in_passages(quote: Column, passages: Column) -> Column:
     return (F.size(F.split(F.array_join(pieces, " "), " ")) >= 3) & F.forall(pieces, lambda p: F.contains(hay, F.replace(p, F.lit(" "), F.lit(""))))
 
 
-def mentions(text: Column, wording: Column) -> Column:
-    """The wording is in the text as whole words, a plural allowed; hyphens joined or read as spaces."""
+def _padded(c: Column) -> Column:
+    return F.concat(F.lit(" "), c, F.lit(" "))
+
+
+def _within(padded: Column, w: Column) -> Column:
+    plural = w.rlike(r"\p{L}$") & (F.contains(padded, F.concat(F.lit(" "), w, F.lit("s "))) | F.contains(padded, F.concat(F.lit(" "), w, F.lit("es "))))
+    return (w != "") & (F.contains(padded, _padded(w)) | plural)
 
-    def within(padded: Column, w: Column) -> Column:
-        plural = w.rlike(r"\p{L}$") & (F.contains(padded, F.concat(F.lit(" "), w, F.lit("s "))) | F.contains(padded, F.concat(F.lit(" "), w, F.lit("es "))))
-        return (w != "") & (F.contains(padded, F.concat(F.lit(" "), w, F.lit(" "))) | plural)
 
-    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    return within(pad(quote_key(text)), quote_key(wording)) | within(pad(copy_key(text)), copy_key(wording))
+def _keys(text: Column) -> Column:
+    return F.struct(_padded(quote_key(text)).alias("joined"), _padded(copy_key(text)).alias("spaced"))
+
+
+def _mentioned(keys: Column, wording: Column) -> Column:
+    return _within(keys["joined"], quote_key(wording)) | _within(keys["spaced"], copy_key(wording))
+
+
+def mentions(text: Column, wording: Column) -> Column:
+    """The wording is in the text as whole words, a plural allowed; hyphens joined or read as spaces."""
+    return bound(_keys(text), lambda k: _mentioned(k, wording))
 
 
 def plan_matched(text: Column, terms: Column) -> Column:
     """The first wording, folded, of each concept (an array of wordings) that the text mentions."""
-    return F.transform(F.filter(terms, lambda g: F.exists(g, lambda a: mentions(text, a))), lambda g: fold(g[0]))
+    hits = bound(_keys(text), lambda k: F.filter(terms, lambda g: F.exists(g, lambda a: _mentioned(k, a))))
+    return F.transform(hits, lambda g: fold(g[0]))
 
 
 def plan_coverage(text: Column, terms: Column) -> Column:
-    return F.size(F.filter(terms, lambda g: F.exists(g, lambda a: mentions(text, a))))
+    return F.size(plan_matched(text, terms))
 
 
 def specificity(group: Column) -> Column:

@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a side is sent to every task; beyond, Spark chooses, by exchanging both sides if need be.
-SENT_ROWS = 500_000
-
-
-def small(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
-    """``df``, marked to be sent to every task if it has at most ``most`` rows (counted by a bounded scan)."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Rows and bytes up to which a side is sent to every task; beyond, Spark chooses, by exchanging both sides if need be.
+SENT_ROWS, SENT_BYTES = 500_000, 64 << 20
+
+
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes."""
+    sizes = []
+    for f in df.schema:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif kind in ("array", "map", "struct"):
+            sizes.append(F.octet_length(F.coalesce(F.to_json(F.struct(c)), F.lit(""))))
+    return sum(sizes, F.lit(24 * len(df.columns)))
+
+
+def small(df: DataFrame, rows: int = SENT_ROWS, size: int = SENT_BYTES) -> DataFrame:
+    """``df``, marked to be sent to every task if it has at most so many rows and bytes (counted by a bounded scan)."""
+    told = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(_bytes(df)), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if told["n"] <= rows and told["b"] <= size else df
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

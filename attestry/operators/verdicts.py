@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .joins import first_per_key, top_k
+from .joins import first_per_key, small, top_k
 
 #: Tiers in the order they are shown; hosts of documents that anyone can upload.
 TIERS = ("supports", "partial", "lead", "flag")
@@ -68,6 +68,30 @@ def copies_claim(claim: Column, text: Column) -> Column:
     return (F.length(c) >= 40) & F.contains(compared(text), c)
 
 
+def copied_pairs(passages: DataFrame, claims: DataFrame, passage_id: str, claim_id: str, run: int = 5) -> DataFrame:
+    """passage_id, claim_id of every ``passages`` row (passage) that contains a ``claims`` row (claim), both as ``compared`` gives them.
+
+    A claim may begin and end inside a word; its other words stand whole in a passage that contains it.  The first ``run`` of those, or as many as there are, are
+    looked up among the passages' runs of that many words, as hashes; claims of one or two words, among their runs of characters.  Only the pairs found are compared.
+    """
+    c = claims.withColumn("inner", F.split("claim", " ")).withColumn("inner", F.slice("inner", 2, F.greatest(F.size("inner") - 2, F.lit(0))))
+    c = c.withColumn("n", F.least(F.size("inner"), F.lit(run)))
+    found = None
+    for n in sorted(r["n"] for r in c.select("n").distinct().collect()):  # at most run + 1 numbers
+        units, size = (F.split("passage", " "), n) if n else (F.split("passage", ""), 20)
+        part = F.col("inner") if n else F.split("claim", "")
+        key = lambda xs, at, size: F.xxhash64(F.array_join(F.slice(xs, at, size), " "))
+        keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size("units") - size + 1, F.lit(1))), lambda i: key(F.col("units"), i, size))  # noqa: B023
+        runs = passages.select(passage_id, units.alias("units")).select(passage_id, F.explode(F.array_distinct(keys)).alias("run"))
+        wanted = c.where(F.col("n") == n).select(claim_id, key(part, F.lit(1), size).alias("run"))
+        pairs = runs.join(small(wanted), "run").select(passage_id, claim_id)
+        found = pairs if found is None else found.unionByName(pairs)
+    if found is None:
+        return passages.join(claims, F.lit(False)).select(passage_id, claim_id)
+    pairs = found.distinct().join(small(claims.select(claim_id, "claim")), claim_id)
+    return passages.join(pairs, passage_id).where(F.contains("passage", "claim")).select(passage_id, claim_id)
+
+
 def web_tier(verdict: Column, claim: Column, comments: Column) -> Column:
     """Tier of a web source; null: it does not state the claim."""
     tier = F.when(verdict == "SUPPORTED", "supports").when(verdict == "PARTIALLY SUPPORTED", "partial")

@@ -47,6 +47,14 @@ def key(text: str) -> str:
     return f"trim(regexp_replace({fold(text)}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
+def quote_key(text: str) -> str:
+    """As ``key``, words broken by a hyphen and white space joined first (twice, as matches that share a letter cannot both be replaced at once)."""
+    text = fold(text)
+    for _ in range(2):
+        text = f"regexp_replace({text}, '(\\p{{L}})-\\s+(\\p{{L}})', '\\1\\2', 'g')"
+    return f"trim(regexp_replace({text}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
 def host(url: str) -> str:
     return f"regexp_replace(lower(regexp_extract({url}, '^[a-z]+://([^/?#]+)', 1)), '^www\\.', '')"
 

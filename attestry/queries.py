@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import fixed
-from .operators import articles, catalogue, coverage, evaluation, joins, library, replies, verdicts
+from .operators import articles, catalogue, checks, coverage, evaluation, joins, library, replies, reports, verdicts
 from .plans import flows
 from .plans import sql as S
 from .sources.readers import table
@@ -212,12 +212,11 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query("SELECT doc_id, md5(trim(regexp_replace(replace(text, '&', '+'), '\\s+', ' ', 'g'))) AS text_md5 FROM documents WHERE NOT regexp_matches(text, '-\\s*\\n')")
+@_query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(text, '&', '+'), '-\\s*\\n\\s*', '', 'g'), '\\s+', ' ', 'g'))) AS text_md5 FROM documents")
 def stream_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned pages' text, read back from their markup."""
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"-\s*\n"))
     page = F.concat(F.lit('<html><pre class="x">'), F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("+")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</pre></html>"))
-    return d.select("doc_id", F.md5(C.stream_text(page).cast("binary")).alias("text_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(C.stream_text(page).cast("binary")).alias("text_md5"))
 
 
 @_query("""
@@ -283,12 +282,12 @@ def wikilinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""
 WITH p AS (SELECT doc_id, text, item_id, b.text AS claim, array_to_string(list_slice(regexp_extract_all(b.text, '\\p{{L}}+'), 1, 2), ' ') AS subject
-  FROM (SELECT *, doc_id % 40 AS item FROM documents) d JOIN benchmark b ON d.item = b.item_id)
+  FROM (SELECT *, doc_id % (SELECT count(*) FROM benchmark) AS item FROM documents) d JOIN benchmark b ON d.item = b.item_id)
 SELECT CASE WHEN length(text) < 40 THEN 'too short' WHEN len({S.tokens('subject')}) > 0 AND NOT list_has_any({S.tokens('subject')}, {S.tokens('text')}) THEN 'no subject' ELSE 'kept' END AS reason,
   count(*) AS n FROM p GROUP BY 1""".replace("d JOIN benchmark", "d JOIN (SELECT item_id, text FROM benchmark) b0 ON d.item = b0.item_id JOIN benchmark").replace("b ON d.item = b.item_id", "b ON b.item_id = b0.item_id").replace("SELECT doc_id, text, item_id, b.text", "SELECT d.doc_id, d.text, b.item_id, b.text"))
 def passage_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many passages the gates before scoring drop."""
-    d = table(spark, sf_dir, "documents").select("text", (F.col("doc_id") % 40).alias("item_id"))
+    d = table(spark, sf_dir, "documents").select("text", (F.col("doc_id") % _dealt(spark, sf_dir)).alias("item_id"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), 1, 2), " ").alias("subject"))
     p = d.join(joins.small(b), "item_id")
     reason = F.when(F.length("text") < 40, "too short").when(~library.mentions_subject(F.col("text"), F.col("subject")), "no subject").otherwise("kept")
@@ -335,40 +334,31 @@ _COMPARED = "trim(regexp_replace(translate(lower({}), '‘’“”\"''`', ''),
 WITH c AS (SELECT item_id, {_COMPARED.format('text')} AS c FROM benchmark), d AS (SELECT doc_id, {_COMPARED.format('text')} AS d FROM documents)
 SELECT doc_id, item_id FROM d JOIN c ON length(c) >= 40 AND contains(d, c)""")
 def circular_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that repeat a claim word for word.
-
-    The claims' first five words are looked up among each text's runs of five words; only those pairs are compared as a whole.
-    """
-    c = table(spark, sf_dir, "benchmark").select("item_id", verdicts.compared(F.col("text")).alias("c")).where(F.length("c") >= 40)
-    d = table(spark, sf_dir, "documents").select("doc_id", verdicts.compared(F.col("text")).alias("d"))
-    c = c.withColumn("w", F.split("c", " ")).where(F.size("w") >= 5).withColumn("run", F.array_join(F.slice("w", 1, 5), " "))
-    w = F.split("d", " ")
-    parts = d.withColumn("w", w).withColumn("run", F.explode(F.array_distinct(F.transform(F.col("w"), lambda _, i: F.array_join(F.slice(F.col("w"), i + 1, F.lit(5)), " ")))))
-    pairs = parts.join(joins.small(c.select("item_id", "c", "run")), "run")
-    return pairs.where(F.contains("d", "c")).select("doc_id", "item_id").distinct()
+    """Texts that repeat a claim word for word."""
+    c = table(spark, sf_dir, "benchmark").select("item_id", verdicts.compared(F.col("text")).alias("claim")).where(F.length("claim") >= 40)
+    d = table(spark, sf_dir, "documents").select("doc_id", verdicts.compared(F.col("text")).alias("passage"))
+    return verdicts.copied_pairs(d, c, "doc_id", "item_id")
 
 
 @_query(f"""
-WITH q AS (SELECT d.doc_id, d.text, {S.key("array_to_string(list_slice(string_split(b.text, ' '), 3, 9), ' ')")} AS q FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)
-SELECT doc_id, contains(replace({S.key('text')}, ' ', ''), replace(q, ' ', '')) AND len(string_split(q, ' ')) >= 3 AS quoted FROM q WHERE NOT regexp_matches(text, '\\p{{L}}-\\s') AND q <> ''""")
+WITH q AS (SELECT d.doc_id, d.text, {S.quote_key("array_to_string(list_slice(string_split(b.text, ' '), 3, 9), ' ')")} AS q FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)
+SELECT doc_id, contains(replace({S.quote_key('text')}, ' ', ''), replace(q, ' ', '')) AND len(string_split(q, ' ')) >= 3 AS quoted FROM q""")
 def quotes_in_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % _dealt(spark, sf_dir)).alias("item_id"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 3, 7), " ").alias("q"))
-    p = d.join(joins.small(b), "item_id").where(~F.col("text").rlike(r"\p{L}-\s") & (C.copy_key(F.col("q")) != ""))
-    return p.select("doc_id", C.quote_in_passages(F.col("q"), F.array("text")).alias("quoted"))
+    return d.join(joins.small(b), "item_id").select("doc_id", C.quote_in_passages(F.col("q"), F.array("text")).alias("quoted"))
 
 
 @_query(f"""
-WITH p AS (SELECT d.doc_id, ' ' || {S.key('d.text')} || ' ' AS t, list_slice(list_distinct(list_transform(regexp_extract_all(b.text, '\\p{{L}}{{6,}}'), lambda w: {S.fold('w')})), 1, 100) AS ws FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE NOT regexp_matches(d.text, '\\p{{L}}-\\s'))
-SELECT doc_id, CAST(len(list_filter(ws, lambda w: contains(t, ' ' || w || ' ') OR contains(t, ' ' || w || 's ') OR contains(t, ' ' || w || 'es '))) AS INTEGER) AS cover FROM p""")
+WITH p AS (SELECT d.doc_id, ' ' || {S.key('d.text')} || ' ' AS t, ' ' || {S.quote_key('d.text')} || ' ' AS j, list_distinct(list_transform(regexp_extract_all(b.text, '\\p{{L}}{{6,}}'), lambda w: {S.fold('w')})) AS ws
+  FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)
+SELECT doc_id, CAST(len(list_filter(ws, lambda w: contains(t, ' ' || w || ' ') OR contains(t, ' ' || w || 's ') OR contains(t, ' ' || w || 'es ') OR contains(j, ' ' || w || ' ') OR contains(j, ' ' || w || 's ') OR contains(j, ' ' || w || 'es '))) AS INTEGER) AS cover FROM p""")
 def plan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of a claim's long words a text mentions as whole words, plurals allowed."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id")).where(~F.col("text").rlike(r"\p{L}-\s"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % _dealt(spark, sf_dir)).alias("item_id"))
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}{6,}"), F.lit(0)), C.fold))
-    b = table(spark, sf_dir, "benchmark").select("item_id", words.alias("words"))
-    p = d.join(joins.small(b), "item_id").withColumn("padded", F.concat(F.lit(" "), C.copy_key(F.col("text")), F.lit(" ")))
-    hit = lambda w: F.contains("padded", F.concat(F.lit(" "), w, F.lit(" "))) | F.contains("padded", F.concat(F.lit(" "), w, F.lit("s "))) | F.contains("padded", F.concat(F.lit(" "), w, F.lit("es ")))
-    return p.select("doc_id", F.size(F.filter("words", hit)).alias("cover"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.transform(words, lambda w: F.array(w)).alias("terms"))
+    return d.join(joins.small(b), "item_id").select("doc_id", C.plan_coverage(F.col("text"), F.col("terms")).alias("cover"))
 
 
 @_query("""
@@ -403,16 +393,163 @@ def plans_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", F.size("plan.queries").alias("n_queries"), F.col("plan.queries")[0].alias("first_query"), "plan.fact", F.size("plan.terms").alias("n_terms"), F.col("plan.terms")[0][0].alias("concept"))
 
 
-@_query("SELECT doc_id, doc_id AS nth, CASE doc_id % 3 WHEN 0 THEN 'supports' WHEN 1 THEN 'unsupported' END AS verdict FROM documents WHERE length(text) >= 40 AND regexp_matches(substr(text, 1, 30), '\\p{L}+\\P{L}+\\p{L}+\\P{L}+\\p{L}+') AND NOT regexp_matches(substr(text, 1, 60), '[\"\\\\\\n…]|\\.\\.\\.|\\p{L}-\\s')")
+_SIX_SQL = "list_slice(string_split(trim(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), 1, 6)"
+
+
+def _six() -> Column:
+    """A text's first six words."""
+    return F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")), " "), 1, 6), " ")
+
+
+@_query(f"SELECT doc_id, doc_id AS nth, CASE doc_id % 3 WHEN 0 THEN CASE WHEN len({_SIX_SQL}) >= 3 THEN 'supports' ELSE 'unsupported' END WHEN 1 THEN 'unsupported' END AS verdict FROM documents")
 def book_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on passages: support counts only with words that are there."""
-    d = table(spark, sf_dir, "documents").where((F.length("text") >= 40) & F.substring("text", 1, 30).rlike(r"\p{L}+\P{L}+\p{L}+\P{L}+\p{L}+") & ~F.substring("text", 1, 60).rlike(r'["\\\n…]|\.\.\.|\p{L}-\s'))
-    n = F.col("doc_id").cast("string")
+    d = table(spark, sf_dir, "documents")
     said = F.element_at(F.array(F.lit("supports"), F.lit("partial"), F.lit("perhaps")), (F.col("doc_id") % 3 + 1).cast("int"))
-    quote = F.when(F.col("doc_id") % 3 == 1, "not a word of it at all zzz").otherwise(F.substring("text", 1, 30))
-    text = F.concat(F.lit('{"books": [{"id": "b'), n, F.lit('", "verdict": "'), said, F.lit('", "quote": "'), quote, F.lit('", "why": "x"}]}'))
+    quote = F.when(F.col("doc_id") % 3 == 1, "not a word of it at all zzz").otherwise(_six())
+    book = F.struct(F.concat(F.lit("b"), F.col("doc_id").cast("string")).alias("id"), said.alias("verdict"), quote.alias("quote"), F.lit("x").alias("why"))
     shown = d.select("doc_id", F.col("doc_id").alias("nth"), F.array("text").alias("passages"))
-    return replies.judged_books(d.select("doc_id", text.alias("text")), shown, ["doc_id"]).select("doc_id", "nth", "verdict")
+    return replies.judged_books(d.select("doc_id", F.to_json(F.struct(F.array(book).alias("books"))).alias("text")), shown, ["doc_id"]).select("doc_id", "nth", "verdict")
+
+
+@_query(f"""
+WITH d AS (SELECT *, doc_id % 4 AS k, trim(text) AS t FROM documents), s AS (SELECT *, k < 2 AND length(t) >= 100 AS page, k % 2 = 0 AS quoted FROM d)
+SELECT doc_id, CASE WHEN page THEN 'page' WHEN quoted THEN 'quote' END AS origin, CASE WHEN page THEN length(t) > 50000 WHEN quoted THEN true END AS truncated,
+  CASE WHEN NOT page AND NOT quoted THEN CASE WHEN k < 2 AND t <> '' THEN 'the page has almost no text' WHEN k < 2 THEN 'HTTP 200' ELSE 'no URL' END END AS error,
+  CASE WHEN page AND len({_SIX_SQL}) >= 3 THEN CASE doc_id % 3 WHEN 0 THEN 'supports' WHEN 1 THEN 'partial' ELSE 'unsupported' END WHEN page OR quoted THEN 'unsupported' END AS verdict FROM s""")
+def sources_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources behind other-language leads, as pages or quotations, and what a judge says of them."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 4
+    leads = d.select("doc_id", F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.when(k % 2 == 0, "words of a citation, never of the text zzz").alias("quote"), F.lit("same").alias("fact"))
+    pages = d.where(k < 2).select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.col("text").alias("content"), F.lit(False).alias("truncated"), F.lit(None).cast("string").alias("error"), F.lit(200).alias("status"))
+    said = F.element_at(F.array(F.lit("Supports"), F.lit("partial"), F.lit("no")), (F.col("doc_id") % 3 + 1).cast("int"))
+    reply = F.to_json(F.struct(said.alias("verdict"), _six().alias("quote"), F.lit("x").alias("why")))
+    none = F.lit(None).cast("string")
+    out = checks.checked_sources(leads, pages, d.select("doc_id", reply.alias("reply"), none.alias("verdict"), none.alias("comments")), ["doc_id"])
+    return out.select("doc_id", "source.origin", "source.truncated", "source.error", "read.verdict")
+
+
+@_query("""
+WITH l AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN ' supported' WHEN 1 THEN 'Partially Supported ' WHEN 2 THEN 'NOT SUPPORTED' WHEN 3 THEN 'SOURCE UNAVAILABLE' END AS v FROM documents), u AS (SELECT doc_id, upper(trim(v)) AS v FROM l)
+SELECT doc_id, CASE v WHEN 'SUPPORTED' THEN 'same' WHEN 'PARTIALLY SUPPORTED' THEN 'partial' WHEN 'NOT SUPPORTED' THEN 'no' END AS fact,
+  CASE v WHEN 'SUPPORTED' THEN 'supports' WHEN 'PARTIALLY SUPPORTED' THEN 'partial' WHEN 'NOT SUPPORTED' THEN 'unsupported' END AS verdict,
+  coalesce(v IN ('SUPPORTED', 'PARTIALLY SUPPORTED'), false) AS passes, coalesce(v IN ('SUPPORTED', 'PARTIALLY SUPPORTED'), false) AS kept,
+  CASE v WHEN 'SUPPORTED' THEN '✓' WHEN 'PARTIALLY SUPPORTED' THEN '~' WHEN 'NOT SUPPORTED' THEN '✗' WHEN 'SOURCE UNAVAILABLE' THEN '?' ELSE '•' END AS mark FROM u""")
+def service_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a service's verdicts say of sister sentences and of books."""
+    said = [F.lit(x) for x in (" supported", "Partially Supported ", "NOT SUPPORTED", "SOURCE UNAVAILABLE", None)]
+    d = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*said), (F.col("doc_id") % 5 + 1).cast("int")).alias("v"))
+    fact, book = checks.fact_of(F.col("v")), checks.book_verdict_of(F.col("v"))
+    return d.select("doc_id", fact.alias("fact"), book.alias("verdict"), checks.passes_same_fact(fact).alias("passes"), checks.worth_keeping(book).alias("kept"), reports.mark(F.upper(F.trim("v"))).alias("mark"))
+
+
+@_query("""
+WITH s AS (SELECT event_id AS i, ['idle', 'running', 'done', 'error'] AS w FROM events), t AS (SELECT i, w[1 + i % 4] AS wiki, w[1 + (i // 4) % 4] AS books, w[1 + (i // 16) % 4] AS web, (i // 2) % 3 AS n, CASE WHEN i % 5 < 3 THEN w[2 + i % 2] END AS c FROM s)
+SELECT i AS event_id, CASE WHEN wiki = 'done' AND coalesce(c = 'running', false) THEN 'running' ELSE wiki END AS wiki,
+  CASE WHEN i % 7 = 0 THEN 'none' WHEN books <> 'done' THEN books WHEN n > 0 AND (c IS NULL OR c = 'running') THEN 'running' ELSE 'done' END AS books, web FROM t""")
+def search_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each claim's searches stand."""
+    i = F.col("event_id")
+    word = lambda n: F.element_at(F.array(*map(F.lit, ("idle", "running", "done", "error"))), n.cast("int"))
+    check = F.when(i % 5 < 3, word(2 + i % 2))
+    s = checks.stages(word(1 + i % 4), check, word(1 + F.floor(i / 4) % 4), F.floor(i / 2) % 3, check, word(1 + F.floor(i / 16) % 4), i % 7 != 0)
+    return table(spark, sf_dir, "events").select("event_id", s.alias("s")).select("event_id", "s.*")
+
+
+@_query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+def first_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first whole object of a reply with several, in a fence or not."""
+    fence = F.when(F.col("event_id") % 2 == 0, "```json\n").otherwise("")
+    close = F.when(F.col("event_id") % 2 == 0, "\n``` {not this}").otherwise(" {or this}")
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Well: "), fence, F.lit("so "), F.col("props"), F.lit(' and {"k": "}"} too'), close).alias("text"))
+    return e.select("event_id", F.get_json_object(replies.first_object(F.col("text")), "$.k").cast("long").alias("k"))
+
+
+@_query("""
+WITH e AS (SELECT event_id AS i, event_id % 6 AS a, CASE event_id % 4 WHEN 0 THEN CAST(event_id % 90 AS VARCHAR) WHEN 1 THEN 'soon' WHEN 2 THEN '' END AS h FROM events)
+SELECT i AS event_id, CASE WHEN i % 4 = 0 THEN greatest((i % 90) * 1000.0, 1000.0)::DOUBLE ELSE least(60000.0, 2000.0 * 2 ** a)::DOUBLE END AS ms, i % 3 = 0 AND a < 3 AS again,
+  'https://s.example/x' || CASE WHEN i % 2 = 0 THEN '/a' ELSE '' END AS base, round((i * 4 + a * 20.0) / 1e6 + 0.02, 9) AS cost,
+  CASE WHEN a = 0 THEN '  –' ELSE lpad(CAST(floor(100.0 * (i % 7) / a + 0.5) AS BIGINT)::VARCHAR, 3, ' ') || '%' END AS share FROM e""")
+def service_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waits, second tries, costs and shares of recorded calls."""
+    i, a = F.col("event_id"), F.col("event_id") % 6
+    h = F.when(i % 4 == 0, (i % 90).cast("string")).when(i % 4 == 1, "soon").when(i % 4 == 2, "")
+    asked = F.concat(F.lit("https://s.example/x"), F.when(i % 2 == 0, "/a//").otherwise("/"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", reports.wait_ms(h, a).alias("ms"), reports.search_again(F.when(i % 3 == 0, 400).otherwise(500), a).alias("again"), reports.service_base(asked, "https://d.example/").alias("base"),
+        F.round(reports.cost(F.lit("claude-opus-5-5"), i, a, F.lit(2)), 9).alias("cost"), reports.percent(i % 7, a, 3).alias("share"),
+    )
+
+
+@_query("""
+SELECT page_id, CASE WHEN page_id % 3 < 2 THEN 'item' || page_id || CASE WHEN page_id % 2 = 0 THEN ' a' ELSE '' END END AS identifier FROM pages""")
+def archive_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that addresses are about."""
+    i = F.col("page_id").cast("string")
+    head = F.element_at(F.array(F.lit("https://www.archive.org/details/item"), F.lit("http://archive.org/stream/item"), F.lit("https://archive.org/about/item")), (F.col("page_id") % 3 + 1).cast("int"))
+    url = F.concat(head, i, F.when(F.col("page_id") % 2 == 0, "%20a").otherwise(""), F.lit("/x?y#z"))
+    return table(spark, sf_dir, "pages").select("page_id", reports.archive_identifier(url).alias("identifier"))
+
+
+@_query(f"""
+WITH d AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id, lang, source, n_chars FROM documents), l AS (
+  SELECT item_id, 'same-article' AS origin, CASE WHEN doc_id % 2 = 0 THEN 'x.example/' || doc_id ELSE 'ref:' || lang || ':raw ' || doc_id END AS key, 0.5::DOUBLE AS score, lang || ':' || source AS place, doc_id FROM d WHERE doc_id % 3 = 0
+  UNION ALL SELECT item_id, 'internet-archive', 'ia:i' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '#text' ELSE '' END, 0.25, CASE WHEN doc_id % 5 = 0 THEN 'n.d.' ELSE '1900' END || ', open' || CASE WHEN doc_id % 2 = 0 THEN ', whole text' ELSE '' END, doc_id FROM d WHERE doc_id % 3 = 1
+  UNION ALL SELECT item_id, 'web', 'x.example/w' || doc_id, (doc_id % 100) / 100, 'model: SUPPORTED ' || doc_id % 100 || ', reliability low', doc_id FROM d WHERE doc_id % 3 = 2)
+SELECT item_id, origin, key, score, place FROM l""")
+def lead_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads of the three kinds as an evaluation reads them."""
+    return _lead_rows(spark, sf_dir).select("item_id", "origin", "key", "score", "place")
+
+
+def _lead_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    d = table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % _dealt(spark, sf_dir))
+    third = lambda k: d.where(F.col("doc_id") % 3 == k)
+    none = F.array().cast("array<string>")
+    wiki = third(0).select(
+        "item_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://www.X.example/"), i, F.lit("/"))).alias("url"), F.concat(F.lit("raw "), i).alias("raw"), F.lit("t").alias("title"),
+        F.lit("same-article").alias("origin"), F.lit(0.5).alias("score"), none.alias("matched"), F.left("text", F.lit(20)).alias("sentence"), "lang", F.col("source").alias("article"),
+    )
+    books = third(1).select(
+        "item_id", F.concat(F.lit("i"), i).alias("identifier"), F.lit("u").alias("url"), F.lit("t").alias("title"), F.lit(0.25).alias("score"), none.alias("matched"), none.alias("passages"),
+        F.when(F.col("doc_id") % 5 != 0, 1900).alias("year"), F.lit("open").alias("access"), (F.col("doc_id") % 2 == 0).alias("whole"),
+    )
+    web = third(2).select(
+        "item_id", F.concat(F.lit("http://x.example/W"), i).alias("url"), F.lit("t").alias("title"), F.lit("SUPPORTED").alias("verdict"), (F.col("doc_id") % 100).alias("confidence"), F.lit("").alias("comments"), F.lit("low").alias("reliability")
+    )
+    return reports.wiki_leads(wiki, ["item_id"]).unionByName(reports.book_leads(books, ["item_id"])).unionByName(reports.web_leads(web, ["item_id"]))
+
+
+@_query("""
+WITH n AS (SELECT count(*) AS n FROM benchmark), d AS (SELECT doc_id, doc_id % n AS item_id FROM documents, n), c AS (SELECT item_id, CAST(count(*) FILTER (WHERE doc_id % 3 = 0) AS BIGINT) AS w, CAST(count(*) FILTER (WHERE doc_id % 3 = 1) AS BIGINT) AS b, CAST(count(*) FILTER (WHERE doc_id % 3 = 2) AS BIGINT) AS x FROM d GROUP BY 1)
+SELECT b.item_id, coalesce(w, 0) AS n_wiki, coalesce(c.b, 0) AS n_books, coalesce(x, 0) AS n_web, b.item_id % 2 = 0 AS changed, CASE WHEN b.item_id % 3 = 0 THEN 'revision moved' ELSE '' END AS errors FROM benchmark b LEFT JOIN c USING (item_id)""")
+def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run gave for each claim; a claim without any result has its row too."""
+    b = table(spark, sf_dir, "benchmark")
+    claims = b.select("item_id", F.lit("t").alias("title"), F.col("text").alias("claim"))
+    found = b.select("item_id", F.concat("text", F.when(F.col("item_id") % 2 == 0, " more").otherwise("")).alias("claim"))
+    errors = b.where(F.col("item_id") % 3 == 0).select("item_id", F.lit("revision moved").alias("error"))
+    out = reports.results(claims, found, _lead_rows(spark, sf_dir), errors, "item_id")
+    return out.select("item_id", "n_wiki", "n_books", "n_web", "changed", F.array_join("errors", ", ").alias("errors"))
+
+
+@_query("""
+WITH d AS (SELECT doc_id AS i FROM documents)
+SELECT i AS doc_id, CASE WHEN i % 3 = 1 THEN '1 query' ELSE (i % 3) || ' queries' END || ' → ' || i || ' books → ' || (i // 2) || ' readable (' || (i // 4) || ' to borrow)' || CASE WHEN i % 2 = 0 THEN ' (dropped: 2 a, ' || i || ' b)' ELSE '' END
+  || ' → 3 with a matching passage, 4 by claim phrases' || CASE WHEN i % 4 = 0 THEN ' → 5 whole text(s) read, 6 with a passage' ELSE '' END
+  || ' → planner ' || CASE WHEN i % 5 = 0 THEN 'gave no plan' ELSE CASE WHEN i % 3 = 1 THEN '1 query' ELSE (i % 3) || ' queries' END || ', 7 books' END || '; named 1 of 2 readable; 3 term(s) searched inside; +4 lead(s) → 8 lead(s)' AS line FROM d""")
+def funnel_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many books pass each step, as a line."""
+    i = F.col("doc_id")
+    rejected = F.when(i % 2 == 0, F.create_map(F.lit("b"), i, F.lit("a"), F.lit(2).cast("long"))).otherwise(F.create_map().cast("map<string,bigint>"))
+    f = F.struct(
+        (i % 3).alias("queries"), i.alias("hits"), F.floor(i / 2).alias("available"), F.floor(i / 4).alias("borrowable"), rejected.alias("rejected"), F.lit(3).alias("matched"), F.lit(4).alias("by_units"),
+        F.when(i % 4 == 0, 5).alias("read"), F.lit(6).alias("windows"), F.lit(8).alias("candidates"),
+    )
+    line = reports.librarian_line(i % 5 != 0, i % 3, F.lit(7), F.lit(1), F.lit(2), F.lit(3), F.lit(4))
+    return table(spark, sf_dir, "documents").select("doc_id", f.alias("f"), line.alias("l")).select("doc_id", reports.funnel_line(F.col("f"), F.col("l")).alias("line"))
 
 
 # --- rankings ---------------------------------------------------------------------------------------------------------------
@@ -520,12 +657,12 @@ def preferred_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH w AS (SELECT 'a' AS s, doc_id AS id, unnest(regexp_extract_all(lower(substr(text, 1, 400)), '[\\p{L}\\p{N}]+')) AS w FROM documents UNION ALL
- SELECT 'b', d.doc_id, unnest(regexp_extract_all(lower(b.text), '[\\p{L}\\p{N}]+')) FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
+WITH w AS (SELECT 'a' AS s, doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents UNION ALL
+ SELECT 'b', d.doc_id, unnest(regexp_extract_all(lower(b.text), '[\\p{L}\\p{N}]+')) FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id),
 c AS (SELECT id, w, count(*) FILTER (WHERE s = 'a') AS x, count(*) FILTER (WHERE s = 'b') AS y FROM w GROUP BY 1, 2)
 SELECT id AS doc_id, CAST(sum(least(x, y)) AS BIGINT) AS overlap, CAST(sum(x) AS BIGINT) AS n_a, CAST(sum(y) AS BIGINT) AS n_b, 2 * CAST(sum(least(x, y)) AS DOUBLE) / (sum(x) + sum(y)) AS f1 FROM c GROUP BY id""")
 def multiset_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("text"), (F.col("doc_id") % 40).alias("item_id"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % _dealt(spark, sf_dir)).alias("item_id"))
     gold = d.select("doc_id", "item_id").join(joins.small(table(spark, sf_dir, "benchmark")), "item_id")
     return coverage.multiset_overlap(d, gold, "doc_id", evaluation.f1_words(F.col("text")), evaluation.f1_words(F.col("text")))
 
