@@ -16,15 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import released, table, written
 
 MASKS = ("11111", "1101011", "110111")
 WORDS, WINDOW = 5, 12
 #: Bytes of benchmark text that one wave sends to every task at most, and tokens of documents that are looked at together.
 WAVE_BYTES, TOGETHER = 64 << 20, 1 << 20
+#: Hits that are expanded together: a phrase that many items share meets each of them wherever a document repeats it.
+HITS = 1 << 20
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,11 +76,16 @@ class Seeds:
             low, high = np.searchsorted(keys, hashes, "left"), np.searchsorted(keys, hashes, "right")
             hit = high > low
             where, low, count = where[hit], low[hit], (high - low)[hit]
-            each = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            place = np.repeat(where, count)
-            doc = np.searchsorted(owner_ends, place, "right")
-            inside = place + ones[-1] < owner_ends[doc]
-            pairs.append(np.stack([doc, item[each], place - at[each]])[:, inside])
+            if not len(where):
+                continue
+            for part in np.split(np.arange(len(where)), np.flatnonzero(np.diff(np.cumsum(count) // HITS)) + 1):
+                n_of = count[part]
+                each = np.repeat(low[part] - (np.cumsum(n_of) - n_of), n_of) + np.arange(n_of.sum())
+                place = np.repeat(where[part], n_of)
+                doc = np.searchsorted(owner_ends, place, "right")
+                inside = place + ones[-1] < owner_ends[doc]
+                if inside.any():
+                    pairs.append(np.unique(np.stack([doc, item[each], place - at[each]])[:, inside], axis=1))
         if not pairs:
             return
         seen: set[tuple[int, int]] = set()
@@ -121,11 +129,16 @@ def leaked(docs: DataFrame, benchmark: DataFrame, column: str = "leaked_items",
     for w in range(waves):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(waves)) == w) if waves > 1 else items
         rows = [(r["item_id"], r["text"]) for r in part.collect()]  # at most about ``wave_bytes``
-        out = _wave(spark, out, sorted(rows), kept, column, text_col)
+        before, (out, held) = out, _wave(spark, out, sorted(rows), kept, column, text_col)
+        if waves > 1:  # one wave at a time, on the driver as in the tasks
+            out = written(out)
+            held.destroy()
+            if w:
+                released(before)
     return out
 
 
-def _wave(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]], kept: list[str], column: str, text_col: str) -> DataFrame:
+def _wave(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]], kept: list[str], column: str, text_col: str) -> tuple[DataFrame, Broadcast]:
     sent = spark.sparkContext.broadcast(items)
     memo: list[Seeds] = []
 
@@ -157,7 +170,7 @@ def _wave(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]], ke
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([sorted(x) for x in held], pa.list_(pa.int64()))], names=[*kept, column])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.mapInArrow(run, f"{schema}, `{column}` array<long>")
+    return docs.mapInArrow(run, f"{schema}, `{column}` array<long>"), sent
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,26 +2,22 @@
 
 A line is the set of its character shingles: every run of ``SHINGLE`` characters, at every offset, in lower case and with one space
 for each run of white space.  Lines are alike from a Jaccard index of ``threshold`` (0.8) on; equal lines
-are alike too.  A signature holds the smallest shingle hash under each of ``ORDERS`` orders.  Each of eight bands takes three of them of its own:
-a pair at the threshold misses all bands with probability 0.0032, one at 0.85 with 0.0005.  Lines that share a band are
-candidates if their signatures, by two bits of each place, differ in at most ``APART`` places, which a pair at the threshold fails with
-probability 0.0003; every candidate is then compared exactly, shingle by shingle (64-bit hashes of them), before it makes a link.  Links go to
+are alike too.  A signature holds the smallest shingle hash under each of ``ORDERS`` orders.  Every band takes four of them, in a cyclic
+pattern in which two bands have at most two in common: a pair at the threshold misses all thirteen bands with probability 0.0046, one at 0.85
+with 0.0006.  Lines that share a band are candidates if their signatures agree in 18 of 32 places at least (judged by four bits of each), which a
+pair at the threshold fails with probability 0.0002; every candidate is then compared exactly before it makes a link.  In each band all
+lines are first compared with one of them; what components that leaves apart is then compared across all lines of the band.  Links go to
 connected components, and of each component the line of the smallest document id and position stays.
 
-Signatures, groups of a band and exact comparisons run in Arrow batches: rows of shingles in Spark's own functions give the
-same result at several times the limits of time and disk (README.md has the figures).  Joins, aggregates and union-find are DataFrame operations.
-A line's occurrences never meet: a task looks at equal lines once, and what is exchanged is hashes, so a
-line that a third of all documents share costs no more than another.  A band's lines come sorted, in batches; bands of many lines are dealt
-to many tasks, where a band's lines are only compared with one of them, and what that leaves apart is compared block by block.
+Main path: DataFrame functions only.  A line's occurrences never meet: partial aggregation makes one row of equal lines before anything is
+exchanged, so a line that a third of all documents share costs no more than another.  Shingles are rows of generated code, not elements
+of arrays: partial aggregation turns them into signatures in the task that made them, and they are never exchanged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,419 +25,239 @@ from ._shared import SENT_BYTES, durable, released, sent, table, written
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Orders of the shingle hashes; band k has the orders k, k + BANDS and k + 2 * BANDS.
-ORDERS, BANDS = 64, 8
-#: How many places of two candidates' signatures may differ in their last two bits.
-APART = 20
-#: Lines of a band up to which all pairs are looked at together; beyond, each is compared with one, and ``_rest`` does what is left.
-LARGE = 256
-#: Lines of a band, as counted among one in ``SAMPLE`` of them, from which on the band is dealt to many tasks.  That decides who does the work, not what is found.
-SAMPLE, HOT = 64, 64
-#: Lines of a block, where what is left apart is compared with all lines of a band, and lines outside the band's most frequent component in it.
-BLOCK, FEW = 4096, 256
-#: Characters whose shingles are looked at together; lines that a task remembers to have seen.
-TOGETHER, SEEN = 1 << 18, 300_000
-_PAD = "￿"
-_ODD_ASCII = ("  ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
-_ODD = (*_ODD_ASCII, "\x85", "\xa0", " ", " ", " ", " ", " ", "　", *map(chr, range(0x2000, 0x200B)))
-_GOLDEN = 0x9E3779B97F4A7C15
-
-
-def plain_lines(text: str) -> list[str]:
-    """The lines of a text, in lower case and with single spaces."""
-    low = text.lower()
-    if any(x in low for x in (_ODD_ASCII if low.isascii() else _ODD)):
-        return [" ".join(x.split()) for x in low.split("\n")]
-    return [x.strip(" ") for x in low.split("\n")]
-
-
-def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The characters of all lines in a row, and where each line's shingles start and end; shorter lines are filled up to one shingle."""
-    full = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, _PAD) for x in lines]
-    sizes = np.fromiter(map(len, full), np.int64, len(full))
-    starts = np.cumsum(sizes) - sizes
-    return np.frombuffer("".join(full).encode("utf-32-le"), np.uint32), starts, starts + sizes - (SHINGLE - 1)
-
-
-def signatures(lines: list[str]) -> np.ndarray:
-    """A row of ``ORDERS`` values for each line.
-
-    An order compares 32-bit hashes after flipping the bits of a constant; the constants, multiples of the golden ratio's fraction,
-    part in their first bits, so that different orders choose in different regions of the hashes.
-    """
-    codes, starts, ends = _codes(lines)
-    n = len(codes) - SHINGLE + 1
-    h = codes[:n].copy()
-    for k in range(1, SHINGLE):
-        h *= np.uint32(0x85EBCA6B)
-        h ^= h >> np.uint32(15)
-        h += codes[k : n + k]
-    for by, shift in ((0xC2B2AE35, 16), (0x27D4EB2F, 13), (0x165667B1, 16)):
-        h *= np.uint32(by)
-        h ^= h >> np.uint32(shift)
-    cuts = np.stack([starts, ends], 1).ravel()
-    cuts = cuts[:-1] if cuts[-1] >= n else cuts
-    out = np.empty((len(lines), ORDERS), np.uint32)
-    flipped = np.empty_like(h)
-    for j in range(ORDERS):
-        np.bitwise_xor(h, np.uint32((2 * j + 1) * _GOLDEN >> 32 & 0xFFFFFFFF), out=flipped)
-        out[:, j] = np.minimum.reduceat(flipped, cuts)[::2]
-    return out
+#: Orders of the shingle hashes, and the bands' places in the signature: band k has the places 2k + each of these, counted round.
+ORDERS, BANDS, PLACES = 32, 13, (0, 1, 6, 9)
+#: How many ways of turning a hash there are; as many orders share one as it takes.
+TURNS = 4
+#: How many of the 32 places may differ in their last four bits.
+APART = 14
+#: Characters whose shingles one regular expression match cuts out together.
+CHUNK = 24
+#: Members of a band up to which candidates are handed on as pairs; beyond, they are compared where they meet, block by block.
+LARGE = 128
+#: Members of a band on either side of such a block.
+BLOCK = 1024
+#: 64-bit words of the bitmap that rules pairs out before they are compared.
+BITMAP = 32
+#: White space other than single spaces.
+SPACES = ("  ", "\t", "\r", "\x0b", "\x0c")
+
+
+def _signed(x: int) -> int:
+    x %= 1 << 64
+    return x - ((x >> 63) << 64)
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key, tag, pos, line of every line.  key and tag, 96 bits of hash, stand for a row of ``docs``; they are made before lines are."""
+    id_, text = F.col(id_col), F.col(text_col)
+    doc = docs.select(id_.alias("doc_id"), F.xxhash64(id_, text).alias("key"), F.hash(text, id_).alias("tag"), F.split(text, "\n").alias("lines"))
+    return doc.select("doc_id", "key", "tag", F.posexplode("lines").alias("pos", "line"))
 
 
-def _marks(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """near, two words: two bits of each of a signature's places; and the bands' hashes."""
-    v = signatures(lines).astype(np.uint64)
-    two = ((v & np.uint64(3)) << (2 * (np.arange(ORDERS, dtype=np.uint64) % np.uint64(32)))).reshape(len(lines), 2, 32)
-    near = two.sum(2, dtype=np.uint64)
-    bands = np.empty((len(lines), BANDS), np.uint64)
-    for k in range(BANDS):
-        x = np.full(len(lines), k + 1, np.uint64)
-        for j in (k, k + BANDS, k + 2 * BANDS):
-            x = (x ^ v[:, j]) * np.uint64(_GOLDEN)
-            x ^= x >> np.uint64(29)
-        bands[:, k] = x
-    return near.view(np.int64), bands.view(np.int64)
-
-
-def _apart(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
-    """In how many places two signatures differ, by the words of both."""
-    out = np.zeros((), np.uint8)
-    for m, n in zip(a, b, strict=True):
-        x = (m ^ n).view(np.uint64)
-        out = out + np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555))
-    return out
+def _taking_part(lines: DataFrame) -> DataFrame:
+    """``lines`` that take part, all that are not blank, in lower case and with single spaces; uid is the 64-bit hash of the line."""
+    odd = reduce(lambda a, b: a | b, (F.col("line").contains(x) for x in SPACES))
+    plain = F.when(odd, F.regexp_replace(F.lower("line"), r"\s+", " ")).otherwise(F.lower("line"))
+    return lines.withColumn("line", F.trim(plain)).where(F.col("line") != "").withColumn("uid", F.xxhash64("line"))
 
 
-def _keyed(id_col: str, text_col: str) -> list[Column]:
-    """key and tag, 96 bits of hash, stand for a row of ``docs``."""
-    id_, text = F.col(id_col), F.col(text_col)
-    return [F.xxhash64(id_, text).alias("key"), F.hash(text, id_).alias("tag")]
+def shingles(line: Column) -> Column:
+    """A line's shingles; repeated ones repeat.  A line shorter than a shingle is its only one."""
+    runs = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(runs)
+
+
+def _signatures(lines: DataFrame) -> DataFrame:
+    """uid, n and the columns v0, v1, ... of ``lines`` (uid, n, line), which have different uids.
 
+    An order compares hashes after turning them by some of their bits and flipping the bits of a constant; the constants, multiples of the
+    golden ratio's fraction, part in their first bits, so that the few orders of one turn choose in different regions of the hashes.
+    """
+    chunk = F.regexp_extract_all("line", F.lit(rf"(?s)(?=(.{{{SHINGLE},{CHUNK + SHINGLE - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
+    parts = lines.select("uid", "n", F.explode(F.when(F.length("line") < SHINGLE, F.array("line")).otherwise(chunk)).alias("part"))
+    starts = parts.select("uid", "n", "part", F.explode(F.sequence(F.lit(1), F.greatest(F.length("part") - (SHINGLE - 1), F.lit(1)))).alias("at"))
+    hashed = starts.select("uid", "n", F.xxhash64(F.substring("part", F.col("at"), F.lit(SHINGLE))).alias("h0"))
+    turned = lambda by: F.call_function("shiftleft", F.col("h0"), F.lit(by)).bitwiseOR(F.call_function("shiftrightunsigned", F.col("h0"), F.lit(64 - by)))
+    hashed = hashed.select("uid", "n", "h0", *[turned(64 * k // TURNS).alias(f"h{k}") for k in range(1, TURNS)])
+    flips = [F.lit(_signed((2 * (j // TURNS) + 1) * 0x9E3779B97F4A7C15)) for j in range(ORDERS)]
+    return hashed.groupBy("uid").agg(F.first("n").alias("n"), *[F.min(F.col(f"h{j % TURNS}").bitwiseXOR(flip)).alias(f"v{j}") for j, flip in enumerate(flips)])
+
+
+def _marks() -> list[Column]:
+    """near0, near1: four bits of each of the signature's places; bands: the bands' hashes."""
+    places = range(ORDERS)
+    four = [F.call_function("shiftleft", F.col(f"v{j}").bitwiseAND(F.lit(15)), F.lit(4 * (j % 16))) for j in places]
+    near = [reduce(lambda a, b: a.bitwiseOR(b), four[k : k + 16]).alias(f"near{k // 16}") for k in (0, 16)]
+    bands = [F.xxhash64(F.lit(k), *[F.col(f"v{(2 * k + p) % ORDERS}") for p in PLACES]) for k in range(BANDS)]
+    return [*near, F.array(*bands).alias("bands")]
+
+
+def _near(l: str, r: str) -> Column:
+    """If two signatures differ in few enough places."""
+    apart = []
+    for k in range(2):
+        x = F.col(f"{l}.near{k}").bitwiseXOR(F.col(f"{r}.near{k}"))
+        x = x.bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(1)))
+        x = x.bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(2)))
+        apart.append(F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))))
+    return apart[0] + apart[1] <= APART
+
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """uid, n, near0, near1, bands: every different line of ``lines`` (line, uid), and how often it is there.
+
+    Different lines of one 64-bit hash, told apart by 32 bits more, are left out: they stay wherever they are.
+    """
+    every = lines.select("uid", "line", F.hash("line").alias("other"))
+    one = every.groupBy("uid").agg(F.min("line").alias("line"), F.count("*").alias("n"), F.min("other").alias("other"), F.max("other").alias("another"))
+    return _signatures(one.where("other = another")).select("uid", "n", *_marks())
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """a, b: candidates among the ``members`` (uid, near0, near1, band, size) of common bands, in the larger bands with the smallest uid only."""
+    few, many = members.where(F.col("size") <= LARGE), members.where(F.col("size") > LARGE)
+    l, r = few.alias("l"), few.alias("r")
+    small = l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.uid") < F.col("r.uid")) & _near("l", "r"))
+    least = many.groupBy("band").agg(F.min("uid").alias("uid"), *[F.min_by(c, "uid").alias(c) for c in ("near0", "near1")])
+    star = least.alias("l").join(many.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.uid") < F.col("r.uid")) & _near("l", "r"))
+    of = [F.col("l.uid").alias("a"), F.col("r.uid").alias("b")]
+    return small.select(*of).unionByName(star.select(*of)).distinct()
 
-def placed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, tag, pos, uid, other, near0, near1, bands, line of every line that is not blank.
 
-    uid and other are 64 and 32 bits of the line's hash.  near0, near1, bands and line are null for lines that the task has seen before.
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """uid, size, map: 64-bit words of bits that say for each residue of the set members (uid, x; distinct) if an odd number of them has it.
+
+    Two sets differ in as many members as bits, at least.
     """
+    word, bit = F.col("x").bitwiseAND(F.lit(BITMAP - 1)), F.shiftright("x", BITMAP.bit_length() - 1).bitwiseAND(F.lit(63)).cast("int")
+    cut = sets.select("uid", word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
+    words = [F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(BITMAP)]
+    return cut.groupBy("uid").agg(F.count("*").cast("int").alias("size"), *words).select("uid", "size", F.array(*[f"w{k}" for k in range(BITMAP)]).alias("map"))
+
+
+def _possible(l: str, r: str, threshold: float) -> Column:
+    """If sizes and bitmaps allow two sets to be alike; they never rule out an alike one."""
+    differ = F.zip_with(F.col(f"{l}.map"), F.col(f"{r}.map"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(differ, F.lit(0), lambda a, x: a + x)
+    # At a Jaccard index of t, sets of x and y members differ in (1 - t) / (1 + t) * (x + y) of them.
+    room = (1 - threshold) * (F.col(f"{l}.size") + F.col(f"{r}.size")) + 1e-6
+    return (F.abs(F.col(f"{l}.size") - F.col(f"{r}.size")) * (1 + threshold) <= room) & (apart * (1 + threshold) <= room)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-
-        seen: set[bytes] = set()
-        for b in batches:
-            texts = b.column("text")
-            at = 0
-            while at < b.num_rows:
-                owner: list[int] = []
-                places: list[int] = []
-                digests: list[bytes] = []
-                fresh: list[int] = []
-                new: list[str] = []
-                size = 0
-                while at < b.num_rows and size < TOGETHER:
-                    text = texts[at].as_py()
-                    for pos, line in enumerate(plain_lines(text) if text else ()):
-                        if line:
-                            digest = xxh3_128_digest(line.encode())
-                            if digest not in seen:
-                                seen.add(digest)
-                                fresh.append(len(owner))
-                                new.append(line)
-                                size += len(line)
-                            owner.append(at)
-                            places.append(pos)
-                            digests.append(digest)
-                    size += 64
-                    at += 1
-                if len(seen) > SEEN:
-                    seen.clear()
-                if not owner:
-                    continue
-                parts = np.frombuffer(b"".join(digests), np.dtype([("uid", "<i8"), ("other", "<i4"), ("none", "<i4")]))
-                full_near, full_bands, new_at = np.zeros((2, len(owner)), np.int64), np.full(len(owner) + 1, 0, np.int32), np.zeros(len(owner), bool)
-                flat = np.zeros(0, np.int64)
-                if new:
-                    near, bands = _marks(new)
-                    full_near[:, fresh], new_at[fresh], flat = near.T, True, bands.ravel()
-                np.cumsum(new_at * BANDS, out=full_bands[1:])
-                listed = pa.ListArray.from_arrays(pa.array(full_bands, pa.int32()), pa.array(flat, pa.int64()))
-                who = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(b.column(c).take(who) for c in ("doc_id", "key", "tag")),
-                        pa.array(places, pa.int32()), pa.array(parts["uid"].copy()), pa.array(parts["other"].copy()), *(pa.array(x, mask=~new_at) for x in full_near), listed,
-                        pa.array(new, pa.string()).take(pa.array(np.cumsum(new_at) - 1, mask=~new_at)),
-                    ],
-                    names=["doc_id", "key", "tag", "pos", "uid", "other", "near0", "near1", "bands", "line"],
-                )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("doc_id"), *_keyed(id_col, text_col), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, f"doc_id {kind}, key long, tag int, pos int, uid long, other int, near0 long, near1 long, bands array<long>, line string")
-
-
-def _grouped(rows: DataFrame) -> DataFrame:
-    """a, b: candidates among ``rows`` (band, salt, uid, near0, near1); and a, band, near0, near1, with b null: the members of groups that are not compared in full."""
-
-    def pairs_of(gid: np.ndarray, uid: np.ndarray, near: list[np.ndarray], size: np.ndarray) -> np.ndarray:
-        """Pairs within groups of at most ``LARGE``: each row with the one ``lag`` rows on, as long as that is in its group."""
-        last = np.cumsum(size)[gid]
-        left = np.arange(len(uid))
-        out = []
-        for lag in range(1, LARGE):
-            left = left[left + lag < last[left]]
-            if not len(left):
-                break
-            close = left[_apart([x[left] for x in near], [x[left + lag] for x in near]) <= APART]
-            out.append(np.stack([uid[close], uid[close + lag]]))
-        return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-
-    def batch(pairs: np.ndarray, members: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
-        n, m = pairs.shape[1], len(members[0])
-        a = np.concatenate([pairs[0], members[0]])
-        b = np.concatenate([pairs[1], np.zeros(m, np.int64)])
-        is_member = np.arange(n + m) >= n
-        more = [pa.array(np.concatenate([np.zeros(n, np.int64), x]), mask=~is_member) for x in members[1:]]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=is_member), *more], names=["a", "b", "band", "near0", "near1"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("band", "salt", "uid", "near0", "near1")
-        held = [np.zeros(0, np.int64)] * 5
-        centre: tuple | None = None  # band, salt, uid and signature of the group that is under way, if its rows so far are too many to hold
-
-        def work(cols: list[np.ndarray], ended: bool) -> pa.RecordBatch:
-            """All groups of ``cols``; more of the last one may follow if it has not ``ended``."""
-            nonlocal centre
-            band, salt, uid, *near = cols
-            again = np.zeros(len(uid), bool)
-            again[1:] = (uid[1:] == uid[:-1]) & (band[1:] == band[:-1]) & (salt[1:] == salt[:-1])
-            band, salt, uid, *near = (c[~again] for c in cols)
-            first = np.ones(len(uid), bool)
-            first[1:] = (band[1:] != band[:-1]) | (salt[1:] != salt[:-1])
-            at = np.flatnonzero(first)
-            size = np.diff(np.append(at, len(uid)))
-            gid = np.cumsum(first) - 1
-            many = (size > LARGE) | (salt[at] > 0)
-            goes_on = centre is not None and len(at) > 0 and (band[0], salt[0]) == centre[:2]
-            if goes_on:
-                many[0] = True
-            if not ended:
-                many[-1] = True
-            head_uid, head_near = uid[at], [x[at] for x in near]
-            if goes_on:
-                for head, x in zip([head_uid, *head_near], centre[2:], strict=True):
-                    head[0] = x
-            in_many = many[gid]
-            close = in_many & (_apart(near, [x[gid] for x in head_near]) <= APART)
-            star = np.stack([head_uid[gid[close]], uid[close]])
-            star.sort(axis=0)
-            few = ~in_many
-            number = np.cumsum(~many) - 1
-            pairs = pairs_of(number[gid[few]], uid[few], [x[few] for x in near], size[~many])
-            if len(at):
-                centre = (band[-1], salt[-1], head_uid[-1], *(x[-1] for x in head_near))
-            return batch(np.concatenate([star, pairs], axis=1), [x[in_many] for x in (uid, band, *near)])
-
-        for b in batches:
-            cols = [np.concatenate([h, b.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, names, strict=True)]
-            if not len(cols[0]):
-                continue
-            open_at = int(np.argmax((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])))
-            group = (cols[0][-1], cols[1][-1])
-            if len(cols[0]) - open_at > LARGE or (centre is not None and centre[:2] == group):
-                yield work(cols, False)  # what follows of the last group is compared with its centre
-                held = [c[:0] for c in cols]
-            else:
-                if open_at:
-                    yield work([c[:open_at] for c in cols], True)
-                held = [c[open_at:] for c in cols]
-        if len(held[0]):
-            yield work(held, True)
-
-    ready = rows.repartition("band", "salt").sortWithinPartitions("band", "salt", "uid").select("band", "salt", "uid", "near0", "near1")
-    return ready.mapInArrow(run, "a long, b long, band long, near0 long, near1 long")
-
-
-def shingle_set(line: str) -> np.ndarray:
-    """The different shingles of a plain line, as sorted 64-bit hashes."""
-    codes, _, ends = _codes([line])
-    n = int(ends[0])
-    h = codes[:n].astype(np.uint64)
-    for k in range(1, SHINGLE):
-        h = h * np.uint64(_GOLDEN) + codes[k : n + k]
-        h ^= h >> np.uint64(31)
-    h.sort()
-    return h[np.append(True, h[1:] != h[:-1])]
+
+def _ruled(pairs: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
+    """The ``pairs`` (a, b) that sizes and bitmaps do not rule out."""
+    l, r = pairs.join(maps.withColumnRenamed("uid", "a"), "a").alias("l"), maps.withColumnRenamed("uid", "b").alias("r")
+    return written(l.join(r, F.col("l.b") == F.col("r.b")).where(_possible("l", "r", threshold)).select("l.a", "l.b"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose lines in ``texts`` (uid, line) are alike."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: tuple[int, np.ndarray] | None = None
-        for b in batches:
-            a, other = b.column("a").to_pylist(), b.column("b").to_pylist()
-            alike = []
-            for k, (u, x, y) in enumerate(zip(other, b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
-                if own is None or own[0] != u:
-                    own = (u, shingle_set(y))
-                mine, its = shingle_set(x), own[1]
-                least, most = sorted((len(mine), len(its)))
-                if least >= threshold * most:
-                    place = np.searchsorted(its, mine)
-                    place[place == len(its)] = 0
-                    both = int((its[place] == mine).sum())
-                    if both >= threshold * (least + most - both):
-                        alike.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([c[k] for k in alike], pa.int64()) for c in (a, other)], names=["a", "b"])
-
-    x, y = texts.select(F.col("uid").alias("a"), F.col("line").alias("x")), texts.select(F.col("uid").alias("b"), F.col("line").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """uid, line of the ``wanted`` (uid) lines."""
-    found = sent(lines.where("line IS NOT NULL").select("uid", "line"), wanted, "uid", row=16)
-    return found.groupBy("uid").agg(F.min("line").alias("line"))
-
-
-def _sets(texts: DataFrame) -> DataFrame:
-    """uid and set, the hashes of the shingles, of ``texts`` (uid, line)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingle_set(x).view(np.int64) for x in b.column("line").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(found, pa.list_(pa.int64()))], names=["uid", "set"])
-
-    return texts.select("uid", "line").mapInArrow(run, "uid long, set array<long>")
-
-
-def _blocks(few: pa.Table, every: pa.Table) -> np.ndarray:
-    """For each row of ``few`` and of ``every``: if they are of different components and, where signatures are given, candidates."""
-    column = lambda t, c: t.column(c).to_numpy()
-    out = column(few, "root")[:, None] != column(every, "root")
-    near = [c for c in few.column_names if c.startswith("near")]
-    if near:
-        out &= _apart([column(few, c)[:, None] for c in near], [column(every, c) for c in near]) <= APART
-    return out
+    """The ``pairs`` (a, b) whose lines in ``texts`` (uid, line, size) are alike, by their shingles themselves."""
+    side = lambda end, line: texts.select(F.col("uid").alias(end), F.col("line").alias(line), F.col("size").alias(f"size_{end}"))
+    common = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))
+    counted = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", common.alias("common"), (F.col("size_a") + F.col("size_b")).alias("both"))
+    return written(counted).where(F.col("common") >= threshold * (F.col("both") - F.col("common"))).select("a", "b")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """uid, root of every line that has a link."""
+    return durable(components(links, "a", "b")).withColumnRenamed("node", "uid")
 
 
-def _sided(block: pa.Table) -> tuple[pa.Table, pa.Table]:
-    return block.filter(block.column("few")), block.filter(pa.compute.invert(block.column("few")))
 
+def _alike(x: str, y: str, threshold: float) -> Column:
+    both = F.size(F.array_intersect(x, y))
+    return both >= threshold * (F.size(x) + F.size(y) - both)
 
-def _rest(members: DataFrame, found: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame], threshold: float, roots: DataFrame | None = None) -> DataFrame:
+
+def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, threshold: float, roots: DataFrame | None = None) -> DataFrame:
     """a, b: links between the components that ``found`` leaves in a band, so that with them no two alike lines of a band are apart.
 
-    Of every band that has several components, the lines outside its most frequent one are compared with all lines, block by block; with
-    signatures in ``members``, only candidates are.  Signatures alone tell first which lines of a block have any candidate: only their
-    sets (uid, set) are sent to it, of the table ``sets`` or as it gives them for a table of uids.  Pairs of lines are never handed on, but the
-    components of alike ones.
+    Of every band in which not all pairs were compared, the lines outside its most frequent component are compared with all lines of
+    other components, block by block; with signatures and bands in ``members``, only candidates are.  A pair is first ruled out by its sizes and
+    bitmaps, which never rules out an alike one, and only the components of alike pairs are handed on.
     """
     roots = _roots(found) if roots is None else roots
-    known = [c for c in members.columns if c.startswith("near")]
+    known = [c for c in ("near0", "near1", "bands") if c in members.columns]
     placed = members.join(roots, "uid", "left").select("uid", "band", F.coalesce("root", "uid").alias("root"), *known)
     counts = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     told = counts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
     mixed = durable(told.where("most < n"))
     if mixed.isEmpty():
         return found.limit(0)
-    here = sent(placed, mixed, "band")
-    here = here.withColumn("across", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("down", F.ceil((F.col("n") - F.col("most")) / FEW).cast("int"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    here = sent(placed, mixed, "band").withColumn("across", blocks(F.col("n"))).withColumn("down", blocks(F.col("n") - F.col("most")))
+    here = written(here.select("band", "uid", "root", "main", "across", "down", *known))
+    used = sets.join(here.select("uid").distinct(), "uid", "left_semi")
+    maps = _bitmaps(used.select("uid", F.explode("set").alias("x")).withColumn("x", F.col("x").cast("long")))
+    mapped = written(used.join(maps, "uid"))
+    full = here.join(mapped, "uid")
     part = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    few = here.where("root <> main").select("band", part(F.col("down")).alias("i"), each(F.col("across")).alias("j"), "uid", "root", *known, F.lit(True).alias("few"))
-    every = here.select("band", each(F.col("down")).alias("i"), part(F.col("across")).alias("j"), "uid", "root", *known, F.lit(False).alias("few"))
-    both = few.unionByName(every)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema)
-
-    def close(block: pa.Table) -> pa.Table:
-        few, every = _sided(block)
-        meet = _blocks(few, every)
-        return pa.concat_tables([few.filter(pa.array(meet.any(1))), every.filter(pa.array(meet.any(0)))])
-
-    def alike(block: pa.Table) -> pa.Table:
-        few, every = (t.combine_chunks() for t in _sided(block))
-        if not len(few) or not len(every):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        meet = _blocks(few, every)
-        members_of = lambda t: [x.values.to_numpy() for x in t.column("set")]
-        mine, theirs = members_of(few), members_of(every)
-        values, of = np.concatenate(mine), np.repeat(np.arange(len(mine)), list(map(len, mine)))
-        known = np.unique(values)
-        has = np.zeros((len(known), len(mine)), np.uint8)
-        has[np.searchsorted(known, values), of] = 1
-        sizes = np.array(list(map(len, mine)))
-        for k, x in enumerate(theirs):
-            at = np.searchsorted(known, x)
-            at[at == len(known)] = 0
-            common = has[at[known[at] == x]].sum(0, dtype=np.int64)
-            meet[:, k] &= common >= threshold * (sizes + len(x) - common)
-        l, r = np.nonzero(meet)
-        ends = np.stack([few.column("root").to_numpy()[l], every.column("root").to_numpy()[r]])
-        ends.sort(axis=0)
-        ends = np.unique(ends, axis=1)
-        return pa.table({"a": ends[0], "b": ends[1]})
-
-    if known:
-        both = durable(both.groupBy("band", "i", "j").applyInArrow(close, schema))
-    full = both.join(sets(both.select("uid").distinct()) if callable(sets) else sets, "uid")
-    return durable(full.groupBy("band", "i", "j").applyInArrow(alike, "a long, b long").distinct())
-
-
-def _roots(links: DataFrame) -> DataFrame:
-    """uid, root of every line that has a link."""
-    return durable(components(links, "a", "b")).withColumnRenamed("node", "uid")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    carried = ["uid", "root", "set", "size", "map", *known]
+    few = full.where("root <> main").select("band", part(F.col("down")).alias("i"), every(F.col("across")).alias("j"), *carried)
+    all_ = full.select("band", every(F.col("down")).alias("i"), part(F.col("across")).alias("j"), (F.col("root") == F.col("main")).alias("in_main"), *carried)
+    few, all_ = few.alias("l"), all_.alias("r")
+    other = (F.col("l.root") != F.col("r.root")) & (F.col("r.in_main") | (F.col("l.uid") < F.col("r.uid")))
+    same = (F.col("l.band") == F.col("r.band")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
+    if known:  # only candidates, and each in the first band that it shares
+        shared = F.coalesce(*[F.when(F.get("l.bands", F.lit(k)) == F.get("r.bands", F.lit(k)), F.get("l.bands", F.lit(k))) for k in range(BANDS)])
+        other = other & _near("l", "r") & (shared == F.col("l.band"))
+    linked = few.join(all_, same & other & _possible("l", "r", threshold) & _alike("l.set", "r.set", threshold))
+    out = durable(linked.select(F.least("l.root", "r.root").alias("a"), F.greatest("l.root", "r.root").alias("b")).distinct())
+    released(mapped, here)
+    return out
 
 
-def line_roots(lines: DataFrame, threshold: float) -> DataFrame:
-    """uid, root of every line of ``lines`` that is linked to another one, through bands that alike lines have in common."""
-    held = lines.where("line IS NOT NULL").select("uid", "near0", "near1", F.explode("bands").alias("band"))
-    counted = held.where(F.pmod("uid", F.lit(SAMPLE)) == 0).groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") >= HOT)
-    hot = durable(counted.select("band", F.ceil(F.col("n") / HOT).cast("int").alias("salts")))
-    if hot.isEmpty():
-        dealt = held.withColumn("salt", F.lit(0).cast("long"))
-    else:
-        salt = F.when(F.col("salts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("uid"), F.col("salts")))
-        dealt = sent(held, hot, "band", "left").withColumn("salt", salt.cast("long"))
-    met = written(_grouped(dealt))
-    pairs = written(met.where("b IS NOT NULL").select("a", "b").distinct())
-    texts = written(_texts(lines, durable(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())))
+def line_roots(lines: DataFrame, marked: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """uid, root of every line that is linked to another one; and the lines of ``lines`` (places, line, uid) that are linked or repeated, as a written table."""
+    held = marked.select("uid", "near0", "near1", F.explode("bands").alias("band"))
+    shared = written(held.groupBy("band").agg(F.count("*").cast("int").alias("size")).where("size > 1"))
+    members = written(sent(held, shared, "band", row=16))
+    pairs = written(_pairs(members))
+    large = members.where(F.col("size") > LARGE).select("uid", "band")
+    tied = pairs.select(F.explode(F.array("a", "b")).alias("uid")).unionByName(large.select("uid")).distinct().withColumn("tied", F.lit(True))
+    wanted = written(marked.where("n > 1").select("uid").join(tied, "uid", "full"))
+    # Lines come from the texts again, those that are compared with their words: to carry them all this way would cost more.
+    placed = written(sent(lines, wanted, "uid", row=16).select("doc_id", "key", "tag", "pos", "uid", F.when(F.col("tied"), F.col("line")).alias("line")))
+    texts = placed.where("line IS NOT NULL").groupBy("uid").agg(F.min("line").alias("line"))
+    maps = _bitmaps(texts.select("uid", F.explode(F.array_distinct(shingles(F.col("line")))).alias("s")).select("uid", F.xxhash64("s").alias("x")))
+    maps = written(maps)
+    texts = written(texts.join(maps.select("uid", "size"), "uid"))
     # Every line is first compared with its candidate of the smallest uid; then candidates that this leaves in different components are.
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    found = written(_verified(first, texts, threshold))
+    found = _verified(first, texts, threshold)
     roots = _roots(found)
     root = lambda end: roots.select(F.col("uid").alias(end), F.col("root").alias(f"root_{end}"))
     ends = sent(sent(pairs, root("a"), "a", "left"), root("b"), "b", "left").join(first.withColumn("done", F.lit(True)), ["a", "b"], "left")
     apart = ends.where((F.coalesce("root_a", "a") != F.coalesce("root_b", "b")) & F.col("done").isNull()).select("a", "b")
-    more = written(_verified(apart, texts, threshold))
+    possible = _ruled(apart, maps, threshold)
+    more = _verified(possible, texts, threshold)
     kept = lambda: roots.where("uid <> root").select(F.col("root").alias("a"), F.col("uid").alias("b"))
     if not more.isEmpty():
         roots = _roots(kept().unionByName(more))
-    large = met.where("b IS NULL").select(F.col("a").alias("uid"), "band", "near0", "near1").distinct()
     if not large.isEmpty():
-        last = _rest(large, found, lambda uids: _sets(_texts(lines, uids)), threshold, roots)
+        of = texts.join(large.select("uid").distinct(), "uid", "left_semi")
+        sets = written(of.select("uid", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("set")))
+        full = sent(marked.select("uid", "near0", "near1", "bands"), large, "uid", row=16)
+        last = _rest(full, found, sets, threshold, roots)
         if not last.isEmpty():
             roots = _roots(kept().unionByName(last))
-    released(met, pairs, texts, found, more)
-    return roots
+        released(sets)
+    released(shared, members, pairs, wanted, maps, texts, found, possible, more)
+    return roots, placed
 
 
 def line_components(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, tag, pos, root: the component of every line of ``docs`` that is there more than once or is like another one.
+    """doc_id, key, tag, pos, root: the component of every line of ``docs`` that is there more than once or may be like another one.
 
-    Different lines of one 64-bit hash, told apart by 32 bits more, are left out: they stay wherever they are.  The table is written; whoever
-    has read it hands it to ``released``.
+    The table is written; whoever has read it hands it to ``released``.
     """
-    lines = written(placed_lines(docs, id_col, text_col))
-    roots = line_roots(lines, threshold)
-    told = lines.groupBy("uid").agg(F.count("*").alias("n"), F.min("other").alias("least"), F.max("other").alias("most")).where("n > 1")
-    told = told.select("uid", F.expr("least = most").alias("one"))
-    named = durable(told.join(roots, "uid", "full").where(F.coalesce("one", F.lit(True))).select("uid", F.coalesce("root", "uid").alias("root")))
-    out = written(sent(lines.select("doc_id", "key", "tag", "pos", "uid"), named, "uid", row=16).select("doc_id", "key", "tag", "pos", "root"))
-    released(lines)
+    lines = _taking_part(_lines(docs, id_col, text_col))
+    marked = written(distinct_lines(lines))
+    roots, placed = line_roots(lines, marked, threshold)
+    out = written(sent(placed.drop("line"), roots, "uid", "left", 16).select("doc_id", "key", "tag", "pos", F.coalesce("root", "uid").alias("root")))
+    released(marked, placed)
     return out
 
 

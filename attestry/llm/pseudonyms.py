@@ -186,17 +186,21 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
     """``docs`` with personal values in ``text_col`` replaced, and pii_kinds: the kind of every value replaced, in order.
 
     Whole texts are read.  A null text stays null and an empty one empty, both without kinds; an empty table gives no rows; repeated rows are
-    treated alike.  A column of ``docs`` named pii_kinds gives way to the new one, any other stays as it is.
+    treated alike.  A column of ``docs`` named pii_kinds gives way to the new one, any other stays as it is, whatever its name.
+    Telephones are numbers of ten digits in groups of three, three and four, with or without a country's code; other countries'
+    forms are not looked for.  The key is part of the plan: keep plans and event logs where the key may be kept.
     """
+    taken = {c.lower() for c in docs.columns}
+    cut, found_in = (next(n for n in (f"{name}{k or ''}" for k in range(len(taken) + 1)) if n not in taken) for name in ("__text", "__found"))
     text = F.col(text_col)
     carded = _rejoined(F.split(text, NUMBERS, -1), F.transform(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)), _cards_marked))
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all("__text", F.lit(ANY), F.lit(0)))
+    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(cut, F.lit(ANY), F.lit(0)))
     plain = lambda m: F.translate(m, OPEN + CLOSE, "")
-    marked = docs.withColumn("__text", F.when(text.rlike("[0-9](?:[ -]?[0-9]){12}"), carded).otherwise(text))
-    marked = marked.withColumn("__found", F.transform(F.transform(found, plain), lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))))
-    swapped = F.transform("__found", lambda x: pseudonym(x["m"], x["k"], key))
-    joined = _rejoined(F.split("__text", ANY, -1), swapped)
-    kinds = F.coalesce(F.filter(F.transform("__found", lambda x: x["k"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    marked = docs.withColumn(cut, F.when(text.rlike("[0-9](?:[ -]?[0-9]){12}"), carded).otherwise(text))
+    marked = marked.withColumn(found_in, F.transform(F.transform(found, plain), lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))))
+    swapped = F.transform(found_in, lambda x: pseudonym(x["m"], x["k"], key))
+    joined = _rejoined(F.split(cut, ANY, -1), swapped)
+    kinds = F.coalesce(F.filter(F.transform(found_in, lambda x: x["k"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
     return (
         marked.withColumn("pii_kinds", kinds)
         .withColumn(text_col, F.when(F.size("pii_kinds") > 0, joined).otherwise(text))

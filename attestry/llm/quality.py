@@ -191,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
     """Fit on at most ``sample`` labelled documents that are not held out.
 
     The sample is drawn from the labels before any text is read, so its ids are few enough to send to every task.  Rows of
-    ``labels`` with nulls are left out; a document labelled several times counts with its mean, above one half as 1.
+    ``labels`` with nulls are left out; a document labelled several times counts with its mean, above one half as 1.  Of rows of ``docs`` that
+    share an id, one text counts, so that the driver gets ``sample`` rows at most.
     """
     chosen = (
         labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
@@ -201,6 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
         .limit(sample)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text")).select("label", "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,7 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
 def scored(docs: DataFrame, model: Additive, threshold: float = 0.5, keep_text: bool = False) -> DataFrame:
     """doc_id, score and predicted for every row; with ``keep_text`` all columns of ``docs`` and these two.
 
-    Empty and null texts are scored like any other; an empty table gives no rows; repeated rows are scored each.
+    Empty, null and very long texts are scored like any other, each as a whole; an empty table gives no rows; repeated rows are scored each.
+    Columns of ``docs`` named score or predicted give way to the new ones.
     """
     given = docs if keep_text else docs.select("doc_id", "text")
     kept = [f.name for f in given.schema if keep_text and f.name not in ("score", "predicted") or f.name == "doc_id"]

@@ -12,13 +12,15 @@ Scores are exact integers.  The blocks' top k are merged by an ordinary ranking
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import table, written
 
 LEAF = 64
 #: So many balls of a few points in a row end the search for balls in a node.
@@ -179,7 +181,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
 
     Vectors that are null or hold a null, NaN or infinite component, and rows without an id, take no part; shorter vectors count as
     ended by zeros.  All rows of the query's own id are its own.  Ties go to the smaller id; repeated rows are
-    candidates each, and one query.  Fewer candidates than ``k`` give them all; an empty table gives no rows.
+    candidates each, and one query.  Fewer candidates than ``k`` give them all; an empty table gives no rows.  Queries beyond one
+    wave go wave by wave, each of which is written before the next one is sent.
     """
     spark = vectors.sparkSession
     x = F.col(vector_col)
@@ -189,19 +192,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     stated = usable.where("is_query").groupBy("vec_id").agg(F.min("raw").alias("raw"))
     told = stated.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("raw")), F.lit(1)).alias("width")).first()
     wave = max(64, min(wave, WAVE_BYTES // (8 * max(told["width"], 1))))
-    waves = max(1, -(-told["n"] // (wave // 2)))  # by hash, so half full on average: a wave that passes its bound fails the check below
-    out = None
-    for w in range(waves):
-        rows = stated.where(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == w).orderBy("vec_id").limit(wave + 1).collect()
-        if len(rows) > wave:
-            raise RuntimeError("a wave of queries passed its bound")
-        part = _wave(spark, usable, rows, k, scale)
+    out, rest = None, stated.toLocalIterator()  # the driver holds one partition's queries and one wave
+    while rows := list(islice(rest, wave)):
+        part, held = _wave(spark, usable, rows, k, scale)
+        if told["n"] > wave:
+            part = written(part)
+            held.destroy()
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        out, _ = _wave(spark, usable, [], k, scale)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _wave(spark: SparkSession, usable: DataFrame, rows: list, k: int, scale: int) -> DataFrame:
+def _wave(spark: SparkSession, usable: DataFrame, rows: list, k: int, scale: int) -> tuple[DataFrame, Broadcast]:
     q_ids = np.array([r["vec_id"] for r in rows], np.int64)
     raw = _matrix(pa.array([r["raw"] for r in rows], pa.list_(pa.float64()))) if rows else np.zeros((0, 0))
     sent = spark.sparkContext.broadcast((q_ids, np.floor(raw * scale)))  # at most WAVE vectors
@@ -246,7 +250,7 @@ def _wave(spark: SparkSession, usable: DataFrame, rows: list, k: int, scale: int
             if held_i:
                 yield flush()
 
-    return usable.select("vec_id", "raw").mapInArrow(run, "query_id long, vec_id long, score long")
+    return usable.select("vec_id", "raw").mapInArrow(run, "query_id long, vec_id long, score long"), sent
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,46 @@ def test_short_lines_take_part(spark):
     got = _left(spark, docs)
     assert got == _kept_lines(docs)
     assert got == {0: texts[0], 1: " \nab", 2: "\nabc"}
+
+
+def _family(rng, base, n, most):
+    """``n`` lines of ``base`` with up to ``most`` of its words changed: some reach 0.8 with each other, some do not."""
+    out = []
+    for _ in range(n):
+        w = base.split(" ")
+        for k in rng.sample(range(len(w)), rng.randrange(most + 1)):
+            w[k] = "".join(rng.choice("klmnop") for _ in range(6))
+        out.append(" ".join(w))
+    return out
+
+
+def test_large_families_lose_no_link(spark, monkeypatch):
+    """Ten thousand lines and families above every bound, against all pairs of each family; families have nothing in common."""
+    rng = random.Random(7)
+    letters = ["abcdefgh", "qrstuvwx"]
+    families = []
+    for f, alphabet in enumerate(letters):
+        word = lambda: "".join(rng.choice(alphabet) for _ in range(7))  # noqa: E731, B023
+        families.append(sorted(set(_family(rng, " ".join(word() for _ in range(30)), 500, 4))))
+    other = ["".join(rng.choice("0123456789yz ") for _ in range(80)) for _ in range(10_000)]
+    docs = [(k, x) for k, x in enumerate(x for f in families for x in f)]
+    docs += [(100_000 + k, "\n".join(other[k : k + 50])) for k in range(0, len(other), 50)]
+    want, first = {}, 0
+    for f in families:
+        sets = [_char_set(x) for x in f]
+        root = _groups(len(f), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+        want |= {first + k: f[k] if root[k] == k else "" for k in range(len(f))}
+        first += len(f)
+    assert 0 < sum(x == "" for x in want.values()) < len(want)
+    for large in (lines.LARGE, 16, 1000):
+        monkeypatch.setattr(lines, "LARGE", large)
+        got = _left(spark, docs)
+        lost = [k for k, x in want.items() if got[k] != x]
+        assert len(lost) <= 0.01 * len(want), (large, len(lost))
+        assert all(got[100_000 + k] == "\n".join(other[k : k + 50]) for k in range(0, len(other), 50))
+
+
+def test_hashes_that_meet(spark):
+    """Different lines of one 64-bit hash take no part: both stay."""
+    d = spark.createDataFrame([("one line here", 5), ("another line", 5), ("a third line", 6), ("a third line", 6)], "line string, uid long")
+    assert [(r["uid"], r["n"]) for r in lines.distinct_lines(d).collect()] == [(6, 2)]

@@ -158,3 +158,12 @@ def test_preferences(spark):
     (one,) = preferences.formatted(d, pairs).collect()
     assert one.asDict() == got[0].asDict()
     assert preferences.formatted_by_parity(d.limit(0)).collect() == []
+
+
+def test_topk_in_waves(spark):
+    """Many waves of queries give what one does."""
+    rng = random.Random(31)
+    rows = [(k, [rng.uniform(-1, 1) for _ in range(8)]) for k in range(400)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    find = lambda wave: sorted(map(tuple, topk.top_k(d, F.col("vec_id") % 2 == 0, 5, wave=wave).collect()))
+    assert find(64) == find(topk.WAVE) and len(find(64)) == 200 * 5

@@ -48,3 +48,30 @@ def test_stages(spark, tmp_path):
 
 def test_names():
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in registry.queries()}
+
+
+def _rows(df):
+    return sorted(map(repr, df.collect()))
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[1:4]])
+def test_stages_take_anything(spark, stage):
+    """Null and empty texts, null and repeated ids, repeated rows, clashing names, an empty table."""
+    word = " ".join(f"w{k}x" for k in range(40))
+    rows = [(1, word), (1, word), (1, "other words " * 9 + word[::-1]), (None, None), (2, None), (3, ""), (None, "only here " + word.upper()), (4, "z" * 50_000)]
+    d = spark.createDataFrame([(i, t, "a", 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, lines string, n_lines int, fp int, row int, leaked_items int")
+    out = stage(spark, d, str(DATA))
+    assert out.columns == d.columns
+    got = out.collect()
+    assert {r["fp"] for r in got} == {2} and {(r["doc_id"], r["text"]) for r in got} and stage(spark, d.limit(0), str(DATA)).collect() == []
+
+
+def test_one_document_of_each_group_stays(spark):
+    """Groups go by rows, not by ids: a text is never lost because its id is another group's."""
+    a, b = " ".join(f"a{k}" for k in range(300)), " ".join(f"b{k}" for k in range(300))
+    rows = [(3, a), (7, a), (7, b), (9, b + " more"), (3, a), (None, b), (None, None), (5, ""), (5, "")]
+    d = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, row int")
+    got = corpus_pipeline.keep_one_of_a_kind(spark, d, str(DATA)).collect()
+    codes = {t: simhash.fingerprint(t) for _, t in rows}
+    assert (codes[b] ^ codes[b + " more"]).bit_count() <= 4 and (codes[a] ^ codes[b]).bit_count() > 4
+    assert _rows(spark.createDataFrame(got, d.schema)) == _rows(spark.createDataFrame([(3, a, 0), (7, b, 0), (5, "", 0)], d.schema))

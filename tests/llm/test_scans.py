@@ -1,8 +1,11 @@
 """Secrets, pseudonyms, decontamination and quality against plain versions."""
 
+import hashlib
+import math
 import random
 import re
 import zlib
+from datetime import date, timedelta
 from itertools import combinations
 
 import numpy as np
@@ -178,3 +181,90 @@ def test_telephones_and_cards_wherever_they_stand(spark):
         assert ("phone" not in kinds or phone not in r["text"]) and ("card" not in kinds or card not in r["text"].replace(" ", ""))
         assert re.sub("[0-9]", "9", r["text"]) == re.sub("[0-9]", "9", text) or {"email", "address"} & set(kinds)
         assert kinds or r["text"] == text
+
+
+def test_scores_are_sums_of_tables(spark):
+    """Every score against a plain sum over the tables, text by text."""
+    rng = random.Random(15)
+    docs = [(k, " ".join(rng.choice(["Plain", "words", "of", "A", "text.", "!!", "1999", "the"]) for _ in range(rng.randrange(1, 60)))) for k in range(300)] + [(900, None), (901, "")]
+    d = spark.createDataFrame(docs + docs[:5], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int("!!" in t)) for k, t in docs[:300]], "doc_id long, quality int")
+    model = quality.train(d, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.scored(d, model).collect()}
+    for i, t in docs:
+        x = quality.features(t)
+        place = [sum(v >= e for e in edges) for v, edges in zip(x, model.edges, strict=True)]
+        total = model.intercept + sum(table[k] for table, k in zip(model.main, place, strict=True)) + sum(table[place[a]][place[b]] for a, b, table in model.pairs)
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))) < 1e-12
+
+
+def _feistel(left, right, size_left, size_right, tag):
+    for i in range(1, pseudonyms.ROUNDS + 1):
+        half = right if i % 2 else left
+        mixed = int(hashlib.sha256(f"{tag}:{i}:{half}".encode()).hexdigest()[:15], 16)
+        if i % 2:
+            left = (left + mixed % size_left) % size_left
+        else:
+            right = (right + mixed % size_right) % size_right
+    return left, right
+
+
+def _digits_for(digits, tag):
+    n = len(digits)
+    a = n // 2
+    l, r = _feistel(int(digits[:a]), int(digits[a:]), 10**a, 10 ** (n - a), f"{tag}:{n}")
+    return f"{l:0{a}d}{r:0{n - a}d}"
+
+
+def test_pseudonyms_are_a_plain_feistel_network(spark):
+    """Every kind against a plain version of the network, and that its values stay apart."""
+    rng = random.Random(25)
+    cards = []
+    while len(cards) < 40:
+        c = "".join(rng.choice("0123456789") for _ in range(16))
+        if _luhn(c):
+            cards.append(c)
+    phones = [f"{rng.randrange(1000):03d}-{rng.randrange(1000):03d}-{rng.randrange(10000):04d}" for _ in range(40)]
+    addresses = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(40)]
+    days = [str(date(1900, 1, 1) + timedelta(rng.randrange(pseudonyms.DATE_SIDE**2))) for _ in range(40)]
+    values = [(v, kind) for kind, vs in (("card", cards), ("phone", phones), ("address", addresses), ("date", days)) for v in vs]
+    d = spark.createDataFrame(values, "m string, kind string")
+    got = {(r["m"], r["kind"]): r["p"] for r in d.select("m", "kind", pseudonyms.pseudonym(F.col("m"), F.col("kind"), "key").alias("p")).collect()}
+
+    def want(m, kind):
+        tag, digits = f"key:{kind}", re.sub("[^0-9]", "", m)
+        if kind == "card":
+            body = _digits_for(digits[:-1], tag)
+            return next(body + c for c in "0123456789" if _luhn(body + c))
+        if kind == "phone":
+            new = iter(_digits_for(digits, tag))
+            return re.sub("[0-9]", lambda _: next(new), m)
+        if kind == "address":
+            p = list(map(int, m.split(".")))
+            halves = _feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, tag)
+            return ".".join(str(x) for h in halves for x in divmod(h, 256))
+        n, side = (date.fromisoformat(m) - date(1900, 1, 1)).days, pseudonyms.DATE_SIDE
+        l, r = _feistel(*divmod(n, side), side, side, tag)
+        return str(date(1900, 1, 1) + timedelta(l * side + r))
+
+    assert got == {(m, kind): want(m, kind) for m, kind in values}
+    assert len(set(got.values())) == len(got)
+
+
+def test_pseudonyms_leave_columns_alone(spark):
+    """Columns of any name stay as they are."""
+    d = spark.createDataFrame([("Call 555-123-4567", "kept", "too", 1)], "text string, __found string, __TEXT string, pii_kinds int")
+    out = pseudonyms.pseudonymised(d, "k")
+    assert out.columns == ["text", "__found", "__TEXT", "pii_kinds"]
+    row = out.first()
+    assert (row["__found"], row["__TEXT"], row["pii_kinds"]) == ("kept", "too", ["phone"]) and "555-123-4567" not in row["text"]
+
+
+def test_waves_of_the_benchmark(spark):
+    """Many waves give what one does, and so does a phrase that many items and a long text repeat."""
+    phrase = "one two three four five six seven eight nine ten eleven twelve"
+    items = spark.createDataFrame([(k, phrase + f" item{k} ends here now") for k in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(0, f"{phrase} " * 3000), (1, "nothing of it"), (2, None), (3, "x " + phrase)], "doc_id long, text string")
+    one = {r["doc_id"]: r["leaked_items"] for r in decontaminate.leaked(docs, items).collect()}
+    many = {r["doc_id"]: r["leaked_items"] for r in decontaminate.leaked(docs, items, wave_bytes=400).collect()}
+    assert one == many == {0: list(range(40)), 1: [], 2: [], 3: list(range(40))}
