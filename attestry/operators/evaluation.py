@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import top_k
+from .joins import small, top_k
 
 GOOD = ("supports", "partial")
 
@@ -43,7 +43,7 @@ def stratified(claims: DataFrame, quota: DataFrame, stratum: str, article: str,
     n = ok.groupBy(article).agg(F.count("*").alias("n"))
     picked = seeded_index(n, article, "n")
     numbered = top_k(ok, [article], [F.col(order)], 1 << 30, "nth").join(picked, article).where(F.col("nth") == F.col("pick") + 1)
-    placed = top_k(numbered, [stratum], [F.col(article)], 1 << 30, "place").join(F.broadcast(quota), stratum)
+    placed = top_k(numbered, [stratum], [F.col(article)], 1 << 30, "place").join(small(quota), stratum)
     return placed.where(F.col("place") <= F.col("quota")).drop("n", "pick", "nth")
 
 

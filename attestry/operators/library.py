@@ -146,10 +146,15 @@ def one_per_work(leads: DataFrame, order: list[str]) -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         kept: list[int] = []
+        seen: set[str] = set()
+        unsigned = False  # a kept lead without a creator is any creator's
         group = group.sort_values(order, kind="stable").reset_index(drop=True)
         for k, creator in enumerate(group["creator"]):
-            if not any(same_work("", creator or None, "", group["creator"][j] or None) for j in kept):
+            own = _tokens_of(creator or None)
+            if not kept or (creator and not unsigned and not own & seen):
                 kept.append(k)
+                seen |= own
+                unsigned = unsigned or not creator
         return group.iloc[kept]
 
     return keyed.groupBy("claim_id", "edition").applyInPandas(run, keyed.schema).drop("edition")
@@ -238,7 +243,11 @@ def collapse_copies(leads: DataFrame, least: int = 80) -> DataFrame:
                 shown[twin] = k
         return group.iloc[shown]
 
-    return keyed.groupBy("claim_id").applyInPandas(run, keyed.schema).drop("keys")
+    met = keyed.select("claim_id", "place", F.explode("keys").alias("key")).groupBy("claim_id", "key").agg(F.count("*").alias("n"), F.collect_set("place").alias("places"))
+    places = met.where("n > 1").select("claim_id", F.explode("places").alias("place")).distinct()
+    alone = keyed.join(places, ["claim_id", "place"], "left_anti").select(*keyed.columns)
+    together = keyed.join(places, ["claim_id", "place"], "left_semi").select(*keyed.columns)
+    return alone.unionByName(together.groupBy("claim_id").applyInPandas(run, keyed.schema)).drop("keys")
 
 
 def book_citation(hits: DataFrame) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import fixed
-from .operators import articles, catalogue, checks, coverage, evaluation, joins, library, replies, reports, verdicts
+from .operators import articles, catalogue, checks, coverage, editing, evaluation, joins, library, replies, reports, verdicts
 from .plans import flows
 from .plans import sql as S
 from .sources.readers import table
@@ -106,8 +106,8 @@ SELECT item_id, CAST(sum(CASE WHEN token IN (SELECT token FROM bg) THEN weight *
 def background_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claim weights in which words that a fifth of all claims share count little."""
     b = table(spark, sf_dir, "benchmark")
-    common = coverage.common_tokens(b, "text", 0.2).agg(F.collect_list("token").alias("background"))  # fewer than five words a claim's length
-    rows = coverage.claim_tokens(b.crossJoin(F.broadcast(common)), "item_id", "text", F.col("background"))
+    common = [r["token"] for r in coverage.common_tokens(b, "text", 0.2).collect()]  # at most five times a claim's words
+    rows = coverage.claim_tokens(b, "item_id", "text", F.array(*map(F.lit, common)).cast("array<string>"))
     return rows.groupBy("item_id").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
 
 
@@ -721,6 +721,99 @@ def call_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.usage(e, ["event_type"], "value", "k")
 
 
+# --- edits ------------------------------------------------------------------------------------------------------------------
+
+_HEAD_SQL = "'Kept ' || doc_id || ' here.'"
+_GONE_SQL = "'Words of ' || doc_id || ' are gone'"
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with a tagged sentence: after another on its line, before one, alone on its line, and in the middle; one with a wrapping tag."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 5
+    head, gone = F.concat(F.lit("Kept "), i, F.lit(" here.")), F.concat(F.lit("Words of "), i, F.lit(" are gone"))
+    tagged = F.concat(gone, F.lit(".{{Citation_needed|date=x}}"))
+    text = (
+        F.when(k == 0, F.concat(head, F.lit(" "), tagged))
+        .when(k == 1, F.concat(tagged, F.lit(" "), head))
+        .when(k == 2, F.concat(head, F.lit("\n\n"), tagged, F.lit("\n\nMore.")))
+        .when(k == 3, F.concat(head, F.lit(" "), tagged, F.lit(" After it.\n<!-- {{cn}} -->")))
+        .otherwise(F.concat(head, F.lit(" {{cns|"), gone, F.lit("}} so. <nowiki>{{cn}}</nowiki>")))
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("wikitext"), F.lit(0).alias("nth"), F.lit("<ref>r</ref>").alias("reference"))
+
+
+@_query(f"""
+WITH d AS (SELECT doc_id, doc_id % 5 AS k, {_HEAD_SQL} AS h, {_GONE_SQL} AS g FROM documents)
+SELECT doc_id, 0 AS nth, CAST(CASE k WHEN 0 THEN length(h) + 2 + length(g) WHEN 1 THEN length(g) + 1 WHEN 2 THEN length(h) + 3 + length(g) WHEN 3 THEN length(h) + 2 + length(g) ELSE length(h) + 1 END AS INTEGER) AS start,
+  CASE WHEN k = 4 THEN 'cns' ELSE 'citation needed' END AS name, CASE WHEN k = 4 THEN g END AS wrapped FROM d""")
+def article_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags that a reader sees: none in comments or where markup is not read."""
+    return editing.tags(_tagged(spark, sf_dir), ["doc_id"]).select("doc_id", "nth", "start", "name", "wrapped")
+
+
+@_query(f"""
+WITH d AS (SELECT doc_id, doc_id % 5 AS k, {_HEAD_SQL} AS h, {_GONE_SQL} AS g FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN h || ' ' || g || '.<ref>r</ref>' WHEN 1 THEN g || '.<ref>r</ref> ' || h WHEN 2 THEN h || chr(10) || chr(10) || g || '.<ref>r</ref>' || chr(10) || chr(10) || 'More.'
+  WHEN 3 THEN h || ' ' || g || '.<ref>r</ref> After it.' || chr(10) || '<!-- {{{{cn}}}} -->' ELSE h || ' ' || g || '<ref>r</ref> so. <nowiki>{{{{cn}}}}</nowiki>' END AS edited FROM d""")
+def tags_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference in place of each first tag; a claim that the tag wraps stays."""
+    return editing.replaced(_tagged(spark, sf_dir), ["doc_id"])
+
+
+@_query(f"""
+WITH d AS (SELECT doc_id, doc_id % 5 AS k, {_HEAD_SQL} AS h FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN h WHEN 1 THEN h WHEN 2 THEN h || chr(10) || chr(10) || 'More.' ELSE h || ' After it.' || chr(10) || '<!-- {{{{cn}}}} -->' END AS edited FROM d WHERE k < 4""")
+def tags_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tagged sentences taken out, spacing put right; a wrapped claim's sentence has a test of its own."""
+    return editing.removed(_tagged(spark, sf_dir).where("doc_id % 5 < 4"), ["doc_id"]).select("doc_id", "edited")
+
+
+@_query(f"""
+WITH d AS (SELECT doc_id, {_HEAD_SQL} AS h, doc_id % 4 AS k FROM documents) SELECT doc_id, CAST(length(h) + CASE k WHEN 0 THEN 0 WHEN 1 THEN 14 WHEN 2 THEN 9 ELSE 2 END AS INTEGER) AS point FROM d""")
+def citation_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a reference goes: past closing marks and footnotes, never past a space."""
+    head = F.concat(F.lit("Kept "), F.col("doc_id").cast("string"), F.lit(" here"))
+    after = F.element_at(F.array(*map(F.lit, (". Next", ".<ref>abc</ref> Next", ".{{sfn|B}} Next", ".]] Next"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, after).alias("wikitext"), F.length(head).alias("after"))
+    return editing.citation_points(d, ["doc_id"])
+
+
+@_query(f"""
+WITH d AS (SELECT doc_id, {_HEAD_SQL} AS h, {_GONE_SQL} AS g, doc_id % 3 AS k FROM documents)
+SELECT doc_id, CAST(CASE k WHEN 0 THEN length(h) + 1 WHEN 1 THEN length(h) + length(g) + 8 END AS INTEGER) AS start,
+  CAST(CASE k WHEN 0 THEN length(h) + 1 + length(g) WHEN 1 THEN length(h) + 2 * length(g) + 8 END AS INTEGER) AS claim_end FROM d""")
+def claims_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a claim stands: its one place, of two the one that the words before lead to, and none."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 3
+    head, gone = F.concat(F.lit("Kept "), i, F.lit(" here.")), F.concat(F.lit("Words of "), i, F.lit(" are gone"))
+    once, twice = F.concat(head, F.lit(" "), gone, F.lit(" now.")), F.concat(F.lit("Else "), gone, F.lit(". "), head, F.lit(" "), gone, F.lit("."))
+    claim = F.when(k == 2, "unheard of words").otherwise(gone)
+    before = F.when(k == 1, head).otherwise("")
+    return editing.located(table(spark, sf_dir, "documents").select("doc_id", F.when(k == 1, twice).otherwise(once).alias("wikitext"), claim.alias("claim"), before.alias("before")), ["doc_id"])
+
+
+@_query("SELECT doc_id, doc_id % 3 = 0 AS restates FROM documents")
+def claims_restated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an article's last sentence says what a claim says."""
+    k = F.col("doc_id") % 3
+    claim = F.when(k == 0, "In 1899 the old mill burnt down").when(k == 1, "In 1899 the church tower fell").otherwise("old mill")
+    prose = F.when(k == 2, "It was new. The old mill.").otherwise("It was new. The old mill burnt down in 1899.")
+    return editing.restated(table(spark, sf_dir, "documents").select("doc_id", prose.alias("prose"), claim.alias("claim")), ["doc_id"])
+
+
+@_query("""
+WITH p AS (SELECT doc_id % 50 AS claim_id, doc_id AS place, CASE WHEN doc_id % 100 < 50 THEN 'x' ELSE 'y' END AS side FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY claim_id, side ORDER BY (place // 100) % 2 = 0, place) AS n FROM p)
+SELECT claim_id, place FROM r WHERE n = 1""")
+def copies_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads of which no two share a long passage; one of its own takes the place of one in a bundle."""
+    side = F.when(F.col("doc_id") % 100 < 50, "first passage ").otherwise("other words ")
+    d = table(spark, sf_dir, "documents").select(
+        (F.col("doc_id") % 50).alias("claim_id"), F.col("doc_id").alias("place"), F.col("doc_id").cast("string").alias("identifier"), (F.floor(F.col("doc_id") / 100) % 2 == 0).alias("bundled"),
+        F.array(F.repeat(side, F.lit(10)), F.concat(F.lit("short "), F.col("doc_id").cast("string"))).alias("passages"),
+    )
+    return library.collapse_copies(d).select("claim_id", "place")
+
+
 # --- calls and time ---------------------------------------------------------------------------------------------------------
 
 
