@@ -34,7 +34,7 @@ APART = 14
 #: Characters whose shingles one regular expression match cuts out together.
 CHUNK = 24
 #: Members of a band up to which candidates are handed on as pairs; beyond, they are compared where they meet, block by block.
-LARGE = 128
+LARGE = 512
 #: Members of a band on either side of such a block.
 BLOCK = 1024
 #: 64-bit words of the bitmap that rules pairs out before they are compared.
