@@ -727,7 +727,7 @@ _HEAD_SQL = "'Kept ' || doc_id || ' here.'"
 _GONE_SQL = "'Words of ' || doc_id || ' are gone'"
 
 
-def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with a tagged sentence: after another on its line, before one, alone on its line, and in the middle; one with a wrapping tag."""
     i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 5
     head, gone = F.concat(F.lit("Kept "), i, F.lit(" here.")), F.concat(F.lit("Words of "), i, F.lit(" are gone"))
@@ -748,7 +748,7 @@ SELECT doc_id, 0 AS nth, CAST(CASE k WHEN 0 THEN length(h) + 2 + length(g) WHEN
   CASE WHEN k = 4 THEN 'cns' ELSE 'citation needed' END AS name, CASE WHEN k = 4 THEN g END AS wrapped FROM d""")
 def article_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tags that a reader sees: none in comments or where markup is not read."""
-    return editing.tags(_tagged(spark, sf_dir), ["doc_id"]).select("doc_id", "nth", "start", "name", "wrapped")
+    return editing.tags(_tagged_sentences(spark, sf_dir), ["doc_id"]).select("doc_id", "nth", "start", "name", "wrapped")
 
 
 @_query(f"""
@@ -757,7 +757,7 @@ SELECT doc_id, CASE k WHEN 0 THEN h || ' ' || g || '.<ref>r</ref>' WHEN 1 THEN g
   WHEN 3 THEN h || ' ' || g || '.<ref>r</ref> After it.' || chr(10) || '<!-- {{{{cn}}}} -->' ELSE h || ' ' || g || '<ref>r</ref> so. <nowiki>{{{{cn}}}}</nowiki>' END AS edited FROM d""")
 def tags_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reference in place of each first tag; a claim that the tag wraps stays."""
-    return editing.replaced(_tagged(spark, sf_dir), ["doc_id"])
+    return editing.replaced(_tagged_sentences(spark, sf_dir), ["doc_id"])
 
 
 @_query(f"""
@@ -765,7 +765,7 @@ WITH d AS (SELECT doc_id, doc_id % 5 AS k, {_HEAD_SQL} AS h FROM documents)
 SELECT doc_id, CASE k WHEN 0 THEN h WHEN 1 THEN h WHEN 2 THEN h || chr(10) || chr(10) || 'More.' ELSE h || ' After it.' || chr(10) || '<!-- {{{{cn}}}} -->' END AS edited FROM d WHERE k < 4""")
 def tags_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tagged sentences taken out, spacing put right; a wrapped claim's sentence has a test of its own."""
-    return editing.removed(_tagged(spark, sf_dir).where("doc_id % 5 < 4"), ["doc_id"]).select("doc_id", "edited")
+    return editing.removed(_tagged_sentences(spark, sf_dir).where("doc_id % 5 < 4"), ["doc_id"]).select("doc_id", "edited")
 
 
 @_query(f"""
