@@ -34,7 +34,7 @@ APART = 14
 #: Characters whose shingles one regular expression match cuts out together.
 CHUNK = 24
 #: Members of a band up to which candidates are handed on as pairs; beyond, they are compared where they meet, block by block.
-LARGE = 512
+LARGE = 256
 #: Members of a band on either side of such a block.
 BLOCK = 1024
 #: 64-bit words of the bitmap that rules pairs out before they are compared.
@@ -166,8 +166,8 @@ def _roots(links: DataFrame) -> DataFrame:
 
 
 def _alike(x: str, y: str, threshold: float) -> Column:
-    both = F.size(F.array_intersect(x, y))
-    return both >= threshold * (F.size(x) + F.size(y) - both)
+    # The intersection is named once: named twice, Spark would compute it before the conditions that go first.
+    return F.size(F.array_intersect(x, y)) * (1 + threshold) >= threshold * (F.size(x) + F.size(y)) - 1e-9
 
 
 def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, threshold: float, roots: DataFrame | None = None) -> DataFrame:
