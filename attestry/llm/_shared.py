@@ -47,17 +47,30 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Like ``durable`` but as columns, for wide rows; whoever wrote the table hands it to ``released`` once nothing reads it any more."""
+def write(df: DataFrame, path: str, *by: str) -> None:
+    """Writes ``df`` as Parquet in folders by the columns ``by``.  The table stands for the plan from then on: the plan's shuffle files go."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/attestry-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")  # the table stands for the plan from here on, so the plan's shuffle files can go with it
+    spark.conf.set(_CLEAN, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``durable`` but as columns, for wide rows; whoever wrote the table hands it to ``released`` once nothing reads it any more."""
+    path = f"{shared_dir(df.sparkSession)}/attestry-{uuid.uuid4().hex}"
+    write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def moved(spark: SparkSession, old: str, new: str) -> None:
+    """Gives a folder another name, through the file system that holds it."""
+    sc = spark.sparkContext
+    old, new = sc._jvm.org.apache.hadoop.fs.Path(old), sc._jvm.org.apache.hadoop.fs.Path(new)
+    if not old.getFileSystem(sc._jsc.hadoopConfiguration()).rename(old, new):
+        raise OSError(f"cannot move {old} to {new}")
 
 
 def released(*tables: DataFrame) -> None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, packing, preferences, pseudonyms, quality, secrets, sharding, simhash, topk
+from . import decontaminate, leaders, lines, mixing, negatives, packing, preferences, pseudonyms, quality, secrets, sharding, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": secrets.query,
         "op9_lines": lines.query,
         "op10_simhash": simhash.query,
+        "op11_leaders": leaders.query,
+        "op12_mixing": mixing.query,
+        "op13_negatives": negatives.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preferences": preferences.SQL, "op5_topk": topk.SQL}
+    return {"op1_preferences": preferences.SQL, "op5_topk": topk.SQL, "op11_leaders": leaders.SQL, "op13_negatives": negatives.SQL}

@@ -47,7 +47,7 @@ def test_stages(spark, tmp_path):
 
 
 def test_names():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in registry.queries()}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in registry.queries()}
 
 
 def _rows(df):
