@@ -4,8 +4,9 @@ Lines (a group, an item, a value, an arrival day) come in batches, each by a new
 items are dealt to buckets, so that no task holds a group.  For each bucket the state keeps the revenue of every item in a map (of
 packed slots of items, which are read and written whole) and a cache of leaders: more of the best items than a board has, and a guard, a
 bound that no item outside the cache is better than.  An update is looked at against the guard alone; only where leaders fall below it until
-fewer than a board are left is the cache filled again, by a scan of the bucket's whole map.  A second stateful step merges the leaders that a
-day changed in a group's buckets, a bounded number whatever the input, into the group's board and tells what changed on it.
+fewer than a board are left is the cache filled again, by a scan of the bucket's whole map.  What the stream hands on is what each day
+changed among the leaders of a bucket, a bounded number of rows a day whatever the input.  A last pass merges a group's buckets, day
+by day, into the group's board and tells what changed on it.
 
 All boards are exact: the guard is a bound in the full order (revenue, then item), and what falls to it leaves the cache.
 """
@@ -39,6 +40,7 @@ _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: none takes room ahead
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
@@ -160,44 +162,32 @@ class BucketLeaders(StatefulProcessor):
         pass
 
 
-class Boards(StatefulProcessor):
-    """Per group: the changes of its buckets' leaders in, the changes of its board out."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.leaders = handle.getValueState("leaders", "pairs binary")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        changes = sorted(x for p in rows for x in zip(*(p[c].tolist() for c in ("day", "item_id", "revenue", "leads")), strict=True))
-        held: dict[int, int] = {}
-        if self.leaders.exists():
-            held = {int(i): int(r) for i, r in np.frombuffer(self.leaders.get()[0], np.int64).reshape(-1, 2)}
-        ranked = lambda: {i: k + 1 for k, (_, i) in enumerate(sorted((-r, i) for i, r in held.items())[:BOARD])}
-        board, out, at = ranked(), [], 0
-        while at < len(changes):
-            day, gone = changes[at][0], {}
-            while at < len(changes) and changes[at][0] == day:
-                _, item, revenue, leads = changes[at]
-                if leads:
-                    held[item] = revenue
-                else:
-                    held.pop(item, None)
-                    gone[item] = revenue
-                at += 1
-            last, board = board, ranked()
-            for item in sorted(last.keys() | board.keys()):
-                old, new = last.get(item), board.get(item)
-                if old != new:
-                    change = "enter" if old is None else "exit" if new is None else "move"
-                    out.append((day, item, change, old, new, held[item] if item in held else gone[item]))
-        self.leaders.update((np.array(list(held.items()), np.int64).reshape(-1, 2).tobytes(),))
-        if out:
-            found = pd.DataFrame(out, columns=["arrival_day", "item_id", "change", "old_rank", "new_rank", "revenue"])
-            found[["old_rank", "new_rank"]] = found[["old_rank", "new_rank"]].astype("Int32")
-            found.insert(0, "group", key[0])
-            yield found
-
-    def close(self) -> None:
-        pass
+def boards(rows: pd.DataFrame) -> pd.DataFrame:
+    """The changes of a group's board, from the changes of its buckets' leaders (group, day, item_id, revenue, leads)."""
+    changes = sorted(zip(*(rows[c].tolist() for c in ("day", "item_id", "revenue", "leads")), strict=True))
+    held: dict[int, int] = {}
+    ranked = lambda: {i: k + 1 for k, (_, i) in enumerate(sorted((-r, i) for i, r in held.items())[:BOARD])}
+    board, out, at = ranked(), [], 0
+    while at < len(changes):
+        day, gone = changes[at][0], {}
+        while at < len(changes) and changes[at][0] == day:
+            _, item, revenue, leads = changes[at]
+            if leads:
+                held[item] = revenue
+            else:
+                held.pop(item, None)
+                gone[item] = revenue
+            at += 1
+        last, board = board, ranked()
+        for item in sorted(last.keys() | board.keys()):
+            old, new = last.get(item), board.get(item)
+            if old != new:
+                change = "enter" if old is None else "exit" if new is None else "move"
+                out.append((day, item, change, old, new, held[item] if item in held else gone[item]))
+    found = pd.DataFrame(out, columns=["arrival_day", "item_id", "change", "old_rank", "new_rank", "revenue"])
+    found[["old_rank", "new_rank"]] = found[["old_rank", "new_rank"]].astype("Int32")
+    found.insert(0, "group", rows["group"].iloc[0])
+    return found
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +228,9 @@ def change_feed(lines: DataFrame, late: int = 15) -> DataFrame:
     spark = lines.sparkSession
     base = f"{shared_dir(spark)}/attestry-feed-{uuid.uuid4().hex}"
     columns = "group int, item_id long, day long, value long, stamp long"
-    spark.createDataFrame([], columns).write.parquet(f"{base}/lines/batch=0")  # so that the folder is there
-    spark.createDataFrame([], _CHANGES).write.parquet(f"{base}/none")
+    nothing = lambda schema: spark.range(0).select(*[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in schema.split(", ")])
+    nothing(columns).write.parquet(f"{base}/lines/batch=0")  # so that the folder is there
+    nothing(_LEADERS).write.parquet(f"{base}/none")
     write(lines.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in columns.split(", ")], F.col("batch").cast("int")), f"{base}/cut", "batch")
     cut = spark.read.schema(f"{columns}, batch int").parquet(f"{base}/cut")
     largest = {r["batch"]: r["stamp"] for r in cut.where("batch IS NOT NULL").groupBy("batch").agg(F.max("stamp").alias("stamp")).collect()}  # a row a batch
@@ -255,9 +246,11 @@ def change_feed(lines: DataFrame, late: int = 15) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(_CHANGES).parquet(f"{base}/changes" if largest else f"{base}/none")
+    led = spark.read.schema(_LEADERS).parquet(f"{base}/leaders" if largest else f"{base}/none")
+    return led.groupBy("group").applyInPandas(boards, _CHANGES)
 
 
+_LEADERS = "group int, day long, item_id long, revenue long, leads boolean"
 _CHANGES = "group int, arrival_day long, item_id long, change string, old_rank int, new_rank int, revenue long"
 
 
@@ -268,9 +261,8 @@ def _start(spark: SparkSession, base: str, schema: str, least: int | None) -> No
         counted = counted.where(F.col("stamp").isNull() | (F.col("stamp") >= least))
     sums = counted.select("group", "item_id", "day", "value").mapInArrow(_summed, "group int, item_id long, day long, value long")
     sums = sums.withColumn("bucket", F.pmod(F.xxhash64("item_id"), F.lit(BUCKETS)).cast("int"))
-    led = sums.groupBy("group", "bucket").transformWithStateInPandas(BucketLeaders(), "group int, day long, item_id long, revenue long, leads boolean", "Append", "None")
-    changes = led.groupBy("group").transformWithStateInPandas(Boards(), _CHANGES, "Append", "None")
-    running = changes.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/changes")
+    led = sums.groupBy("group", "bucket").transformWithStateInPandas(BucketLeaders(), _LEADERS, "Append", "None")
+    running = led.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/leaders")
     running.awaitTermination()
 
 
