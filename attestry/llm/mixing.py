@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ._shared import SENT_BYTES, table, written
 
 #: Documents of a slice, about; and times that a document may be used.
-SLICE, REPEATS = 20_000, 2
+SLICE, REPEATS = 2_000, 2
 #: Bytes of a source's row, about.
 SOURCE_ROW = 512
 #: Fixed value: what a word is.
