@@ -2,7 +2,7 @@
 
 Card numbers (checked by Luhn's rule), telephone numbers, internet addresses (octets checked) and dates (calendar checked) are
 permuted within their own format: digits stay digits, separators stay where they were, a card number keeps a right check digit and
-a date is a date.  The permutation depends on the key and the kind only, so equal values stay equal across documents, and
+a date is a date, of 1900 to 2101 if it was one.  The permutation depends on the key and the kind only, so equal values stay equal across documents, and
 different ones different.  Mail addresses have no number to permute: their local part becomes a keyed digest.
 
 Only DataFrame functions: a text is cut at its matches, the matches are mapped, and the parts are joined again.
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ._shared import table
 
 #: What is looked for.  A digit next to a match means that it is part of some longer number, so there is none.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Repeats are possessive, so that a match takes the same stack however long it is.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9])(?<!(?<![0-9])[0-9]{5,11}-)(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
@@ -33,8 +34,10 @@ CARD_DIGITS = (13, 19)
 ANY = "|".join((EMAIL, ADDRESS, DATE, PHONE, CARD))
 KINDS = ("email", "address", "date", "phone", "card")
 ROUNDS = 8
-#: Dates from 1900-01-01 on, as many as a square has cells.
-DATE_SIDE = 271
+#: Dates of the years 1 to 9999 count their days from this one.  Two permutations share them, so that near dates stay near ones: those of
+#: NEAR[0] * NEAR[1] days from 1900-01-01 on go by one, all others, of which there are FAR[0] * FAR[1], by the other.
+FIRST_DATE, NEAR_FROM = "0001-01-01", 693_595
+NEAR, FAR = (256, 287), (1801, 1987)
 
 
 def feistel(left: Column, right: Column, size_left: Column, size_right: Column, tag: Column, rounds: int = ROUNDS) -> Column:
@@ -100,7 +103,17 @@ def _as_date(m: Column) -> Column:
 
 
 def _day(m: Column) -> Column:
-    return F.datediff(_as_date(m), F.lit("1900-01-01").cast("date"))
+    return F.datediff(_as_date(m), F.lit(FIRST_DATE).cast("date"))
+
+
+def _other_day(day: Column, tag: Column) -> Column:
+    """The day that stands for ``day``."""
+    near_days = NEAR[0] * NEAR[1]
+    near = day.between(NEAR_FROM, NEAR_FROM + near_days - 1)
+    place = F.when(near, day - NEAR_FROM).when(day < NEAR_FROM, day).otherwise(day - near_days)
+    a, b = (F.when(near, F.lit(x)).otherwise(F.lit(y)).cast("long") for x, y in zip(NEAR, FAR, strict=True))
+    out = F.transform(F.array(feistel(F.floor(place / b), place % b, a, b, tag)), lambda s: (s["l"] * b + s["r"]).cast("int"))[0]
+    return F.when(near, out + NEAR_FROM).when(out < NEAR_FROM, out).otherwise(out + near_days)
 
 
 def _matches(m: Column, pattern: str) -> Column:
@@ -114,7 +127,7 @@ def kind_of(m: Column) -> Column:
     return (
         F.when(F.contains(m, F.lit("@")), "email")
         .when(_matches(m, ADDRESS), F.when(octets, "address"))
-        .when(_matches(m, DATE), F.when(_day(m).between(0, DATE_SIDE**2 - 1), "date"))
+        .when(_matches(m, DATE), F.when(_day(m) >= 0, "date"))
         .when(_matches(m, PHONE), "phone")
         .when(luhn_sum(_digits(m)) % 10 == 0, "card")
     )
@@ -134,11 +147,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         F.array(feistel(parts[0] * 256 + parts[1], parts[2] * 256 + parts[3], word, word, tag)),
         lambda s: F.concat_ws(".", *(x.cast("string") for h in ("l", "r") for x in (F.floor(s[h] / 256), s[h] % 256))),
     )[0]
-    side = F.lit(DATE_SIDE).cast("long")
-    day = F.transform(
-        F.array(feistel(F.floor(_day(m) / DATE_SIDE), _day(m) % DATE_SIDE, side, side, tag)), lambda s: (s["l"] * DATE_SIDE + s["r"]).cast("int")
-    )[0]
-    date = F.date_add(F.lit("1900-01-01").cast("date"), day)
+    date = F.date_add(F.lit(FIRST_DATE).cast("date"), _other_day(_day(m), tag))
     local = F.substring_index(m, "@", 1)
     email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws(":", tag, F.lower(local)), 256), 1, 12), m.substr(F.length(local) + 1, F.length(m)))
     return (
@@ -160,12 +169,15 @@ def _cards_marked(numbers: Column) -> Column:
     low, high = CARD_DIGITS
 
     def step(g: Column, s: Column, i: Column) -> Column:
-        joined = lambda n: F.array_join(F.slice(g, i, n), "")
+        # By places: a slice would go through all of ``g`` at every step.
+        joined = lambda n: F.array_join(F.transform(F.sequence(i, F.least(i + n - 1, F.size(g))), lambda k: F.get(g, k - 1)), "")
         other = joined(F.lit(3)).rlike(f"^(?:{DATE}|{PHONE})")
         digits = lambda n: _digits(joined(n))
         shaped = lambda n: joined(n).rlike("^(?:[0-9]{4,}[ -])*[0-9]+[ -]?$")
         long = F.filter(F.sequence(F.lit(1), F.least(F.lit(high), F.size(g) - i + 1)), lambda n: F.length(digits(n)).between(low, high))
         fits = F.transform(F.array(long), lambda v: F.array_max(F.filter(v, lambda n: (shaped(n) | (s["fresh"] & (n == F.array_max(v)))) & (luhn_sum(digits(n)) % 10 == 0))))[0]
+        # A number of fewer digits begins no card but where others count: runs of such numbers are long and many.
+        fits = F.when(s["fresh"] | (F.length(F.get(g, i - 1)) > 4), fits)
         n = F.when(other, F.least(F.lit(3), F.size(g) - i + 1)).otherwise(fits)
         out = F.when(other | n.isNull(), joined(F.coalesce(n, F.lit(1)))).otherwise(F.regexp_replace(joined(n), "^(.*[0-9])", f"{OPEN}$1{CLOSE}"))
         return F.when(s["skip"] > 0, F.struct(s["out"].alias("out"), (s["skip"] - 1).alias("skip"), s["fresh"].alias("fresh"))).otherwise(
