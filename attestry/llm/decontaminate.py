@@ -4,23 +4,27 @@ Texts become sequences of lower-cased words.  Every fixed mask is laid over ever
 words under its ones, five of them, are hashed and those at its zeros ignored, so a substituted word costs only the placements
 that look at it.  Where a document's hash meets a benchmark item's, the two are aligned there and compared word by word: the
 document holds the item if in some ``WINDOW`` consecutive words of the item at most ``substitutions`` differ.  The masks
-are lossless for that rule: whatever words of a window differ, one placement of one mask sees none of them.
+are lossless for that rule: whatever words of a window differ, one placement of one mask sees none of them.  Items that are shorter than
+the masks are looked up as whole runs of words.
 
-The benchmark goes to every task in waves of bounded size, so the documents are never shuffled.
+The benchmark goes to every task in waves of bounded size.  With one wave documents are never shuffled; with more, each wave writes pairs of a
+text's key and an item, and texts meet their pairs once.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._shared import released, table, written
+from ._shared import table, written
 
 MASKS = ("11111", "1101011", "110111")
 WORDS, WINDOW = 5, 12
@@ -49,13 +53,15 @@ class Seeds:
         self.ids, self.items = [], []
         for key, text in items:
             own = words(text)
-            if len(own) >= WORDS:
+            if own:
                 self.ids.append(key)
                 self.items.append(np.array([self.number.setdefault(w, len(self.number) + 1) for w in own], np.int64))
         self.tables = []
-        for mask in MASKS:
+        for mask in (*("1" * n for n in range(1, WORDS)), *MASKS):
             ones = [k for k, c in enumerate(mask) if c == "1"]
-            found = [(seed_hashes(x, ones), np.full(max(len(x) - ones[-1], 0), k), np.arange(max(len(x) - ones[-1], 0))) for k, x in enumerate(self.items)]
+            # Items of fewer words than the masks have ones are looked for whole.
+            of_mask = [(k, x) for k, x in enumerate(self.items) if (len(x) == len(ones) if len(ones) < WORDS else len(x) >= WORDS)]
+            found = [(seed_hashes(x, ones), np.full(max(len(x) - ones[-1], 0), k), np.arange(max(len(x) - ones[-1], 0))) for k, x in of_mask]
             keys, item, at = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else ((), (), ())))
             order = np.argsort(keys, kind="stable")
             self.tables.append((ones, keys[order], item[order], at[order]))
@@ -117,28 +123,37 @@ def seed_hashes(tokens: np.ndarray, ones: list[int], where: np.ndarray | None =
 def leaked(docs: DataFrame, benchmark: DataFrame, column: str = "leaked_items", text_col: str = "text", wave_bytes: int = WAVE_BYTES) -> DataFrame:
     """``docs`` with ``column``: the sorted item_ids of the benchmark items that each text holds (empty: clean).
 
-    A whole text is read.  Null and empty texts hold nothing; items with a null id or text, or with fewer than five words, cannot be
-    held; an empty table gives no rows.  A column of ``docs`` that has the name ``column`` gives way to the new one.
+    Whole texts are read, very long ones too.  An item of fewer than five words is held where its words stand in a row.  Null and empty texts
+    hold nothing; items with a null id or without a word cannot be held; repeated rows and items are as good as one; an empty table gives
+    no rows.  A column of ``docs`` that has the name ``column`` gives way to the new one.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c != column]
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     waves = max(1, -(-2 * total["b"] // wave_bytes)) if total["b"] > wave_bytes else 1
-    out = docs.select(*kept).withColumn(column, F.array().cast("array<long>"))
+    if waves == 1:
+        return _wave(spark, docs.select(*kept), _rows(items), kept, column, text_col, False)[0]
+    # A text is known by 128 bits of hash; of texts that many documents share, one pair an item is enough.
+    key = F.struct(F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(1), text_col).alias("b"))
+    texts, found = docs.select(key.alias("key"), F.col(text_col).alias("text")), []
     for w in range(waves):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(waves)) == w) if waves > 1 else items
-        rows = [(r["item_id"], r["text"]) for r in part.collect()]  # at most about ``wave_bytes``
-        before, (out, held) = out, _wave(spark, out, sorted(rows), kept, column, text_col)
-        if waves > 1:  # one wave at a time, on the driver as in the tasks
-            out = written(out)
-            held.destroy()
-            if w:
-                released(before)
-    return out
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(waves)) == w)
+        pairs, held = _wave(spark, texts, _rows(part), ["key"], "item", "text", True)  # one wave at a time, on the driver as in the tasks
+        found.append(written(pairs.distinct()))
+        held.destroy()
+    of_text = reduce(DataFrame.unionByName, found).groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    keyed = docs.select(F.struct(*kept).alias("row"), key.alias("key")).join(of_text, "key", "left")
+    none = F.array().cast("array<long>")
+    return keyed.select(*[F.col("row")[c].alias(c) for c in kept], F.coalesce("items", none).alias(column))
+
 
+def _rows(items: DataFrame) -> list[tuple[int, str]]:
+    return sorted((r["item_id"], r["text"]) for r in items.distinct().collect())  # at most about ``wave_bytes``
 
-def _wave(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]], kept: list[str], column: str, text_col: str) -> tuple[DataFrame, Broadcast]:
+
+def _wave(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]], kept: list[str], column: str, text_col: str, pairs: bool) -> tuple[DataFrame, Broadcast]:
+    """``kept`` and, as ``column``, the items that a text holds: all in an array or, as ``pairs``, a row for each."""
     sent = spark.sparkContext.broadcast(items)
     memo: list[Seeds] = []
 
@@ -148,7 +163,7 @@ def _wave(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]], ke
         seeds = memo[0]
         number = seeds.number.get
         for b in batches:
-            held: list[set[int]] = [set(x) for x in b.column(column).to_pylist()]
+            held: list[set[int]] = [set() for _ in range(b.num_rows)]
             tokens: list[int] = []
             ends: list[int] = []
 
@@ -167,10 +182,14 @@ def _wave(spark: SparkSession, docs: DataFrame, items: list[tuple[int, str]], ke
                     first = k + 1
             if ends:
                 look(first)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([sorted(x) for x in held], pa.list_(pa.int64()))], names=[*kept, column])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.mapInArrow(run, f"{schema}, `{column}` array<long>"), sent
+            if pairs:
+                owner = pa.array([k for k, x in enumerate(held) for _ in x], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(owner) for c in kept), pa.array([i for x in held for i in x], pa.int64())], names=[*kept, column])
+            else:
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([sorted(x) for x in held], pa.list_(pa.int64()))], names=[*kept, column])
+
+    schema = T.StructType([*docs.select(*kept).schema, T.StructField(column, T.LongType() if pairs else T.ArrayType(T.LongType()))])
+    return docs.mapInArrow(run, schema), sent
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import table
 
@@ -236,8 +237,7 @@ def scored(docs: DataFrame, model: Additive, threshold: float = 0.5, keep_text:
                 [*(b.column(c) for c in kept), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"]
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*kept).schema)
-    return given.mapInArrow(run, f"{schema}, score double, predicted int")
+    return given.mapInArrow(run, T.StructType([*given.select(*kept).schema]).add("score", "double").add("predicted", "integer"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,16 +54,34 @@ def _rows(df):
     return sorted(map(repr, df.collect()))
 
 
-@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[1:4]])
+#: Every column name that an operator makes of its own.
+OWN = {"score": 7.5, "predicted": 3, "label": 4, "n_lines": 11, "n_dropped": 12, "lines": "a", "leaked_items": [9], "fp": 2, "row": 3, "rest": "r", "key": "k", "tag": "t", "pos": 5, "root": 6, "all": "x", "gone": 1, "again": False, "x y": "odd"}
+
+
+def _odd_documents(spark, rows):
+    kinds = {float: "double", int: "int", str: "string", list: "array<int>", bool: "boolean"}
+    return spark.createDataFrame([(i, t, *OWN.values()) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{c}` {kinds[type(v)]}" for c, v in OWN.items()))
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:4]])
 def test_stages_take_anything(spark, stage):
-    """Null and empty texts, null and repeated ids, repeated rows, clashing names, an empty table."""
+    """Null and empty texts, null and repeated ids, repeated rows, an empty table; columns of any name keep their values and types."""
     word = " ".join(f"w{k}x" for k in range(40))
-    rows = [(1, word), (1, word), (1, "other words " * 9 + word[::-1]), (None, None), (2, None), (3, ""), (None, "only here " + word.upper()), (4, "z" * 50_000)]
-    d = spark.createDataFrame([(i, t, "a", 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, lines string, n_lines int, fp int, row int, leaked_items int")
+    good = spark.read.parquet(str(DATA / "documents.parquet")).join(spark.read.parquet(str(DATA / "labels.parquet")).where("quality = 1"), "doc_id").orderBy("doc_id").first()["text"]
+    rows = [(1, word), (1, word), (1, "other words " * 9 + word[::-1]), (None, None), (2, None), (3, ""), (None, "only here " + word.upper()), (4, "z" * 50_000), (5, good), (5, good)]
+    d = _odd_documents(spark, rows)
     out = stage(spark, d, str(DATA))
-    assert out.columns == d.columns
+    assert out.columns == d.columns and out.schema.simpleString() == d.schema.simpleString()
     got = out.collect()
-    assert {r["fp"] for r in got} == {2} and {(r["doc_id"], r["text"]) for r in got} and stage(spark, d.limit(0), str(DATA)).collect() == []
+    assert got and all(r[c] == v for r in got for c, v in OWN.items()) and any(r["doc_id"] == 5 for r in got)
+    assert stage(spark, d.limit(0), str(DATA)).collect() == []
+
+
+def test_packing_takes_anything(spark):
+    rows = [(1, "a b"), (1, "a b"), (None, None), (2, ""), (None, "c d " * 4000)]
+    got = corpus_pipeline.pack(spark, _odd_documents(spark, rows), str(DATA)).collect()
+    assert sorted((r["doc_id"] or 0) for r in got if r["piece"] == 0) == [0, 0, 1, 1, 2] and {r["length"] for r in got if r["doc_id"] == 2} == {1}
+    assert corpus_pipeline.pack(spark, _odd_documents(spark, []), str(DATA)).collect() == []
 
 
 def test_one_document_of_each_group_stays(spark):
