@@ -13,6 +13,17 @@ from attestry.llm import decontaminate, lines, packing, quality, simhash
 from attestry.llm._shared import durable, released, sent, table, written
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """``docs`` as doc_id, text and all other columns in one, so that no operator's own columns can meet theirs."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("0"), *rest).alias("rest"))
+
+
+def _whole(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again."""
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones, does not reject.
 
@@ -20,7 +31,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     together.  A null id has no label and is scored.  Columns beside id and text are carried along, whatever their names.
     """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, keep_text=True).where("predicted = 1").select(*docs.columns)
+    return _whole(quality.scored(_apart(docs), model, keep_text=True).where("predicted = 1"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +40,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Null texts stay null, and a document all of whose lines are repeated stays with an empty text.  Rows that agree in id and text keep
     the same lines; rows that only share an id are different documents.
     """
-    out = lines.deduplicated(docs)
+    out = lines.deduplicated(_apart(docs))
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("rest")["n_chars"])
+        out = out.withColumn("rest", F.col("rest").withField("n_chars", changed.cast(docs.schema["n_chars"].dataType)))
+    return _whole(out, docs)
 
 
 def keep_one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +69,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts hold none; every row is looked at by itself, so repeated ids and rows stay or go by their own text.
     """
-    return decontaminate.leaked(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaked_items") == 0).select(*docs.columns)
+    return _whole(decontaminate.leaked(_apart(docs), table(spark, sf_dir, "benchmark")).where(F.size("leaked_items") == 0), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
