@@ -23,7 +23,8 @@ DATE = r"(?<![0-9])(?<!(?<![0-9])[0-9]{5,11}-)(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 #: Numbers with single spaces or hyphens between: cards are looked for among them first and put between two of Unicode's noncharacters.
 #: Numbers of mail and internet addresses, dates and telephones with a country or area code before them are left out.
-NUMBER = r"[0-9]++(?![A-Za-z0-9._%+-]*+@)(?!\.[0-9]{1,3}\.[0-9])"
+#: A mail address's local part has 64 characters at most, so that is how far its end is looked for.
+NUMBER = r"[0-9]++(?![A-Za-z0-9._%+-]{0,64}+@)(?!\.[0-9]{1,3}\.[0-9])"
 NUMBERS = (
     r"(?<![0-9])(?<!\.[0-9]{1,3}\.)(?<!\([0-9]{3}\) ?)(?!(?<=\+)[0-9]{1,3}[ .-]?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9]))"
     rf"{NUMBER}(?:[ -]{NUMBER})*+"
