@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +72,17 @@ def alias_chain(names: DataFrame, aliases: DataFrame, name: str, hops: int = 4)
     for _ in range(hops):
         out = out.join(step, F.col("resolved") == F.col("from_name"), "left").withColumn("resolved", F.coalesce("to_name", "resolved")).drop("from_name", "to_name")
     return out
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the folder that ``spark.checkpoint.dir`` names, for what several later steps read."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="attestry-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

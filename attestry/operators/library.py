@@ -20,7 +20,6 @@ from .joins import top_k
 LIFE_DATES = r",?\s*\(?[0-9]{4}\s*-\s*([0-9]{4})?\)?\.?\s*$"
 
 
-
 def first_value(raw: Column) -> Column:
     """A field that may be a value or a list of values, as JSON text: the first value."""
     listed = F.from_json(raw, "array<string>")
@@ -126,38 +125,28 @@ def passage_stats(judged: DataFrame, least: float = 0.3) -> DataFrame:
     )
 
 
-def _tokens_of(text: str | None) -> set[str]:
-    import regex as re
-
-    return set(words.token_set(re.sub(LIFE_DATES, "", text))) if text else set()
-
-
-def same_work(key_a: str, creator_a: str | None, key_b: str, creator_b: str | None) -> bool:
-    """Equal main titles, and a shared word of the creators unless one has none: not transitive."""
-    return key_a == key_b and (not creator_a or not creator_b or bool(_tokens_of(creator_a) & _tokens_of(creator_b)))
-
-
 def one_per_work(leads: DataFrame, order: list[str]) -> DataFrame:
-    """Leads in order, without those that are a scan of a work already kept.
+    """Leads (claim_id, title, creator) in order, without those that are a scan of a work already kept.
 
-    Works can only be the same under one edition key, so the greedy choice runs by claim and key: a handful of rows each.
+    Two leads are one work if their titles have one key and their creators share a word, or one has no creator: that is not transitive, so the
+    order decides.  The choice is a fold over places and creators' words of a claim's leads of one title; other columns do not go through it.
     """
-    keyed = leads.withColumn("edition", C.edition_key(F.col("title")))
+    creator = F.when(F.coalesce(F.col("creator"), F.lit("")) != "", C.tokens(F.regexp_replace("creator", LIFE_DATES, "")))
+    keyed = leads.withColumn("edition", C.edition_key(F.col("title"))).withColumn("place_key", F.struct(*order))
+    steps = keyed.groupBy("claim_id", "edition").agg(F.array_sort(F.collect_list(F.struct("place_key", creator.alias("names")))).alias("steps"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        seen: set[str] = set()
-        unsigned = False  # a kept lead without a creator is any creator's
-        group = group.sort_values(order, kind="stable").reset_index(drop=True)
-        for k, creator in enumerate(group["creator"]):
-            own = _tokens_of(creator or None)
-            if not kept or (creator and not unsigned and not own & seen):
-                kept.append(k)
-                seen |= own
-                unsigned = unsigned or not creator
-        return group.iloc[kept]
+    def step(acc: Column, s: Column) -> Column:
+        first = F.size(acc["kept"]) == 0
+        new = first | (s["names"].isNotNull() & ~acc["unsigned"] & ~F.arrays_overlap(s["names"], acc["seen"]))
+        seen = F.when(new, F.array_union(acc["seen"], F.coalesce(s["names"], acc["none"]))).otherwise(acc["seen"])
+        kept = F.concat(acc["kept"], F.filter(F.array(s["place_key"]), lambda _: new))
+        # A kept lead without a creator is any creator's.
+        return F.struct(kept.alias("kept"), seen.alias("seen"), (acc["unsigned"] | (new & s["names"].isNull())).alias("unsigned"), acc["none"].alias("none"))
 
-    return keyed.groupBy("claim_id", "edition").applyInPandas(run, keyed.schema).drop("edition")
+    none = F.array().cast("array<string>")
+    start = F.struct(F.slice(F.transform("steps", lambda x: x["place_key"]), 1, 0).alias("kept"), none.alias("seen"), F.lit(False).alias("unsigned"), none.alias("none"))
+    kept = steps.select("claim_id", "edition", F.explode(F.aggregate("steps", start, step, lambda acc: acc["kept"])).alias("place_key"))
+    return keyed.join(kept, ["claim_id", "edition", "place_key"], "left_semi").select(*leads.columns)
 
 
 def ranked(hits: DataFrame, claims: DataFrame, least: float = 0.3) -> DataFrame:
@@ -198,10 +187,11 @@ def planned(hits: DataFrame, plans: DataFrame) -> DataFrame:
     """Books found by a plan's queries (column query_no), by how many of its concepts their passages mention.
 
     ``plans``: claim_id, terms (array of arrays of wordings).  A book needs two concepts in one passage and, if the plan names anyone, a name.
+    Its passages come by how many concepts they mention.
     """
     own = gated(hits).where("gate.ok")
     book = own.groupBy("claim_id", "identifier").agg(
-        F.min(F.struct("rank", "query_no")).alias("first"), F.array_sort(F.collect_list(F.struct("rank", "query_no", "highlights"))).alias("found")
+        F.min(F.struct("rank", "query_no")).alias("first"), F.min_by(F.struct("title", "creator", "year", "file", F.col("gate.access").alias("access")), F.struct("rank", "query_no")).alias("hit"), F.array_sort(F.collect_list(F.struct("rank", "query_no", "highlights"))).alias("found")
     )
     passages = F.array_distinct(F.flatten(F.transform("found", lambda x: x["highlights"])))
     book = book.withColumn("passages", passages).where(F.size("passages") > 0).join(plans.where(F.size("terms") >= 2), "claim_id")
@@ -210,7 +200,9 @@ def planned(hits: DataFrame, plans: DataFrame) -> DataFrame:
     names = C.name_concepts(F.col("terms"))
     kept = book.withColumn("cover", C.plan_coverage(whole, F.col("terms"))).where((most >= 2) & ((F.size(names) == 0) | (C.plan_coverage(whole, names) > 0)))
     order = [F.desc("cover"), F.col("first")]
-    out = kept.select("claim_id", "identifier", "cover", C.js_round(F.col("cover") / F.size("terms")).alias("score"), "first", "passages")
+    by_cover = F.array_sort(F.transform("passages", lambda p, i: F.struct((-C.plan_coverage(p, F.col("terms"))).alias("down"), i.alias("i"), p.alias("p"))))
+    passages = F.transform(by_cover, lambda x: x["p"]).alias("passages")
+    out = kept.select("claim_id", "identifier", "hit.*", "cover", C.js_round(F.col("cover") / F.size("terms")).alias("score"), "first", passages)
     return top_k(out, ["claim_id"], order, 1 << 30, "place")
 
 
@@ -224,30 +216,54 @@ def best_windows(texts: DataFrame, claims: DataFrame, key: str = "identifier") -
     return _each(rows.select("claim_id", key, "text", "claim", "article_title"), ["claim_id", key], "window string, score double, matched array<string>", make)
 
 
-def collapse_copies(leads: DataFrame, least: int = 80) -> DataFrame:
-    """Leads (claim_id, place, identifier, bundled, passages) of which no two share a passage of ``least`` characters or more.
+def overlapping(texts: DataFrame, keys: list[str], length: int, over: int) -> DataFrame:
+    """keys, part, text: ``texts`` (keys, text) cut into parts of ``length`` characters, each with up to ``over`` more that the next part begins with.
 
-    In order of place; a book of its own takes the place of one in a bundle.  Which texts meet is found by an exchange on the passages'
-    keys; only leads that share one are looked at together.
+    A place is found by counting characters from a text's start, so long texts are cut in two steps: large parts, then parts of those.
     """
-    keyed = leads.withColumn("keys", F.array_distinct(F.filter(F.transform("passages", C.copy_key), lambda k: F.length(k) >= least)))
+    large = max(1, (1 << 20) // length) * length
+    pieces = F.sequence(F.lit(0), F.ceil(F.length("text") / F.lit(large)).cast("int") - 1)
+    first = texts.where(F.length("text") > 0).select(*keys, "text", F.explode(pieces).alias("big"))
+    first = first.select(*keys, "big", F.substring("text", F.col("big") * large + 1, F.lit(large + over)).alias("piece"), (F.length("text") <= (F.col("big") + 1) * large).alias("final"))
+    # The last large part has its end to itself; in all others the overlap belongs to the next one.
+    ends = F.when(F.col("final"), F.length("piece")).otherwise(F.lit(large))
+    count = F.greatest(F.ceil(ends / F.lit(length)), F.lit(1)).cast("int")
+    second = first.select(*keys, "big", "piece", F.explode(F.sequence(F.lit(0), count - 1)).alias("small"))
+    part = (F.col("big").cast("long") * (large // length) + F.col("small")).alias("part")
+    return second.select(*keys, part, F.substring("piece", F.col("small") * length + 1, F.lit(length + over)).alias("text"))
+
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place", kind="stable").reset_index(drop=True)
-        shown: list[int] = []
-        for k in range(len(group)):
-            twin = next((j for j, s in enumerate(shown) if set(group["keys"][s]) & set(group["keys"][k])), None)
-            if twin is None:
-                shown.append(k)
-            elif group["bundled"][shown[twin]] and not group["bundled"][k]:
-                shown[twin] = k
-        return group.iloc[shown]
+def collapse_copies(leads: DataFrame, least: int = 80) -> DataFrame:
+    """Leads (claim_id, place, identifier, bundled, passages) of which no two share a passage of ``least`` characters or more, and their slot.
 
+    In order of place; a book of its own takes the slot of one in a bundle, and is what later leads are held against.  Which texts meet is
+    found by an exchange on the passages' keys; only a claim's leads that share one go through the fold, and only by their keys.
+    """
+    keyed = leads.withColumn("keys", F.array_distinct(F.filter(F.transform("passages", C.copy_key), lambda k: F.length(k) >= least)))
     met = keyed.select("claim_id", "place", F.explode("keys").alias("key")).groupBy("claim_id", "key").agg(F.count("*").alias("n"), F.collect_set("place").alias("places"))
     places = met.where("n > 1").select("claim_id", F.explode("places").alias("place")).distinct()
-    alone = keyed.join(places, ["claim_id", "place"], "left_anti").select(*keyed.columns)
-    together = keyed.join(places, ["claim_id", "place"], "left_semi").select(*keyed.columns)
-    return alone.unionByName(together.groupBy("claim_id").applyInPandas(run, keyed.schema)).drop("keys")
+    alone = leads.join(places, ["claim_id", "place"], "left_anti").select(*leads.columns, F.col("place").alias("slot"))
+    together = keyed.join(places, ["claim_id", "place"], "left_semi")
+    lists = together.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("slot"), "place", "bundled", "keys"))).alias("leads"))
+
+    def step(shown: Column, x: Column) -> Column:
+        twin = F.array_position(F.transform(shown, lambda o: F.arrays_overlap(o["keys"], x["keys"])), True)
+
+        def put(k: Column) -> Column:
+            mine = lambda o: F.struct(o["slot"].alias("slot"), x["place"].alias("place"), x["bundled"].alias("bundled"), x["keys"].alias("keys"))
+            other = F.transform(shown, lambda o, i: F.when((i + 1 == k) & o["bundled"] & ~x["bundled"], mine(o)).otherwise(o))
+            return F.when(k == 0, F.concat(shown, F.array(x))).otherwise(other)
+
+        return C.bound(twin, put)
+
+    kept = lists.select("claim_id", F.explode(F.aggregate("leads", F.slice("leads", 1, 0), step)).alias("x")).select("claim_id", "x.place", "x.slot")
+    return alone.unionByName(together.join(kept, ["claim_id", "place"]).select(*alone.columns))
+
+
+def details_url(identifier: Column, book: Column) -> Column:
+    """The page of an item, or of one book of a bundle."""
+    encoded = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    return F.concat_ws("/", F.lit("https://archive.org/details"), encoded(identifier), encoded(book))
 
 
 def book_citation(hits: DataFrame) -> Column:
@@ -256,7 +272,7 @@ def book_citation(hits: DataFrame) -> Column:
     item = F.col("book").isNull()
     creator = F.trim(F.regexp_replace("creator", LIFE_DATES, ""))
     part = lambda name, value, when: F.when(when & value.isNotNull() & (value != ""), F.concat(F.lit(f"{name}="), value))
-    url = F.concat_ws("/", F.lit("https://archive.org/details"), F.col("identifier"), F.replace(F.url_encode("book"), F.lit("+"), F.lit("%20")))
+    url = details_url(F.col("identifier"), F.col("book"))
     body = F.concat_ws(
         " |", F.lit("cite book"), F.concat(F.lit("title="), bars(F.coalesce("book", "title"))), part("author", bars(creator), item), part("publisher", bars(F.col("publisher")), item),
         part("year", F.col("year").cast("string"), item), part("isbn", bars(F.col("isbn")), item), F.concat(F.lit("url="), url),
