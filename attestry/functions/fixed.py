@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 STOPWORDS = frozenset(
@@ -97,6 +98,51 @@ TAG = (
 SISTER_LANGUAGES = (
     "en", "de", "fr", "es", "it", "ru", "ja", "nl", "pl", "pt", "sv", "cs", "uk", "ca", "fi", "no", "da", "he", "hu", "tr", "ko", "zh", "ar", "id", "fa", "vi",
 )
+#: What is taken out of markup before and after its templates: pattern, flags, what stands for it.
+BEFORE_TEMPLATES = (
+    (r"<!--.*?-->", re.S, " "),
+    (r"<ref[^>]*/\s*>", re.I, " "),
+    (r"<ref.*?</ref\s*>", re.I | re.S, " "),
+    (r"<references.*?</references\s*>", re.I | re.S, " "),
+    (r"</?(?:references|gallery|math|score|syntaxhighlight|nowiki|poem|small|sub|sup|br|div|span|blockquote|code|pre)[^>]*>", re.I, " "),
+    (r"^\s*\{\|.*?^\s*\|\}", re.M | re.S, " "),
+)
+AFTER_TEMPLATES = (
+    (r"\[\[\s*(?:File|Image|Media|Category|Категория|Fichier|Datei|Archivo)\s*:.*?\]\]", re.I | re.S, " "),
+    (r"\[\[([^\]|]*)\|([^\]]*)\]\]", 0, r"\2"),
+    (r"\[\[([^\]]*)\]\]", 0, r"\1"),
+    (r"\[(?:https?:)?//\S+\s+([^\]]*)\]", 0, r"\1"),
+    (r"\[(?:https?:)?//\S+\]", 0, " "),
+    (r"'{2,5}", 0, ""),
+    (r"^[*#:;]+\s*", re.M, ""),
+    (r"^=+\s*(.*?)\s*=+\s*$", re.M, r"\1."),
+    (r"&nbsp;|&#160;", re.I, " "),
+    (r"&amp;", re.I, "&"),
+    (r"[ \t]+", 0, " "),
+    (r"\s*\n\s*", 0, "\n"),
+)
+#: Rendered pages: blocks, what is not read in them, the tag's class, links that are none; elements without content; where the search for an
+#: open element ends; and what ends as what opens (ended, by, not past).
+BLOCK_TAGS = frozenset(["p", "li", "dd", "dt", "td", "th"])
+FOOTNOTE_TAGS = frozenset(["sup"])
+EDIT_CLASSES = frozenset(["mw-editsection"])
+UNREAD_CLASSES = frozenset(["reference", "mw-editsection", "cnfirmed-badge"])
+TAG_CLASS = "Template-Fact"
+NO_LINKS = frozenset(["new", "external"])
+NAMESPACES = r"(?:File|Image|Category|Help|Special|Template|Wikipedia):"
+VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
+SCOPES = frozenset("table td th caption button object template".split())
+TABLE_PARTS = frozenset("table caption tr td th tbody thead tfoot".split())
+TABLE_SCOPES = frozenset(["table", "template"])
+_LISTS = SCOPES | {"ul", "ol"}
+_P_ENDS = frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article nav header footer aside blockquote pre hr form figure main address details fieldset li dd dt menu center".split())
+LEFT_OUT = (
+    (frozenset(["li"]), frozenset(["li"]), _LISTS),
+    (frozenset(["dd", "dt"]), frozenset(["dd", "dt"]), SCOPES | {"dl"}),
+    (frozenset(["td", "th"]), frozenset(["td", "th", "tr", "tbody", "thead", "tfoot"]), TABLE_SCOPES),
+    (frozenset(["tr"]), frozenset(["tr", "tbody", "thead", "tfoot"]), TABLE_SCOPES),
+    (frozenset(["p"]), _P_ENDS, SCOPES),
+)
 
 
 def _accents() -> tuple[str, str]:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions import markup, words
+from ..functions import markup, rendered, words
 
 CLAIM = "claim_seq int, claim string, context string, section string, offset int, tag string, own_start int, own_end int, para_start int, para_end int, paragraph string"
 REF = (
@@ -86,10 +86,21 @@ def key_phrases(texts: DataFrame, keys: list[str], text: str, subject: str = "")
     return _rows(texts, keys, text, "phrases array<string>", lambda t: [(words.key_phrases(t, subject),)])
 
 
+def page_blocks(pages: DataFrame, keys: list[str], html: str = "html", prefix: str = "/wiki/") -> DataFrame:
+    """A row for every block of a rendered page: its tag, the heading it stands under (or null), what a reader sees, and the articles it links to."""
+    schema = "seq int, block_tag string, section string, text string, links array<string>"
+    return _rows(pages, keys, html, schema, lambda t: [(k, *row) for k, row in enumerate(rendered.blocks(t, prefix))])
+
+
+def page_claims(pages: DataFrame, keys: list[str], html: str = "html", prefix: str = "/wiki/") -> DataFrame:
+    """A row for every statement tagged in a rendered page, with its block's text, heading and links."""
+    schema = "claim_seq int, claim string, context string, section string, links array<string>"
+    return _rows(pages, keys, html, schema, lambda t: [(k, *row) for k, row in enumerate(rendered.tagged(t, prefix))])
+
+
 def paragraphs(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """start and end of every paragraph between blank lines, by array functions and a running sum."""
-    parts = F.split(text, "\n\n")
-    lengths = F.transform(parts, F.length)
-    starts = F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, n: a + n + 2))
-    both = F.filter(F.arrays_zip(starts.alias("start"), lengths.alias("size")), lambda p: p["size"] > 0)
-    return texts.select(*keys, F.inline(both)).select(*keys, "start", (F.col("start") + F.col("size")).alias("end"))
+    """start and end of every paragraph between blank lines: lengths only are exchanged, and summed up along each text."""
+    rows = texts.select(*keys, F.monotonically_increasing_id().alias("__row"), F.posexplode(F.transform(F.split(text, "\n\n"), F.length)).alias("__at", "__size"))
+    upto = F.sum(F.col("__size") + 2).over(Window.partitionBy("__row").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    start = (upto - 2 - F.col("__size")).cast("int").alias("start")
+    return rows.select(*keys, start, "__size").where("__size > 0").select(*keys, "start", (F.col("start") + F.col("__size")).alias("end"))

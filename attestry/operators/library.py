@@ -216,6 +216,23 @@ def best_windows(texts: DataFrame, claims: DataFrame, key: str = "identifier") -
     return _each(rows.select("claim_id", key, "text", "claim", "article_title"), ["claim_id", key], "window string, score double, matched array<string>", make)
 
 
+def located(texts: DataFrame, claims: DataFrame, key: str = "identifier", most: int = 2) -> DataFrame:
+    """claim_id, key, place, stretch: the best stretches of each whole book text for its claim's concepts.
+
+    texts: claim_id, key, text; claims: claim_id, concepts (arrays of wordings).
+    """
+    rows = texts.join(claims.select("claim_id", "concepts"), "claim_id").where(F.col("text").isNotNull())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [words.locate(t, [list(g) for g in c], most) for t, c in zip(b["text"], b["concepts"], strict=True)]
+            yield pd.DataFrame({"claim_id": b["claim_id"], key: b[key], "stretches": found})
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("claim_id", key))
+    out = rows.select("claim_id", key, "text", "concepts").mapInPandas(run, f"{kinds}, stretches array<string>")
+    return out.select("claim_id", key, F.posexplode("stretches").alias("place", "stretch"))
+
+
 def overlapping(texts: DataFrame, keys: list[str], length: int, over: int) -> DataFrame:
     """keys, part, text: ``texts`` (keys, text) cut into parts of ``length`` characters, each with up to ``over`` more that the next part begins with.
 

@@ -7,13 +7,14 @@ The tables hold prose, pages, events and conversations.  They stand in for what
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import fixed
-from .operators import articles, catalogue, checks, coverage, editing, evaluation, joins, library, replies, reports, verdicts
+from .operators import articles, bookflow, catalogue, checks, coverage, editing, evaluation, joins, library, replies, reports, verdicts
 from .plans import flows
 from .plans import sql as S
 from .sources.readers import table
@@ -894,3 +895,107 @@ def completed_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct(F.lit("newspaperArticle").alias("itemType"), F.concat(F.lit("Found "), F.col("page_id").cast("string")).alias("title"), F.lit("2020-01-02").alias("date"), F.array(F.array(F.lit("Ann"), F.lit("Lee"))).alias("author"))
     items = p.where("page_id % 2 = 0").select(F.col("url").alias("query"), F.to_json(F.array(item)).alias("body")).dropDuplicates(["query"])
     return catalogue.completed(p.select("page_id", "template"), items).select("page_id", "template")
+
+
+# --- rendered pages -----------------------------------------------------------------------------------------------------------
+
+_BLOCKS_SQL = r"""
+m AS (SELECT page_id, html, unnest(regexp_extract_all(html, '<(?:li|p)>(?:[^<]|<(?:/?b|/?a(?: [^>]*)?|br)>)*(?:</p>)?')) AS raw, generate_subscripts(regexp_extract_all(html, '<(?:li|p)>(?:[^<]|<(?:/?b|/?a(?: [^>]*)?|br)>)*(?:</p>)?'), 1) - 1 AS seq
+  FROM (SELECT page_id, regexp_replace(html, '(?s)^.*?</head>', '') AS html FROM pages)),
+b AS (SELECT page_id, CAST(seq AS INTEGER) AS seq, regexp_extract(raw, '^<(li|p)>', 1) AS block_tag, raw, html,
+  trim(regexp_replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM m)"""
+
+
+@_query(f"""
+WITH {_BLOCKS_SQL}
+SELECT page_id, seq, block_tag, CASE WHEN block_tag = 'p' THEN regexp_extract(html, '<h1>([^<]*)</h1>', 1) END AS section, text,
+  CAST(len(list_distinct(regexp_extract_all(raw, '<a href="/([^"#]+)', 1))) AS BIGINT) AS n_links FROM b""")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of pages under their headings."""
+    rows = articles.page_blocks(table(spark, sf_dir, "pages"), ["page_id"], prefix="/")
+    return rows.select("page_id", "seq", "block_tag", "section", "text", _long(F.size("links")).alias("n_links"))
+
+
+@_query(f"""
+WITH {_BLOCKS_SQL}, t AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY seq) - 1 AS n, text, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS section FROM b WHERE raw LIKE '<p>%</p>')
+SELECT page_id, CAST(n AS INTEGER) AS claim_seq, regexp_replace(text, '^.*[.!?]\s+([A-Z(“"])', '\1') AS claim, text AS context, section FROM t""")
+def page_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements tagged at the end of every paragraph that ends: a page's scripts hold such an end too, which is none."""
+    tag = '<sup class="noprint Template-Fact">[<i>citation needed</i>]</sup><sup class="reference">[1]</sup></p>'
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("</p>"), F.lit(tag)))
+    return articles.page_claims(pages, ["page_id"]).select("page_id", "claim_seq", "claim", "context", "section")
+
+
+# --- books ----------------------------------------------------------------------------------------------------------------------
+
+
+def _concepts(text: Column) -> Column:
+    """Up to six of a claim's longer tokens, each a concept of two wordings."""
+    long = F.slice(F.filter(C.tokens(text), lambda t: F.length(t) >= 5), 1, 6)
+    return F.transform(long, lambda t: F.array(t, F.concat(t, F.lit("s"))))
+
+
+@_query()
+def claims_in_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where in each text, read whole, its claim's concepts stand together."""
+    n = _dealt(spark, sf_dir)
+    c = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), _concepts(F.col("text")).alias("concepts"))
+    t = table(spark, sf_dir, "documents").select((F.col("doc_id") % n).alias("claim_id"), "doc_id", "text")
+    return library.located(t, c, "doc_id").select("claim_id", "doc_id", "place", "stretch")
+
+
+def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Claims from the benchmark; recordings of a library that has the documents as its books; plans and named books.
+
+    Documents are dealt to claims and to a claim's queries; a document's lines are its passages.
+    """
+    n = _dealt(spark, sf_dir)
+    b = table(spark, sf_dir, "benchmark")
+    claims = b.select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"), F.array_join(F.slice(F.split("text", " "), 2, 2), " ").alias("article_title"))
+    i = F.col("doc_id").cast("string")
+    shelf = F.element_at(F.array(*map(F.lit, ("inlibrary", "printdisabled", "open", "periodicals"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    fields = F.struct(
+        F.concat(F.lit("book"), i).alias("identifier"), F.array_join(F.slice(F.split("text", r"\\s+"), 1, 6), " ").alias("title"), F.col("source").alias("creator"), (F.lit(1800) + F.col("doc_id") % 200).cast("string").alias("year"),
+        F.lit("texts").alias("mediatype"), F.array(shelf).alias("collection"),
+    )
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "text", fields.alias("fields"), F.struct(F.split("text", "\n").alias("text")).alias("highlight"))
+
+    def replied(queries: DataFrame, deal: Column) -> DataFrame:
+        """Each document in the reply to one of its claim's queries."""
+        numbered = queries.withColumn("n", F.row_number().over(Window.partitionBy("claim_id").orderBy("query")) - 1)
+        counts = numbered.groupBy("claim_id").agg(F.count("*").alias("of"))
+        dealt = docs.withColumn("claim_id", deal % n).join(counts, "claim_id").withColumn("n", F.floor(F.col("doc_id") / n) % F.col("of"))
+        hit = F.struct("doc_id", F.struct("fields", "highlight").alias("hit"))
+        by = dealt.groupBy("claim_id", "n").agg(F.transform(F.array_sort(F.collect_list(hit)), lambda x: x["hit"]).alias("hits")).join(numbered, ["claim_id", "n"])
+        body = F.to_json(F.struct(F.struct(F.struct(F.struct("hits").alias("hits")).alias("body")).alias("response")))
+        return by.select(F.lit("search").alias("kind"), F.col("query").alias("key"), body.alias("body")).dropDuplicates(["key"])
+
+    plan = F.struct(F.lit("").alias("fact"), F.array(F.concat(F.lit("plan "), F.col("claim_id").cast("string"))).alias("queries"), _concepts(F.col("claim")).alias("terms"))
+    plans = claims.select("claim_id", plan.alias("plan"))
+    first = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % n).alias("claim_id")).agg(F.min("doc_id").alias("doc_id"))
+    named = docs.join(first, "doc_id").select("claim_id", F.lit(0).alias("seq"), F.col("fields.title").alias("title"), F.lit(None).cast("string").alias("author"))
+    found = named.select(replies.catalogue_query(F.col("title"), F.col("author")).alias("key"), "claim_id").where(F.col("key").isNotNull())
+    doc = docs.join(first, "doc_id").select("claim_id", F.to_json(F.struct(F.struct(F.array("fields").alias("docs")).alias("response"))).alias("body"))
+    catalogue_rows = found.join(doc, "claim_id").select(F.lit("catalogue").alias("kind"), "key", "body").dropDuplicates(["key"])
+    asked = bookflow.search_terms(claims).where(F.col("query").isNotNull()).select("claim_id", "query").distinct()
+    about = F.to_json(F.struct(F.struct(F.col("fields.creator").alias("publisher")).alias("metadata"), (F.col("doc_id") % 50 == 0).alias("is_dark"), F.array(F.struct(F.lit("a_djvu.txt").alias("name"))).alias("files")))
+    items = docs.select(F.lit("metadata").alias("kind"), F.col("fields.identifier").alias("key"), about.alias("body"))
+    page = F.concat(F.lit("<pre>"), F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</pre>"))
+    texts = docs.select(F.lit("text").alias("kind"), F.concat_ws("/", "fields.identifier", "fields.identifier").alias("key"), page.alias("body"))
+    own = plans.select("claim_id", F.explode("plan.queries").alias("query"))
+    all_ = reduce(DataFrame.unionByName, [replied(asked, F.col("doc_id")), replied(own, F.col("doc_id") + 1), catalogue_rows, items, texts])
+    return claims, all_.withColumn("error", F.lit(None).cast("string")), plans, named
+
+
+@_query()
+def book_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the whole book search, with whole texts read and a librarian."""
+    out, _ = flows.book_search(*_library(spark, sf_dir), full_text=True)
+    return out.select("claim_id", "place", "identifier", "url", "title", "relevance", "snippet", "score", "access", "via", "full_text", "viewer_url")
+
+
+@_query()
+def book_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was left after each step of the book search."""
+    _, funnel = flows.book_search(*_library(spark, sf_dir), full_text=True)
+    return funnel.select("claim_id", F.size("queries").alias("n_queries"), "hits", "available", "borrowable", "matched", "by_units", "seen", "read", "windows", "planned", "named_found", "shelf_queries", "added", "looked_up", "candidates")

@@ -1,0 +1,138 @@
+"""Rendered pages against a walk over a tree, and claims located in whole texts against a plain count."""
+
+import math
+import random
+
+import regex as re
+
+from attestry.functions import rendered as R
+from attestry.functions import words as W
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><h2>no heading</h2></head><body class="x">
+<h1>Mill<span class="mw-editsection">[edit]</span></h1>
+<p>Lead &amp; text. It was new.<sup class="Template-Fact">[citation needed]</sup> Then <a href="/wiki/Old_Town#x">old</a>.
+<div><p>Inside.<sup class="reference">[1]</sup> More.<sup id="a" class="noprint Template-Fact">[cn]</sup></p><h3>Deep</h3></div>
+<ul><li>One<li>Two <b>bold<ul><li>Sub.<sup class="Template-Fact">x</sup></ul></b><li>Three</ul>
+<table><tr><td>Cell<th>Head<tr><td><h2>Table heading <sup>2</sup></h2><p>after</table>
+<dl><dt>Term<dd>Meaning<style>.a{}</style> here <a class="new" href="/wiki/None">n</a><a href="/wiki/File:X">f</a><a href="/wiki/%C3%89t%C3%A9">e</a><a href="/wiki/%E9">bad</a></dl>
+<script>var t = "<p>not one</p>";</script>Loose.<sup class="Template-Fact">c</sup><br>
+<p><span class="reference">[2] <sup class="Template-Fact">d</sup></span>Hidden tag.
+</body></html>"""
+
+
+class Node:
+    def __init__(self, tag, classes, parent):
+        self.tag, self.classes, self.parent, self.kids = tag, classes, parent, []
+
+
+def _tree(page):
+    """The same elements as nodes with children; a node's section by the walk over siblings and ancestors."""
+    nodes = {page.root: Node("body", frozenset(), None)}
+    for e in page.elements:
+        nodes[e] = Node(e.tag, e.classes, nodes[e.parent])
+        nodes[e.parent].kids.append(nodes[e])
+    return nodes
+
+
+def _inside(node):
+    for k in node.kids:
+        yield k
+        yield from _inside(k)
+
+
+def _section(node, top):
+    while node is not None and node is not top:
+        for sibling in reversed(node.parent.kids[: node.parent.kids.index(node)]):
+            if re.fullmatch("h[1-6]", sibling.tag):
+                return sibling
+            found = next((x for x in _inside(sibling) if re.fullmatch("h[1-6]", x.tag)), None)
+            if found:
+                return found
+        node = node.parent
+    return None
+
+
+def _random_page(rng):
+    out = []
+    for _ in range(rng.randrange(1, 40)):
+        out.append(rng.choice(["<p>", "</p>", "<div>", "</div>", "<ul>", "<li>", "</ul>", "<h2>", "</h2>", "<h3>x</h3>", "<table>", "<tr>", "<td>", "</table>", "<b>", "</b>", "<br>", "words. More ", '<sup class="Template-Fact">c</sup>', "<dl>", "<dd>", "</dl>", "</li>", "</x>"]))
+    return "".join(out)
+
+
+def test_sections_equal_a_walk():
+    rng = random.Random(2)
+    pages = [PAGE, "", "text only", *(_random_page(rng) for _ in range(400))]
+    some = 0
+    for html in pages:
+        page = R.Page(html)
+        nodes = _tree(page)
+        by_node = {id(n): e for e, n in nodes.items()}
+        top = nodes[page.root]
+        for e in page.elements:
+            want = _section(nodes[e], top)
+            if "<head>" not in html:
+                assert e.section is (by_node[id(want)] if want else None), html
+                some += want is not None
+            assert e.first <= e.last and e.index < e.stop and (e.parent is page.root or e.parent.first <= e.first and e.last <= e.parent.last)
+        # Elements inside one are those between its place and its stop.
+        for e, n in nodes.items():
+            assert [by_node[id(k)] for k in _inside(n)] == page.elements[e.index + 1 : e.stop]
+    assert some > 500
+
+
+def test_blocks_and_claims_of_a_page():
+    blocks = [(t, s, x) for t, s, x, _ in R.blocks(PAGE)]
+    assert blocks == [
+        ("p", "Mill", "Lead & text. It was new. Then old."), ("p", "Mill", "Inside. More."), ("li", "Deep", "One"), ("li", "Deep", "Two boldSub."), ("li", "Deep", "Sub."), ("li", "Deep", "Three"),
+        ("td", "Deep", "Cell"), ("th", "Deep", "Head"), ("td", "Deep", "Table heading after"), ("p", "Table heading", "after"), ("dt", "Table heading", "Term"), ("dd", "Table heading", "Meaning here nfebad"),
+        ("p", "Table heading", "Hidden tag."),
+    ]
+    links = [x for *_, x in R.blocks(PAGE) if x]
+    assert links == [["Old Town"], ["Été"]]
+    claims = R.tagged(PAGE)
+    assert [(c, x, s) for c, x, s, _ in claims] == [
+        ("It was new.", "Lead & text. It was new. Then old.", "Mill"), ("More.", "Inside. More.", "Mill"), ("Sub.", "Sub.", "Deep"),
+        (claims[3][0], claims[3][1], None), ("Hidden tag.", "Hidden tag.", "Table heading"),
+    ]
+    assert claims[0][3] == ["Old Town"] and "Loose." in claims[3][0]
+    assert R.blocks("") == R.tagged("") == []
+    deep = "<div>" * 5000 + "<p>x" + '<sup class="Template-Fact">c</sup>'
+    assert R.tagged(deep) == [("x", "x", None, [])]
+
+
+def _plain_locate(text, concepts, most=2):
+    """Every window counted by itself."""
+    t = W.plain_fold(text)
+    n = max(1, math.ceil(len(t) / 250))
+    tells = [any(re.search("[0-9]", w) or re.match(r"\p{Lu}", w.strip()) for w in g) for g in concepts]
+    where = [[m.start() for m in re.finditer("|".join(rf"(?<![\p{{L}}\p{{N}}]){re.escape(W.plain_fold(w))}(?![\p{{L}}\p{{N}}])" for w in g), t)] for g in concepts]
+    scored = []
+    for w in range(n):
+        score = count = has = 0
+        for g, at in enumerate(where):
+            if any(w <= p // 250 <= w + 3 for p in at):
+                score += (1 + math.log(n / len({p // 250 for p in at}))) * (2 if tells[g] else 1)
+                count, has = count + 1, has or tells[g]
+        if count >= 2 and (has or not any(tells)):
+            scored.append((-score, w))
+    picked = []
+    for _, w in sorted(scored):
+        if len(picked) < most and all(abs(p - w) * 250 >= 1000 for p in picked):
+            picked.append(w)
+    return picked
+
+
+def test_locating_equals_a_plain_count():
+    rng = random.Random(3)
+    pool = ["mill", "Été", "1861", "stone", "River", "greenfield", "xyz", "flour"]
+    found = 0
+    for _ in range(150):
+        text = " ".join(rng.choice(pool) if rng.random() < 0.03 else rng.choice(["filler", "words", "milling", "18610", "ete"]) for _ in range(rng.randrange(3000)))
+        concepts = [rng.sample(pool, rng.randrange(1, 3)) for _ in range(rng.randrange(1, 5))]
+        want = _plain_locate(text, concepts)
+        got = W.locate(text, concepts)
+        cuts = [text[max(0, w * 250 - 100) : w * 250 + 1100] for w in want]
+        assert len(got) == len(want) and all(g.strip("…") in c for g, c in zip(got, cuts, strict=True))
+        found += len(got)
+    assert found > 100 and W.locate("", [["a"], ["b"]]) == [] and W.locate("a b", []) == []
+    assert W.locate("a b", [["a"], ["b"]]) == ["……"] or W.locate("a b", [["a"], ["b"]])
