@@ -108,9 +108,12 @@ class BucketLeaders(StatefulProcessor):
         touched = np.unique(items)
         slots = slot_of(touched)
         before = {int(s): self._slot(int(s)) for s in np.unique(slots)}
-        now = {int(i): 0 for i in touched}
-        for pairs in before.values():
-            now.update((i, r) for i, r in zip(pairs["item"].tolist(), pairs["revenue"].tolist(), strict=True) if i in now)
+        known = np.sort(np.concatenate([*before.values(), np.zeros(0, _PAIR)]), order="item")
+        at = np.searchsorted(known["item"], touched)
+        held = np.take(known["item"], at, mode="clip") == touched if len(known) else np.zeros(len(touched), bool)
+        revenues = np.zeros(len(touched), np.int64)
+        revenues[held] = known["revenue"][at[held]]
+        now = dict(zip(touched.tolist(), revenues.tolist(), strict=True))
         cache = self._cached()
         board, out = cache.leaders(), []
         edges = [0, *(np.flatnonzero(np.diff(days)) + 1).tolist(), len(days)]
@@ -131,7 +134,7 @@ class BucketLeaders(StatefulProcessor):
             new = np.empty(len(rest) + len(own), _PAIR)
             new[: len(rest)] = rest
             new["item"][len(rest) :] = own
-            new["revenue"][len(rest) :] = [now[int(i)] for i in own]
+            new["revenue"][len(rest) :] = [now[i] for i in own.tolist()]
             self.revenues.updateValue((s,), (np.sort(new, order="item").tobytes(),))
         held = np.array(list(cache.held.items()), np.int64).reshape(-1, 2)
         self.cache.update((held.tobytes(), *cache.guard))
@@ -285,7 +288,8 @@ def shop_lines(sale_lines: DataFrame, items: DataFrame, vendors: DataFrame, batc
     )
     nation = vendors.where("vendor_id IS NOT NULL").groupBy("vendor_id").agg(F.min("nation_id").alias("group"))
     price = items.where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("price").alias("price")).select("item_id", cents("price").alias("each"), F.lit(True).alias("known"))
-    told = lines.join(nation, "vendor_id", "left").join(price, "item_id", "left")
+    # Both sides are exchanged at any size: neither vendors nor items have a bound.
+    told = lines.join(nation.hint("shuffle_hash"), "vendor_id", "left").join(price.hint("shuffle_hash"), "item_id", "left")
     value = F.col("sign") * F.coalesce("cents", F.col("quantity") * F.col("each"), F.lit(0))
     batch = F.least(F.lit(batches), F.greatest(F.lit(1), 1 + F.floor((F.col("day") - FIRST_DAY) * batches / F.lit(180))))
     item = F.when(F.col("known"), F.col("item_id")).alias("item_id")
