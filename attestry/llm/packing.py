@@ -27,7 +27,7 @@ END_ID = 0
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids a worker keeps; beyond that it starts afresh.
-MEMO = 1_000_000
+MEMO = 200_000
 
 
 class _WordIds(dict):
