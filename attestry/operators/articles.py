@@ -100,7 +100,8 @@ def page_claims(pages: DataFrame, keys: list[str], html: str = "html", prefix: s
 
 def paragraphs(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """start and end of every paragraph between blank lines: lengths only are exchanged, and summed up along each text."""
-    rows = texts.select(*keys, F.monotonically_increasing_id().alias("__row"), F.posexplode(F.transform(F.split(text, "\n\n"), F.length)).alias("__at", "__size"))
+    numbered = texts.select(*keys, F.monotonically_increasing_id().alias("__row"), F.transform(F.split(text, "\n\n"), F.length).alias("__sizes"))
+    rows = numbered.select(*keys, "__row", F.posexplode("__sizes").alias("__at", "__size"))
     upto = F.sum(F.col("__size") + 2).over(Window.partitionBy("__row").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
     start = (upto - 2 - F.col("__size")).cast("int").alias("start")
     return rows.select(*keys, start, "__size").where("__size > 0").select(*keys, "start", (F.col("start") + F.col("__size")).alias("end"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import fixed
-from .operators import articles, bookflow, catalogue, checks, coverage, editing, evaluation, joins, library, replies, reports, verdicts
+from .operators import articles, bookflow, catalogue, checks, coverage, editing, evaluation, joins, library, replies, reports, retries, verdicts
 from .plans import flows
 from .plans import sql as S
 from .sources.readers import table
@@ -853,8 +853,8 @@ def _cited_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles whose lines each end with a reference, the last one with a tag."""
     lines = F.filter(F.split(F.regexp_replace("text", r"[=\[\]{}<>|']", " "), "\n"), lambda x: F.trim(x) != "")
     ref = lambda x, i: F.concat(F.trim(x), F.lit("<ref>{{cite web |url=https://h"), i.cast("string"), F.lit(".example.com/a |title="), F.left(F.trim(x), F.lit(60)), F.lit("}}</ref>"))
-    text = F.concat(F.lit("== One ==\n"), F.array_join(F.transform(F.slice(lines, 1, 40), ref), " "), F.lit(" "), F.trim(F.get(lines, 0)), F.lit("{{cn}}"))
-    d = table(spark, sf_dir, "documents").where(F.size(lines) >= 2)
+    text = F.concat(F.lit("== One ==\n"), F.array_join(F.transform(lines, ref), " "), F.lit(" "), F.trim(F.get(lines, 0)), F.lit("{{cn}}"))
+    d = table(spark, sf_dir, "documents").where(F.size(lines) >= 1)
     return d.select(F.col("doc_id").alias("article_id"), "lang", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), text.alias("wikitext"))
 
 
@@ -899,16 +899,16 @@ def completed_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- rendered pages -----------------------------------------------------------------------------------------------------------
 
+_PLAIN_SQL = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))"
 _BLOCKS_SQL = r"""
 m AS (SELECT page_id, html, unnest(regexp_extract_all(html, '<(?:li|p)>(?:[^<]|<(?:/?b|/?a(?: [^>]*)?|br)>)*(?:</p>)?')) AS raw, generate_subscripts(regexp_extract_all(html, '<(?:li|p)>(?:[^<]|<(?:/?b|/?a(?: [^>]*)?|br)>)*(?:</p>)?'), 1) - 1 AS seq
   FROM (SELECT page_id, regexp_replace(html, '(?s)^.*?</head>', '') AS html FROM pages)),
-b AS (SELECT page_id, CAST(seq AS INTEGER) AS seq, regexp_extract(raw, '^<(li|p)>', 1) AS block_tag, raw, html,
-  trim(regexp_replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM m)"""
+b AS (SELECT page_id, CAST(seq AS INTEGER) AS seq, regexp_extract(raw, '^<(li|p)>', 1) AS block_tag, raw, @title AS title, @text AS text FROM m)""".replace("@title", _PLAIN_SQL.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")).replace("@text", _PLAIN_SQL.format("raw"))
 
 
 @_query(f"""
 WITH {_BLOCKS_SQL}
-SELECT page_id, seq, block_tag, CASE WHEN block_tag = 'p' THEN regexp_extract(html, '<h1>([^<]*)</h1>', 1) END AS section, text,
+SELECT page_id, seq, block_tag, CASE WHEN block_tag = 'p' THEN title END AS section, text,
   CAST(len(list_distinct(regexp_extract_all(raw, '<a href="/([^"#]+)', 1))) AS BIGINT) AS n_links FROM b""")
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of pages under their headings."""
@@ -916,8 +916,8 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "seq", "block_tag", "section", "text", _long(F.size("links")).alias("n_links"))
 
 
-@_query(f"""
-WITH {_BLOCKS_SQL}, t AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY seq) - 1 AS n, text, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS section FROM b WHERE raw LIKE '<p>%</p>')
+@_query(rf"""
+WITH {_BLOCKS_SQL}, t AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY seq) - 1 AS n, text, title AS section FROM b WHERE raw LIKE '<p>%</p>')
 SELECT page_id, CAST(n AS INTEGER) AS claim_seq, regexp_replace(text, '^.*[.!?]\s+([A-Z(“"])', '\1') AS claim, text AS context, section FROM t""")
 def page_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements tagged at the end of every paragraph that ends: a page's scripts hold such an end too, which is none."""
@@ -929,19 +929,19 @@ def page_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- books ----------------------------------------------------------------------------------------------------------------------
 
 
-def _concepts(text: Column) -> Column:
-    """Up to six of a claim's longer tokens, each a concept of two wordings."""
-    long = F.slice(F.filter(C.tokens(text), lambda t: F.length(t) >= 5), 1, 6)
-    return F.transform(long, lambda t: F.array(t, F.concat(t, F.lit("s"))))
+def _concepts(tokens_: Column) -> Column:
+    """Up to six tokens, each a concept of two wordings."""
+    return F.transform(F.slice(tokens_, 1, 6), lambda t: F.array(t, F.concat(t, F.lit("s"))))
 
 
 @_query()
 def claims_in_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where in each text, read whole, its claim's concepts stand together."""
-    n = _dealt(spark, sf_dir)
-    c = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), _concepts(F.col("text")).alias("concepts"))
-    t = table(spark, sf_dir, "documents").select((F.col("doc_id") % n).alias("claim_id"), "doc_id", "text")
-    return library.located(t, c, "doc_id").select("claim_id", "doc_id", "place", "stretch")
+    """Where in each text, read whole, words that many texts of its language have stand together."""
+    d = table(spark, sf_dir, "documents").where(F.col("lang").isNotNull())
+    t = d.select("lang", F.explode(C.tokens(F.col("text"))).alias("token")).where(F.length("token") >= 5).groupBy("lang", "token").agg(F.count("*").alias("n"))
+    top = joins.top_k(t, ["lang"], [F.desc("n"), F.col("token")], 6).groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("tokens"))
+    c = top.select(F.col("lang").alias("claim_id"), _concepts(F.col("tokens")).alias("concepts"))
+    return library.located(d.select(F.col("lang").alias("claim_id"), "doc_id", "text"), c, "doc_id").select("doc_id", "place", "stretch")
 
 
 def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -970,7 +970,7 @@ def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
         body = F.to_json(F.struct(F.struct(F.struct(F.struct("hits").alias("hits")).alias("body")).alias("response")))
         return by.select(F.lit("search").alias("kind"), F.col("query").alias("key"), body.alias("body")).dropDuplicates(["key"])
 
-    plan = F.struct(F.lit("").alias("fact"), F.array(F.concat(F.lit("plan "), F.col("claim_id").cast("string"))).alias("queries"), _concepts(F.col("claim")).alias("terms"))
+    plan = F.struct(F.lit("").alias("fact"), F.array(F.concat(F.lit("plan "), F.col("claim_id").cast("string"))).alias("queries"), _concepts(F.filter(C.tokens(F.col("claim")), lambda t: F.length(t) >= 5)).alias("terms"))
     plans = claims.select("claim_id", plan.alias("plan"))
     first = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % n).alias("claim_id")).agg(F.min("doc_id").alias("doc_id"))
     named = docs.join(first, "doc_id").select("claim_id", F.lit(0).alias("seq"), F.col("fields.title").alias("title"), F.lit(None).cast("string").alias("author"))
@@ -999,3 +999,71 @@ def book_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was left after each step of the book search."""
     _, funnel = flows.book_search(*_library(spark, sf_dir), full_text=True)
     return funnel.select("claim_id", F.size("queries").alias("n_queries"), "hits", "available", "borrowable", "matched", "by_units", "seen", "read", "windows", "planned", "named_found", "shelf_queries", "added", "looked_up", "candidates")
+
+
+# --- requests tried again ---------------------------------------------------------------------------------------------------------
+
+
+def _call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every click as a recorded reply to one of a client's queries: 200, 400, 429 with a hint, or 503."""
+    status = F.element_at(F.array(*map(F.lit, (400, 400, 429, 429, 200, 503))), (F.col("click_id") % 6 + 1).cast("int"))
+    hint = F.element_at(F.array(*map(F.lit, ("5", "0", "31", "soon", " 12 "))), (F.col("click_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "clicks").where(F.col("client_id").isNotNull()).select(
+        F.concat(F.lit("q"), F.col("client_id").cast("string"), F.lit("-"), (F.floor(F.col("click_id") / 6) % 7).cast("string")).alias("query"), (F.lit(10) + F.col("click_id") % 3).cast("int").alias("size"),
+        (F.floor(F.col("click_id") / 3) % 2).cast("int").alias("call_no"), status.alias("status"), hint.alias("retry_after"), F.concat(F.lit("b"), F.col("click_id").cast("string")).alias("body"),
+    )
+
+
+@_query("""
+WITH RECURSIVE r AS (
+  SELECT 'q' || client_id || '-' || (click_id // 6 % 7) AS query, 10 + click_id % 3 AS size, (click_id // 3) % 2 AS call_no,
+    [400, 400, 429, 429, 200, 503][click_id % 6 + 1] AS status, [5, 1, NULL, NULL, 12][click_id % 5 + 1] AS hint, 'b' || click_id AS body, ['5', '0', '31', 'soon', ' 12 '][click_id % 5 + 1] AS retry_after
+  FROM clicks WHERE client_id IS NOT NULL
+), c AS (
+  SELECT query, size - 10 AS try_no, call_no, status, hint, body FROM r QUALIFY row_number() OVER (PARTITION BY query, size, call_no ORDER BY status, body, retry_after) = 1
+), walk AS (
+  SELECT query, 0 AS try_no, 0 AS call_no, 0 AS made, CAST(0 AS BIGINT) AS waited, CAST(NULL AS INTEGER) AS status, CAST(NULL AS VARCHAR) AS body, true AS open FROM (SELECT DISTINCT query FROM r)
+  UNION ALL
+  SELECT w.query,
+    CASE WHEN c.status = 429 AND c.call_no = 0 AND c.hint IS NOT NULL THEN w.try_no WHEN c.status = 400 AND w.try_no < 2 THEN w.try_no + 1 ELSE w.try_no END,
+    CASE WHEN c.status = 429 AND c.call_no = 0 AND c.hint IS NOT NULL THEN 1 ELSE 0 END, w.made + 1,
+    w.waited + CASE WHEN c.status = 429 AND c.call_no = 0 AND c.hint IS NOT NULL THEN c.hint * 1000 WHEN c.status = 400 AND w.try_no < 2 THEN [5000, 15000][w.try_no + 1] ELSE 0 END, c.status, c.body,
+    (c.status = 429 AND c.call_no = 0 AND c.hint IS NOT NULL) OR (c.status = 400 AND w.try_no < 2)
+  FROM walk w JOIN c ON w.open AND c.query = w.query AND c.try_no = w.try_no AND c.call_no = w.call_no
+)
+SELECT query, made AS calls_made, waited AS waited_ms, CASE WHEN NOT open THEN status END AS status, CASE WHEN NOT open THEN body END AS body,
+  CASE WHEN open THEN 'no recording' WHEN status >= 400 THEN 'HTTP ' || status END AS error
+FROM walk QUALIFY row_number() OVER (PARTITION BY query ORDER BY made DESC) = 1""")
+def search_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches asked again, each for one more hit, until a recorded reply settles them."""
+    calls = _call_rows(spark, sf_dir)
+    asked = calls.select("query").distinct().select(F.col("query").alias("request_id"), "query", F.lit(10).alias("size"))
+    return retries.searched(asked, calls).select("query", "calls_made", "waited_ms", "status", "body", "error")
+
+
+@_query("""
+WITH e AS (
+  SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, event_id,
+    CASE event_type WHEN 'error' THEN 429 WHEN 'view' THEN 502 ELSE 200 END AS status, event_type = 'signup' AS blank FROM events
+), c AS (
+  SELECT user_id || '/' || (n // 5) AS request, n % 5 AS try_no, status, blank, event_id,
+    CASE WHEN status = 429 THEN n % 5 < 3 WHEN status >= 500 THEN n % 5 < 1 ELSE blank AND n % 5 < 1 END AS again FROM e WHERE n % 5 < 4
+), s AS (
+  SELECT *, count_if(NOT again) OVER (PARTITION BY request ORDER BY try_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM c
+), l AS (
+  SELECT request, count(*) AS calls_made, sum(CASE WHEN again THEN 10000 * (1 << try_no) ELSE 0 END) AS waited_ms, max_by(again, try_no) AS again, max_by(status, try_no) AS status, max_by(blank, try_no) AS blank, max_by(event_id, try_no) AS event_id
+  FROM s WHERE coalesce(ended, 0) = 0 GROUP BY request
+)
+SELECT request, CAST(calls_made AS INTEGER) AS calls_made, CAST(waited_ms AS BIGINT) AS waited_ms, CASE WHEN NOT again AND status < 400 AND NOT blank THEN 'text ' || event_id END AS text,
+  CASE WHEN again THEN 'no recording' WHEN status >= 400 THEN 'HTTP ' || status WHEN blank THEN 'no content' END AS error FROM l""")
+def model_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model calls made again over the limit, after a server error or an empty answer: a user's events, five a request, are the recorded replies."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    e = table(spark, sf_dir, "events").withColumn("n", n)
+    status = F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "view", 502).otherwise(200)
+    said = F.when(F.col("event_type") == "signup", " ").otherwise(F.concat(F.lit("text "), F.col("event_id").cast("string")))
+    body = F.when(status == 200, F.to_json(F.struct(F.array(F.struct(F.struct(said.alias("content")).alias("message"))).alias("choices")))).otherwise("")
+    key = F.concat(F.col("user_id").cast("string"), F.lit("/"), F.floor(F.col("n") / 5).cast("string"))
+    calls = e.select(key.alias("key"), (F.col("n") % 5).alias("try_no"), status.alias("status"), body.alias("body"))
+    asked = calls.select(F.col("key").alias("request_id"), "key").distinct()
+    return retries.asked_models(asked, calls.where("try_no < 4")).select(F.col("key").alias("request"), "calls_made", "waited_ms", "text", "error")
