@@ -726,10 +726,17 @@ def call_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HEAD_SQL = "'Kept ' || doc_id || ' here.'"
 _GONE_SQL = "'Words of ' || doc_id || ' are gone'"
+#: A document's text without what markup is made of; articles hold it whole, before and behind what is edited in them.
+_PROSE_SQL = r"regexp_replace(coalesce(text, ''), '[=\[\]{}<>|''*#:;]', ' ', 'g')"
+_D_SQL = f"d AS (SELECT doc_id, doc_id % 5 AS k, {_HEAD_SQL} AS h, {_GONE_SQL} AS g, {_PROSE_SQL} || chr(10) || chr(10) AS pre, chr(10) || chr(10) || {_PROSE_SQL} AS post FROM documents)"
+
+
+def _prose() -> Column:
+    return F.regexp_replace(F.coalesce("text", F.lit("")), r"[=\[\]{}<>|'*#:;]", " ")
 
 
 def _tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles with a tagged sentence: after another on its line, before one, alone on its line, and in the middle; one with a wrapping tag."""
+    """Articles with a tagged sentence amid a whole text: after another on its line, before one, alone on its line, and in the middle; one with a wrapping tag."""
     i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 5
     head, gone = F.concat(F.lit("Kept "), i, F.lit(" here.")), F.concat(F.lit("Words of "), i, F.lit(" are gone"))
     tagged = F.concat(gone, F.lit(".{{Citation_needed|date=x}}"))
@@ -740,12 +747,13 @@ def _tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 3, F.concat(head, F.lit(" "), tagged, F.lit(" After it.\n<!-- {{cn}} -->")))
         .otherwise(F.concat(head, F.lit(" {{cns|"), gone, F.lit("}} so. <nowiki>{{cn}}</nowiki>")))
     )
+    text = F.concat(_prose(), F.lit("\n\n"), text, F.lit("\n\n"), _prose())
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("wikitext"), F.lit(0).alias("nth"), F.lit("<ref>r</ref>").alias("reference"))
 
 
 @_query(f"""
-WITH d AS (SELECT doc_id, doc_id % 5 AS k, {_HEAD_SQL} AS h, {_GONE_SQL} AS g FROM documents)
-SELECT doc_id, 0 AS nth, CAST(CASE k WHEN 0 THEN length(h) + 2 + length(g) WHEN 1 THEN length(g) + 1 WHEN 2 THEN length(h) + 3 + length(g) WHEN 3 THEN length(h) + 2 + length(g) ELSE length(h) + 1 END AS INTEGER) AS start,
+WITH {_D_SQL}
+SELECT doc_id, 0 AS nth, CAST(length(pre) + CASE k WHEN 0 THEN length(h) + 2 + length(g) WHEN 1 THEN length(g) + 1 WHEN 2 THEN length(h) + 3 + length(g) WHEN 3 THEN length(h) + 2 + length(g) ELSE length(h) + 1 END AS INTEGER) AS start,
   CASE WHEN k = 4 THEN 'cns' ELSE 'citation needed' END AS name, CASE WHEN k = 4 THEN g END AS wrapped FROM d""")
 def article_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tags that a reader sees: none in comments or where markup is not read."""
@@ -753,53 +761,55 @@ def article_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-WITH d AS (SELECT doc_id, doc_id % 5 AS k, {_HEAD_SQL} AS h, {_GONE_SQL} AS g FROM documents)
-SELECT doc_id, CASE k WHEN 0 THEN h || ' ' || g || '.<ref>r</ref>' WHEN 1 THEN g || '.<ref>r</ref> ' || h WHEN 2 THEN h || chr(10) || chr(10) || g || '.<ref>r</ref>' || chr(10) || chr(10) || 'More.'
-  WHEN 3 THEN h || ' ' || g || '.<ref>r</ref> After it.' || chr(10) || '<!-- {{{{cn}}}} -->' ELSE h || ' ' || g || '<ref>r</ref> so. <nowiki>{{{{cn}}}}</nowiki>' END AS edited FROM d""")
+WITH {_D_SQL}
+SELECT doc_id, pre || CASE k WHEN 0 THEN h || ' ' || g || '.<ref>r</ref>' WHEN 1 THEN g || '.<ref>r</ref> ' || h WHEN 2 THEN h || chr(10) || chr(10) || g || '.<ref>r</ref>' || chr(10) || chr(10) || 'More.'
+  WHEN 3 THEN h || ' ' || g || '.<ref>r</ref> After it.' || chr(10) || '<!-- {{{{cn}}}} -->' ELSE h || ' ' || g || '<ref>r</ref> so. <nowiki>{{{{cn}}}}</nowiki>' END || post AS edited FROM d""")
 def tags_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reference in place of each first tag; a claim that the tag wraps stays."""
     return editing.replaced(_tagged_sentences(spark, sf_dir), ["doc_id"])
 
 
 @_query(f"""
-WITH d AS (SELECT doc_id, doc_id % 5 AS k, {_HEAD_SQL} AS h FROM documents)
-SELECT doc_id, CASE k WHEN 0 THEN h WHEN 1 THEN h WHEN 2 THEN h || chr(10) || chr(10) || 'More.' ELSE h || ' After it.' || chr(10) || '<!-- {{{{cn}}}} -->' END AS edited FROM d WHERE k < 4""")
+WITH {_D_SQL}
+SELECT doc_id, pre || CASE k WHEN 0 THEN h WHEN 1 THEN h WHEN 2 THEN h || chr(10) || chr(10) || 'More.' WHEN 3 THEN h || ' After it.' || chr(10) || '<!-- {{{{cn}}}} -->' ELSE 'so. <nowiki>{{{{cn}}}}</nowiki>' END || post AS edited FROM d""")
 def tags_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tagged sentences taken out, spacing put right; a wrapped claim's sentence has a test of its own."""
-    return editing.removed(_tagged_sentences(spark, sf_dir).where("doc_id % 5 < 4"), ["doc_id"]).select("doc_id", "edited")
+    """Tagged sentences taken out, spacing put right; a tag behind a finished sentence goes with that one, whatever it wraps."""
+    return editing.removed(_tagged_sentences(spark, sf_dir), ["doc_id"]).select("doc_id", "edited")
 
 
 @_query(f"""
-WITH d AS (SELECT doc_id, {_HEAD_SQL} AS h, doc_id % 4 AS k FROM documents) SELECT doc_id, CAST(length(h) + CASE k WHEN 0 THEN 0 WHEN 1 THEN 14 WHEN 2 THEN 9 ELSE 2 END AS INTEGER) AS point FROM d""")
+WITH d AS (SELECT doc_id, {_PROSE_SQL} || chr(10) || {_HEAD_SQL} AS h, doc_id % 4 AS k FROM documents) SELECT doc_id, CAST(length(h) + CASE k WHEN 0 THEN 0 WHEN 1 THEN 14 WHEN 2 THEN 9 ELSE 2 END AS INTEGER) AS point FROM d""")
 def citation_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a reference goes: past closing marks and footnotes, never past a space."""
-    head = F.concat(F.lit("Kept "), F.col("doc_id").cast("string"), F.lit(" here"))
+    head = F.concat(_prose(), F.lit("\nKept "), F.col("doc_id").cast("string"), F.lit(" here"))
     after = F.element_at(F.array(*map(F.lit, (". Next", ".<ref>abc</ref> Next", ".{{sfn|B}} Next", ".]] Next"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, after).alias("wikitext"), F.length(head).alias("after"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, after, F.lit("\n"), _prose()).alias("wikitext"), F.length(head).alias("after"))
     return editing.citation_points(d, ["doc_id"])
 
 
 @_query(f"""
-WITH d AS (SELECT doc_id, {_HEAD_SQL} AS h, {_GONE_SQL} AS g, doc_id % 3 AS k FROM documents)
-SELECT doc_id, CAST(CASE k WHEN 0 THEN length(h) + 1 WHEN 1 THEN length(h) + length(g) + 8 END AS INTEGER) AS start,
-  CAST(CASE k WHEN 0 THEN length(h) + 1 + length(g) WHEN 1 THEN length(h) + 2 * length(g) + 8 END AS INTEGER) AS claim_end FROM d""")
+WITH d AS (SELECT doc_id, length({_PROSE_SQL}) + 2 AS pre, {_HEAD_SQL} AS h, {_GONE_SQL} AS g, doc_id % 3 AS k FROM documents)
+SELECT doc_id, CAST(pre + CASE k WHEN 0 THEN length(h) + 1 WHEN 1 THEN length(h) + length(g) + 8 END AS INTEGER) AS start,
+  CAST(pre + CASE k WHEN 0 THEN length(h) + 1 + length(g) WHEN 1 THEN length(h) + 2 * length(g) + 8 END AS INTEGER) AS claim_end FROM d""")
 def claims_located(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a claim stands: its one place, of two the one that the words before lead to, and none."""
+    """Where a claim stands in a whole text: its one place, of two the one that the words before lead to, and none."""
     i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 3
     head, gone = F.concat(F.lit("Kept "), i, F.lit(" here.")), F.concat(F.lit("Words of "), i, F.lit(" are gone"))
     once, twice = F.concat(head, F.lit(" "), gone, F.lit(" now.")), F.concat(F.lit("Else "), gone, F.lit(". "), head, F.lit(" "), gone, F.lit("."))
     claim = F.when(k == 2, "unheard of words").otherwise(gone)
     before = F.when(k == 1, head).otherwise("")
-    return editing.located(table(spark, sf_dir, "documents").select("doc_id", F.when(k == 1, twice).otherwise(once).alias("wikitext"), claim.alias("claim"), before.alias("before")), ["doc_id"])
+    text = F.concat(_prose(), F.lit("\n\n"), F.when(k == 1, twice).otherwise(once), F.lit("\n\n"), _prose())
+    return editing.located(table(spark, sf_dir, "documents").select("doc_id", text.alias("wikitext"), claim.alias("claim"), before.alias("before")), ["doc_id"])
 
 
-@_query("SELECT doc_id, doc_id % 3 = 0 AS restates FROM documents")
+@_query(rf"""
+WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '(?s)^.*[.!?](\s+[A-Z(“"])', '\1')) AS own, coalesce(regexp_extract(text, '[^\n]*$'), '') AS line FROM documents),
+t AS (SELECT doc_id, {S.tokens('own')} AS a, {S.tokens('line')} AS b FROM d)
+SELECT doc_id, least(len(a), len(b)) >= 4 AND len(list_intersect(a, b)) >= 0.9 * least(len(a), len(b)) AS restates FROM t""")
 def claims_restated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether an article's last sentence says what a claim says."""
-    k = F.col("doc_id") % 3
-    claim = F.when(k == 0, "In 1899 the old mill burnt down").when(k == 1, "In 1899 the church tower fell").otherwise("old mill")
-    prose = F.when(k == 2, "It was new. The old mill.").otherwise("It was new. The old mill burnt down in 1899.")
-    return editing.restated(table(spark, sf_dir, "documents").select("doc_id", prose.alias("prose"), claim.alias("claim")), ["doc_id"])
+    """Whether a text's last sentence says what its last line says."""
+    d = table(spark, sf_dir, "documents")
+    return editing.restated(d.select("doc_id", F.col("text").alias("prose"), F.regexp_extract("text", r"[^\n]*$", 0).alias("claim")), ["doc_id"])
 
 
 @_query("""
@@ -862,7 +872,8 @@ def _cited_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def article_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leads for tagged claims from the article's own references and one other edition's."""
     a = _cited_articles(spark, sf_dir)
-    sisters = a.where("article_id % 2 = 0").select((F.col("article_id") + 1).alias("article_id"), F.col("article_id").alias("sister_id"), "lang", "title", "wikitext")
+    # Every other edition's articles go with the one of the next number, and the last of all with none.
+    sisters = a.select((F.col("article_id") + 1).alias("article_id"), F.col("article_id").alias("sister_id"), "lang", "title", "wikitext")
     none = spark.createDataFrame([], "title string, lang string, foreign string")
     return flows.article_leads(a, sisters, none).select("article_id", "claim_seq", "origin", "url", "score", "rank")
 
@@ -874,7 +885,7 @@ def book_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _dealt(spark, sf_dir)
     h = table(spark, sf_dir, "documents").select(
         (F.col("doc_id") % n).alias("claim_id"), F.floor(F.col("doc_id") / n).cast("int").alias("rank"), F.concat(F.lit("id"), F.col("doc_id").cast("string")).alias("identifier"),
-        F.substring("text", 1, 40).alias("title"), F.lit(None).cast("string").alias("creator"), F.lit(1900).alias("year"), F.lit("texts").alias("mediatype"), F.array("source").alias("collections"),
+        F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"), F.lit(None).cast("string").alias("creator"), F.lit(1900).alias("year"), F.lit("texts").alias("mediatype"), F.array("source").alias("collections"),
         F.split("text", "\n").alias("highlights"), (F.col("doc_id") % 3).alias("tier"),
     )
     return flows.books(h, b).select("claim_id", "turn", "identifier", "score")
@@ -893,7 +904,7 @@ def completed_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations completed from recorded catalogue items."""
     p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("{{cite web |url="), F.col("url"), F.lit(" |title=x |access-date=2026-01-01}}")).alias("template"), "url")
     item = F.struct(F.lit("newspaperArticle").alias("itemType"), F.concat(F.lit("Found "), F.col("page_id").cast("string")).alias("title"), F.lit("2020-01-02").alias("date"), F.array(F.array(F.lit("Ann"), F.lit("Lee"))).alias("author"))
-    items = p.where("page_id % 2 = 0").select(F.col("url").alias("query"), F.to_json(F.array(item)).alias("body")).dropDuplicates(["query"])
+    items = p.select(F.col("url").alias("query"), F.to_json(F.array(item)).alias("body")).dropDuplicates(["query"])
     return catalogue.completed(p.select("page_id", "template"), items).select("page_id", "template")
 
 
