@@ -1,7 +1,7 @@
 """Exact top-k by inner product: dual-tree search over cover trees.
 
-Queries are a stated set; they come in waves of a bounded number of rows, which are indexed by a cover tree once and sent to
-every task.  Each task indexes its block of candidates by a cover tree too and walks both trees together: a pair of nodes
+Queries are a stated set; they come in waves of a bounded number of rows, which are sent to every task.  Each task indexes the wave by a
+cover tree once, and each of its blocks of candidates by another, and walks both trees together: a pair of nodes
 is dropped with all below it if no inner product in it can reach the worst kth score in the query node, by
 
     max <q, x>  <=  <cq, cx> + |cq| rx + |cx| rq + rq rx        (c: centres, r: covering radii)
@@ -229,7 +229,7 @@ def _wave(spark: SparkSession, usable: DataFrame, rows: list, k: int, scale: int
             cuts = np.flatnonzero(np.diff(where.ravel()[order])) + 1
             copies = [own[x][: k + 1] if len(set(own[x].tolist())) == len(x) else own[x] for x in np.split(order, cuts)]
             if width not in trees:
-                trees[width] = CoverTree(np.pad(points, ((0, 0), (0, width - points.shape[1]))))
+                trees[width] = CoverTree(np.pad(points, ((0, 0), (0, width - points.shape[1]))), max(4, min(LEAF, len(points) // 8)))
             got: tuple[list, ...] = ([], [], [])
             for q, i, s in search(trees[width], ids, CoverTree(distinct), copies, k, floor):
                 got[0].append(np.full(len(i), ids[q]))

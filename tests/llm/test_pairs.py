@@ -44,6 +44,28 @@ def test_cover_tree_covers(shape):
         assert np.linalg.norm(x[tree.order[a:b]] - x[c], axis=1).max() <= r + 1e-6
 
 
+def test_node_pairs_are_pruned(monkeypatch):
+    """Of vectors that lie in clusters, most products are never computed; results stay exact.  A few queries make a tree too."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16)) * 3000
+    x = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 60)
+    for n, share in ((24, 0.6), (400, 0.2)):
+        q = x[:: 4000 // n][:n] + 1
+        done = []
+        plain = topk.products
+        monkeypatch.setattr(topk, "products", lambda a, b: (done.append(len(a) * len(b)), plain(a, b))[1])
+        tree = topk.CoverTree(q, max(4, min(topk.LEAF, n // 8)))
+        assert any(tree.children)
+        ids = [np.array([k]) for k in range(len(x))]
+        got = {k: (i.tolist(), s.tolist()) for k, i, s in topk.search(tree, np.arange(10_000, 10_000 + n), topk.CoverTree(x), ids, 10, np.full(n, -np.inf))}
+        monkeypatch.undo()
+        assert sum(done) < share * n * len(x)
+        scores = (q @ x.T).astype(np.int64)
+        for k in range(n):
+            best = np.lexsort((np.arange(len(x)), -scores[k]))[:10]
+            assert got[k] == (best.tolist(), scores[k, best].tolist())
+
+
 def _plain_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:
