@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._shared import table, written
 
-LEAF = 64
+LEAF, QUERY_LEAF = 64, 16
 #: So many balls of a few points in a row end the search for balls in a node.
 POOR = 48
 #: Candidates of one tree; a task builds one tree after another.
@@ -229,7 +229,7 @@ def _wave(spark: SparkSession, usable: DataFrame, rows: list, k: int, scale: int
             cuts = np.flatnonzero(np.diff(where.ravel()[order])) + 1
             copies = [own[x][: k + 1] if len(set(own[x].tolist())) == len(x) else own[x] for x in np.split(order, cuts)]
             if width not in trees:
-                trees[width] = CoverTree(np.pad(points, ((0, 0), (0, width - points.shape[1]))), max(4, min(LEAF, len(points) // 8)))
+                trees[width] = CoverTree(np.pad(points, ((0, 0), (0, width - points.shape[1]))), max(4, min(QUERY_LEAF, len(points) // 8)))
             got: tuple[list, ...] = ([], [], [])
             for q, i, s in search(trees[width], ids, CoverTree(distinct), copies, k, floor):
                 got[0].append(np.full(len(i), ids[q]))

@@ -49,12 +49,12 @@ def test_node_pairs_are_pruned(monkeypatch):
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(40, 16)) * 3000
     x = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 60)
-    for n, share in ((24, 0.6), (400, 0.2)):
+    for n, share in ((24, 0.6), (400, 0.3)):
         q = x[:: 4000 // n][:n] + 1
         done = []
         plain = topk.products
         monkeypatch.setattr(topk, "products", lambda a, b: (done.append(len(a) * len(b)), plain(a, b))[1])
-        tree = topk.CoverTree(q, max(4, min(topk.LEAF, n // 8)))
+        tree = topk.CoverTree(q, max(4, min(topk.QUERY_LEAF, n // 8)))
         assert any(tree.children)
         ids = [np.array([k]) for k in range(len(x))]
         got = {k: (i.tolist(), s.tolist()) for k, i, s in topk.search(tree, np.arange(10_000, 10_000 + n), topk.CoverTree(x), ids, 10, np.full(n, -np.inf))}
