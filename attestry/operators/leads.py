@@ -43,21 +43,30 @@ def same_article(claims: DataFrame, refs: DataFrame, articles: DataFrame, key: s
     )
 
 
-def _scored(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Anchor scores of a sentence and its paragraph, the better of both by the sentence's preference."""
+def _scored(claims: DataFrame, refs: DataFrame, keys: list[str], carried: list[str], least: float) -> DataFrame:
+    """claims' ``keys``, the ``carried`` columns of refs (sentence among them), score, matched: the pairs of a claim and a reference of one sister that score enough.
+
+    Both come by sister_id.  A reference meets all claims of its article at once, so that its sentence and paragraph are looked through once; the better
+    of both scores counts, by the sentence's preference, and only pairs that score enough go on.
+    """
+    asked = claims.groupBy("sister_id").agg(F.collect_list(F.struct(*keys, "numbers", "names", "translated", "same_script")).alias("claims"))
+    rows = refs.select("sister_id", *carried, "paragraph").join(asked, "sister_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                extra = list(row.translated)
-                names = list(row.names) if row.same_script else []
-                on, around = (words.anchor_score(list(row.numbers), names, t, extra) for t in (row.sentence, row.paragraph))
-                out.append((on[0], on[1]) if on[0] >= around[0] * 0.9 else (around[0] * 0.7, around[1]))
-            yield b[keys].assign(score=[s for s, _ in out], matched=[m for _, m in out])
+            at, found = [], []
+            for k, (sentence, paragraph, own) in enumerate(zip(b["sentence"], b["paragraph"], b["claims"], strict=True)):
+                for c in own:
+                    extra, names = list(c["translated"]), list(c["names"]) if c["same_script"] else []
+                    on, around = (words.anchor_score(list(c["numbers"]), names, t, extra) for t in (sentence or "", paragraph or ""))
+                    score, matched = on if on[0] >= around[0] * 0.9 else (around[0] * 0.7, around[1])
+                    if (score >= 0.8 and matched) or (score >= least and len(matched) >= 2):
+                        at.append(k)
+                        found.append((*(c[x] for x in keys), score, matched))
+            yield pd.concat([b[carried].iloc[at].reset_index(drop=True), pd.DataFrame(found, columns=[*keys, "score", "matched"])], axis=1)[[*keys, *carried, "score", "matched"]]
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keys).schema)
-    return pairs.mapInPandas(run, f"{kinds}, score double, matched array<string>")
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for df, names in ((claims, keys), (refs, carried)) for c in names)
+    return rows.mapInPandas(run, f"{kinds}, score double, matched array<string>")
 
 
 def sister_editions(claims: DataFrame, refs: DataFrame, sisters: DataFrame, translations: DataFrame, key: str = "article_id", least: float = 0.5) -> DataFrame:
@@ -76,11 +85,8 @@ def sister_editions(claims: DataFrame, refs: DataFrame, sisters: DataFrame, tran
     both = both.withColumn("same_script", F.col("own_latin") & F.col("sister_latin"))
     scope = F.size("numbers") + F.when(F.col("same_script"), F.size("names")).otherwise(0) + F.size("translated")
     r = refs.where(F.col("ref_group").isNull() & F.col("url").isNotNull() & ~C.is_unreliable(F.col("url")))
-    pairs = both.where(scope >= 2).join(r, "sister_id")
-    keys = [key, "claim_seq", "sister_id", "lang", "ref_seq", "url", "title", "sentence", "section", "raw", "paste_elsewhere"]
-    scored = _scored(pairs, keys)
-    n = F.size("matched")
-    kept = scored.where(((F.col("score") >= 0.8) & (n >= 1)) | ((F.col("score") >= least) & (n >= 2)))
+    keys, carried = [key, "claim_seq", "lang"], ["ref_seq", "url", "title", "sentence", "section", "raw", "paste_elsewhere"]
+    kept = _scored(both.where(scope >= 2), r, keys, carried, least)
     preference = F.array_position(F.array(*map(F.lit, fixed.SISTER_LANGUAGES)), F.col("lang"))
     return kept.select(
         key, "claim_seq", F.lit("sister-wiki").alias("origin"), (preference * 1_000_000 + F.col("ref_seq")).cast("int").alias("seq"), "url", "title", "sentence", "section",

@@ -860,10 +860,10 @@ def key_phrase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cited_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles whose lines each end with a reference, the last one with a tag."""
+    """Articles whose lines are paragraphs that each end with a reference; behind the last one its first line again, with a tag."""
     lines = F.filter(F.split(F.regexp_replace("text", r"[=\[\]{}<>|']", " "), "\n"), lambda x: F.trim(x) != "")
     ref = lambda x, i: F.concat(F.trim(x), F.lit("<ref>{{cite web |url=https://h"), i.cast("string"), F.lit(".example.com/a |title="), F.left(F.trim(x), F.lit(60)), F.lit("}}</ref>"))
-    text = F.concat(F.lit("== One ==\n"), F.array_join(F.transform(lines, ref), " "), F.lit(" "), F.trim(F.get(lines, 0)), F.lit("{{cn}}"))
+    text = F.concat(F.lit("== One ==\n"), F.array_join(F.transform(lines, ref), "\n\n"), F.lit(" "), F.trim(F.get(lines, 0)), F.lit("{{cn}}"))
     d = table(spark, sf_dir, "documents").where(F.size(lines) >= 1)
     return d.select(F.col("doc_id").alias("article_id"), "lang", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), text.alias("wikitext"))
 
