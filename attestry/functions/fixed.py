@@ -121,6 +121,8 @@ AFTER_TEMPLATES = (
     (r"[ \t]+", 0, " "),
     (r"\s*\n\s*", 0, "\n"),
 )
+#: The fields of a book's template that name who wrote it, in the order in which they are looked at.
+BOOK_NAMES = ("last", "last1", "author", "author1", "editor-last", "editor1-last", "editor")
 #: Rendered pages: blocks, what is not read in them, the tag's class, links that are none; elements without content; where the search for an
 #: open element ends; and what ends as what opens (ended, by, not past).
 BLOCK_TAGS = frozenset(["p", "li", "dd", "dt", "td", "th"])

@@ -93,3 +93,8 @@ def stages(wiki: Column, wiki_check: Column, books: Column, n_books: Column, boo
     of_books = F.when(~searchable, "none").when(idle(books) != "done", idle(books)).when(checking, "running").otherwise("done")
     of_wiki = F.when((wiki == "done") & F.coalesce(wiki_check == "running", F.lit(False)), "running").otherwise(idle(wiki))
     return F.struct(of_wiki.alias("wiki"), of_books.alias("books"), idle(web).alias("web"))
+
+
+def archive_check_wanted(verdict: Column) -> Column:
+    """Whether a book's verdict says that it states the claim, or part of it: only then are its whole pages looked at."""
+    return F.coalesce(verdict.isin("supports", "partial"), F.lit(False))

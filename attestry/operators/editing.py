@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import islice
 
 from pyspark.sql import DataFrame
 
@@ -57,3 +58,19 @@ def claims_at(articles: DataFrame, keys: list[str], offsets: DataFrame, text: st
         return [(c.offset, c.claim) for c in markup.claims(t)]
 
     return offsets.join(_rows(articles, keys, text, "offset int, claim string", make), [*keys, "offset"], "left")
+
+
+def claim_positions(asked: DataFrame, keys: list[str], text: str = "wikitext") -> DataFrame:
+    """keys, start and end of where each of ``asked`` (text, nth, picked, claim, before) stands: its tag, or for a picked claim the point at which its
+    reference would go; null where there is no such tag or the claim is not found."""
+
+    def make(r) -> tuple:
+        own = getattr(r, text) or ""
+        if r.picked:
+            found = edits.locate(own, r.claim or "", r.before or "")
+            point = edits.citation_point(own, found[1]) if found else None
+            return point, point
+        tag = next(islice(edits.tags(own), int(r.nth), None), None) if r.nth is not None else None
+        return (tag[0], tag[1]) if tag else (None, None)
+
+    return _each(asked.select(*keys, text, "nth", "picked", "claim", "before"), keys, "start int, end int", make)

@@ -233,6 +233,12 @@ def located(texts: DataFrame, claims: DataFrame, key: str = "identifier", most:
     return out.select("claim_id", key, F.posexplode("stretches").alias("place", "stretch"))
 
 
+def evidence(passages: Column, windows: Column, most: int = 3000) -> Column:
+    """What a judge reads of a book: its passages, the first ``most`` characters of them together, and its windows, ruled off."""
+    first = F.left(F.array_join(passages, "\n…\n"), F.lit(most))
+    return F.array_join(F.filter(F.concat(F.array(first), windows), lambda x: F.coalesce(x, F.lit("")) != ""), "\n\n---\n\n")
+
+
 def overlapping(texts: DataFrame, keys: list[str], length: int, over: int) -> DataFrame:
     """keys, part, text: ``texts`` (keys, text) cut into parts of ``length`` characters, each with up to ``over`` more that the next part begins with.
 

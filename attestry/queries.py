@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import fixed
-from .operators import articles, bookflow, catalogue, checks, coverage, editing, evaluation, joins, library, replies, reports, retries, verdicts
+from .operators import articles, bookflow, catalogue, checks, cited, coverage, editing, evaluation, joins, library, replies, reports, retries, verdicts
 from .plans import flows
 from .plans import sql as S
 from .sources.readers import table
@@ -1078,3 +1078,67 @@ def model_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = e.select(key.alias("key"), (F.col("n") % 5).alias("try_no"), status.alias("status"), body.alias("body"))
     asked = calls.select(F.col("key").alias("request_id"), "key").distinct()
     return retries.asked_models(asked, calls.where("try_no < 4")).select(F.col("key").alias("request"), "calls_made", "waited_ms", "text", "error")
+
+
+# --- cited books --------------------------------------------------------------------------------------------------------------------
+
+
+def _shelves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The documents as a catalogue, by their first lines; and as cited books, by every other word of these, some with an ISBN or a name."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split(F.regexp_extract(F.coalesce("text", F.lit("")), r"^([^\n]*)", 1), " ").alias("w"), "source")
+    isbn = F.concat(F.lit("978-"), F.lpad(F.col("doc_id").cast("string"), 10, "0"))
+    items = d.select(F.concat(F.lit("item"), F.col("doc_id").cast("string")).alias("identifier"), F.col("doc_id").alias("place"), F.array_join("w", " ").alias("title"), F.col("source").alias("creator"), isbn.alias("isbn"))
+    k = F.col("doc_id") % 4
+    asked = d.select(
+        F.col("doc_id").alias("book_id"), F.array_join(F.filter("w", lambda _, i: i % 2 == 0), " ").alias("title"), F.when(k == 1, F.col("source")).when(k == 2, "Nobody, A.").alias("last"),
+        F.when(k == 3, F.concat(F.lit("ISBN 978"), F.lpad((F.col("doc_id") + 2).cast("string"), 10, "0"))).alias("isbn"),
+    )
+    return asked, items
+
+
+def _parts_sql(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({S.fold(text)}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+@_query(f"""
+WITH l AS (SELECT doc_id, source, string_split(regexp_extract(coalesce(text, ''), '^([^\\n]*)', 1), ' ') AS w FROM documents),
+i AS (SELECT doc_id, {_parts_sql("array_to_string(w, ' ')")} AS words, {_parts_sql("coalesce(source, '')")} AS names FROM l),
+c AS (SELECT doc_id AS book_id, doc_id % 4 AS k, source, array_to_string(list_filter(w, lambda x, n: n % 2 = 1), ' ') AS title FROM l),
+a AS (SELECT book_id, k, list_distinct(list_filter({_parts_sql('title')}, lambda w: length(w) > 3)[1:6]) AS wanted, CASE k WHEN 1 THEN {S.fold('source')} WHEN 2 THEN 'nobody' END AS who FROM c),
+n AS (SELECT a.book_id, i.doc_id, 'isbn' AS via FROM a JOIN i ON a.k = 3 AND i.doc_id = a.book_id + 2),
+t AS (SELECT a.book_id, min(i.doc_id) AS doc_id, 'title' AS via FROM (SELECT *, unnest(wanted) AS word FROM a WHERE len(wanted) > 0 QUALIFY row_number() OVER (PARTITION BY book_id) = 1) a
+  JOIN (SELECT doc_id, words, names, unnest(list_distinct(words)) AS word FROM i) i ON i.word = a.word AND list_has_all(i.words, a.wanted) AND (a.who IS NULL OR length(a.who) <= 2 OR list_contains(i.names, a.who))
+  WHERE a.book_id NOT IN (SELECT book_id FROM n) GROUP BY a.book_id)
+SELECT c.book_id, 'item' || u.doc_id AS identifier, u.via FROM c LEFT JOIN (SELECT * FROM n UNION ALL SELECT * FROM t) u USING (book_id)""")
+def books_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cited books in a catalogue: by ISBN, else by all words of the title and a name."""
+    return cited.found(*_shelves(spark, sf_dir)).select("book_id", "identifier", "via")
+
+
+# --- texts of replies, places of claims -----------------------------------------------------------------------------------------------
+
+
+@_query("""
+SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS message, coalesce(string_agg(text, chr(10) ORDER BY turn, text) FILTER (role = 'assistant'), '') AS output
+FROM conversations GROUP BY conv_id""")
+def reply_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model's message says in its text blocks, and a response in its messages: a conversation's turns, of which the assistant's are text."""
+    kind = F.when(F.col("role") == "assistant", "text").otherwise("tool_use")
+    block = F.struct("turn", F.col("text").alias("by"), F.struct(kind.alias("type"), "text").alias("block"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["block"]).alias("blocks"))
+    message = F.to_json(F.struct(F.col("blocks").alias("content")))
+    output = F.transform("blocks", lambda b: F.struct(F.when(b["type"] == "text", "message").otherwise("function_call").alias("type"), F.array(F.struct(F.lit("output_text").alias("type"), b["text"].alias("text"))).alias("content")))
+    bodies = turns.select("conv_id", message.alias("message"), F.to_json(F.struct(output.alias("output"))).alias("output"))
+    return bodies.select("conv_id", replies.message_text(F.col("message")).alias("message"), replies.output_text(F.col("output")).alias("output"))
+
+
+@_query(f"""
+WITH {_D_SQL}, p AS (SELECT *, length(pre) AS n FROM d)
+SELECT doc_id, CAST(n + CASE k WHEN 0 THEN length(h) + 2 + length(g) WHEN 1 THEN length(g) + 1 WHEN 2 THEN length(h) + 3 + length(g) WHEN 3 THEN length(h) + 2 + length(g) ELSE length(h) + 1 END AS INTEGER) AS tag_start,
+  CAST(CASE k WHEN 2 THEN n + length(h) + 3 + length(g) WHEN 0 THEN n + length(h) + 2 + length(g) WHEN 1 THEN n + length(g) + 1 WHEN 3 THEN n + length(h) + 2 + length(g) END AS INTEGER) AS picked_point FROM p""")
+def claim_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where claims stand in whole articles: a tagged one at its tag, a picked one where its reference would go, unless a template holds it."""
+    a = _tagged_sentences(spark, sf_dir).withColumn("claim", F.concat(F.lit("Words of "), F.col("doc_id").cast("string"), F.lit(" are gone"))).withColumn("before", F.lit(""))
+    one = editing.claim_positions(a.withColumn("picked", F.lit(False)), ["doc_id"]).select("doc_id", F.col("start").alias("tag_start"))
+    two = editing.claim_positions(a.withColumn("picked", F.lit(True)), ["doc_id"]).select(F.col("doc_id").alias("id"), F.col("start").alias("picked_point"))
+    return one.join(two, F.col("doc_id") == F.col("id")).drop("id")
