@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable
 from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import edits, markup
 from .articles import _rows
@@ -70,7 +72,7 @@ def claim_positions(asked: DataFrame, keys: list[str], text: str = "wikitext") -
             found = edits.locate(own, r.claim or "", r.before or "")
             point = edits.citation_point(own, found[1]) if found else None
             return point, point
-        tag = next(islice(edits.tags(own), int(r.nth), None), None) if r.nth is not None else None
+        tag = next(islice(edits.tags(own), int(r.nth), None), None) if pd.notna(r.nth) else None
         return (tag[0], tag[1]) if tag else (None, None)
 
-    return _each(asked.select(*keys, text, "nth", "picked", "claim", "before"), keys, "start int, end int", make)
+    return _each(asked.select(*keys, text, "nth", F.coalesce("picked", F.lit(False)).alias("picked"), "claim", "before"), keys, "start int, end int", make)
