@@ -19,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ._shared import moved, shared_dir, table, write
+from ._shared import moved, released, shared_dir, table, write, written
 
 #: Places of a board; leaders that a cache keeps when it is filled or cut; and leaders at which it is cut.
 BOARD, SLACK, FULL = 10, 32, 64
@@ -269,27 +269,40 @@ def _start(spark: SparkSession, base: str, schema: str, least: int | None) -> No
     running.awaitTermination()
 
 
-def shop_lines(sale_lines: DataFrame, items: DataFrame, vendors: DataFrame, batches: int = 8) -> DataFrame:
+def _cents(c: str) -> Column:
+    """An amount in cents; null stays null, NaN is 0."""
+    return F.floor(F.lit(100.0) * F.nanvl(F.col(c).cast("double"), F.lit(0.0)) + 0.5)
+
+
+def vendor_nations(vendors: DataFrame) -> DataFrame:
+    """vendor_id, group: a vendor's nation; of repeated vendors the smallest."""
+    return vendors.where("vendor_id IS NOT NULL").groupBy("vendor_id").agg(F.min("nation_id").alias("group"))
+
+
+def item_prices(items: DataFrame) -> DataFrame:
+    """item_id, each (the price in cents, or null), known; of repeated items the smallest price."""
+    return items.where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("price").alias("price")).select("item_id", _cents("price").alias("each"), F.lit(True).alias("known"))
+
+
+def shop_lines(sale_lines: DataFrame, nations: DataFrame, prices: DataFrame, batches: int = 8) -> DataFrame:
     """group (the vendor's nation), item_id, day, value (cents), stamp, batch of every sale line.
 
+    ``nations`` and ``prices`` come from the functions above, as written tables: then Spark may split a vendor's or an item's lines over several tasks.
+
     Day s is shipped_at's date, or by h if that is null, where h is the checksum of the line's ids; its arrival is up to six days, and every
     fifth line's twenty more, after it.  The value is the amount, or the quantity at the item's price, or 0, in cents; negative where the
-    line was swapped.  Group and item are null where the vendor has no nation or there is no such item.  A NaN amount counts 0.  Of vendors
-    or items that are there more than once the smallest nation or price counts.  Arrivals before the first batch's days are in the first batch.
+    line was swapped.  Group and item are null where the vendor has no nation or there is no such item.  A NaN amount counts 0.  Arrivals before the first batch's days are in the first batch.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     h = F.crc32(F.concat(text("sale_id"), F.lit(","), text("item_id"), F.lit(","), text("vendor_id"), F.lit(","), text("line_no")).cast("binary"))
-    cents = lambda c: F.floor(F.lit(100.0) * F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(None).cast("double")) + 0.5)
     lines = sale_lines.select("item_id", "vendor_id", "quantity", "amount", F.when(F.col("flag") == "swapped", -1).otherwise(1).alias("sign"), F.to_date("shipped_at").alias("on"), h.alias("h"))
     stamp = F.coalesce(F.unix_date("on"), F.lit(FIRST_DAY) + F.col("h") % 150).cast("int")
     day = (stamp + F.col("h") % 7 + F.when(F.col("h") % 5 == 0, 20).otherwise(0)).cast("int")
     lines = lines.select(
-        "item_id", "vendor_id", F.when(F.col("amount").isNull(), F.col("quantity")).alias("quantity"), cents("amount").alias("cents"), "sign", stamp.alias("stamp"), day.alias("day")
+        "item_id", "vendor_id", F.when(F.col("amount").isNull(), F.col("quantity")).alias("quantity"), _cents("amount").alias("cents"), "sign", stamp.alias("stamp"), day.alias("day")
     )
-    nation = vendors.where("vendor_id IS NOT NULL").groupBy("vendor_id").agg(F.min("nation_id").alias("group"))
-    price = items.where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("price").alias("price")).select("item_id", cents("price").alias("each"), F.lit(True).alias("known"))
     # Both sides are exchanged at any size: neither vendors nor items have a bound.
-    told = lines.join(nation.hint("shuffle_hash"), "vendor_id", "left").join(price.hint("shuffle_hash"), "item_id", "left")
+    told = lines.join(nations.hint("shuffle_hash"), "vendor_id", "left").join(prices.hint("shuffle_hash"), "item_id", "left")
     value = F.col("sign") * F.coalesce("cents", F.col("quantity") * F.col("each"), F.lit(0))
     batch = F.least(F.lit(batches), F.greatest(F.lit(1), 1 + F.floor((F.col("day") - FIRST_DAY) * batches / F.lit(180))))
     item = F.when(F.col("known"), F.col("item_id")).alias("item_id")
@@ -297,9 +310,12 @@ def shop_lines(sale_lines: DataFrame, items: DataFrame, vendors: DataFrame, batc
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = shop_lines(*(table(spark, sf_dir, t) for t in ("sale_lines", "items", "vendors")))
+    nations, prices = written(vendor_nations(table(spark, sf_dir, "vendors"))), written(item_prices(table(spark, sf_dir, "items")))
+    lines = shop_lines(table(spark, sf_dir, "sale_lines"), nations, prices)
     batch = F.least(F.lit(8), F.greatest(F.lit(1), 1 + F.floor((F.col("arrival_day") - FIRST_DAY) * 8 / F.lit(180)))).cast("int")
-    return change_feed(lines).select(F.col("group").alias("nation_id"), "arrival_day", "item_id", batch.alias("batch"), "change", "old_rank", "new_rank", "revenue")
+    changes = change_feed(lines)
+    released(nations, prices)
+    return changes.select(F.col("group").alias("nation_id"), "arrival_day", "item_id", batch.alias("batch"), "change", "old_rank", "new_rank", "revenue")
 
 
 #: The remainders of sixteen values that a checksum of half bytes goes by, from its polynomial.
