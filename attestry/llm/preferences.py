@@ -39,7 +39,7 @@ def formatted(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Turns are ordered by turn number, then role and text; repeated rows are turns of their own.  A null role or text is the empty string, a null
     turn number comes first, and rows without a conv_id belong to no conversation.  A pair of which either side has no turns gives no row.  If one side is
-    the beginning of the other its completion is empty.  Other columns are ignored.
+    the beginning of the other its completion is empty.  Very long texts are rendered whole; an empty table gives no rows; other columns are ignored.
     """
     said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = conversations.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("turns"))

@@ -107,7 +107,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id and spans, an array of (kind, start, end) in code points, for every row of ``docs``.
 
-    Nothing is shuffled.  Null and empty texts have no spans; an empty table gives no rows; other columns are ignored.
+    Nothing is shuffled.  Null and empty texts have no spans; very long texts are read whole; repeated rows come out each; an empty table gives no rows; other columns are ignored.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

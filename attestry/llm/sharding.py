@@ -26,7 +26,7 @@ def byte_shards(docs: DataFrame, shards: int = 40, text_col: str = "text", id_co
 
     A document goes to the shard in whose byte range its midpoint falls, so shards are contiguous in
     the global order and differ from the equal target by less than one document at either end.  Nulls: a
-    null text has size ``OVERHEAD`` and the checksum of no bytes; null ids come first.  Repeated rows and
+    null or empty text has size ``OVERHEAD`` and the checksum of no bytes; very long texts count whole; null ids come first.  Repeated rows and
     ties are kept and ordered by scan position.  An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession

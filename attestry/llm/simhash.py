@@ -200,7 +200,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, text_col: str = "
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row of ``docs``.
 
     Texts without words have fingerprint zero and link like any other.  Repeated rows come out as often as they went in; a null
-    id takes part but is nobody's component_id unless all of a component are null.  An empty table gives no rows.
+    id takes part but is nobody's component_id unless all of a component are null.  Very long texts count whole.  An empty table gives no rows;
+    other columns are not read, whatever their names.
     """
     marked = durable(fingerprints(docs, text_col, id_col))
     codes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))

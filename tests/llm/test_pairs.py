@@ -175,6 +175,9 @@ def test_preferences(spark):
     a, b = map(int, got[0]["rejected_mask"].split(":"))
     assert got[0]["rejected"][a:b] == "CC<|end|>"
     assert (got[2]["chosen"], got[2]["rejected"], got[2]["chosen_mask"]) == ("", "", "") and got[2]["prompt"] == say("user", "same")
+    long = spark.createDataFrame([(8, 0, "user", "hi"), (8, 1, "assistant", "x" * 3_000_000), (9, 0, "user", "hi"), (9, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
+    (r,) = preferences.formatted_by_parity(long).collect()
+    assert r["n_shared"] == 1 and r["chosen"] == say("assistant", "x" * 3_000_000)
     assert got[3]["rejected"] == say("assistant", "q") * 2 and len(got[3]["rejected_mask"].split(",")) == 2
     pairs = spark.createDataFrame([(0, 0, 1), (9, 0, 50)], "pair_id long, chosen_id long, rejected_id long")
     (one,) = preferences.formatted(d, pairs).collect()

@@ -50,6 +50,7 @@ def test_secret_rows(spark, tmp_path):
     d = spark.createDataFrame(rows, "doc_id long, text string, spans int")
     d.write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["spans"]) for r in secrets.query(spark, str(tmp_path)).collect()}
+    assert secrets.scan(d.limit(0)).collect() == [] and secrets.scan(d).count() == 5
     assert got == {(1, 1, 0, 1, "assign:0:41,hex:9:41"), (2, 0, 0, 0, ""), (None, 0, 0, 0, ""), (4, 1, 0, 0, "assign:200001:200025")}
 
 

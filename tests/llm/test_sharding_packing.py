@@ -35,6 +35,8 @@ def test_shards(spark):
 
 def test_no_shards(spark):
     assert sharding.byte_shards(_docs(spark, [])).collect() == []
+    (long,) = sharding.byte_shards(_docs(spark, [(1, "é" * 2_000_000)])).collect()
+    assert long["size"] == 4_000_016 and long["text_crc32"] == zlib.crc32(("é" * 2_000_000).encode())
     assert {(r["shard"], r["slot"]) for r in sharding.byte_shards(_docs(spark, [(1, None)] * 3)).collect()} <= {(s, k) for s in range(40) for k in range(3)}
 
 
