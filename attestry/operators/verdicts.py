@@ -80,7 +80,8 @@ def copied_pairs(passages: DataFrame, claims: DataFrame, passage_id: str, claim_
     for n in sorted(r["n"] for r in c.select("n").distinct().collect()):  # at most run + 1 numbers
         units, size = (F.split("passage", " "), n) if n else (F.split("passage", ""), 20)
         part = F.col("inner") if n else F.split("claim", "")
-        key = lambda xs, at, size: F.xxhash64(F.array_join(F.slice(xs, at, size), " "))
+        # By places: a slice would go through the whole array for each of them.
+        key = lambda xs, at, size: F.xxhash64(*[F.get(xs, at - 1 + j) for j in range(size)])
         keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size("units") - size + 1, F.lit(1))), lambda i: key(F.col("units"), i, size))  # noqa: B023
         runs = passages.select(passage_id, units.alias("units")).select(passage_id, F.explode(F.array_distinct(keys)).alias("run"))
         wanted = c.where(F.col("n") == n).select(claim_id, key(part, F.lit(1), size).alias("run"))
