@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import small, top_k
+from .joins import numbered, small, top_k
 
 GOOD = ("supports", "partial")
 
@@ -42,8 +45,9 @@ def stratified(claims: DataFrame, quota: DataFrame, stratum: str, article: str,
     ok = claims.where(usable(F.col("claim")).isNull())
     n = ok.groupBy(article).agg(F.count("*").alias("n"))
     picked = seeded_index(n, article, "n")
-    numbered = top_k(ok, [article], [F.col(order)], 1 << 30, "nth").join(picked, article).where(F.col("nth") == F.col("pick") + 1)
-    placed = top_k(numbered, [stratum], [F.col(article)], 1 << 30, "place").join(small(quota), stratum)
+    one = numbered(ok, [article], [F.col(order)], "nth").join(picked, article).where(F.col("nth") == F.col("pick") + 1)
+    most = quota.agg(F.coalesce(F.max("quota"), F.lit(0))).first()[0]
+    placed = top_k(one, [stratum], [F.col(article)], most, "place").join(small(quota), stratum)
     return placed.where(F.col("place") <= F.col("quota")).drop("n", "pick", "nth")
 
 
@@ -87,9 +91,36 @@ def changes(before: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
     return now.join(before, keys, "left_anti").select(*keys, F.lit("gained").alias("change")).unionByName(before.join(now, keys, "left_anti").select(*keys, F.lit("lost").alias("change")))
 
 
+def medians(df: DataFrame, by: list[str], value: str, parts: int = 256) -> DataFrame:
+    """by, median: exact, without a group's values in one task; nulls do not count, and a group of nulls has no row.
+
+    Values are counted, and the counts dealt to ranges whose bounds are approximate quantiles; the middle ranks fall into one or two ranges, and only
+    these are put in order.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    bounds = df.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(10 * parts)).alias("bounds"))
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    dealt = counts.alias("c").join(bounds.alias("b"), reduce(and_, same)).select("c.*", F.size(F.filter("bounds", lambda x: x < F.col("v"))).alias("part"))
+    sums = dealt.groupBy(*by, "part").agg(F.sum("n").alias("in_part"))
+    upto = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("before", F.sum("in_part").over(upto) - F.col("in_part")).withColumn("total", F.sum("in_part").over(Window.partitionBy(*by)))
+    # Ranks from 0; an even number of values has two in the middle.
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    holds = lambda first, n: ((low >= first) & (low < first + n)) | ((high >= first) & (high < first + n))
+    middle = sums.where(holds(F.col("before"), F.col("in_part")))
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in [*by, "part"]]
+    rows = dealt.alias("d").join(middle.alias("m"), reduce(and_, same)).select("d.*", "before", "total")
+    first = F.col("before") + F.sum("n").over(Window.partitionBy(*by, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    kept = rows.withColumn("first", first).where(holds(F.col("first"), F.col("n")))
+    return kept.groupBy(*by).agg(((F.min("v") + F.max("v")) / 2).alias("median"))
+
+
 def usage(calls: DataFrame, by: list[str], ms: str, tokens: str) -> DataFrame:
     """Calls, tokens, median and slowest time of recorded model calls."""
-    return calls.groupBy(*by).agg(F.count("*").alias("calls"), F.sum(tokens).alias("tokens"), F.median(ms).alias("median_ms"), F.max(ms).alias("slowest_ms"))
+    told = calls.groupBy(*by).agg(F.count("*").alias("calls"), F.sum(tokens).alias("tokens"), F.max(ms).alias("slowest_ms"))
+    half = medians(calls, by, ms)
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"h.{c}")) for c in by]
+    return told.alias("t").join(half.alias("h"), reduce(and_, same), "left").select("t.*", F.col("median").alias("median_ms"))
 
 
 def request_key(url: Column, method: Column, body: Column, ignored: tuple[str, ...] = ("origin", "format", "formatversion")) -> Column:

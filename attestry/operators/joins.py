@@ -34,6 +34,11 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def numbered(df: DataFrame, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
+    """Every row of a group with its place: for groups that are few rows by nature, such as a claim's leads; the order must be total."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def first_per_key(df: DataFrame, by: list[str], order: Column) -> DataFrame:
     """One row of every group, the one whose ``order`` is smallest, by partial aggregation rather than a sort."""
     others = [c for c in df.columns if c not in by]

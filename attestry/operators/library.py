@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import words
-from .joins import top_k
+from .joins import numbered, top_k
 
 #: Fixed value: the life dates that end a creator's name.
 LIFE_DATES = r",?\s*\(?[0-9]{4}\s*-\s*([0-9]{4})?\)?\.?\s*$"
@@ -156,7 +156,7 @@ def ranked(hits: DataFrame, claims: DataFrame, least: float = 0.3) -> DataFrame:
     rows = best.select("claim_id", "identifier", "rank", "access", "b.*").join(hits.select("claim_id", "rank", "identifier", "title", "creator"), ["claim_id", "rank", "identifier"])
     rows = rows.withColumn("down", -F.col("score")).withColumn("lent", (F.col("access") == "borrow").cast("int"))
     kept = one_per_work(rows, ["down", "lent", "rank"])
-    return top_k(kept, ["claim_id"], [F.col("down"), F.col("lent"), F.col("rank")], 1 << 30, "place").drop("down", "lent")
+    return numbered(kept, ["claim_id"], [F.col("down"), F.col("lent"), F.col("rank")], "place").drop("down", "lent")
 
 
 def ranked_by_units(hits: DataFrame, claims: DataFrame, most: int = 3) -> DataFrame:
@@ -180,7 +180,7 @@ def ranked_by_units(hits: DataFrame, claims: DataFrame, most: int = 3) -> DataFr
 def merged(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two rankings (claim_id, place, identifier, title, creator, ...) taken in turn, one book a work."""
     both = first.withColumn("which", F.lit(0)).unionByName(second.withColumn("which", F.lit(1)), allowMissingColumns=True)
-    return top_k(one_per_work(both, ["place", "which"]), ["claim_id"], [F.col("place"), F.col("which")], 1 << 30, "turn")
+    return numbered(one_per_work(both, ["place", "which"]), ["claim_id"], [F.col("place"), F.col("which")], "turn")
 
 
 def planned(hits: DataFrame, plans: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def planned(hits: DataFrame, plans: DataFrame) -> DataFrame:
     by_cover = F.array_sort(F.transform("passages", lambda p, i: F.struct((-C.plan_coverage(p, F.col("terms"))).alias("down"), i.alias("i"), p.alias("p"))))
     passages = F.transform(by_cover, lambda x: x["p"]).alias("passages")
     out = kept.select("claim_id", "identifier", "hit.*", "cover", C.js_round(F.col("cover") / F.size("terms")).alias("score"), "first", passages)
-    return top_k(out, ["claim_id"], order, 1 << 30, "place")
+    return numbered(out, ["claim_id"], order, "place")
 
 
 def best_windows(texts: DataFrame, claims: DataFrame, key: str = "identifier") -> DataFrame:

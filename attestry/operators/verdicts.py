@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .joins import first_per_key, small, top_k
+from .joins import first_per_key, numbered, small, top_k
 
 #: Tiers in the order they are shown; hosts of documents that anyone can upload.
 TIERS = ("supports", "partial", "lead", "flag")
@@ -133,7 +133,7 @@ def collected(items: DataFrame, key: str) -> DataFrame:
     shown = items.where(F.col("tier").isNotNull()).withColumn("tier_place", place)
     shown = shown.withColumn("item_key", F.coalesce(C.url_key(F.col("url")), F.concat_ws(":", "stage", "seq")))
     once = first_per_key(shown, [key, "item_key"], F.struct("tier_place", "stage", "seq"))
-    return top_k(once, [key], [F.col("tier_place"), F.col("stage"), F.col("seq")], 1 << 30, "place")
+    return numbered(once, [key], [F.col("tier_place"), F.col("stage"), F.col("seq")], "place")
 
 
 def counts(items: DataFrame, key: str) -> DataFrame:
