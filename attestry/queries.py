@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .functions import fixed
+from .functions import fixed, requests
 from .operators import articles, bookflow, catalogue, checks, cited, coverage, editing, evaluation, joins, library, replies, reports, retries, verdicts
 from .plans import flows
 from .plans import sql as S
@@ -1142,3 +1142,146 @@ def claim_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = editing.claim_positions(a.withColumn("picked", F.lit(False)), ["doc_id"]).select("doc_id", F.col("start").alias("tag_start"))
     two = editing.claim_positions(a.withColumn("picked", F.lit(True)), ["doc_id"]).select(F.col("doc_id").alias("id"), F.col("start").alias("picked_point"))
     return one.join(two, F.col("doc_id") == F.col("id")).drop("id")
+
+
+# --- addresses, prompts, names ----------------------------------------------------------------------------------------------------------
+
+_LINE_SQL = r"regexp_replace(regexp_extract(coalesce(text, ''), '^([^\n]*)', 1), '[^\p{L}\p{N} .,-]', '', 'g')"
+
+
+def _line() -> Column:
+    """A text's first line, letters, digits and plain marks only."""
+    return F.regexp_replace(F.regexp_extract(F.coalesce("text", F.lit("")), r"^([^\n]*)", 1), r"[^\p{L}\p{N} .,-]", "")
+
+
+def _clip_sql(text: str, n: int) -> str:
+    one = rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+    return f"CASE WHEN length({one}) > {n} THEN left({one}, {n}) || '…' ELSE {one} END"
+
+
+@_query(f"""
+WITH d AS (SELECT doc_id, lang, source, url_encode({_LINE_SQL}) AS q, {_LINE_SQL} AS t FROM documents)
+SELECT doc_id, 'https://archive.org/stream/' || url_encode(source) || '/' || q || '_djvu.txt' AS stream, 'service_backend=fts&user_query=' || replace(q, '%20', '+') || '&hits_per_page=25' AS search,
+  'https://archive.org/advancedsearch.php?q=' || url_encode('(') || q || url_encode(') AND mediatype:texts') || '&fl[]=identifier&fl[]=title&fl[]=creator&fl[]=year&fl[]=date&fl[]=collection&fl[]=mediatype&rows=5&output=json' AS catalogue,
+  'https://' || lang || '.wikipedia.org/api/rest_v1/data/citation/mediawiki/' || q AS lookup, 'https://' || lang || '.wikipedia.org/wiki/' || url_encode(replace(t, ' ', '_')) AS article FROM d""")
+def request_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of a book's text, of searches, of citation data and of articles."""
+    d = table(spark, sf_dir, "documents").withColumn("q", _line())
+    five = F.lit(5)
+    return d.select(
+        "doc_id", requests.stream_url(F.col("source"), F.col("q")).alias("stream"), requests.search_params(F.col("q"), F.lit(25)).alias("search"), requests.catalogue_url(F.col("q"), five).alias("catalogue"),
+        requests.lookup_url(F.col("lang"), F.col("q")).alias("lookup"), C.article_url(F.col("lang"), F.col("q")).alias("article"),
+    )
+
+
+@_query(f"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_LINE_SQL} AS claim, CASE WHEN doc_id % 3 > 0 THEN lang END AS section, CASE WHEN doc_id % 2 = 0 THEN 'so it is' END AS fact FROM documents),
+h AS (SELECT *, 'Article: Some ' || source || chr(10) || 'Claim: ' || claim || chr(10) AS a, 'The claim''s paragraph, for context only: ' || {_clip_sql('text', 1200)} || chr(10) AS b FROM d)
+SELECT doc_id, md5('Article: Some ' || source || chr(10) || 'Section: ' || coalesce(section, '(lead)') || chr(10) || 'Paragraph: ' || {_clip_sql('text', 2000)} || chr(10) || chr(10) || 'Claim: ' || claim) AS plan,
+  md5('Article: Some ' || source || chr(10) || 'Paragraph: ' || {_clip_sql('text', 2000)} || chr(10) || chr(10) || 'Claim: ' || claim) AS books,
+  md5(a || coalesce('What the claim says, with the names its paragraph gives: ' || fact || chr(10), '') || b || chr(10) || 'B1. ' || {_clip_sql('claim', 160)} || ' (1900)' || chr(10) || '- ' || {_clip_sql('text', 600)} || chr(10) || chr(10) || 'B2. Second' || chr(10) || '- (no passage)') AS judge,
+  md5(a || b || chr(10) || 'S1. ' || lang || '.wikipedia, There' || coalesce(', section "' || section || '"', '') || ':' || chr(10) || {_clip_sql('text', 600)}) AS same_fact,
+  md5(a || b || chr(10) || 'Source: ' || {_clip_sql('claim', 200)} || coalesce(' (' || section || ')', '') || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Only the passage its citation quotes is available:' ELSE 'Text:' END || chr(10) || text) AS source_text,
+  md5('Claim: ' || claim || chr(10) || chr(10) || 'Context: ' || text || chr(10) || chr(10) || 'Section: ' || coalesce(section, '(none)') || chr(10) || chr(10) || 'Article: Some ' || source) AS web,
+  left('Some ' || source || ': ' || trim(regexp_replace(claim, '\\s+', ' ', 'g')), 400) AS web_query FROM h""")
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What models are asked about a claim: to plan, name books, judge books and sentences, read a source, search the web."""
+    d = table(spark, sf_dir, "documents").withColumn("claim", _line()).withColumn("text", F.coalesce("text", F.lit("")))
+    title, text, claim = F.concat(F.lit("Some_"), F.col("source")), F.col("text"), F.col("claim")
+    section, fact = F.when(F.col("doc_id") % 3 > 0, F.col("lang")), F.when(F.col("doc_id") % 2 == 0, "so it is")
+    books = F.array(F.struct(claim.alias("title"), F.lit(1900).alias("year"), F.array(text).alias("passages")), F.struct(F.lit("Second").alias("title"), F.lit(None).cast("int").alias("year"), F.array().cast("array<string>").alias("passages")))
+    leads = F.array(F.struct("lang", F.lit("There").alias("article"), section.alias("section"), text.alias("sentence")))
+    return d.select(
+        "doc_id", F.md5(requests.plan_prompt(title, section, text, claim)).alias("plan"), F.md5(requests.books_prompt(title, text, claim)).alias("books"), F.md5(requests.judge_prompt(title, claim, text, fact, books)).alias("judge"),
+        F.md5(requests.same_fact_prompt(title, claim, text, leads)).alias("same_fact"), F.md5(requests.source_prompt(title, claim, text, claim, section, text, F.col("doc_id") % 2 == 0)).alias("source_text"),
+        F.md5(requests.web_message(title, section, text, claim)).alias("web"), requests.web_query(title, claim).alias("web_query"),
+    )
+
+
+@_query(f"""
+WITH d AS (SELECT doc_id, source, {_LINE_SQL} AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) > 80 THEN left(t, 79) || '...' ELSE t END AS short, {_clip_sql("t", 40)} AS clipped, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS term, source AS subject,
+  CASE WHEN regexp_matches(t, '[0-9]') THEN 0 WHEN regexp_matches(trim(t), '^\\p{{Lu}}') THEN 1 ELSE 2 END AS kind, CASE doc_id % 3 WHEN 0 THEN 'a b,c' WHEN 1 THEN 'a b' ELSE 'a b,bc' END AS anchors,
+  CASE WHEN doc_id % 4 = 0 THEN 'withdrawn' WHEN doc_id % 4 = 1 AND doc_id % 2 = 1 THEN 'access restricted' END AS gate,
+  CASE WHEN doc_id % 2 = 1 THEN '0' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || 'X' END AS isbn, CASE WHEN doc_id % 5 < 4 THEN '10.1234/a' || doc_id END AS doi FROM d""")
+def small_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut for show and search, kinds of wordings, anchors without parts of others, gates, ISBNs and DOIs."""
+    t, i, k = F.col("t"), F.col("doc_id").cast("string"), F.col("doc_id")
+    anchors = F.element_at(F.array(*[F.array(*map(F.lit, x)) for x in (("a b", "a", "c"), ("a", "a b", "b"), ("a b", "bc", "b"))]), (k % 3 + 1).cast("int"))
+    isbn = F.when(k % 2 == 0, F.concat(F.lit("978-"), F.lpad(i, 9, "0"), F.lit("-X"))).otherwise(F.concat(F.lit("isbn 0-"), F.lpad(i, 8, "0"), F.lit("-x")))
+    address = F.element_at(F.array(F.concat(F.lit("https://doi.org/10.1234/a"), i), F.concat(F.lit("https://p.org/doi/10.1234/a"), i, F.lit("/full?x=1")), F.concat(F.lit("https://p.org/10.1234%2Fa"), i, F.lit(".pdf")), F.concat(F.lit("https://p.org/10.1234/a"), i, F.lit(");")), F.concat(F.lit("https://p.org/x10.1234/a"), i)), (k % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").withColumn("t", _line()).select(
+        "doc_id", C.truncate(t, 80).alias("short"), C.clip(t, 40).alias("clipped"), C.safe_term(F.concat(F.lit('"('), t, F.lit(")*"))).alias("term"), C.subject_of(F.concat(F.col("source"), F.lit("_(a_thing)"))).alias("subject"),
+        C.specificity(F.array(t)).alias("kind"), F.array_join(C.compact_anchors(anchors), ",").alias("anchors"), C.details_gate(k % 4 == 0, k % 4 == 1, F.when(k % 2 == 1, "open").otherwise("borrow"))["reason"].alias("gate"),
+        C.normalise_isbn(isbn).alias("isbn"), C.doi_in(address).alias("doi"),
+    )
+
+
+# --- replies of services ------------------------------------------------------------------------------------------------------------------
+
+
+@_query(f"""
+SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS rank, 'c' || doc_id AS identifier, CASE WHEN doc_id % 5 = 0 THEN 'c' || doc_id ELSE {_LINE_SQL} END AS title,
+  CASE WHEN doc_id % 3 < 2 THEN 'Writer ' || doc_id END AS creator, CAST(CASE WHEN doc_id % 4 < 3 THEN 1800 + doc_id % 200 END AS INTEGER) AS year FROM documents WHERE source IS NOT NULL""")
+def catalogue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books of catalogue replies: fields come alone or as lists, titles may lack, years stand in dates."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id")
+    year = (F.lit(1800) + k % 200).cast("string")
+    writer = F.concat(F.lit("Writer "), i)
+    d = table(spark, sf_dir, "documents").where(F.col("source").isNotNull()).select(
+        "source", "doc_id", F.concat(F.lit("{\"identifier\":\"c"), i, F.lit("\""), F.when(k % 5 > 0, F.concat(F.lit(",\"title\":"), F.to_json(F.array(_line())))).otherwise(""),
+        F.when(k % 3 == 0, F.concat(F.lit(",\"creator\":[\""), writer, F.lit("\",\"Other\"]"))).when(k % 3 == 1, F.concat(F.lit(",\"creator\":\""), writer, F.lit("\""))).otherwise(""),
+        F.when(k % 4 == 0, F.concat(F.lit(",\"year\":"), year)).when(k % 4 < 3, F.concat(F.lit(",\"date\":\""), year, F.lit("-05-01\""))).otherwise(""), F.lit(",\"collection\":[\"x\"]}")).alias("doc"),
+    )
+    by = d.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "doc"))).alias("docs"))
+    body = F.concat(F.lit("{\"response\":{\"docs\":["), F.array_join(F.transform("docs", lambda x: x["doc"]), ","), F.lit("]}}"))
+    out = library.catalogue_hits(by.select("source", body.alias("body")), ["source"])
+    return out.select("source", F.substring("identifier", 2, 20).cast("long").alias("doc_id"), "rank", "identifier", "title", "creator", "year")
+
+
+@_query("""
+SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'House ' || doc_id END AS publisher, CASE WHEN doc_id % 2 = 0 THEN '97' || doc_id END AS isbn, doc_id % 7 = 0 AS dark, doc_id % 5 = 0 AS restricted,
+  CASE doc_id % 4 WHEN 0 THEN 'a' || doc_id WHEN 1 THEN 'a' || doc_id || ',b' ELSE '' END AS books FROM documents""")
+def item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an item's details say: publisher, ISBN, whether it is withdrawn or restricted, and the books that it bundles."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id")
+    part = lambda when, *xs: F.when(when, F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in xs])).otherwise("")
+    md = F.concat_ws(",", F.nullif(F.concat(part(k % 3 == 0, '"publisher":["House ', i, '","Second"]'), part(k % 3 == 1, '"publisher":"House ', i, '"')), F.lit("")), F.nullif(part(k % 2 == 0, '"isbn":"97', i, '"'), F.lit("")), F.nullif(part(k % 5 == 0, '"access-restricted-item":"TRUE"'), F.lit("")))
+    files = F.concat(part(k % 4 < 2, '{"name":"a', i, '_djvu.txt"},'), part(k % 4 == 1, '{"name":"b_djvu.txt"},'), F.lit('{"name":"x.pdf"}'))
+    body = F.concat(F.lit('{"metadata":{'), md, F.lit('}'), part(k % 7 == 0, ',"is_dark":true'), part(k % 4 < 3, ',"files":[', files, "]"), F.lit("}"))
+    out = library.item_details(table(spark, sf_dir, "documents").select("doc_id", body.alias("body")), ["doc_id"])
+    return out.select("doc_id", "publisher", "isbn", "dark", "restricted", F.array_join("books", ",").alias("books"))
+
+
+@_query(f"""
+WITH d AS (SELECT doc_id, {_LINE_SQL} AS t, doc_id % 4 AS k FROM documents)
+SELECT doc_id, 1 AS seq, 'https://h' || doc_id || '.org' AS url, CASE WHEN t = '' THEN 'https://h' || doc_id || '.org' ELSE t END AS title, CASE k WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'PARTIALLY SUPPORTED' WHEN 2 THEN 'SOURCE UNAVAILABLE' ELSE 'NOT SUPPORTED' END AS verdict,
+  CAST(CASE k WHEN 0 THEN 100 WHEN 1 THEN 0 WHEN 2 THEN 55.5 ELSE 0 END AS DOUBLE) AS confidence, CASE k WHEN 0 THEN 'high' WHEN 2 THEN 'n/a' ELSE 'medium' END AS reliability FROM d""")
+def suggestion_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web suggestions of a reply: without an address none; confidence within 0 and 100, reliability one of the known words."""
+    k = (F.col("doc_id") % 4 + 1).cast("int")
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), k)
+    s = F.struct(F.concat(F.lit("https://h"), F.col("doc_id").cast("string"), F.lit(".org")).alias("url"), _line().alias("title"), pick("supported ", "Partial", "unavailable?", "no").alias("verdict"), pick("250", "-3", "55.5", "much").alias("confidence"), pick("high", "odd", "odd", "odd").alias("reliability"))
+    body = F.concat(F.lit("Here: "), F.to_json(F.struct(F.array(F.struct(F.lit(None).cast("string").alias("url"), F.lit("x").alias("title"), F.lit("").alias("verdict"), F.lit("").alias("confidence"), F.lit("").alias("reliability")), s).alias("suggestions"))), F.lit(" so."))
+    out = replies.suggestions(table(spark, sf_dir, "documents").select("doc_id", body.alias("text")), ["doc_id"])
+    return out.select("doc_id", "seq", "url", "title", "verdict", "confidence", "reliability")
+
+
+@_query(f"""
+WITH {_D_SQL}
+SELECT doc_id, CAST(CASE WHEN k < 4 THEN length(pre) + CASE k WHEN 0 THEN length(h) + 2 + length(g) WHEN 1 THEN length(g) + 1 WHEN 2 THEN length(h) + 3 + length(g) ELSE length(h) + 2 + length(g) END ELSE 0 END AS INTEGER) AS place, CASE WHEN k < 4 THEN g || '.' END AS claim FROM d""")
+def claims_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims at recorded places in whole articles; null where there is no tag any more."""
+    a = _tagged_sentences(spark, sf_dir)
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 5
+    head, gone = F.length(F.concat(F.lit("Kept "), i, F.lit(" here."))), F.length(F.concat(F.lit("Words of "), i, F.lit(" are gone")))
+    at = F.when(k.isin(0, 3), head + 2 + gone).when(k == 1, gone + 1).when(k == 2, head + 3 + gone)
+    places = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.length(_prose()) + 2 + at, F.lit(0)).alias("offset"))
+    return editing.claims_at(a, ["doc_id"], places).select("doc_id", F.col("offset").alias("place"), "claim")
+
+
+@_query("""
+WITH f AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) SELECT d.lang, CAST(count(f.doc_id) AS BIGINT) AS covered, count(*) AS claims FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.lang""")
+def claims_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For how many claims there is a lead: texts stand for claims, good labels for leads."""
+    return reports.covered(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").where("quality = 1"), ["lang"], "doc_id")
