@@ -956,9 +956,9 @@ def claims_in_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Claims from the benchmark; recordings of a library that has the documents as its books; plans and named books.
+    """Claims from the benchmark; recordings of a library that has the documents, and the benchmark's texts, as its books; plans and named books.
 
-    Documents are dealt to claims and to a claim's queries; a document's lines are its passages.
+    Books are dealt to claims and to a claim's queries; a book's lines are its passages.
     """
     n = _dealt(spark, sf_dir)
     b = table(spark, sf_dir, "benchmark")
@@ -969,7 +969,8 @@ def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
         F.concat(F.lit("book"), i).alias("identifier"), F.array_join(F.slice(F.split("text", r"\\s+"), 1, 6), " ").alias("title"), F.col("source").alias("creator"), (F.lit(1800) + F.col("doc_id") % 200).cast("string").alias("year"),
         F.lit("texts").alias("mediatype"), F.array(shelf).alias("collection"),
     )
-    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "text", fields.alias("fields"), F.struct(F.split("text", "\n").alias("text")).alias("highlight"))
+    held = table(spark, sf_dir, "documents").select("doc_id", "text", "source").unionByName(b.select((F.col("item_id") + n * 1_000_000).alias("doc_id"), "text", F.lit("bench").alias("source")))
+    docs = held.where(F.col("text").isNotNull()).select("doc_id", "text", fields.alias("fields"), F.struct(F.split("text", "\n").alias("text")).alias("highlight"))
 
     def replied(queries: DataFrame, deal: Column) -> DataFrame:
         """Each document in the reply to one of its claim's queries."""

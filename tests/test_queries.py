@@ -22,7 +22,7 @@ def test_query(spark, name):
     columns = sorted(df.columns)
     rows = [tuple(r[c] for c in columns) for r in df.collect()]
     if name not in Q.oracle_sql():
-        assert rows or name == "book_leads"
+        assert rows or name == "book_leads"  # the smallest tables have no lead for it
         return
     con = duckdb.connect()
     for p in DATA.glob("*.parquet"):
