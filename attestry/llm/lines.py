@@ -170,11 +170,11 @@ def _alike(x: str, y: str, threshold: float) -> Column:
     return F.size(F.array_intersect(x, y)) * (1 + threshold) >= threshold * (F.size(x) + F.size(y)) - 1e-9
 
 
-def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, threshold: float, roots: DataFrame | None = None) -> DataFrame:
+def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, threshold: float, roots: DataFrame | None = None, maps: DataFrame | None = None) -> DataFrame:
     """a, b: links between the components that ``found`` leaves in a band, so that with them no two alike lines of a band are apart.
 
     Of every band in which not all pairs were compared, the lines outside its most frequent component are compared with all lines of
-    other components, block by block; with signatures and bands in ``members``, only candidates are.  A pair is first ruled out by its sizes and
+    other components, block by block; with signatures and bands in ``members``, only candidates are.  ``maps`` are the bitmaps of ``sets``, where they are known.  A pair is first ruled out by its sizes and
     bitmaps, which never rules out an alike one, and only the components of alike pairs are handed on.
     """
     roots = _roots(found) if roots is None else roots
@@ -189,7 +189,8 @@ def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, threshold: floa
     here = sent(placed, mixed, "band").withColumn("across", blocks(F.col("n"))).withColumn("down", blocks(F.col("n") - F.col("most")))
     here = written(here.select("band", "uid", "root", "main", "across", "down", *known))
     used = sets.join(here.select("uid").distinct(), "uid", "left_semi")
-    maps = _bitmaps(used.select("uid", F.explode("set").alias("x")).withColumn("x", F.col("x").cast("long")))
+    if maps is None:
+        maps = _bitmaps(used.select("uid", F.explode("set").alias("x")).withColumn("x", F.col("x").cast("long")))
     mapped = written(used.join(maps, "uid"))
     full = here.join(mapped, "uid")
     part = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
@@ -240,7 +241,7 @@ def line_roots(lines: DataFrame, marked: DataFrame, threshold: float) -> tuple[D
         of = texts.join(large.select("uid").distinct(), "uid", "left_semi")
         sets = written(of.select("uid", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("set")))
         full = sent(marked.select("uid", "near0", "near1", "bands"), large, "uid", row=16)
-        last = _rest(full, found, sets, threshold, roots)
+        last = _rest(full, found, sets, threshold, roots, maps)
         if not last.isEmpty():
             roots = _roots(kept().unionByName(last))
         released(sets)
