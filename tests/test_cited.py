@@ -56,3 +56,17 @@ def test_found_equals_a_plain_search(spark):
     told = {r["book_id"]: r["known"] for r in cited.known(named, i).collect()}
     there = lambda w, who: any(w in parts(x[2]) and (who is None or who in parts(x[3])) for x in items)
     assert told == {1: there("mill", "green"), 2: False, 3: False, 4: there("lighthouse", None)}
+
+
+def test_copies_are_one_item_and_postings_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(cited, "BLOCK", 4)
+    items = [(f"i{k}", k, "Old River Mill" if k % 2 else f"Mill River {k // 20}", "Ann Lee" if k % 3 else None) for k in range(200)]
+    books = [(k, "river mill" if k < 100 else f"river {'old' if k % 2 else 'mill'}", "Lee" if k % 2 else None, None) for k in range(150)]
+    i = spark.createDataFrame([(*x, None) for x in items], "identifier string, place int, title string, creator string, isbn string")
+    b = spark.createDataFrame(books, "book_id long, title string, last string, isbn string")
+    assert cited.index(i).count() == len({(x[2], x[3]) for x in items})
+    got = {r["book_id"]: r["identifier"] for r in cited.found(b, i).collect()}
+    for k, title, last, _ in books:
+        want = [w for w in title.split() if len(w) > 3]
+        own = [x for x in items if set(want) <= set(x[2].lower().split()) and (not last or x[3])]
+        assert got[k] == min(own, key=lambda x: x[1])[0]
