@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,15 +19,19 @@ REF = (
 )
 SECTION = "heading string, level int, start int, section_end int"
 
+#: Rows that a worker hands on at once.
+ROWS = 2000
+
 
 def _rows(df: DataFrame, keys: list[str], text: str, schema: str, make: Callable[[str], Iterable[tuple]]) -> DataFrame:
-    """The rows that ``make`` gives for each text, after the key columns."""
+    """The rows that ``make`` gives for each text, after the key columns; a worker never holds all rows of a batch of texts."""
     names = [part.strip().split(" ")[0] for part in schema.split(",") if " " in part.strip()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(*k, *row) for *k, t in b.itertuples(index=False) if t is not None for row in make(t)]
-            yield pd.DataFrame(out, columns=[*keys, *names]).astype(object)
+            found = ((*k, *row) for *k, t in b.itertuples(index=False) if t is not None for row in make(t))
+            while out := list(islice(found, ROWS)):
+                yield pd.DataFrame(out, columns=[*keys, *names]).astype(object)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
     return df.select(*keys, text).mapInPandas(run, f"{kinds}, {schema}")
