@@ -55,7 +55,7 @@ def claims_with_anchors(articles: DataFrame, keys: list[str], text: str = "wikit
         for k, c in enumerate(markup.claims(t)):
             own, para = markup.tagged_sentence(t, c.offset, c.offset + len(c.tag)), markup.paragraph_at(t, c.offset)
             numbers, names = words.anchors(c.claim)
-            yield k, c.claim, c.context, c.section, c.offset, c.tag, *own, *para, t[para[0] : para[1]], numbers, names, words.anchors(c.context)[0]
+            yield k, c.claim, c.context, c.section, c.offset, c.tag, *own, *para, t[para[0] : para[1]], numbers, names, words.anchor_numbers(c.context)
 
     schema = f"{CLAIM}, numbers array<string>, names array<string>, context_numbers array<string>"
     return _rows(articles, keys, text, schema, make).withColumn("links", C.wikilinks(F.col("paragraph")))

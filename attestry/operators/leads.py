@@ -25,13 +25,18 @@ def same_article(claims: DataFrame, refs: DataFrame, articles: DataFrame, key: s
     each = F.transform(F.array_distinct(F.transform("bag", lambda t: t["token"])), lambda k: F.struct(k.alias("token"), heaviest(F.col("bag"), k).alias("weight")))
     c = c.withColumn("bag", each).withColumn("total", F.aggregate("bag", F.lit(0.0), lambda a, t: a + t["weight"]))
     r = refs.where(F.col("ref_group").isNull() & ~F.coalesce(C.is_unreliable(F.col("url")), F.lit(False)))
-    r = r.withColumn("have", C.tokens(F.concat_ws(" ", "source_text", "sentence")))
+    r = r.withColumn("words", F.concat_ws(" ", "source_text", "sentence"))
     pair = c.join(r, key)
     paragraph = (F.col("offset") >= F.col("para_start")) & (F.col("offset") < F.col("para_end"))
     own = (F.col("offset") >= F.col("own_start")) & (F.col("offset") < F.col("own_end"))
     near = F.coalesce(F.col("section") == F.col("claim_section"), F.lit(False))
     pair = pair.withColumn("in_paragraph", paragraph).where(~own & (paragraph | near))
-    hit = F.aggregate("bag", F.lit(0.0), lambda a, t: a + F.when(F.array_contains("have", t["token"]), t["weight"]).otherwise(0.0))
+    weight = lambda held: F.aggregate("bag", F.lit(0.0), lambda a, t: a + F.when(held(t["token"]), t["weight"]).otherwise(0.0))
+    # In plain texts a token stands as it is; where not enough stand anywhere in the letters, words need not be told apart.
+    plain = C.is_ascii(F.col("words")) & ~F.col("words").rlike("[0-9][,.][0-9]{3}")
+    most = C.bound(F.lower("words"), lambda low: weight(lambda token: F.contains(low, token)))
+    pair = pair.where(~plain | ((F.col("total") > 0) & (most >= 0.2 * F.col("total") - 1e-9)))
+    hit = C.bound(C.tokens(F.col("words")), lambda have: weight(lambda token: F.array_contains(have, token)))
     pair = pair.withColumn("lexical", F.when(F.col("total") > 0, hit / F.col("total")).otherwise(0.0))
     nearness = F.when(F.col("in_paragraph"), F.when(F.abs(F.col("offset") - F.col("claim_offset")) < 200, 1.0).otherwise(0.5)).otherwise(0.25)
     floor = F.when(F.col("in_paragraph"), 0.2).otherwise(0.35)

@@ -30,6 +30,37 @@ def test_windows_of_odd_letters_lose_no_unit(text):
     assert not any(u.strong for u in held) or words._may_hold_strong(text, units)(text)
 
 
+def test_articles_that_are_sisters_too_are_read_once(spark, monkeypatch):
+    text = "== One ==\nThe Long Tower of Ann Hill was built in 1887.<ref>{{cite web|url=https://a.example/x|title=Tower}}</ref>\n\nThe Long Tower of Ann Hill was built in 1887{{cn}}"
+    a = spark.createDataFrame([(1, "en", "Tower", text), (2, "de", "Turm", text)], "article_id long, lang string, title string, wikitext string")
+    sisters = a.select((3 - F.col("article_id")).alias("article_id"), F.col("article_id").alias("sister_id"), "lang", "title", "wikitext")
+    none = spark.createDataFrame([], "title string, lang string, foreign string")
+    wanted = sorted(flows.article_leads(a, sisters, none).collect())
+    refs = articles.indexed_refs(a, ["article_id"])
+    monkeypatch.setattr(articles, "indexed_refs", None)
+    assert sorted(flows.article_leads(a, sisters, none, refs=refs).collect()) == wanted and wanted
+
+
+@pytest.mark.parametrize("source, most", [("The tower of Ann Hill, 1,887 bricks", 1), ("tower ÀNN hill", 1), ("nothing here", 0)])
+def test_pairs_are_left_out_only_where_too_few_words_stand(spark, source, most):
+    claims = [(1, 0, "Tower Hill 1887", "One", 500, 490, 520, 400, 600)]
+    c = spark.createDataFrame(claims, "article_id long, claim_seq int, claim string, section string, offset int, own_start int, own_end int, para_start int, para_end int")
+    r = spark.createDataFrame([(1, 0, None, 450, "https://a.example/x", "t", "s", "One", "raw", "paste", source)], "article_id long, ref_seq int, ref_group string, offset int, url string, title string, sentence string, section string, raw string, paste_here string, source_text string")
+    a = spark.createDataFrame([(1, "About")], "article_id long, title string")
+    assert leads.same_article(c, r, a).count() == most
+
+
+def test_patterns_that_a_text_cannot_need_are_spared_without_changing_it():
+    for text in ("a  b", "a\tb", "x\n\n y", "''a''", "* a", "= H =", "a &amp; b", "[[a|b]] c", "<!-- x -->y", "{| a\n|}", "{{nowrap|a b}}", " plain "):
+        plain = text
+        for _, pattern, by in markup._BEFORE_TEMPLATES:
+            plain = pattern.sub(by, plain)
+        plain = markup._without_templates(plain)
+        for _, pattern, by in markup._AFTER_TEMPLATES:
+            plain = pattern.sub(by, plain)
+        assert markup.strip_markup(text) == plain.strip()
+
+
 def test_a_claims_wordings_are_made_ready_once():
     words._wordings.cache_clear()
     for k in range(5):
