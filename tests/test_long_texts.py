@@ -30,6 +30,15 @@ def test_windows_of_odd_letters_lose_no_unit(text):
     assert not any(u.strong for u in held) or words._may_hold_strong(text, units)(text)
 
 
+def test_a_claim_is_found_without_a_list_of_all_words(monkeypatch):
+    monkeypatch.setattr(edits, "prose_words", None)
+    text = PLAIN + "{{x|Ann Hill built it}} [[Paris|Ann]] '''Hill''' built it. " + PLAIN
+    a = text.index("Ann]]")
+    assert edits.locate(text, "Ann Hill built it") == (a, text.index("built it. ") + 8)
+    assert edits.locate(text, "nowhere at all") is None
+    assert edits.locate("İ ΑΣ βΣ. Kept on", "ας βς") == (2, 7)
+
+
 def test_articles_that_are_sisters_too_are_read_once(spark, monkeypatch):
     text = "== One ==\nThe Long Tower of Ann Hill was built in 1887.<ref>{{cite web|url=https://a.example/x|title=Tower}}</ref>\n\nThe Long Tower of Ann Hill was built in 1887{{cn}}"
     a = spark.createDataFrame([(1, "en", "Tower", text), (2, "de", "Turm", text)], "article_id long, lang string, title string, wikitext string")
