@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,16 +91,25 @@ def mentions_subject(text: Column, subject: Column) -> Column:
     return (F.size(tokens) == 0) | F.arrays_overlap(tokens, C.tokens(text))
 
 
+#: Rows that are Python objects in a worker at once.
+ROWS = 128
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
+
 def _each(df: DataFrame, keep: list[str], schema: str, make: Callable) -> DataFrame:
-    names = [p.strip().split(" ")[0] for p in schema.split(", ")]
+    """The columns ``keep`` of every row, and what ``make`` gives for it; of a batch of whole texts only a few rows become Python objects at a time."""
+    names, types = zip(*(p.strip().split(" ") for p in schema.split(", ")), strict=True)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [make(row) for row in b.itertuples(index=False)]
-            yield pd.concat([b[keep].reset_index(drop=True), pd.DataFrame(got, columns=names, dtype=object)], axis=1)
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                got = zip(*map(make, part.to_pandas().itertuples(index=False)), strict=True)
+                made = [pa.array(values, _ARROW[t]) for values, t in zip(got, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=[*keep, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return df.mapInPandas(run, f"{kinds}, {schema}")
+    return df.mapInArrow(run, f"{kinds}, {schema}")
 
 
 def judged_passages(hits: DataFrame, claims: DataFrame) -> DataFrame:

@@ -48,6 +48,21 @@ def test_last_line_of_a_text_that_ends_with_a_line_break_is_empty(spark, tmp_pat
     assert rows == {0: False, 1: True, 2: False}
 
 
+def test_whole_texts_become_python_objects_a_few_at_a_time():
+    class Table:
+        schema = [type("Field", (), {"name": "doc_id", "dataType": type("Kind", (), {"simpleString": staticmethod(lambda: "bigint")})})]
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    n = 3 * library.ROWS + 1
+    text = "Kept. Words are gone.{{cn}}"
+    batch = pa.RecordBatch.from_pandas(pd.DataFrame({"doc_id": range(n), "wikitext": text, "nth": 0, "reference": "<ref>r</ref>"}))
+    out = list(editing.replaced(Table(), ["doc_id"])(iter([batch])))
+    assert [b.num_rows for b in out] == [library.ROWS] * 3 + [1]
+    assert [x for b in out for x in b.column("doc_id").to_pylist()] == list(range(n))
+    assert set(out[0].column("edited").to_pylist()) == {"Kept. Words are gone.<ref>r</ref>"}
+
+
 def test_articles_that_are_sisters_too_are_read_once(spark, monkeypatch):
     text = "== One ==\nThe Long Tower of Ann Hill was built in 1887.<ref>{{cite web|url=https://a.example/x|title=Tower}}</ref>\n\nThe Long Tower of Ann Hill was built in 1887{{cn}}"
     a = spark.createDataFrame([(1, "en", "Tower", text), (2, "de", "Turm", text)], "article_id long, lang string, title string, wikitext string")
