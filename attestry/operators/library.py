@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import words
-from .joins import numbered, top_k
+from .joins import numbered, settled, small, top_k
 
 #: Fixed value: the life dates that end a creator's name.
 LIFE_DATES = r",?\s*\(?[0-9]{4}\s*-\s*([0-9]{4})?\)?\.?\s*$"
@@ -230,9 +230,9 @@ def best_windows(texts: DataFrame, claims: DataFrame, key: str = "identifier") -
 def located(texts: DataFrame, claims: DataFrame, key: str = "identifier", most: int = 2) -> DataFrame:
     """claim_id, key, place, stretch: the best stretches of each whole book text for its claim's concepts.
 
-    texts: claim_id, key, text; claims: claim_id, concepts (arrays of wordings).
+    texts: claim_id, key, text; claims: claim_id, concepts (arrays of wordings).  Texts stay where they are if the claims are few: many may have one claim.
     """
-    rows = texts.join(claims.select("claim_id", "concepts"), "claim_id").where(F.col("text").isNotNull())
+    rows = texts.join(small(settled(claims.select("claim_id", "concepts"))), "claim_id").where(F.col("text").isNotNull())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

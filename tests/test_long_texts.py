@@ -107,3 +107,21 @@ def test_words_that_come_again_are_folded_once(monkeypatch):
     assert words._known_content.cache_info().misses == 5
     list(map(words.token_set, ["Tower the Töwer"] * 9))
     assert words._known_content.cache_info().misses == 5
+
+
+def test_a_claim_is_cut_into_words_once_for_its_passages(monkeypatch):
+    words._weights.cache_clear()
+    seen = []
+    whole = words.words
+    monkeypatch.setattr(words, "words", lambda text: seen.append(text) or whole(text))
+    for k in range(3):
+        assert words.judge_passage(f"{k} men of 1887 and the Long Tower of Ann Hill in Paris", CLAIM, "Tower", False)[0] > 0.5
+    assert seen.count(CLAIM) == 1
+
+
+def test_texts_of_few_claims_are_not_sent_to_a_task_a_claim(spark):
+    texts = spark.range(40).select(F.lit("en").alias("claim_id"), F.col("id").alias("doc_id"), F.lit("a tower on a hill").alias("text")).repartition(8)
+    claims = spark.createDataFrame([("en", [["tower"], ["hill"]])], "claim_id string, concepts array<array<string>>")
+    found = library.located(texts, claims, "doc_id")
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 40 and found.rdd.getNumPartitions() == 8
