@@ -2,10 +2,10 @@
 
 A line is the set of its character shingles: every run of ``SHINGLE`` characters, at every offset, in lower case and with one space
 for each run of white space.  Lines are alike from a Jaccard index of ``threshold`` (0.8) on; equal lines
-are alike too.  A signature holds the smallest shingle hash under each of ``ORDERS`` orders.  Every band takes four of them, in a cyclic
+are alike too.  A signature holds the smallest shingle hash in each of ``ORDERS`` bins, eight to each of four turns of the hashes.  Every band takes four of them, in a cyclic
 pattern in which two bands have at most two in common: a pair at the threshold misses all thirteen bands with probability 0.0046, one at 0.85
-with 0.0006.  Lines that share a band are candidates if their signatures agree in 18 of 32 places at least (judged by four bits of each), which a
-pair at the threshold fails with probability 0.0002; every candidate is then compared exactly before it makes a link.  In each band all
+with 0.0006.  Lines that share a band are candidates if their signatures agree in 40 of 64 places at least (smallest and largest hash of each bin, judged by four bits), which a
+pair at the threshold fails with a probability of 0.0001 at most; every candidate is then compared exactly before it makes a link.  In each band all
 lines are first compared with one of them; what components that leaves apart is then compared across all lines of the band.  Links go to
 connected components, and of each component the line of the smallest document id and position stays.
 
@@ -27,10 +27,14 @@ from .components import components
 SHINGLE, THRESHOLD = 5, 0.8
 #: Orders of the shingle hashes, and the bands' places in the signature: band k has the places 2k + each of these, counted round.
 ORDERS, BANDS, PLACES = 32, 13, (0, 1, 6, 9)
-#: How many ways of turning a hash there are; as many orders share one as it takes.
+#: How many ways of turning a hash there are, and how many bins share one.
 TURNS = 4
-#: How many of the 32 places may differ in their last four bits.
-APART = 14
+BINS = ORDERS // TURNS
+#: The first of the four bits by which places are compared; the last bits of a hash are its bin.
+MARK = 8
+#: How many of the 64 places may differ in four bits, and the columns that hold these.
+APART = 24
+NEAR = ("near0", "near1", "near2", "near3")
 #: Characters whose shingles one regular expression match cuts out together.
 CHUNK = 24
 #: Members of a band up to which candidates are handed on as pairs; beyond, they are compared where they meet, block by block.
@@ -71,8 +75,9 @@ def shingles(line: Column) -> Column:
 def _signatures(lines: DataFrame) -> DataFrame:
     """uid, n and the columns v0, v1, ... of ``lines`` (uid, n, line), which have different uids.
 
-    An order compares hashes after turning them by some of their bits and flipping the bits of a constant; the constants, multiples of the
-    golden ratio's fraction, part in their first bits, so that the few orders of one turn choose in different regions of the hashes.
+    One permutation hashing: each of ``TURNS`` turns of a shingle's hash deals it, by its last bits, to one of ``BINS`` bins, which keeps its
+    smallest (v0 and on) and its largest (behind them); the bins are the orders.  An empty bin takes the next full one's value of the same turn,
+    changed by the distance.
     """
     chunk = F.regexp_extract_all("line", F.lit(rf"(?s)(?=(.{{{SHINGLE},{CHUNK + SHINGLE - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
     parts = lines.select("uid", "n", F.explode(F.when(F.length("line") < SHINGLE, F.array("line")).otherwise(chunk)).alias("part"))
@@ -80,15 +85,17 @@ def _signatures(lines: DataFrame) -> DataFrame:
     hashed = starts.select("uid", "n", F.xxhash64(F.substring("part", F.col("at"), F.lit(SHINGLE))).alias("h0"))
     turned = lambda by: F.call_function("shiftleft", F.col("h0"), F.lit(by)).bitwiseOR(F.call_function("shiftrightunsigned", F.col("h0"), F.lit(64 - by)))
     hashed = hashed.select("uid", "n", "h0", *[turned(64 * k // TURNS).alias(f"h{k}") for k in range(1, TURNS)])
-    flips = [F.lit(_signed((2 * (j // TURNS) + 1) * 0x9E3779B97F4A7C15)) for j in range(ORDERS)]
-    return hashed.groupBy("uid").agg(F.first("n").alias("n"), *[F.min(F.col(f"h{j % TURNS}").bitwiseXOR(flip)).alias(f"v{j}") for j, flip in enumerate(flips)])
+    dealt = hashed.select("*", *[F.col(f"h{k}").bitwiseAND(F.lit(BINS - 1)).cast("int").alias(f"b{k}") for k in range(TURNS)])
+    bins = [(end, k, j) for end in ("min", "max") for k in range(TURNS) for j in range(BINS)]
+    kept = dealt.groupBy("uid").agg(F.first("n").alias("n"), *[F.expr(f"{end}(h{k}) FILTER (WHERE b{k} = {j})").alias(f"{end}{k}_{j}") for end, k, j in bins])
+    filled = lambda end, k, j: F.coalesce(*[F.col(f"{end}{k}_{(j + d) % BINS}").bitwiseXOR(F.lit(_signed(d * 0x9E3779B97F4A7C15))) for d in range(BINS)])
+    return kept.select("uid", "n", *[filled(*b).alias(f"v{at}") for at, b in enumerate(bins)])
 
 
 def _marks() -> list[Column]:
-    """near0, near1: four bits of each of the signature's places; bands: the bands' hashes."""
-    places = range(ORDERS)
-    four = [F.call_function("shiftleft", F.col(f"v{j}").bitwiseAND(F.lit(15)), F.lit(4 * (j % 16))) for j in places]
-    near = [reduce(lambda a, b: a.bitwiseOR(b), four[k : k + 16]).alias(f"near{k // 16}") for k in (0, 16)]
+    """near0, near1, ...: four bits of each of the signature's places, smallest and largest hashes; bands: the bands' hashes."""
+    four = [F.call_function("shiftleft", F.shiftright(f"v{j}", MARK).bitwiseAND(F.lit(15)), F.lit(4 * (j % 16))) for j in range(2 * ORDERS)]
+    near = [reduce(lambda a, b: a.bitwiseOR(b), four[16 * k : 16 * k + 16]).alias(c) for k, c in enumerate(NEAR)]
     bands = [F.xxhash64(F.lit(k), *[F.col(f"v{(2 * k + p) % ORDERS}") for p in PLACES]) for k in range(BANDS)]
     return [*near, F.array(*bands).alias("bands")]
 
@@ -96,16 +103,16 @@ def _marks() -> list[Column]:
 def _near(l: str, r: str) -> Column:
     """If two signatures differ in few enough places."""
     apart = []
-    for k in range(2):
-        x = F.col(f"{l}.near{k}").bitwiseXOR(F.col(f"{r}.near{k}"))
+    for c in NEAR:
+        x = F.col(f"{l}.{c}").bitwiseXOR(F.col(f"{r}.{c}"))
         x = x.bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(1)))
         x = x.bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(2)))
         apart.append(F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))))
-    return apart[0] + apart[1] <= APART
+    return reduce(lambda a, b: a + b, apart) <= APART
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """uid, n, near0, near1, bands: every different line of ``lines`` (line, uid), and how often it is there.
+    """uid, n, near0 to near3, bands: every different line of ``lines`` (line, uid), and how often it is there.
 
     Different lines of one 64-bit hash, told apart by 32 bits more, are left out: they stay wherever they are.
     """
@@ -115,11 +122,11 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
 
 
 def _pairs(members: DataFrame) -> DataFrame:
-    """a, b: candidates among the ``members`` (uid, near0, near1, band, size) of common bands, in the larger bands with the smallest uid only."""
+    """a, b: candidates among the ``members`` (uid, near0 to near3, band, size) of common bands, in the larger bands with the smallest uid only."""
     few, many = members.where(F.col("size") <= LARGE), members.where(F.col("size") > LARGE)
     l, r = few.alias("l"), few.alias("r")
     small = l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.uid") < F.col("r.uid")) & _near("l", "r"))
-    least = many.groupBy("band").agg(F.min("uid").alias("uid"), *[F.min_by(c, "uid").alias(c) for c in ("near0", "near1")])
+    least = many.groupBy("band").agg(F.min("uid").alias("uid"), *[F.min_by(c, "uid").alias(c) for c in NEAR])
     star = least.alias("l").join(many.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.uid") < F.col("r.uid")) & _near("l", "r"))
     of = [F.col("l.uid").alias("a"), F.col("r.uid").alias("b")]
     return small.select(*of).unionByName(star.select(*of)).distinct()
@@ -161,8 +168,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
 def _roots(links: DataFrame) -> DataFrame:
     """uid, root of every line that has a link."""
-    return durable(components(links, "a", "b")).withColumnRenamed("node", "uid")
-
+    return written(components(links, "a", "b").withColumnRenamed("node", "uid"))
 
 
 def _alike(x: str, y: str, threshold: float) -> Column:
@@ -178,7 +184,7 @@ def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, threshold: floa
     bitmaps, which never rules out an alike one, and only the components of alike pairs are handed on.
     """
     roots = _roots(found) if roots is None else roots
-    known = [c for c in ("near0", "near1", "bands") if c in members.columns]
+    known = [c for c in (*NEAR, "bands") if c in members.columns]
     placed = members.join(roots, "uid", "left").select("uid", "band", F.coalesce("root", "uid").alias("root"), *known)
     counts = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     told = counts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
@@ -188,31 +194,39 @@ def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, threshold: floa
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     here = sent(placed, mixed, "band").withColumn("across", blocks(F.col("n"))).withColumn("down", blocks(F.col("n") - F.col("most")))
     here = written(here.select("band", "uid", "root", "main", "across", "down", *known))
+    part = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+
+    def met(full: DataFrame, carried: list[str]) -> tuple[DataFrame, DataFrame, Column]:
+        few = full.where("root <> main").select("band", part(F.col("down")).alias("i"), every(F.col("across")).alias("j"), *carried)
+        all_ = full.select("band", every(F.col("down")).alias("i"), part(F.col("across")).alias("j"), (F.col("root") == F.col("main")).alias("in_main"), *carried)
+        same = (F.col("l.band") == F.col("r.band")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
+        other = (F.col("l.root") != F.col("r.root")) & (F.col("r.in_main") | (F.col("l.uid") < F.col("r.uid")))
+        if known:  # only candidates, and each in the first band that it shares
+            shared = F.coalesce(*[F.when(F.get("l.bands", F.lit(k)) == F.get("r.bands", F.lit(k)), F.get("l.bands", F.lit(k))) for k in range(BANDS)])
+            other = other & _near("l", "r") & (shared == F.col("l.band"))
+        return few.alias("l"), all_.alias("r"), same & other
+
+    every_line = here
+    if known:  # lines without a candidate in another component go before sets are sent: a set is many times as large as its marks
+        few, all_, meet = met(here, ["uid", "root", *known])
+        near = written(few.join(all_, meet).select(F.explode(F.array("l.uid", "r.uid")).alias("uid")).distinct())
+        here = written(here.join(near, "uid", "left_semi"))
     used = sets.join(here.select("uid").distinct(), "uid", "left_semi")
     if maps is None:
         maps = _bitmaps(used.select("uid", F.explode("set").alias("x")).withColumn("x", F.col("x").cast("long")))
     mapped = written(used.join(maps, "uid"))
     full = here.join(mapped, "uid")
-    part = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    carried = ["uid", "root", "set", "size", "map", *known]
-    few = full.where("root <> main").select("band", part(F.col("down")).alias("i"), every(F.col("across")).alias("j"), *carried)
-    all_ = full.select("band", every(F.col("down")).alias("i"), part(F.col("across")).alias("j"), (F.col("root") == F.col("main")).alias("in_main"), *carried)
-    few, all_ = few.alias("l"), all_.alias("r")
-    other = (F.col("l.root") != F.col("r.root")) & (F.col("r.in_main") | (F.col("l.uid") < F.col("r.uid")))
-    same = (F.col("l.band") == F.col("r.band")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
-    if known:  # only candidates, and each in the first band that it shares
-        shared = F.coalesce(*[F.when(F.get("l.bands", F.lit(k)) == F.get("r.bands", F.lit(k)), F.get("l.bands", F.lit(k))) for k in range(BANDS)])
-        other = other & _near("l", "r") & (shared == F.col("l.band"))
-    linked = few.join(all_, same & other & _possible("l", "r", threshold) & _alike("l.set", "r.set", threshold))
-    out = durable(linked.select(F.least("l.root", "r.root").alias("a"), F.greatest("l.root", "r.root").alias("b")).distinct())
-    released(mapped, here)
+    few, all_, meet = met(full, ["uid", "root", "set", "size", "map", *known])
+    linked = few.join(all_, meet & _possible("l", "r", threshold) & _alike("l.set", "r.set", threshold))
+    out = written(linked.select(F.least("l.root", "r.root").alias("a"), F.greatest("l.root", "r.root").alias("b")).distinct())
+    released(mapped, here, *([every_line, near] if known else []))
     return out
 
 
 def line_roots(lines: DataFrame, marked: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """uid, root of every line that is linked to another one; and the lines of ``lines`` (places, line, uid) that are linked or repeated, as a written table."""
-    held = marked.select("uid", "near0", "near1", F.explode("bands").alias("band"))
+    held = marked.select("uid", *NEAR, F.explode("bands").alias("band"))
     shared = written(held.groupBy("band").agg(F.count("*").cast("int").alias("size")).where("size > 1"))
     members = written(sent(held, shared, "band", row=16))
     pairs = written(_pairs(members))
@@ -239,12 +253,11 @@ def line_roots(lines: DataFrame, marked: DataFrame, threshold: float) -> tuple[D
         roots = _roots(kept().unionByName(more))
     if not large.isEmpty():
         of = texts.join(large.select("uid").distinct(), "uid", "left_semi")
-        sets = written(of.select("uid", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("set")))
-        full = sent(marked.select("uid", "near0", "near1", "bands"), large, "uid", row=16)
+        sets = of.select("uid", F.array_distinct(F.transform(shingles(F.col("line")), lambda x: F.xxhash64(x))).alias("set"))
+        full = sent(marked.select("uid", *NEAR, "bands"), large, "uid", row=16)
         last = _rest(full, found, sets, threshold, roots, maps)
         if not last.isEmpty():
             roots = _roots(kept().unionByName(last))
-        released(sets)
     released(shared, members, pairs, wanted, maps, texts, found, possible, more)
     return roots, placed
 

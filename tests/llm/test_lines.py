@@ -126,3 +126,17 @@ def test_hashes_that_meet(spark):
     """Different lines of one 64-bit hash take no part: both stay."""
     d = spark.createDataFrame([("one line here", 5), ("another line", 5), ("a third line", 6), ("a third line", 6)], "line string, uid long")
     assert [(r["uid"], r["n"]) for r in lines.distinct_lines(d).collect()] == [(6, 2)]
+
+
+def test_marks_tell_half_alike_lines_apart(spark):
+    """Lines at an index of a half are seldom candidates, lines above the threshold always are."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    rows = []
+    for pair in range(160):
+        base, same = text(200), 133 if pair < 80 else 186
+        rows += [(2 * pair, base), (2 * pair + 1, base[:same] + text(200 - same))]
+    marks = lines.distinct_lines(spark.createDataFrame(rows, "uid long, line string"))
+    pairs = marks.where("uid % 2 = 0").alias("l").join(marks.alias("r"), lines.F.col("l.uid") + 1 == lines.F.col("r.uid"))
+    near = [r["uid"] for r in pairs.where(lines._near("l", "r")).select("l.uid").collect()]
+    assert sum(uid < 160 for uid in near) <= 16 and sum(uid >= 160 for uid in near) == 80
