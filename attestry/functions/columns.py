@@ -198,8 +198,8 @@ def strip_highlight(text: Column) -> Column:
 
 
 def stream_text(html: Column) -> Column:
-    """The text of a scanned book's page: entities read, words broken at line ends joined, one line."""
-    body = F.nullif(F.regexp_extract(html, r"(?s)<pre[^>]*>(.*?)</pre>", 1), F.lit(""))
+    """The text of a scanned book's page: entities read, words broken at line ends joined, one line; null without a text, empty of an empty one."""
+    body = F.get(F.regexp_extract_all(html, F.lit(r"(?s)<pre[^>]*>(.*?)</pre>"), F.lit(1)), 0)
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         body = F.replace(body, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(F.regexp_replace(body, r"-\s*\n\s*", ""), r"\s+", " "))
